@@ -1,0 +1,4 @@
+"""Queries of the price library over the driver's tables, with the SQL that checks them."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
