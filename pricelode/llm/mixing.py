@@ -53,19 +53,14 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each source (null too) its `full` copies of every document and the `limit`
-    on the upper BITS*LEVELS bits of the hash below which one more copy is taken.
+def thresholds(rows: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
+    """For each source (null too) the `limit` on the upper BITS*LEVELS bits of the hash
+    below which its documents hold `rest` tokens, and what is then left of it.
 
-    rows: source, size, h (those bits). targets: source, source_size, target.
+    rows: source, size, h (those bits). budgets: source, rest. The last bucket counts
+    if it fits, or with `nearest` if that comes nearer.
     """
-    full = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
-    state = targets.select(
-        "source",
-        F.coalesce(full, F.lit(0)).cast("long").alias("full"),
-        (F.col("target") - F.coalesce(full, F.lit(0)) * F.col("source_size")).alias("rest"),
-        F.lit(0).cast("long").alias("prefix"),
-    )
+    state = budgets.select("source", "rest", F.lit(0).cast("long").alias("prefix"))
     for level in range(LEVELS):
         down = BITS * (LEVELS - 1 - level)
         s = state.alias("s")
@@ -82,27 +77,28 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
             .agg(F.max(F.struct("c.bucket", "c.below", "c.n")).alias("m"))
             .alias("b")
         )
-        last = level == LEVELS - 1
-        prefix = F.col("b.m.bucket")
-        if last:  # the whole of the last bucket or none of it, whichever is nearer
-            prefix = prefix + (F.col("b.m.n") <= 2 * (F.col("s.rest") - F.col("b.m.below"))).cast("long")
+        prefix, left = F.col("b.m.bucket"), F.col("s.rest") - F.coalesce(F.col("b.m.below"), F.lit(0))
+        if level == LEVELS - 1:  # the whole of the last bucket or none of it
+            whole = F.col("b.m.n") <= left * (2 if nearest else 1)
+            prefix, left = prefix + whole.cast("long"), left - F.when(whole, F.col("b.m.n")).otherwise(F.lit(0))
         state = s.join(best, _same(F.col("b.source"), F.col("s.source")), "left").select(
-            F.col("s.source").alias("source"),
-            F.col("s.full").alias("full"),
-            (F.col("s.rest") - F.coalesce(F.col("b.m.below"), F.lit(0))).alias("rest"),
-            F.coalesce(prefix, F.shiftleft(F.col("s.prefix"), BITS)).alias("prefix"),
+            F.col("s.source").alias("source"), left.alias("rest"), F.coalesce(prefix, F.shiftleft(F.col("s.prefix"), BITS)).alias("prefix")
         )
-    return state.select("source", "full", F.col("prefix").alias("limit"))
+    return cut(state.select("source", "rest", F.col("prefix").alias("limit")))
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, seed: int = 7) -> DataFrame:
+def mix(
+    docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, fills: int = 2, seed: int = 7
+) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of `docs`.
 
     size: words of the text (null or empty: 0). taken: size times the copies that the
-    mix takes, 0 to ceil(most). A source's taken words differ from its target by half
-    of the document at its threshold at most, unless rows that are equal in id and
-    text are many: they share one hash and one decision. Null sources form one source.
-    An empty table gives no rows; other columns are not looked at. Reruns agree.
+    mix takes, 0 to ceil(most). A document at the threshold may be long; so the gap
+    that it leaves is filled `fills` times over from those behind the threshold that
+    are no longer than the gap, by a threshold of their own. With fills=0 the mixes of
+    rising budgets are nested. Rows equal in id and text share one hash and one
+    decision. Null sources form one source. An empty table gives no rows; other
+    columns are not looked at. Reruns agree.
     """
     rows = cut(
         docs.select(
@@ -113,13 +109,35 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2
         )
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = cut(source_targets(sizes, share, weights, most))
-    limits = cut(thresholds(rows, targets)).alias("l")
-    plan = limits.join(targets.alias("t"), _same(F.col("l.source"), F.col("t.source"))).select("t.*", "l.full", "l.limit").alias("p")
+    full = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
+    plan = cut(
+        source_targets(sizes, share, weights, most).withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
+    )
+    plan = plan.withColumn("steps", F.array().cast("array<struct<upto:double,limit:bigint>>"))
+    for k in range(fills + 1):
+        # those not taken yet that fit into the gap; at first, all
+        gap = F.col("p.rest") if k else F.lit(float("inf"))
+        open_rows = (
+            rows.alias("r").join(plan.alias("p"), _same(F.col("r.source"), F.col("p.source")))
+            .where(~_taken(F.col("r.size"), F.col("r.h"), F.col("p.steps")) & (F.col("r.size") <= gap))
+            .select("r.source", "r.size", "r.h")
+        )
+        limits = thresholds(open_rows, plan.select("source", "rest"), nearest=k == fills)
+        plan = cut(
+            plan.alias("p").join(limits.alias("l"), _same(F.col("p.source"), F.col("l.source"))).select(
+                "p.source", "p.source_size", "p.target", "p.full", "l.rest",
+                F.concat("p.steps", F.array(F.struct(gap.alias("upto"), F.col("l.limit").alias("limit")))).alias("steps"),
+            )
+        )
+    plan = plan.alias("p")
     return (
         rows.alias("r").join(plan, _same(F.col("r.source"), F.col("p.source")))
         .select(
             "r.doc_id", "r.size", "p.source_size", "p.target",
-            (F.col("r.size") * (F.col("p.full") + (F.col("r.h") < F.col("p.limit")).cast("long"))).alias("taken"),
+            (F.col("r.size") * (F.col("p.full") + _taken(F.col("r.size"), F.col("r.h"), F.col("p.steps")).cast("long"))).alias("taken"),
         )
     )
+
+
+def _taken(size: Column, h: Column, steps: Column) -> Column:
+    return F.exists(steps, lambda s: (size <= s["upto"]) & (h < s["limit"]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .minhash import near_duplicates
 from .mixing import mix
 from .sharding import shard_digest
 
@@ -13,9 +14,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), k=4)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op7_mixing, op9_minhash, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
