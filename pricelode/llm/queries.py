@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .decontamination import leaks
 from .minhash import near_duplicates
 from .mixing import mix
 from .sharding import shard_digest
 from .toxicity import fit, score
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
@@ -28,5 +33,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_mixing, op8_toxicity, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op5_decontamination, op7_mixing, op8_toxicity, op9_minhash, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
