@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
@@ -9,6 +11,7 @@ from .decontamination import leaks
 from .minhash import near_duplicates
 from .mixing import mix
 from .sharding import shard_digest
+from .token_counts import token_counts
 from .toxicity import fit, score
 
 
@@ -16,6 +19,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def public_tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), Path(path or public_tokenizer("word_bpe_49k.json")).read_text(encoding="utf-8"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
@@ -33,5 +47,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontamination, op7_mixing, op8_toxicity, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_minhash, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
