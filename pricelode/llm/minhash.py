@@ -6,12 +6,14 @@ from each makes a table: SIDE * SIDE tables from 2 * SIDE * ROWS minhashes. Docu
 that share a key are candidates; links are confirmed on the full shingle sets.
 
 Bound of what is missed: with s the similarity, a pair at s meets in no table with
-probability 1 - (1 - (1 - s^ROWS)^SIDE)^2, which is 0.15 % at 0.8 and 0.007 % at 0.85.
+probability 1 - (1 - (1 - s^ROWS)^SIDE)^2, which is 0.3 % at 0.8 and 0.04 % at 0.85.
 
 Exact copies (equal shingle sets) become one class first, so they cost nothing more.
-In a bucket every class is compared with one representative; only classes that this
-leaves in different components are then compared with each other. Whole groups of
-near copies so take a number of comparisons in proportion to their size.
+In a bucket every class is compared with one representative. Where that leaves a
+bucket in several components, the classes that hang together by such buckets are dealt
+into blocks, and each pair of blocks is one group that compares its sets at once and
+returns no more links than it takes to connect them. No pair of classes is a row, no
+group holds more than two blocks, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,9 +30,11 @@ from pyspark.sql import functions as F
 from .common import cut
 from .graph import connected_components
 
-SIDE, ROWS = 10, 3
+SIDE, ROWS = 9, 3
 #: So many shingles are hashed at once, and so many words remembered by a task.
 BATCH, MEMO = 200_000, 400_000
+#: A block of a torn group holds about so many classes, or fewer if they have more than so many shingles.
+BLOCK, BLOCK_SHINGLES = 400, 400_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -134,12 +139,10 @@ def _signer(k: int, sets_too: bool):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (u, v) of class nodes those whose full sets are similar enough."""
-    pairs = cut(pairs)
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, hashes: the full shingle set of each class of `nodes`."""
     wanted = classes.select("node", "digest").join(nodes, "node", "left_semi")
-    sets = (
+    return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
         .mapInArrow(_signer(k, True), _SETS)
@@ -147,14 +150,59 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, pe
         .where("doc_id = node")
         .groupBy("node").agg(F.first("hashes").alias("hashes"))
     )
-    sets = cut(sets)
-    both = F.size(F.array_intersect("a", "b"))
-    return (
-        pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
-        .join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-        .where(100 * both >= percent * (F.size("a") + F.size("b") - both))
-        .select("u", "v")
+
+
+def _linked(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is similar enough among the sets of a group and is not
+    yet in one component."""
+    group = group.drop_duplicates("node")
+    sets = [np.asarray(x) for x in group["hashes"]]
+    n = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.flatnonzero(np.bincount(column, minlength=len(values)) > 1)
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    rank = np.full(len(values), -1)
+    rank[shared] = np.arange(len(shared))
+    column = rank[column]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for lo in range(0, len(shared), 4096):
+        a, b = np.searchsorted(column, (lo, lo + 4096))
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1
+        both += m @ m.T
+    i, j = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
+    node, part = group["node"].tolist(), group["component"].tolist()
+    root = {c: c for c in part}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = top(part[x]), top(part[y])
+        if a != b:
+            root[a] = b
+            out.append((node[x], node[y]))
+    return out
+
+
+def _mended(torn: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between the components of torn buckets. torn: key, node, n, component, head."""
+    group = connected_components(torn.select(F.col("node").alias("u"), F.col("head").alias("v"))).withColumnRenamed("component", "torn")
+    nodes = cut(torn.select("node", "n", "component").distinct().join(group, "node"))
+    sizes = nodes.groupBy("torn").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        nodes.join(sizes, "torn").withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("torn", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "component")
     )
+    find = lambda g: pd.DataFrame(_linked(g, percent), columns=["u", "v"])
+    return dealt.join(sets, "node").groupBy("torn", "p", "q").applyInPandas(find, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -176,36 +224,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     tables = F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("t")
     side = lambda i: F.get("bands", i)
-    keys = classes.select("node", "n", "bands", tables).select(
-        F.xxhash64("t", side(F.floor(F.col("t") / SIDE).cast("int")), side(F.lit(SIDE) + F.col("t") % SIDE)).alias("key"), "node", "n"
+    keys = classes.select("node", "bands", tables).select(
+        F.xxhash64("t", side(F.floor(F.col("t") / SIDE).cast("int")), side(F.lit(SIDE) + F.col("t") % SIDE)).alias("key"), "node"
     )
-    heads = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
+    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
     members = cut(keys.join(heads.select("key", "head"), "key"))
+    sizes = cut(members.select("node").distinct().join(classes.select("node", "n").dropDuplicates(["node"]), "node"))
+    sets = cut(_sets(docs, classes, sizes, k))
 
-    alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     star = (
-        members.where((F.col("node") != F.col("head.node")) & alike(F.col("n"), F.col("head.n")))
-        .select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct()
+        members.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+        .join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
+        .join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
     )
-    links = cut(_confirmed(star, docs, classes, k, percent))
+    both = F.size(F.array_intersect("a", "b"))
+    links = cut(star.where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v"))
     part = cut(connected_components(links))
 
-    # what the representatives left apart: all pairs of a bucket that lie in different components
     placed = (
-        members.join(part, "node", "left")
-        .select("key", "node", "n", F.coalesce("component", "node").alias("component"), F.col("head.node").alias("head"))
-    )
-    torn = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    placed = cut(placed.join(torn, "key", "left_semi"))
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = (
-        x.join(y, F.col("x.key") == F.col("y.key"))
-        .where((F.col("x.component") < F.col("y.component")) & (F.col("x.node") != F.col("y.head")) & (F.col("y.node") != F.col("x.head")))
-        .where(alike(F.col("x.n"), F.col("y.n")))
-        .select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+        members.join(part, "node", "left").join(sizes, "node")
+        .select("key", "node", "n", F.coalesce("component", "node").alias("component"), "head")
     )
-    more = _confirmed(rest, docs, classes, k, percent)
-    part = connected_components(links.union(more))
+    # buckets of two are settled by the comparison with the head
+    torn = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c")).where("a <> b and c > 2")
+    torn = cut(placed.join(torn.select("key"), "key", "left_semi"))
+    part = connected_components(links.union(_mended(torn, sets, percent)))
 
     named = classes.select("digest", "node").join(part, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (
