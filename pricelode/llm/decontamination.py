@@ -4,7 +4,8 @@ The words of the benchmark items are the terms. Passages of the corpus (PASSAGE
 and the items make a TF-IDF matrix; a distributed randomised SVD of it (one product
 with its Gram matrix for the range, one more for the Rayleigh-Ritz step) gives RANK
 latent directions. All texts are then searched in windows that overlap: a window whose
-latent vector comes near an item's is a candidate, and is confirmed by the longest
+latent vector comes near an item's, by its cosine and by its
+length along the item's, is a candidate, and is confirmed by the longest
 common subsequence of words with the item and with the item's answer.
 
 Counts and products cover all passages of all documents. What goes with the tasks is
@@ -18,9 +19,11 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +90,7 @@ class Model:
 def numbers(text: str | None, index: dict[bytes, int]) -> np.ndarray:
     """Term numbers of the words of a text, -1 for words that no item has."""
     found = terms(text)
-    return np.fromiter((index.get(w, -1) for w in found), np.int32, len(found))
+    return np.fromiter(map(index.get, found, repeat(-1)), np.int32, len(found))
 
 
 # -- what the corpus says about the terms -----------------------------------
@@ -95,7 +98,7 @@ def numbers(text: str | None, index: dict[bytes, int]) -> np.ndarray:
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
-        for x in batch.column(0):
+        for x in batch.column(batch.schema.get_field_index("ids")):
             yield np.frombuffer(x.as_py(), np.int32)
 
 
@@ -184,8 +187,9 @@ def _product(coded: DataFrame, weights: np.ndarray, basis: np.ndarray, items: li
     return out + own * (share * (np.linalg.norm(out) or size) / size if size else 0)
 
 
-def fit(docs: DataFrame, items: list[tuple[int, str, str | None]], seed: int = 5) -> Model:
-    """Term weights and latent directions. items: (item_id, text, answer or None)."""
+def fit(docs: DataFrame, items: list[tuple[int, str, str | None]], seed: int = 5) -> tuple[Model, DataFrame]:
+    """Term weights and latent directions; and for each row of `docs` with a text its
+    doc_id and term numbers. items: (item_id, text, answer or None)."""
     index: dict[bytes, int] = {}
     number = lambda ws: [index.setdefault(w, len(index)) for w in ws]
     known = [Item(i, number(terms(t)), number(terms(a) if a else answer_of(t))) for i, t, a in items]
@@ -194,10 +198,13 @@ def fit(docs: DataFrame, items: list[tuple[int, str, str | None]], seed: int = 5
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([numbers(x.as_py(), index).tobytes() for x in batch.column(0)], pa.binary())], ["ids"])
+            ids = pa.array([numbers(x.as_py(), index).tobytes() for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    coded = cut(docs.select("text").where("text is not null").mapInArrow(code, "ids binary").coalesce(PARTS))
-    counts = {r["term"]: r["n"] for r in coded.mapInArrow(_frequencies(n), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary"
+    coded = cut(docs.select("doc_id", "text").where("text is not null").mapInArrow(code, schema))
+    summed = coded.select("ids").coalesce(PARTS)
+    counts = {r["term"]: r["n"] for r in summed.mapInArrow(_frequencies(n), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     passages = counts.pop(-1, 0) + len(known)
     df = np.bincount([t for i in known for t in set(i.ids)], minlength=n)
     for t, c in counts.items():
@@ -208,13 +215,13 @@ def fit(docs: DataFrame, items: list[tuple[int, str, str | None]], seed: int = 5
     basis = np.random.default_rng(seed).standard_normal((n, min(n, RANK + EXTRA))).astype(np.float32)
     for last in (False, True):
         basis = np.linalg.qr(basis)[0].astype(np.float32)
-        product = _product(coded, weights, basis, known, 1.0)
+        product = _product(summed, weights, basis, known, 1.0)
         if last:  # Rayleigh-Ritz: the leading directions within the range
             values, turn = np.linalg.eigh(basis.T.astype(np.float64) @ product)
             basis = (basis @ turn[:, np.argsort(-values)[:RANK]]).astype(np.float32)
         else:
             basis = product
-    return Model(index, known, weights, basis)
+    return Model(index, known, weights, basis), coded
 
 
 # -- search ------------------------------------------------------------------
@@ -228,15 +235,15 @@ class Searcher:
         self.project = model.basis * model.weights[:, None]
         self.masks = [(masks_of(i.ids), masks_of(i.answer)) for i in model.items]
         vectors = np.array([self.project[i.ids].sum(0) for i in model.items], np.float32).reshape(len(model.items), -1)
-        self.unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        self.length = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
+        self.unit = vectors / self.length[:, None]
         lengths = np.array([len(i.ids) for i in model.items])
         least = np.searchsorted([w * STEP * 2 / 3 for w in WIDTHS], lengths)
         self.by_width = {k: np.flatnonzero(np.minimum(least, len(WIDTHS) - 1) == k) for k in range(len(WIDTHS))}
 
-    def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float]]:
-        """(number of the text, number of the item, cosine, share of the item's words in
+    def find(self, ids: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, float]]:
+        """Of texts given as term numbers: (number of the text, number of the item, cosine, share of the item's words in
         order, share of the answer's), the best place of each pair that is confirmed."""
-        ids = [numbers(t, self.model.index) for t in texts]
         steps = [-(-len(x) // STEP) for x in ids]
         starts = np.cumsum([0, *steps])
         total = int(starts[-1])
@@ -268,20 +275,31 @@ class Searcher:
                 for j in range(width):
                     window += np.where((b + j < end[b])[:, None], sums[np.minimum(b + j, total)], 0)
                 norm = np.linalg.norm(window, axis=1, keepdims=True)
-                cosines = (window / np.maximum(norm, 1e-12)) @ self.unit[chosen].T
-                for r, c in zip(*np.nonzero(cosines >= self.cosine), strict=True):
-                    self._confirm(best, int(owner[b[r]]), int(chosen[c]), float(cosines[r, c]), ids, int(b[r] - starts[owner[b[r]]]) * STEP, width * STEP)
+                along = window @ self.unit[chosen].T
+                cosines = along / np.maximum(norm, 1e-12)
+                # a window that holds most of an item reaches as far along it as these words do
+                near_item = (cosines >= self.cosine) & (along >= self.cosine * self.length[chosen])
+                last, near, there = -1, [], set()
+                for r, c in zip(*(x.tolist() for x in np.nonzero(near_item)), strict=True):
+                    t = owner[b[r]]
+                    if r != last:  # the window and half its width more on either side
+                        at = int(b[r] - starts[t]) * STEP
+                        near = ids[t][max(0, at - width * STEP // 2) : at + width * STEP * 3 // 2].tolist()
+                        last, there = r, set(near)
+                    self._confirm(best, int(t), int(chosen[c]), float(cosines[r, c]), near, there)
         for (t, i), found in best.items():
             yield t, i, *found
 
-    def _confirm(self, best: dict, text: int, item: int, cosine: float, ids: list[np.ndarray], begin: int, width: int) -> None:
-        """Compares the window, half its width more on either side, with the item."""
-        near = [x for x in ids[text][max(0, begin - width // 2) : begin + width + width // 2].tolist() if x >= 0]
+    def _confirm(self, best: dict, text: int, item: int, cosine: float, near: list[int], there: set[int]) -> None:
         it, (masks, answer) = self.model.items[item], self.masks[item]
-        whole = common_subsequence(masks, len(it.ids), near) / len(it.ids)
         verbatim, paraphrase, least = self.limits
-        if whole < min(verbatim, paraphrase):
+        need = min(verbatim, paraphrase) * len(it.ids)
+        if sum(map(there.__contains__, it.ids)) < need:  # no more words than these can be common
             return
+        whole = common_subsequence(masks, len(it.ids), near)
+        if whole < need:
+            return
+        whole /= len(it.ids)
         part = common_subsequence(answer, len(it.answer), near) / len(it.answer) if it.answer else 0.0
         if whole >= verbatim or part >= least:
             best[text, item] = max(best.get((text, item), (0.0, 0.0, 0.0)), (cosine, whole, part), key=lambda x: (x[1], x[2], x[0]))
@@ -306,16 +324,17 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str, str | None]]]
         yield block
 
 
-def _parts(batch: pa.RecordBatch, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
-    begin, held, texts = 0, 0, batch.column(batch.schema.get_field_index("text"))
-    for i in range(len(batch)):
-        held += len(texts[i].as_py() or "")
+def _parts(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes in the column."""
+    begin, held, values = 0, 0, batch.column(batch.schema.get_field_index(column))
+    for i, size in enumerate(pc.fill_null(pc.binary_length(values), 0).to_pylist()):
+        held += size
         if held > most or i == len(batch) - 1:
             yield batch.slice(begin, i + 1 - begin)
             begin, held = i + 1, 0
 
 
-LIMITS = {"cosine": 0.6, "verbatim": 0.8, "paraphrase": 0.55, "answer": 0.6}
+LIMITS = {"cosine": 0.45, "verbatim": 0.8, "paraphrase": 0.55, "answer": 0.6}
 _FOUND = "doc_id {}, item_id long, cosine double, item_share double, answer_share double"
 
 
@@ -324,7 +343,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     and item that it holds.
 
     docs: doc_id, text. benchmark: item_id, text, and answer if there is one (else the
-    last sentence counts). A window with a latent cosine >= `cosine` is confirmed if
+    last sentence counts). A window with a latent cosine >= `cosine` (and as large a share of the item's
+    vector) is confirmed if
     the longest common subsequence has >= `verbatim` of the item's words, or
     >= `paraphrase` of them and >= `answer` of the answer's. Null, empty and wordless
     texts and items match nothing. Repeated rows give repeated results; other columns
@@ -332,14 +352,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     """
     limits = LIMITS | limits
     schema = _FOUND.format(docs.schema["doc_id"].dataType.simpleString())
-    docs = docs.select("doc_id", "text")
 
-    def found(model: Model) -> DataFrame:
+    def found(model: Model, coded: DataFrame) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(model, **limits)
             for batch in batches:
-                for part in _parts(batch):
-                    rows = list(searcher.find(part.column(1).to_pylist()))
+                for part in _parts(batch, "ids"):
+                    rows = list(searcher.find(list(_rows([part]))))
                     if rows:
                         t, i, c, w, a = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays(
@@ -347,9 +366,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
                             ["doc_id", "item_id", "cosine", "item_share", "answer_share"],
                         )
 
-        return docs.mapInArrow(run, schema)
+        return coded.mapInArrow(run, schema)
 
-    blocks = [found(fit(docs, b)) for b in _blocks(benchmark)]
+    blocks = [found(*fit(docs, b)) for b in _blocks(benchmark)]
     return reduce(DataFrame.union, blocks) if blocks else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -357,14 +376,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits: float) -> Dat
     """The rows of `docs`, all columns, in which leaks() finds no item."""
     limits = LIMITS | limits
     for block in _blocks(benchmark):
-        model = fit(docs, block)
+        model, _ = fit(docs, block)
 
         def run(batches: Iterable[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(model, **limits)
             for batch in batches:
-                for part in _parts(batch):
+                for part in _parts(batch, "text"):
+                    texts = part.column(part.schema.get_field_index("text")).to_pylist()
                     keep = np.ones(len(part), bool)
-                    keep[[t for t, *_ in searcher.find(part.column(part.schema.get_field_index("text")).to_pylist())]] = False
+                    keep[[t for t, *_ in searcher.find([numbers(x, model.index) for x in texts])]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
