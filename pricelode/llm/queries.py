@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .decontamination import leaks
+from .embeddings import near_vectors
 from .minhash import near_duplicates
 from .mixing import mix
 from .sharding import shard_digest
@@ -15,6 +16,10 @@ from .token_counts import token_counts
 from .toxicity import fit, score
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -47,5 +52,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op4_embeddings, op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_minhash, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
