@@ -39,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most_bytes_a_row: int) -> DataFrame:
+    """A table that was cut(), marked for broadcast if its rows, counted, show that it
+    stays below BROADCAST_BYTES; else as it is, and Spark shuffles it."""
+    return F.broadcast(df) if df.count() * most_bytes_a_row <= BROADCAST_BYTES else df
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, small, word_count
 
 #: Bits of hash that one level of the histogram looks at, and the number of levels.
 BITS, LEVELS = 12, 3
@@ -60,82 +60,105 @@ def thresholds(rows: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
     rows: source, size, h (those bits). budgets: source, rest. The last bucket counts
     if it fits, or with `nearest` if that comes nearer.
     """
-    state = budgets.select("source", "rest", F.lit(0).cast("long").alias("prefix"))
+    state = cut(budgets.select("source", "rest", F.lit(0).cast("long").alias("prefix")))
     for level in range(LEVELS):
         down = BITS * (LEVELS - 1 - level)
-        s = state.alias("s")
-        inside = rows.alias("r").join(
-            s, _same(F.col("r.source"), F.col("s.source")) & (F.shiftright(F.col("r.h"), down + BITS) == F.col("s.prefix"))
+        s = small(state, 1024).alias("s")
+        counts = (
+            rows.alias("r")
+            .join(s, _same(F.col("r.source"), F.col("s.source")) & (F.shiftright(F.col("r.h"), down + BITS) == F.col("s.prefix")))
+            .groupBy("s.source", "s.rest", F.shiftright(F.col("r.h"), down).alias("bucket")).agg(F.sum("r.size").alias("n"))
         )
-        counts = inside.groupBy(F.col("r.source").alias("source"), F.shiftright(F.col("r.h"), down).alias("bucket")).agg(F.sum("r.size").alias("n"))
         before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        ends = counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0))).alias("c")
         # the bucket in which the budget ends: the last one that starts at or below it
         best = (
-            ends.join(s, _same(F.col("c.source"), F.col("s.source")) & (F.col("c.below") <= F.col("s.rest")))
-            .groupBy(F.col("c.source").alias("source"))
-            .agg(F.max(F.struct("c.bucket", "c.below", "c.n")).alias("m"))
-            .alias("b")
+            counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+            .where("below <= rest").groupBy("source").agg(F.max(F.struct("bucket", "below", "n")).alias("m")).alias("b")
         )
         prefix, left = F.col("b.m.bucket"), F.col("s.rest") - F.coalesce(F.col("b.m.below"), F.lit(0))
         if level == LEVELS - 1:  # the whole of the last bucket or none of it
             whole = F.col("b.m.n") <= left * (2 if nearest else 1)
             prefix, left = prefix + whole.cast("long"), left - F.when(whole, F.col("b.m.n")).otherwise(F.lit(0))
-        state = s.join(best, _same(F.col("b.source"), F.col("s.source")), "left").select(
-            F.col("s.source").alias("source"), left.alias("rest"), F.coalesce(prefix, F.shiftleft(F.col("s.prefix"), BITS)).alias("prefix")
+        state = cut(
+            state.alias("s").join(best, _same(F.col("b.source"), F.col("s.source")), "left").select(
+                F.col("s.source").alias("source"), left.alias("rest"), F.coalesce(prefix, F.shiftleft(F.col("s.prefix"), BITS)).alias("prefix")
+            )
         )
-    return cut(state.select("source", "rest", F.col("prefix").alias("limit")))
+    return state.select("source", "rest", F.col("prefix").alias("limit"))
 
 
-def mix(
-    docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, fills: int = 2, seed: int = 7
-) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of `docs`.
-
-    size: words of the text (null or empty: 0). taken: size times the copies that the
-    mix takes, 0 to ceil(most). A document at the threshold may be long; so the gap
-    that it leaves is filled `fills` times over from those behind the threshold that
-    are no longer than the gap, by a threshold of their own. With fills=0 the mixes of
-    rising budgets are nested. Rows equal in id and text share one hash and one
-    decision. Null sources form one source. An empty table gives no rows; other
-    columns are not looked at. Reruns agree.
-    """
-    rows = cut(
-        docs.select(
-            "doc_id",
-            "source",
-            word_count(F.col("text")).alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 64 - BITS * LEVELS).alias("h"),
-        )
-    )
+def _hash(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 64 - BITS * LEVELS)
+
+
+def _planned(rows: DataFrame, share: float, weights: Sequence[float], most: float, fills: int) -> DataFrame:
+    """source, source_size, target, full, steps: what is taken of each source. One row
+    for each source; broadcast if they are shown to be few. rows: source, size, h."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     full = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     plan = cut(
-        source_targets(sizes, share, weights, most).withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
+        source_targets(sizes, share, weights, most)
+        .withColumn("full", full)
+        .withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
+        .withColumn("steps", F.array().cast("array<struct<upto:double,limit:bigint>>"))
     )
-    plan = plan.withColumn("steps", F.array().cast("array<struct<upto:double,limit:bigint>>"))
     for k in range(fills + 1):
-        # those not taken yet that fit into the gap; at first, all
+        # at first all, then those not taken yet that fit into the gap
         gap = F.col("p.rest") if k else F.lit(float("inf"))
         open_rows = (
-            rows.alias("r").join(plan.alias("p"), _same(F.col("r.source"), F.col("p.source")))
+            rows.alias("r").join(small(plan, 1024).alias("p"), _same(F.col("r.source"), F.col("p.source")))
             .where(~_taken(F.col("r.size"), F.col("r.h"), F.col("p.steps")) & (F.col("r.size") <= gap))
             .select("r.source", "r.size", "r.h")
         )
         limits = thresholds(open_rows, plan.select("source", "rest"), nearest=k == fills)
+        step = F.array(F.struct(gap.alias("upto"), F.col("l.limit").alias("limit")))
         plan = cut(
-            plan.alias("p").join(limits.alias("l"), _same(F.col("p.source"), F.col("l.source"))).select(
-                "p.source", "p.source_size", "p.target", "p.full", "l.rest",
-                F.concat("p.steps", F.array(F.struct(gap.alias("upto"), F.col("l.limit").alias("limit")))).alias("steps"),
-            )
+            plan.alias("p").join(limits.alias("l"), _same(F.col("p.source"), F.col("l.source")))
+            .select("p.source", "p.source_size", "p.target", "p.full", "l.rest", F.concat("p.steps", step).alias("steps"))
         )
-    plan = plan.alias("p")
+    return small(plan, 1024)
+
+
+def _copies(size: Column, h: Column) -> Column:
+    return F.col("p.full") + _taken(size, h, F.col("p.steps")).cast("long")
+
+
+def _rows(docs: DataFrame, seed: int) -> DataFrame:
+    return cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash(seed).alias("h")))
+
+
+def mix(
+    docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, fills: int = 2, seed: int = 7
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for each row of `docs`.
+
+    size: words of the text (null or empty: 0). copies: how often the mix takes the
+    document, 0 to ceil(most); taken: size times copies. A document at the threshold
+    may be long; so the gap that it leaves is filled `fills` times over from those
+    behind the threshold that are no longer than the gap, by a threshold of their own.
+    With fills=0 the mixes of rising budgets are nested. Rows equal in id and text
+    share one hash and one decision. Null sources form one source. An empty table
+    gives no rows; other columns are not looked at. Reruns agree.
+    """
+    rows = _rows(docs, seed)
+    plan = _planned(rows, share, weights, most, fills)
+    copies = _copies(F.col("r.size"), F.col("r.h"))
     return (
-        rows.alias("r").join(plan, _same(F.col("r.source"), F.col("p.source")))
-        .select(
-            "r.doc_id", "r.size", "p.source_size", "p.target",
-            (F.col("r.size") * (F.col("p.full") + _taken(F.col("r.size"), F.col("r.h"), F.col("p.steps")).cast("long"))).alias("taken"),
-        )
+        rows.alias("r").join(plan.alias("p"), _same(F.col("r.source"), F.col("p.source")))
+        .select("r.doc_id", "r.size", "p.source_size", "p.target", (F.col("r.size") * copies).alias("taken"), copies.alias("copies"))
+    )
+
+
+def mix_documents(
+    docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, fills: int = 2, seed: int = 7
+) -> DataFrame:
+    """The rows of `docs`, all columns, each as often as mix() takes it."""
+    plan = _planned(_rows(docs, seed), share, weights, most, fills)
+    copies = _copies(word_count(F.col("r.text")), F.col("r.__mix_hash"))
+    return (
+        docs.withColumn("__mix_hash", _hash(seed)).alias("r").join(plan.alias("p"), _same(F.col("r.source"), F.col("p.source")))
+        .withColumn("__mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))))
+        .select("r.*").drop("__mix_hash")
     )
 
 
