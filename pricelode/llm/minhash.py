@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 from .graph import connected_components
 
 SIDE, ROWS = 9, 3
@@ -256,3 +256,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """`docs`, all columns, with one row of each component of near_duplicates().
+
+    It is the one with the smallest doc_id; of rows that share it one stays. A row
+    without a doc_id can't be named, and stays.
+    """
+    found = cut(near_duplicates(docs, k, percent).where("doc_id is not null").select("doc_id", "kept"))
+    gone = cut(found.where("not kept").select("doc_id").distinct())
+    twice = cut(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    left = docs.join(small(gone, 16), "doc_id", "left_anti")
+    if twice.isEmpty():
+        return left.select(docs.columns)
+    again = left.join(small(twice, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(small(twice, 16), "doc_id", "left_anti").select(docs.columns).union(again.select(docs.columns))

@@ -18,14 +18,14 @@ ones that the network finds worst. Scoring reads whole texts and everything.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,6 @@ LEAST, DEVIATIONS = 5, 5.0
 BATCH, MEMO = 2048, 400_000
 
 _STRIP = ".,;:!?\"'()[]{}<>«»„“”‚’…-"
-_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def tokens(text: str | None) -> list[str]:
@@ -318,19 +317,27 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int = 2400
     return train([r["text"] for r in sample], [r["toxic"] for r in sample], seed)
 
 
-def _run(net: Net) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scored(batches: Iterable[pa.RecordBatch], net: Net) -> Iterator[tuple[pa.RecordBatch, list[float]]]:
+    """Slices of about a million characters, with the scores of their texts."""
+    scorer = Scorer(net)
+    for batch in batches:
+        texts, done, held = batch.column(batch.schema.get_field_index("text")), 0, 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            held += size
+            if held > 1_000_000 or i == len(batch) - 1:
+                part = batch.slice(done, i + 1 - done)
+                yield part, scorer.scores(texts.slice(done, i + 1 - done).to_pylist())
+                done, held = i + 1, 0
+
+
+def keep_clean(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is below the threshold."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(net)
-        for batch in batches:
-            ids, texts, done, held = batch.column(0), batch.column(1), 0, 0
-            for i in range(len(batch)):
-                held += len(texts[i].as_py() or "")
-                if held > 1_000_000 or i == len(batch) - 1:
-                    part = texts.slice(done, i + 1 - done).to_pylist()
-                    yield pa.RecordBatch.from_arrays([ids.slice(done, i + 1 - done), pa.array(scorer.scores(part), pa.float64())], ["doc_id", "score"])
-                    done, held = i + 1, 0
+        for part, scores in _scored(batches, net):
+            yield part.filter(pa.array(np.array(scores) < threshold))
 
-    return run
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
@@ -342,7 +349,12 @@ def score(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
     looked at; an empty table gives no rows. The network, a few MB, goes with the tasks.
     """
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
-    return docs.select("doc_id", "text").mapInArrow(_run(net), schema).select(
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, scores in _scored(batches, net):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema).select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
         "score",
