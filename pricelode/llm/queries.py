@@ -12,6 +12,7 @@ from .embeddings import near_vectors
 from .lattice import lattice_scores, sentencepieces
 from .minhash import near_duplicates
 from .mixing import mix
+from .pseudonyms import pseudonymise
 from .sharding import shard_digest
 from .token_counts import token_counts
 from .toxicity import fit, score
@@ -21,6 +22,10 @@ def op1_lattice(spark: SparkSession, sf_dir: str, path: str | None = None) -> Da
     return lattice_scores(documents(spark, sf_dir), sentencepieces(path or public_tokenizer("piece_bpe_32k.model")))
 
 
+def op2_pseudonyms(spark: SparkSession, sf_dir: str, key: str = "a key for tests, not for data") -> DataFrame:
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key)
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -57,5 +62,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice, op4_embeddings, op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_lattice, op2_pseudonyms, op4_embeddings, op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_minhash, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
