@@ -10,6 +10,7 @@ from .common import documents
 from .decontamination import leaks
 from .embeddings import near_vectors
 from .lattice import lattice_scores, sentencepieces
+from .line_dedup import dedupe_lines
 from .minhash import near_duplicates
 from .mixing import mix
 from .pseudonyms import pseudonymise
@@ -26,6 +27,10 @@ def op2_pseudonyms(spark: SparkSession, sf_dir: str, key: str = "a key for tests
     return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -62,5 +67,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice, op2_pseudonyms, op4_embeddings, op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_lattice, op2_pseudonyms, op3_line_dedup, op4_embeddings, op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_minhash, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
