@@ -1,4 +1,376 @@
-"""Queries of the price library over the driver's tables, with the SQL that checks them."""
+"""Queries of the price library over the driver's tables, and the SQL that checks them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import formatting, metrics, normalize
+from ..functions.semantics import half_up
+from ..operators import catalog, curation, export, history, listing, merge, search
+from ..sources import dims, testdata
+from ..sources.writers import upsert
+from ..streaming import ticks as streaming
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+AS_OF = F.lit("2001-08-01").cast("timestamp")
+
+
+def _query(sql: str | None = None, derived: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = (testdata.CTES if derived else "") + sql
+        return f
+
+    return add
+
+
+def _priced(spark: SparkSession, sf: str, country: str | None = "de") -> DataFrame:
+    rows = catalog.join_prices(testdata.products(spark, sf), testdata.prices(spark, sf), country)
+    return rows.withColumn("price", metrics.effective_price(F.col("amazon_price"), F.col("new_price"), F.col("used_price")))
+
+
+_PRICE = "coalesce(nullif(amazon_price, 0), nullif(new_price, 0), nullif(used_price, 0))"
+_NEW = "condition = 'New' and lower(title) not like '%renewed%' and lower(title) not like '%refurbished%'"
+_UNITS = "(values ('hard-drives', 'TB'), ('ssds', 'TB'), ('ram', 'GB'), ('cpu', 'core'), ('tvs', null), ('monitors', null)) c(slug, unit)"
+_UNIT_PRICE = (
+    "floor(price / (capacity * case when capacity_unit = 'TB' then 1000e0 else 1e0 end / case when coalesce(unit, capacity_unit) = 'TB' then 1000e0 else 1e0 end) * 100 + 0.5) / 100"
+)
+
+
+@_query(
+    f"""select id, asin, round((coalesce(price_avg_90, price_avg_30) - coalesce(amazon_price, new_price)) / coalesce(price_avg_90, price_avg_30), 6) as price_drop
+from products join prices on id = product_id where country = 'de' and {_NEW}
+and (coalesce(price_avg_90, 0) > 0 or coalesce(price_avg_30, 0) > 0) and (coalesce(amazon_price, 0) > 0 or coalesce(new_price, 0) > 0)
+order by (coalesce(price_avg_90, price_avg_30) - coalesce(amazon_price, new_price)) / coalesce(price_avg_90, price_avg_30) desc nulls last, id limit 80"""
+)
+def best_deals(spark: SparkSession, sf: str) -> DataFrame:
+    top = listing.best_deals(testdata.products(spark, sf), testdata.prices(spark, sf), "de", 80)
+    return top.select("id", "asin", F.round("drop", 6).alias("price_drop"))
+
+
+@_query(f"select id, country, {_PRICE} as price from products join prices on id = product_id")
+def effective_prices(spark: SparkSession, sf: str) -> DataFrame:
+    return _priced(spark, sf, None).select("id", "country", "price")
+
+
+@_query("select product_id, country, price_type, price from (select *, row_number() over (partition by product_id, country, price_type order by recorded_at desc, price desc) rn from history) x where rn = 1")
+def latest_history(spark: SparkSession, sf: str) -> DataFrame:
+    return history.latest_history(testdata.history(spark, sf)).select("product_id", "country", "price_type", "price")
+
+
+@_query(
+    f"""select p.id, count({_PRICE}) as n_prices, min({_PRICE}) as low, max({_PRICE}) as high from products p left join prices on p.id = product_id group by p.id"""
+)
+def product_price_maps(spark: SparkSession, sf: str) -> DataFrame:
+    price = metrics.effective_price(F.col("amazon_price"), F.col("new_price"), F.col("used_price"))
+    built = catalog.build_products(testdata.products(spark, sf).select("id"), testdata.prices(spark, sf), price)
+    return listing.price_range(built).select("id", F.col("n_prices").cast("long").alias("n_prices"), "low", "high")
+
+
+@_query(f"select id, category, country, price, {_UNIT_PRICE} as unit_price from (select id, category, country, capacity, capacity_unit, {_PRICE} as price from products join prices on id = product_id) x join {_UNITS} on slug = category where price > 0")
+def unit_prices(spark: SparkSession, sf: str) -> DataFrame:
+    tree = F.broadcast(dims.categories(spark).select(F.col("slug").alias("category"), "unit_type"))
+    rows = _priced(spark, sf, None).where("price > 0").join(tree, "category")
+    unit = metrics.price_per_unit(F.col("price"), F.col("capacity"), F.col("capacity_unit"), F.col("unit_type"))
+    return rows.select("id", "category", "country", "price", unit.alias("unit_price"))
+
+
+@_query(
+    f"""select id, category, round(price, 2) as price, {_UNIT_PRICE} as unit_price,
+round(case when coalesce(nullif(price_avg_90, 0), nullif(price_avg_30, 0)) > price then 1 - price / coalesce(nullif(price_avg_90, 0), nullif(price_avg_30, 0)) else 0 end, 6) as savings,
+round(pow(price, case when price > 400 then 1.7 else 1.5 end) * monthly_sold / 15000
+ + case when sales_rank < 100 then 500 when sales_rank < 1000 then 250 when sales_rank < 5000 then 100 when sales_rank < 20000 then 30 else 0 end
+ + case when rating >= 4.5 then 50 else 0 end + case when review_count > 1000 then 50 when review_count > 100 then 20 else 0 end
+ + case when regexp_matches(lower(title), 'oled|mini-led|8k|neo qled') then 3000 when regexp_matches(lower(title), 'qled|pro|ultra') then 1000
+   when category in ('tvs', 'cpu') and regexp_matches(lower(title), 'led|60hz|lcd|ips|1080p|hdtv') then -2000 else 0 end, 3) as score
+from (select *, {_PRICE} as price from products join prices on id = product_id where country = 'de') x join {_UNITS} on slug = category where price > 0"""
+)
+def category_listing(spark: SparkSession, sf: str) -> DataFrame:
+    rows = listing.localized_listing(testdata.products(spark, sf), testdata.prices(spark, sf), dims.categories(spark), "de")
+    return rows.select("id", "category", F.round("price", 2).alias("price"), "unit_price", F.round("savings", 6).alias("savings"), F.round("score", 3).alias("score"))
+
+
+@_query(
+    f"""select id, category, place from (select id, category, row_number() over (partition by category order by coalesce(sales_rank, 10000000), review_count desc nulls last, id) as place
+from products where {_NEW}) x where place <= 15"""
+)
+def top_per_category(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.diverse_popular(testdata.products(spark, sf)).select("id", "category", "place")
+
+
+@_query("select id from products order by coalesce(sales_rank, 10000000), review_count desc, rating desc, id limit 50")
+def most_popular(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.most_popular(testdata.products(spark, sf), 50).select("id")
+
+
+@_query("select id from products order by age_days desc, id limit 60")
+def new_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.new_arrivals(testdata.products(spark, sf), 60, "age_days").select("id")
+
+
+_ANALYSIS = f"""select *, round((current - a) / a * 100, 1) as pa from (
+select h.product_id, h.country, count(*) as points, avg(price) as a, min(price) as low, max(price) as high, max(cur) as current from history h
+join (select product_id as pid, country as c, {_PRICE.replace("coalesce(nullif(amazon_price, 0), nullif(new_price, 0), nullif(used_price, 0))", "nullif(coalesce(amazon_price, new_price), 0)")} as cur from prices) p on pid = h.product_id and c = h.country
+where price_type = 'amazon' and recorded_at > cast('2000-08-01' as timestamp) and recorded_at <= cast('2001-08-01' as timestamp) and cur is not null group by h.product_id, h.country having count(*) >= 2) x"""
+
+
+@_query(
+    f"""select product_id, country, points, low, high, round(floor(a * 100 + 0.5) / 100, 2) as average,
+case when (current - low) / low * 100 <= 5 or (current - a) / a * 100 <= -10 then 'great_deal' when (current - a) / a * 100 <= -5 then 'good_price'
+ when (current - a) / a * 100 <= 5 then 'fair' else 'wait' end as recommendation from ({_ANALYSIS}) y"""
+)
+def price_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    buy = metrics.buyable_price(F.col("amazon_price"), F.col("new_price"))
+    out = history.analyze_prices(testdata.history(spark, sf), testdata.prices(spark, sf), buy, F.lit("2000-08-01").cast("timestamp"), AS_OF)
+    return out.select("product_id", "country", "points", "low", "high", F.round("average", 2).alias("average"), "recommendation")
+
+
+@_query(
+    "select p.id, coalesce(days, 0) as days, coalesce(points, 0) as points from products p left join (select product_id, cast(greatest(1, ceil((epoch(max(recorded_at)) - epoch(min(recorded_at))) / 86400)) as bigint) as days, count(*) as points from history group by product_id) h on p.id = h.product_id"
+)
+def history_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return history.history_coverage(testdata.history(spark, sf), testdata.products(spark, sf))
+
+
+@_query("select count(*) as n_rows, count(distinct product_id) as products, cast(min(recorded_at) as date) as oldest, cast(max(recorded_at) as date) as newest, cast(date_diff('day', cast(min(recorded_at) as date), cast(max(recorded_at) as date)) as bigint) as days from history")
+def history_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return history.history_stats(testdata.history(spark, sf))
+
+
+_ORDER = "recorded_at, l_orderkey, l_linenumber, l_suppkey, price"
+
+
+@_query(f"select product_id, country, price_type, price, old_price from (select *, lag(price) over (partition by product_id, country, price_type order by {_ORDER}) as old_price from history) x where price <> old_price")
+def price_changes(spark: SparkSession, sf: str) -> DataFrame:
+    out = history.price_changes_log(testdata.history(spark, sf), ["recorded_at", "l_orderkey", "l_linenumber", "l_suppkey", "price"])
+    return out.select("product_id", "country", "price_type", "price", "old_price")
+
+
+@_query(
+    """select product_id, country, price_type, price, round(avg(price) over (w range between interval 30 days preceding and current row), 4) as avg30,
+round(avg(price) over (w range between interval 90 days preceding and current row), 4) as avg90,
+min(price) over (w range between unbounded preceding and current row) as low, max(price) over (w range between unbounded preceding and current row) as high
+from history window w as (partition by product_id, country, price_type order by recorded_at)"""
+)
+def rolling_stats(spark: SparkSession, sf: str) -> DataFrame:
+    out = history.rolling_price_stats(testdata.history(spark, sf))
+    return out.select("product_id", "country", "price_type", "price", F.round("avg30", 4).alias("avg30"), F.round("avg90", 4).alias("avg90"), "low", "high")
+
+
+@_query(
+    """select product_id, country, round(case when hi > lo then (price - lo) / (hi - lo) else 0 end, 6) as y from (
+select *, min(price) over (partition by product_id, country) lo, max(price) over (partition by product_id, country) hi, count(*) over (partition by product_id, country) n from history) x where n >= 2"""
+)
+def chart_series(spark: SparkSession, sf: str) -> DataFrame:
+    out = history.chart_series(testdata.history(spark, sf), ["product_id", "country"])
+    return out.select("product_id", "country", F.round("y", 6).alias("y"))
+
+
+@_query(
+    f"""select id, other_id, place from (select a.id, b.id as other_id, row_number() over (partition by a.id order by abs(b.price - a.price), b.id) as place
+from (select id, category, {_PRICE} as price from products join prices on id = product_id where country = 'de') a
+join (select id, category, {_PRICE} as price from products join prices on id = product_id where country = 'de') b on a.category = b.category and a.id <> b.id) x where place <= 4"""
+)
+def similar_products(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.similar_products(_priced(spark, sf)).select("id", "other_id", "place")
+
+
+@_query("select asin, case when r is null then 'insert' when l is null then 'untouched' else 'update' end as status from (select coalesce(a.asin, b.asin) as asin, a.asin as l, b.asin as r from (select asin from products where id % 10 < 7) a full join (select asin from products where id % 10 > 3) b on a.asin = b.asin) x")
+def catalog_diff(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf)
+    return catalog.catalog_diff(p.where("id % 10 < 7"), p.where("id % 10 > 3"))
+
+
+@_query(
+    """select status, count(*) as n from (select case when a.asin is null then 'no_local_product' when b.asin is null then 'no_remote_product' else 'ok' end as status
+from prices left join (select * from products where id % 10 < 7) a on product_id = a.id left join (select * from products where id % 10 > 3) b on a.asin = b.asin) x group by status"""
+)
+def remap_counts(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf)
+    out = catalog.remap_ids(testdata.prices(spark, sf), p.where("id % 10 < 7"), p.where("id % 10 > 3").withColumn("id", F.col("id") + 1_000_000))
+    return out.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@_query("select id from products p left join (select * from prices where country = 'de') x on p.id = x.product_id where last_updated is null or last_updated < cast('2001-05-01' as timestamp)")
+def stale_prices(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.stale_prices(testdata.products(spark, sf), testdata.prices(spark, sf), "de", F.lit("2001-05-01").cast("timestamp")).select("id")
+
+
+@_query(
+    """select coalesce(t.id, u.id) as id, case when u.id is not null then u.brand else t.brand end as brand, case when t.id is null then u.list_price else t.list_price end as list_price
+from (select id, brand, list_price from products where id % 3 <> 0) t full join (select id, brand || '*' as brand, list_price + 1 as list_price from products where id % 2 = 0) u on t.id = u.id"""
+)
+def upserted_products(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf).select("id", "brand", "list_price")
+    new = p.where("id % 2 = 0").select("id", F.concat("brand", F.lit("*")).alias("brand"), (F.col("list_price") + 1).alias("list_price"))
+    return upsert(p.where("id % 3 <> 0"), new, ["id"], ["brand"])
+
+
+@_query("select distinct field, value from (select 'brand' as field, brand as value from products union all select 'category', category from products union all select 'capacity_unit', capacity_unit from products) x")
+def facet_values(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.facet_values(testdata.products(spark, sf), ["brand", "category", "capacity_unit"])
+
+
+@_query(
+    f"""select parent, category, count(*) as n from (select category, {_PRICE} as price from products join prices on id = product_id where country = 'de') x
+join (values ('hard-drives', 'storage'), ('ssds', 'storage'), ('ram', 'hardware-components'), ('cpu', 'hardware-components'), ('tvs', 'tv-audio'), ('monitors', 'computer')) c(slug, parent) on slug = category
+where price > 0 group by rollup(parent, category)"""
+)
+def hub_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.hub_counts(_priced(spark, sf), dims.categories(spark), rollup=True)
+
+
+@_query(
+    f"""select id, badge from (select id, case when u = min(u) over (partition by category) then 'Best Price' when u < 0.85 * avg(u) over (partition by category) then 'Good Deal' end as badge
+from (select id, category, {_UNIT_PRICE} as u from (select *, {_PRICE} as price from products join prices on id = product_id where country = 'de') x join {_UNITS} on slug = category where price > 0) y) z where badge is not null"""
+)
+def unit_badges(spark: SparkSession, sf: str) -> DataFrame:
+    rows = listing.localized_listing(testdata.products(spark, sf), testdata.prices(spark, sf), dims.categories(spark), "de")
+    return listing.unit_badges(rows, "category").where("badge is not null").select("id", "badge")
+
+
+@_query(
+    f"""select id, category, page from (select id, category, cast(floor((row_number() over (partition by category order by price, id) - 1) / 24) + 1 as int) as page
+from (select id, category, {_PRICE} as price from products join prices on id = product_id where country = 'de') x where price > 0) y"""
+)
+def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _priced(spark, sf).where("price > 0")
+    return listing.all_pages(rows, "category", [F.col("price").asc(), F.col("id").asc()]).select("id", "category", "page")
+
+
+@_query(
+    f"""select id, price from (select id, title, category, capacity_unit, {_PRICE} as price from products join prices on id = product_id where country = 'de') x
+where category in ('ssds', 'ram') and price > 0 and price <= 1500 and lower(title) like '%a%' order by price, id limit 24 offset 24"""
+)
+def category_page(spark: SparkSession, sf: str) -> DataFrame:
+    params = listing.FilterParams(search="a", values={"category": ["ssds", "ram"]}, max_price=1500)
+    return listing.paginate(listing.sort_listing(listing.facet_filter(_priced(spark, sf), params), "price"), 2).select("id", "price")
+
+
+@_query(
+    """select id, place from (select *, row_number() over (partition by category order by list_price * monthly_sold desc, id) as place from (
+select *, row_number() over (partition by category, coalesce(parent_asin, asin) order by list_price * monthly_sold desc, id) as a from products) x where a = 1) y where place <= 10"""
+)
+def picks_by_parent(spark: SparkSession, sf: str) -> DataFrame:
+    rows = testdata.products(spark, sf).withColumn("score", F.col("list_price") * F.col("monthly_sold"))
+    return curation.by_parent(rows, curation.Options(per_category=10)).select("id", "place")
+
+
+@_query()
+def home_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return curation.home_sections(testdata.products(spark, sf), testdata.prices(spark, sf), "de", "age_days")
+
+
+@_query(
+    """select id, case when nz.best is null then null else nz.best end as best_price, n as n_offers from (
+select id, min(price) as best, count(*) as n from (select id, list_price as price from products union all select id, list_price * 0.9 from products where id % 2 = 0 union all select id, list_price * 1.1 from products where id % 3 = 0) x group by id) nz"""
+)
+def merged_sources(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf).select("id", "title", "brand", "list_price")
+    src = lambda df, name, f, day: df.select("id", "title", "brand", (F.col("list_price") * f).alias("price"), F.lit(name).alias("source"), F.lit(day).cast("date").alias("last_updated"))
+    parts = [src(p, "paapi", F.lit(1.0), "2001-07-01"), src(p.where("id % 2 = 0"), "static", F.lit(0.9), "2001-07-20"), src(p.where("id % 3 = 0"), "feed", F.lit(1.1), "2001-06-01")]
+    out = merge.merge_sources(parts, ["title", "brand"])
+    return out.select("id", "best_price", F.size("offers").cast("long").alias("n_offers"))
+
+
+@_query(
+    """select product_id, s_name as merchant, price, place from (select *, row_number() over (partition by product_id order by price, s_name) as place from (
+select l_partkey as product_id, s_name, min(floor(l_extendedprice / l_quantity * 100 + 0.5) / 100) as price from lineitem join supplier on l_suppkey = s_suppkey group by l_partkey, s_name) x) y where place <= 3""",
+    derived=False,
+)
+def ranked_offers(spark: SparkSession, sf: str) -> DataFrame:
+    li, su = testdata.table(spark, sf, "lineitem"), testdata.table(spark, sf, "supplier")
+    offers = li.join(su, li["l_suppkey"] == su["s_suppkey"]).groupBy(F.col("l_partkey").alias("product_id"), F.col("s_name").alias("merchant_name")).agg(F.min(half_up(F.col("l_extendedprice") / F.col("l_quantity"), 2)).alias("price"))
+    ranked = listing.rank_offers(offers.withColumn("shipping_cost", F.lit(0.0))).where("place <= 3")
+    return ranked.select("product_id", F.col("merchant_name").alias("merchant"), "price", "place")
+
+
+@_query(
+    """select doc_id, cast(ceil(len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) / 200.0) as bigint) as minutes from documents where text is not null""",
+    derived=False,
+)
+def reading_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+    return testdata.table(spark, sf, "documents").where("text is not null").select("doc_id", F.ceil(words / 200.0).cast("long").alias("minutes"))
+
+
+_SEARCH = ["a b", "pro", "ant al", "ste"]
+
+
+@_query()
+def product_search(spark: SparkSession, sf: str) -> DataFrame:
+    index = search.build_index(testdata.products(spark, sf), ["title", "brand"])
+    words = testdata.products(spark, sf).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", F.lower("brand"), F.substring(F.get(F.split("title", " "), F.lit(1)), 1, 3)).alias("query"))
+    return search.search(index, words).select("query_id", "doc", F.round("score", 6).alias("score"), "place")
+
+
+@_query("select id, title from products where lower(title) like '%red%' or lower(title) like '%brass%' order by id limit 50")
+def title_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search_like(testdata.products(spark, sf), ["red", "brass"], 50).select("id", "title")
+
+
+@_query()
+def product_slugs(spark: SparkSession, sf: str) -> DataFrame:
+    slug = normalize.product_slug(F.col("title"), F.col("brand"), F.col("asin"), F.col("capacity"), F.col("capacity_unit"))
+    return testdata.products(spark, sf).select("id", slug.alias("slug"))
+
+
+@_query("select id, asin as new_asin from products")
+def legacy_redirects(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf).withColumn("slug", F.concat(F.lit("p-"), F.col("id").cast("string")))
+    old = p.select(F.concat("slug", F.lit("-"), F.lower("asin")).alias("slug"))
+    out = catalog.redirect_map(old, p, normalize.asin_from_slug(F.col("slug")))
+    return out.select(F.substring("new_slug", 3, 20).cast("long").alias("id"), F.col("asin").alias("new_asin"))
+
+
+@_query(
+    f"""select id, case when price_avg_90 > price and floor((price_avg_90 - price) / price_avg_90 * 100 + 0.5) <= 80 then floor((price_avg_90 - price) / price_avg_90 * 100 + 0.5) else 0e0 end as discount
+from (select id, price_avg_90, {_PRICE} as price from products join prices on id = product_id where country = 'de') x"""
+)
+def discounts(spark: SparkSession, sf: str) -> DataFrame:
+    return _priced(spark, sf).select("id", F.coalesce(metrics.discount_rate(F.col("price"), F.col("price_avg_90")), F.lit(0.0)).alias("discount"))
+
+
+@_query()
+def formatted_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices in the manner of their country."""
+    return _priced(spark, sf, None).select("id", "country", formatting.format_price(F.col("price"), F.col("country")).alias("text"))
+
+
+@_query(
+    f"""select count(*) as n, count(*) filter (where {_PRICE} is not null) as with_offer from products p left join prices on p.id = product_id and country = 'de'"""
+)
+def structured_data(spark: SparkSession, sf: str) -> DataFrame:
+    price = metrics.effective_price(F.col("amazon_price"), F.col("new_price"), F.col("used_price"))
+    p = testdata.products(spark, sf)
+    built = catalog.build_products(p, testdata.prices(spark, sf).where("country = 'de'"), price)
+    doc = export.product_jsonld(p.join(listing.price_range(built), "id"))
+    return doc.agg(F.count("*").alias("n"), F.count(F.when(F.col("jsonld").contains("AggregateOffer"), 1)).alias("with_offer"))
+
+
+_DUE = """select m.product_id, m.country, t, p, used_price from (select product_id, country, case when amazon_price is not null then 'amazon' else 'new' end as t, coalesce(amazon_price, new_price) as p, used_price from prices) m
+left join (select product_id, country, price_type, max(recorded_at) as last from history where recorded_at <= cast('2001-08-01' as timestamp) group by product_id, country, price_type) l
+on m.product_id = l.product_id and m.country = l.country and m.t = l.price_type where p > 0 and (last is null or last < cast('2001-07-31 01:00:00' as timestamp))"""
+
+
+@_query(f"select product_id, country, t as price_type, p as price from ({_DUE}) d union all select product_id, country, 'used', used_price from ({_DUE}) d where used_price > 0")
+def snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    out = history.snapshot_history(testdata.prices(spark, sf), testdata.history(spark, sf), AS_OF, 23)
+    return out.select("product_id", "country", "price_type", "price")
+
+
+@_query("select user_id as product_id, date_trunc('day', ts) as day, round(min(value), 6) as low, round(max(value), 6) as high from events group by 1, 2", derived=False)
+def daily_price_range(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch form of the stream's daily windows."""
+    t = streaming.as_ticks(testdata.table(spark, sf, "events"))
+    out = streaming.daily_range(t)
+    return out.select("product_id", F.col("day").cast("timestamp_ntz").alias("day"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@_query("select user_id as product_id, max_by(value, (ts, event_id)) as price from events group by user_id", derived=False)
+def latest_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    return streaming.latest(streaming.as_ticks(testdata.table(spark, sf, "events"))).select("product_id", "price")
