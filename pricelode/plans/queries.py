@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formatting, metrics, normalize
@@ -15,7 +15,9 @@ from ..streaming import ticks as streaming
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-AS_OF = F.lit("2001-08-01").cast("timestamp")
+
+def as_of() -> Column:
+    return F.lit("2001-08-01").cast("timestamp")
 
 
 def _query(sql: str | None = None, derived: bool = True):
@@ -125,7 +127,7 @@ case when (current - low) / low * 100 <= 5 or (current - a) / a * 100 <= -10 the
 )
 def price_analysis(spark: SparkSession, sf: str) -> DataFrame:
     buy = metrics.buyable_price(F.col("amazon_price"), F.col("new_price"))
-    out = history.analyze_prices(testdata.history(spark, sf), testdata.prices(spark, sf), buy, F.lit("2000-08-01").cast("timestamp"), AS_OF)
+    out = history.analyze_prices(testdata.history(spark, sf), testdata.prices(spark, sf), buy, F.lit("2000-08-01").cast("timestamp"), as_of())
     return out.select("product_id", "country", "points", "low", "high", F.round("average", 2).alias("average"), "recommendation")
 
 
@@ -359,7 +361,7 @@ on m.product_id = l.product_id and m.country = l.country and m.t = l.price_type
 
 @_query(f"select product_id, country, t as price_type, p as price from ({_DUE}) d union all select product_id, country, 'used', used_price from ({_DUE}) d where used_price > 0")
 def snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    out = history.snapshot_history(testdata.prices(spark, sf), testdata.history(spark, sf), AS_OF, 23)
+    out = history.snapshot_history(testdata.prices(spark, sf), testdata.history(spark, sf), as_of(), 23)
     return out.select("product_id", "country", "price_type", "price")
 
 
