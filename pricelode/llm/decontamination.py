@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 PASSAGE, RANK, EXTRA = 64, 64, 8
-#: A term in more than this share of the passages says nothing and has no weight.
-COMMON = 0.1
+#: A term in more than this share of the passages, and in more than so many, says nothing and has no weight.
+COMMON, COMMON_LEAST = 0.1, 30
 #: Windows are sums of steps of STEP words: for each width in steps, items of up to 2/3 of it.
 STEP, WIDTHS = 8, (3, 6, 12, 24, 48)
 #: Text of the items of one block.
@@ -151,7 +151,8 @@ def gram_product(ids: np.ndarray, at: np.ndarray, weights: np.ndarray, basis: np
     first = np.flatnonzero(np.diff(at, prepend=-1))
     y = np.add.reduceat(weighted[ids], first)
     row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
-    order = np.argsort(ids, kind="stable")
+    # 16-bit numbers are sorted by radix
+    order = np.argsort(ids.astype(np.uint16) if len(basis) <= 65_536 else ids, kind="stable")
     by_term = ids[order]
     begin = np.flatnonzero(np.diff(by_term, prepend=-1))
     out[by_term[begin]] = np.add.reduceat(y[row[order]], begin)
@@ -209,7 +210,7 @@ def fit(docs: DataFrame, items: list[tuple[int, str, str | None]], seed: int = 5
     df = np.bincount([t for i in known for t in set(i.ids)], minlength=n)
     for t, c in counts.items():
         df[t] += c
-    weights = np.where(df <= COMMON * passages, np.log(passages / np.maximum(df, 1)), 0).astype(np.float32)
+    weights = np.where(df <= max(COMMON * passages, COMMON_LEAST), np.log(passages / np.maximum(df, 1)), 0).astype(np.float32)
     if not weights.any():  # a corpus so small that every term is common
         weights = np.ones(n, np.float32)
     basis = np.random.default_rng(seed).standard_normal((n, min(n, RANK + EXTRA))).astype(np.float32)
@@ -260,6 +261,8 @@ class Searcher:
             if len(flat):
                 first = np.flatnonzero(np.diff(at, prepend=-1))
                 sums[at[first]] = np.add.reduceat(self.project[flat], first)
+        upto = np.zeros((total + 1, sums.shape[1]))
+        np.cumsum(sums[:total], axis=0, out=upto[1:], dtype=np.float64)
         owner = np.repeat(np.arange(len(ids)), steps)
         end = starts[1:][owner]
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
@@ -271,9 +274,7 @@ class Searcher:
             begin = np.flatnonzero((local % stride == 0) & ((local == 0) | (local + width - stride < steps_of(steps, owner))))
             for lo in range(0, len(begin), 8192):
                 b = begin[lo : lo + 8192]
-                window = np.zeros((len(b), sums.shape[1]), np.float32)
-                for j in range(width):
-                    window += np.where((b + j < end[b])[:, None], sums[np.minimum(b + j, total)], 0)
+                window = (upto[np.minimum(b + width, end[b])] - upto[b]).astype(np.float32)
                 norm = np.linalg.norm(window, axis=1, keepdims=True)
                 along = window @ self.unit[chosen].T
                 cosines = along / np.maximum(norm, 1e-12)

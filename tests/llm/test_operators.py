@@ -1,0 +1,382 @@
+"""Operators against brute force on small tables with nulls, empty texts, ties,
+repeated rows and extra columns."""
+
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pricelode.llm import decontamination, embeddings, lattice, line_dedup, minhash, mixing, pseudonyms, sharding, token_counts, toxicity
+from pricelode.llm.graph import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, slot int, h int, node int"
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def corpus(n=60, seed=1):
+    random.seed(seed)
+    w = ["alpha", "Beta", "gamma", "delta,", "eps", "zeta", "eta.", "theta", "iota", "kappa"]
+    texts = [" ".join(random.choices(w, k=random.randint(1, 60))) for _ in range(n)]
+    for i in range(0, n - 6, 6):  # exact and near copies
+        texts[i + 1] = texts[i]
+        x = texts[i].split()
+        texts[i + 2] = " ".join([*x[:-1], "changed"]) if len(x) > 30 else texts[i + 2]
+    texts += [None, "", "  \n ", "one", "a" * 5000, "straße É 中文 " * 50]
+    rows = [(i, t, "en", [None, "b", "a", "é"][i % 4], 0, "x", 1, 2, 3) for i, t in enumerate(texts)]
+    return [*rows, rows[3], rows[3]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def tokens(text):
+    return (text or "").encode().translate(LOWER).split()
+
+
+def test_sharding(docs, none):
+    out = sharding.shard_digest(docs, 7).collect()
+    assert len(out) == docs.count()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    want = Counter((i, len((t or "").encode()) + 16, None if t is None else zlib.crc32(t.encode())) for i, t, *_ in corpus())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
+    assert sharding.shard_digest(none).count() == 0
+
+
+def test_matrix_is_uniform():
+    rng, counts = random.Random(3), Counter()
+    for _ in range(20000):
+        counts[sharding.hypergeometric(rng, 10, 4, 5)] += 1
+    for k in range(5):
+        p = math.comb(4, k) * math.comb(6, 5 - k) / math.comb(10, 5)
+        assert abs(counts[k] / 20000 - p) < 0.015
+    rows = list(sharding.communication_matrix([5, 0, 9], [4, 5, 5], 1))
+    assert [sum(r) for r in rows] == [5, 0, 9] and [sum(c) for c in zip(*rows)] == [4, 5, 5]  # noqa: B905
+
+
+def filled_targets(sizes, weights, budget, most):
+    room, full = {k: most * v for k, v in sizes.items()}, set()
+    while True:
+        left = budget - sum(room[k] for k in full)
+        w = sum(weights[k] for k in sizes if k not in full)
+        level = {k: left * weights[k] / w for k in sizes if k not in full}
+        over = {k for k, v in level.items() if v > room[k]}
+        if not over:
+            return {k: room[k] if k in full else level[k] for k in sizes}
+        full |= over
+
+
+def test_mixing(docs, none):
+    rows = mixing.mix(docs).collect()
+    source, size = {}, Counter()
+    for i, t, _, s, *_ in corpus():
+        source[i] = s
+        size[s] += len(tokens(t))
+    order = sorted([s for s in size if s is not None]) + [None]
+    want = filled_targets(dict(size), {s: [3, 1, 2][k % 3] for k, s in enumerate(order)}, 1.5 * sum(size.values()), 2.0)
+    taken = Counter()
+    for r in rows:
+        assert r["target"] == pytest.approx(want[source[r["doc_id"]]]) and 0 <= r["taken"] <= 2 * r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 60 for s in want)
+    assert sorted(rows) == sorted(mixing.mix(docs.repartition(5)).collect())
+    assert mixing.mix_documents(docs).count() == sum(r["copies"] for r in rows)
+    assert mixing.mix_documents(docs).columns == docs.columns and mixing.mix(none).count() == 0
+
+
+def test_budgets_are_nested(docs):
+    small, large = ({(r["doc_id"], r["copies"]) for r in mixing.mix(docs, share=s, weights=(1,), fills=0).collect()} for s in (0.3, 0.8))
+    by = dict(large)
+    assert all(by[i] >= c for i, c in small)
+
+
+def shingles(text, k):
+    w = tokens(text)
+    return frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[i : i + k]) for i in range(len(w) - k + 1)])
+
+
+def components(nodes, links):
+    root = {n: n for n in nodes}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return {n: top(n) for n in nodes}
+
+
+def test_minhash(docs, none):
+    sets = {i: shingles(t, 4) for i, t, *_ in corpus()}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(sets, links)
+    out = minhash.near_duplicates(docs, 4).collect()
+    assert len(out) == docs.count()
+    assert all(r["component_id"] == want[r["doc_id"]] and r["n_shingles"] == len(sets[r["doc_id"]]) for r in out)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
+    kept = minhash.drop_near_duplicates(docs, 4)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_near_copies_without_one_head(spark):
+    """A chain of texts, each near the next only, and one large group around no member."""
+    random.seed(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(30):
+        x = list(base)
+        for j in random.sample(range(60), 2):
+            x[j] = f"n{k}-{j}"
+        rows.append((k, " ".join(x)))
+    sets = {i: shingles(t, 4) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(sets, links)
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert out == want
+
+
+def test_components(spark):
+    random.seed(2)
+    links = [(i, i + 1) for i in range(100, 160)] + [(random.randint(0, 90), random.randint(0, 90)) for _ in range(50)] + [(7, 7)]
+    want = components({x for e in links for x in e}, links)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert all(want[n] == c for n, c in got.items()) and {n for a, b in links if a != b for n in (a, b)} == set(got)
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((12, 16))
+    v = [*base, *(base[i % 12] + 0.05 * rng.standard_normal(16) for i in range(40)), base[0], 3 * base[0]]
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(200, None, 0), (201, [0.0] * 16, 0), (202, [float("nan")] * 16, 0), (203, [None, 1.0], 0), (204, [], 0), (205, [1.0], 0)]
+    x = np.array(v) / np.linalg.norm(v, axis=1)[:, None]
+    near = x @ x.T >= 0.95
+    want = components(range(len(v)), list(zip(*np.nonzero(np.triu(near, 1)), strict=True)))
+    out = {r["vec_id"]: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(out) == len(rows)
+    for i in range(len(v)):
+        assert (out[i]["n_links"], out[i]["component_id"]) == (near[i].sum() - 1, want[i])
+    assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in range(200, 206))
+
+
+def test_windows_on_sorted_lines():
+    plan = embeddings.Plan(1000, 0.95)
+    rng = np.random.default_rng(0)
+    x, y = rng.standard_normal((20, embeddings.LINES)).astype(np.float32), rng.standard_normal((30, embeddings.LINES)).astype(np.float32)
+    plan.least = 20
+    want = (np.abs(x[:, None] - y[None]) <= embeddings.WINDOW).sum(2) >= 20
+    assert (plan.near(x, y) == want).all()
+
+
+def test_lattice_sums_all_segmentations():
+    pieces = [("▁a", -1.0), ("b", -2.0), ("ab", -3.0), ("▁ab", -4.0), ("a", -5.0), ("▁", -6.0)]
+    lat = lattice.Lattice(pieces)
+    p = lat.prior()
+    logp = np.log(p)
+
+    def total(s):
+        if not s:
+            return 1.0
+        spelled = np.prod([p[lat.byte0 + b] for b in s[0].encode()]) * total(s[1:]) if s[0] not in lat.number else 0.0
+        return spelled + sum(p[k] * total(s[len(t) :]) for t, k in lat.number.items() if s.startswith(t))
+
+    texts = ["▁ab", "▁abab", "▁aéb", "▁"]
+    soft = np.zeros(len(p))
+    got = lat.forward(texts, logp, np.ones(4), soft)
+    assert np.allclose(np.exp(got), [total(t) for t in texts])
+    assert p.sum() == pytest.approx(1) and soft.sum() > 4
+
+
+def test_lattice_scores(docs, none):
+    out = lattice.lattice_scores(docs, [("▁", -1.0), ("▁al", -2.0), ("pha", -3.0), ("a", -4.0), ("e", -5.0)]).collect()
+    rows = corpus()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    c = Counter()
+    for i, t, *_ in rows:
+        if not held(i):
+            c.update([*tokens(t), None])
+    n, v = sum(c.values()), len(c)
+    want = Counter()
+    for i, t, *_ in rows:
+        w = [*tokens(t), None]
+        want[(i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6))] += 1
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
+    assert lattice.lattice_scores(none, [("a", 0.0)]).count() == 0
+
+
+def test_pseudonyms(spark, docs):
+    texts = ["4111 1111 1111 1111 and 4111111111111111 not 4111111111111112", "1999-12-31 31.02.2000", "70.1.2.3 999.1.2.3", "DE89370400440532013000", "x", None]
+    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_replaced int")
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(df, "key").collect()}
+    a, b, c = (out[0]["text"].split(" and ")[0], *out[0]["text"].split(" and ")[1].split(" not "))
+    assert a.replace(" ", "") == b != "4111111111111111" and c == "4111111111111112" and len(a) == 19
+    digits = [int(x) for x in reversed(b)]
+    assert sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(digits)) % 10 == 0
+    assert out[1]["text"].endswith(" 31.02.2000") and out[1]["n_replaced"] == 1
+    assert all(0 <= int(x) < 256 for x in out[2]["text"].split()[0].split(".")) and out[2]["n_replaced"] == 1
+    iban = out[3]["text"]
+    assert iban.startswith("DE") and int(iban[4:] + "1314" + iban[2:4]) % 97 == 1
+    assert (out[4]["text"], out[5]["text"], out[4]["n_replaced"]) == ("x", None, 0)
+    assert pseudonyms.pseudonymise(docs, "k").where(~F.col("text").eqNullSafe(F.col("text"))).count() == 0
+
+
+def test_pseudonyms_are_a_permutation(spark):
+    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("t"))
+    assert df.select(pseudonyms.permuted(F.col("t"), F.lit("k"), "x").alias("p")).distinct().count() == 1000
+    days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
+    assert days.select(pseudonyms.pseudonym(F.col("d"), F.lit("k")).alias("p")).distinct().count() == 3000
+
+
+def test_line_dedup(spark, none):
+    random.seed(4)
+    w = ["a", "b", "c", "d", "e", "f"]
+    base = [" ".join(random.choices(w, k=random.randint(8, 12))) for _ in range(15)]
+
+    def edited(x):
+        x = x.split()
+        k, at = random.choice("ird"), random.randrange(len(x))
+        x[at : at + (k != "i")] = [] if k == "d" else ["new"]
+        return " ".join(x)
+
+    texts = ["\n".join(random.choice([random.choice(base), edited(random.choice(base)), "", "short one"]) for _ in range(4)) for _ in range(25)] + [None, "", "\n"]
+    first = {}
+    for i, t in enumerate(texts):
+        for k, line in enumerate((t or "").split("\n")):
+            if line.split():
+                first.setdefault(tuple(line.split()), (i, k))
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < line_dedup.LEAST:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) <= 1  # noqa: B905
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    lines = list(first)
+    part = components(range(len(lines)), [(i, j) for i in range(len(lines)) for j in range(i) if near(lines[i], lines[j])])
+    best = {}
+    for i, line in enumerate(lines):
+        best[part[i]] = min(best.get(part[i], first[line]), first[line])
+    keep = {line: best[part[i]] for i, line in enumerate(lines)}
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedupe_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not x.split() or keep[tuple(x.split())] == (i, k))
+        assert out[i] == want
+    assert line_dedup.dedupe_lines(none).count() == 0
+
+
+def test_decontamination(spark, docs, none):
+    random.seed(9)
+    word = lambda: "".join(random.choices("bcdfgaeiou", k=6))
+    items = [(i, " ".join(word() for _ in range(20)) + ". " + " ".join(word() for _ in range(8)) + ".") for i in range(5)]
+    noise = lambda n: " ".join(word() for _ in range(n))
+    loose = items[2][1].split()
+    loose = " ".join(x if k % 7 else word() for k, x in enumerate(loose))
+    rows = [(0, noise(300)), (1, f"{noise(150)} {items[1][1].upper()} {noise(90)}"), (2, f"{noise(40)} {loose} {noise(5)}"), (3, None), (4, ""), (5, items[0][1])]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.leaks(d, b).collect()) == [(1, 1), (2, 2), (5, 0)]
+    assert sorted(r["doc_id"] for r in decontamination.decontaminate(d, b).collect()) == [0, 3, 4]
+    assert decontamination.decontaminate(docs, b.limit(0)).count() == docs.count()
+    assert decontamination.leaks(none, b).count() == 0
+
+
+def test_common_subsequence():
+    random.seed(1)
+    for _ in range(100):
+        a, b = ([random.randint(0, 4) for _ in range(random.randint(1, 12))] for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert decontamination.common_subsequence(decontamination.masks_of(a), len(a), b) == t[-1][-1]
+
+
+def test_token_counts(spark, docs, none):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    spec = open(path, encoding="utf-8").read()
+    library, t = Tokenizer.from_file(path), token_counts.Transducer(spec)
+    random.seed(3)
+    parts = ["a", "É", "ß", "Σ", "İ", "'s", "'", " ", "\n", "\x1c", "\x85", "　", "é", "1", "Ⅷ", "中", "!", "<|endoftext|>", "😀", "ﬁ", "가", "\x00"]
+    for _ in range(500):
+        s = "".join(random.choices(parts, k=random.randint(0, 40)))
+        k = random.randint(1, 9)
+        maps = [t.state_map(s[i : i + k].encode()) for i in range(0, len(s), k)] or [t.state_map(b"")]
+        want = len(library.encode(s, add_special_tokens=False).ids)
+        assert t.total(token_counts.scan(maps, t.compose)[-1]) == want
+    out = token_counts.token_counts(docs, spec).collect()
+    want = Counter((i, len((x or "").encode()), len(library.encode(x or "", add_special_tokens=False).ids)) for i, x, *_ in corpus())
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in out) == want
+    assert token_counts.token_counts(none, spec).count() == 0
+
+
+def test_long_text_in_chunks(spark, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    text = "The quick étude'll " * 9000
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    out = token_counts.token_counts(df, open(path, encoding="utf-8").read()).collect()
+    assert [r["n_tokens"] for r in out] == [len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)] * 2
+
+
+def test_toxicity(spark, docs, none):
+    random.seed(6)
+    plain = [" ".join(random.choices(["sun", "rain", "tree", "house", "walk", "talk"], k=random.randint(5, 150))) for _ in range(240)]
+    texts = [t + " rotten vermin " + t if i % 3 == 0 else t for i, t in enumerate(plain)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000, None), (1001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)] + [(5000, 1), (None, None)], "doc_id long, toxic int")
+    net = toxicity.fit(df, labels)
+    out = {r["doc_id"]: r for r in toxicity.score(df, net).collect()}
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(out[i]["held_out"] for i in held)
+    assert sum(out[i]["predicted"] == (i % 3 == 0) for i in held) >= 0.95 * len(held)
+    assert out[1000]["score"] == out[1001]["score"] and all(0 <= r["score"] <= 1 for r in out.values())
+    assert toxicity.keep_clean(df, net).count() == sum(r["predicted"] == 0 for r in out.values())
+    assert toxicity.score(docs, net).count() == docs.count() and toxicity.score(none, net).count() == 0
+    one = toxicity.fit(df, labels.where("toxic = 0"))
+    assert toxicity.score(df, one).where("predicted = 1").count() == 0
+
+
+def test_gradients():
+    rng = np.random.default_rng(1)
+    net = toxicity.Net.fresh({f: i for i, f in enumerate({f for w in ("rotten", "tree") for f in toxicity.features(w)})}, rng)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    windows, y = [["rotten", "tree", "sun"], ["tree"]], np.array([1.0, 0.0])
+
+    def loss():
+        s = toxicity.Scorer(net).window_logits([" ".join(w) for w in windows])
+        z = np.array([float(x[0]) for x in s], np.float64)
+        return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
+
+    grads = toxicity._step(net, windows, y)
+    for name in ("w", "v", "A", "Uf", "Wb", "E"):
+        at = np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
+        net.p[name][at] += 0.01
+        up = loss()
+        net.p[name][at] -= 0.02
+        down = loss()
+        net.p[name][at] += 0.01
+        assert (up - down) / 0.02 == pytest.approx(float(grads[name][at]), rel=0.05, abs=1e-3)
