@@ -45,6 +45,6 @@ def spec_table(products: DataFrame, core: dict[str, str], labels: DataFrame, spe
     first = F.array(*[F.struct(F.lit(label).alias("key"), F.col(c).cast("string").alias("value")) for c, label in core.items()])
     rest = F.transform(F.coalesce(F.map_entries(specs), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     rows = products.select("id", F.posexplode(F.concat(first, rest)).alias("place", "e")).select("id", "place", "e.key", filled(F.trim("e.value")).alias("value")).where("value is not null")
-    rows = rows.join(F.broadcast(labels), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    rows = rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     n = F.row_number().over(Window.partitionBy("id", F.lower("label")).orderBy("place"))
     return rows.withColumn("_n", n).where("_n = 1").select("id", "place", "label", "value")

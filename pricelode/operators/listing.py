@@ -137,8 +137,11 @@ def all_pages(df: DataFrame, by: str, order: list[Column], size: int = 24) -> Da
 
 
 def listing_summary(df: DataFrame, filtered: DataFrame, size: int = 24) -> DataFrame:
-    total = df.agg(F.count("*").alias("total"), F.min("last_updated").alias("oldest"))
-    return total.crossJoin(filtered.agg(F.count("*").alias("filtered"), F.ceil(F.count("*") / size).cast("long").alias("pages")))  # one row each
+    """One row: total, oldest, filtered, pages."""
+    total, oldest = df.agg(F.count("*"), F.min("last_updated")).first()
+    left = filtered.count()
+    row = [(total, oldest, left, -(-left // size))]
+    return df.sparkSession.createDataFrame(row, f"total long, oldest {df.schema['last_updated'].dataType.simpleString()}, filtered long, pages long")
 
 
 def facet_values(df: DataFrame, fields: list[str]) -> DataFrame:

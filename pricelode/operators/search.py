@@ -30,15 +30,15 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).where(F.length("term") >= SHORTEST)
     n_terms = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    stats = index.select("doc", "length").distinct().agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    n_docs, mean = index.select("doc", "length").distinct().agg(F.count("*"), F.avg("length")).first()
     grams = F.sequence(F.lit(SHORTEST), F.least(F.length("token"), F.lit(LONGEST)))
     edges = index.where(F.length("token") >= SHORTEST).select("*", F.explode(grams).alias("n")).withColumn("gram", F.col("token").substr(F.lit(1), F.col("n")))
     hits = edges.join(terms.withColumn("gram", F.col("term").substr(1, LONGEST)), "gram").where(F.col("token").startswith(F.col("term")))
     found = hits.groupBy("query_id", "term", "doc", "length").agg(F.sum("tf").alias("tf"))
     df = found.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    rows = found.join(df, ["query_id", "term"]).crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    rows = found.join(df, ["query_id", "term"])
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean or 1.0)))
     scored = rows.groupBy("query_id", "doc").agg(F.sum(part).alias("score"), F.count("*").alias("terms")).join(n_terms, "query_id").where("terms = n_terms")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc"))
     return scored.withColumn("place", place).where(F.col("place") <= k).select("query_id", "doc", "score", "place")

@@ -101,7 +101,7 @@ def enrich(products: DataFrame, feed: DataFrame, most: int = 500) -> DataFrame:
 def deploy(local: DataFrame, remote: DataFrame, children: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The remote products after the local ones went over, and each child table under
     remote ids (rows that can't be mapped keep a status)."""
-    top = F.coalesce(remote.agg(F.max("id")).first()[0], F.lit(0)) if remote.isEmpty() else F.lit(remote.agg(F.max("id")).first()[0])
+    top = remote.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     known = local.join(remote.select("asin", F.col("id").alias("remote_id")), "asin", "left").withColumn("id", F.coalesce("remote_id", F.col("id") + top)).drop("remote_id")
     after = upsert(remote, known.select(remote.columns), ["asin"], [c for c in remote.columns if c not in ("asin", "id")])
     return after, {name: catalog.remap_ids(df, local, after) for name, df in children.items()}

@@ -11,6 +11,7 @@ from ..operators import catalog, curation, export, history, listing, merge, sear
 from ..sources import dims, testdata
 from ..sources.writers import upsert
 from ..streaming import ticks as streaming
+from . import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -376,3 +377,126 @@ def daily_price_range(spark: SparkSession, sf: str) -> DataFrame:
 @_query("select user_id as product_id, max_by(value, (ts, event_id)) as price from events group by user_id", derived=False)
 def latest_ticks(spark: SparkSession, sf: str) -> DataFrame:
     return streaming.latest(streaming.as_ticks(testdata.table(spark, sf, "events"))).select("product_id", "price")
+
+
+@_query("select product_id, country, nullif(coalesce(amazon_price, new_price), 0) as price, case when amazon_price is not null then 'amazon' else 'new' end as price_type from prices where nullif(coalesce(amazon_price, new_price), 0) is not null")
+def buyable_prices(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.prices(spark, sf).withColumn("price", metrics.buyable_price(F.col("amazon_price"), F.col("new_price"))).where("price is not null")
+    return p.select("product_id", "country", "price", metrics.buyable_type(F.col("amazon_price")).alias("price_type"))
+
+
+@_query("select p.id, coalesce(least(n, 100), 0) as points from products p left join (select product_id, count(*) as n from history where recorded_at >= cast('2000-01-01' as timestamp) group by product_id) h on p.id = product_id")
+def product_details(spark: SparkSession, sf: str) -> DataFrame:
+    out = catalog.product_detail(testdata.products(spark, sf), testdata.history(spark, sf), F.lit("2000-01-01").cast("timestamp"))
+    return out.select("id", F.coalesce(F.greatest(F.size("price_history"), F.lit(0)), F.lit(0)).cast("long").alias("points"))
+
+
+@_query("select asin, id % 4 <> 0 as is_new from products")
+def new_and_known(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf)
+    return catalog.split_new_existing(p.select("asin"), p.where("id % 4 = 0")).select("asin", "is_new")
+
+
+@_query(f"select id, brand from products where lower(brand) = 'brand#2' or brand in (select max(brand) from products) or ({_NEW} and id % 10 = 0)")
+def brand_and_new(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf)
+    top = p.agg(F.max("brand")).first()[0]
+    found = listing.by_brand(p, top).select("id", "brand").union(listing.by_brand(p, "BRAND#2").select("id", "brand")).union(listing.only_new(p).where("id % 10 = 0").select("id", "brand"))
+    return found.distinct()
+
+
+_LISTED = f"(select id, brand, category, price, {_UNIT_PRICE} as unit_price from (select *, {_PRICE} as price from products join prices on id = product_id where country = 'de') x join {_UNITS} on slug = category where price > 0) y"
+
+
+@_query(f"select id from {_LISTED} order by unit_price is null, coalesce(unit_price, price), id limit 40")
+def hub_deals(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.hub_deals(listing.localized_listing(testdata.products(spark, sf), testdata.prices(spark, sf), dims.categories(spark), "de"), 40).select("id")
+
+
+@_query(f"select id from {_LISTED} where category = 'ssds' and unit_price is not null order by unit_price, id limit 3")
+def quick_picks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = listing.localized_listing(testdata.products(spark, sf), testdata.prices(spark, sf), dims.categories(spark), "de", "ssds")
+    return listing.quick_picks(rows).select("id")
+
+
+@_query(
+    f"""select id, category, place from (select id, category, row_number() over (partition by category order by n desc, lower(brand), brand, id) as place
+from products join (select product_id, count({_PRICE}) as n from prices group by product_id) c on id = product_id where n > 0) x where place <= 10"""
+)
+def hub_bestsellers(spark: SparkSession, sf: str) -> DataFrame:
+    price = metrics.effective_price(F.col("amazon_price"), F.col("new_price"), F.col("used_price"))
+    built = catalog.build_products(testdata.products(spark, sf), testdata.prices(spark, sf), price).withColumn("n_countries", F.size("prices_by_country")).where("n_countries > 0")
+    return listing.hub_bestsellers(built, 10, "category").select("id", "category", "place")
+
+
+@_query("select id, case when id % 2 = 0 then 'static' else 'paapi' end as source from products where id % 6 <> 1")
+def first_available(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf).where("id % 6 <> 1").select("id", "title")
+    src = lambda df, name: df.withColumn("source", F.lit(name))
+    return merge.first_available([src(p.where("id % 2 = 0"), "static"), src(p, "paapi")]).select("id", "source")
+
+
+@_query("select asin from (select asin, min(case when sales_rank is not null and sales_rank <= 5000 then 0 else 1 end) as l, min(case when sales_rank <= 5000 then sales_rank else id end) as place from products where sales_rank <= 5000 or id % 3 = 0 group by asin) x order by l, place, asin limit 200")
+def discovery_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf)
+    best = p.where("sales_rank <= 5000").select("asin", F.col("sales_rank").cast("long").alias("place"))
+    return ingest.discovery_candidates(best, p.where("id % 3 = 0").select("asin", F.col("id").alias("place")), 200)
+
+
+@_query("select id, trim(string_split_regex(title, ' - | \\(| \\||, ')[1]) as title, case when title like '%Renewed%' then 'Used' else 'New' end as condition, cast(regexp_extract(title, '([0-9]+)\\s?(GB|TB)', 1) as double) as capacity from products")
+def display_titles(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("title")
+    got = normalize.extract_capacity(t, F.lit("TB"))["capacity"]
+    return testdata.products(spark, sf).select("id", normalize.display_title(t, F.lit(None).cast("string")).alias("title"), normalize.condition_of(t, F.col("condition")).alias("condition"), got.alias("capacity"))
+
+
+@_query(
+    """select 'https://x/p/' || asin as url, 0.8 as priority from products union all select 'https://x/c/' || category, 0.9 from (select distinct category from products) c"""
+)
+def sitemap(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf).withColumn("slug", F.col("asin")).withColumn("updated_at", as_of())
+    tree = p.select(F.col("category").alias("slug")).distinct().withColumn("hidden", F.lit(False))
+    return export.sitemap("https://x", p, tree, None, ["de", "en"]).select("url", F.col("priority").cast("decimal(2,1)").alias("priority"))
+
+
+@_query(
+    """select p.product_id, p.country, x.list_price as price from prices p join products x on x.id = p.product_id
+where p.country = 'de' and p.last_updated < cast('2001-07-31 13:00:00' as timestamp) and nullif(coalesce(p.amazon_price, p.new_price), 0) <> x.list_price and x.list_price > 0"""
+)
+def price_update_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """History rows of an update run whose feed sells everything at list price."""
+    p, prices = testdata.products(spark, sf), testdata.prices(spark, sf)
+    none = F.lit(None).cast("double")
+    feed = p.select("asin", F.col("list_price").alias("amazon_price"), none.alias("new_price"), none.alias("used_price"))
+    _, added = ingest.update_prices(p, prices, feed, "de", as_of())
+    return added.select("product_id", "country", "price")
+
+
+@_query("select category, count(*) as n from products where id % 4 <> 0 group by category")
+def import_summary(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf)
+    new = catalog.split_new_existing(p, p.where("id % 4 = 0")).where("is_new")
+    return new.groupBy("category").agg(F.count("*").alias("n"))
+
+
+@_query("select id, case when id % 3 = 0 then 'Shop' else 'Amazon' end as merchant from products")
+def offers_or_default(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf).withColumn("price", F.col("list_price"))
+    offers = p.where("id % 3 = 0").select(F.col("id").alias("product_id"), F.lit("Shop").alias("merchant_name"), "price", F.lit(1.0).alias("shipping_cost"))
+    return catalog.offers_or_default(p, offers).select("id", F.get("offers", F.lit(0))["merchant_name"].alias("merchant"))
+
+
+@_query("select count(*) as n, min(ts) as first from (select distinct event_id, ts from events) x", derived=False)
+def distinct_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    t = streaming.dedupe_ticks(streaming.as_ticks(testdata.table(spark, sf, "events")))
+    return t.agg(F.count("*").alias("n"), F.min("ts").cast("timestamp_ntz").alias("first"))
+
+
+@_query(
+    """select product_id, until, round(avg(price), 6) as average from (select user_id as product_id, value as price, unnest(generate_series(date_trunc('day', ts) + interval 1 day, date_trunc('day', ts) + interval 7 day, interval 1 day)) as until from events) x group by 1, 2""",
+    derived=False,
+)
+def weekly_averages(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch form of the stream's sliding windows, seven days long."""
+    t = streaming.as_ticks(testdata.table(spark, sf, "events"))
+    return streaming.sliding_average(t, 7).select("product_id", F.col("until").cast("timestamp_ntz").alias("until"), F.round("average", 6).alias("average"))
