@@ -68,4 +68,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lattice, op2_pseudonyms, op3_line_dedup, op4_embeddings, op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_minhash, op10_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+#: Everything reachable by links from a vertex, the vertex included.
+_REACHED = """reached(a, b) as (select id, id from vertices union select r.a, l.v from reached r join links l on r.b = l.u),
+components as (select a as id, min(b) as component_id from reached group by a)"""
+
+_EMBEDDINGS = f"""with recursive vectors as (select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+sound as (select * from vectors where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+vertices as (select id from vectors),
+links as (select a.id as u, b.id as v from sound a join sound b on a.id <> b.id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+{_REACHED},
+counted as (select u as id, count(*) as n from links group by u)
+select c.id as vec_id, coalesce(n, 0) as n_links, component_id, c.id = component_id as kept from components c left join counted on c.id = counted.id"""
+
+_MINHASH = f"""with recursive words as (
+  select doc_id as id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (
+  select id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from words),
+vertices as (select id from sets),
+shingles as (select id, len(s) as n, unnest(s) as x from sets),
+pairs as (select a.id as u, b.id as v, a.n as n, b.n as m, count(*) as k from shingles a join shingles b on a.x = b.x and a.id <> b.id group by all),
+links as (select u, v from pairs where 100 * k >= 80 * (n + m - k)),
+{_REACHED}
+select s.id as doc_id, len(s) as n_shingles, component_id, s.id = component_id as kept from sets s join components c on s.id = c.id"""
+
+ORACLE_SQL: dict[str, str] = {"op4_embeddings": _EMBEDDINGS, "op9_minhash": _MINHASH}

@@ -96,9 +96,7 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 20, shard: str = "shard",
     spark = df.sparkSession
     kept = [c for c in df.columns if c.lower() not in (shard.lower(), slot.lower())]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-    if spark.sparkContext.defaultParallelism * 64 > MAX_BLOCKS or rows.rdd.getNumPartitions() > MAX_BLOCKS:
-        rows = rows.coalesce(MAX_BLOCKS)
-    mixed = rows.sortWithinPartitions(F.xxhash64(F.lit(seed), F.to_json(F.col("row"))))
+    mixed = rows.coalesce(MAX_BLOCKS).sortWithinPartitions(F.xxhash64(F.lit(seed), F.to_json(F.col("row"))))
     at = F.monotonically_increasing_id()
     local = cut(
         mixed.select("row", at.alias("at")).select(
