@@ -222,3 +222,24 @@ def similar_products(rows: DataFrame, k: int = 4) -> DataFrame:
     pairs = pairs.select("id", F.abs(F.col("p.price") - F.col("price")).alias("distance"), F.explode("p.ids").alias("other_id")).where("id <> other_id")
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other_id"))
     return pairs.withColumn("place", place).where(F.col("place") <= k)
+
+
+LITE = ["id", "asin", "slug", "title", "brand", "category", "image_url", "price", "unit_price", "savings", "rating", "review_count", "condition"]
+
+
+def lite(df: DataFrame, columns: list[str] = LITE) -> DataFrame:
+    """The columns that a list shows; others are never read."""
+    return df.select(*[c for c in columns if c in df.columns])
+
+
+def with_price(df: DataFrame) -> DataFrame:
+    return df.where(F.coalesce("price", F.lit(0.0)) > 0)
+
+
+def hub_new(rows: DataFrame, k: int, created: str = "created_at") -> DataFrame:
+    return new_arrivals(with_price(rows), k, created)
+
+
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n for each table."""
+    return reduce(DataFrame.union, [t.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, t in tables.items()])

@@ -91,10 +91,14 @@ def update_prices(products: DataFrame, prices: DataFrame, feed: DataFrame, count
     return upsert(prices, new.select("product_id", "country", *cols, as_of.alias("last_updated")), ["product_id", "country"]), added
 
 
+def enrichment_candidates(products: DataFrame, most: int = 500) -> DataFrame:
+    """Products whose history isn't seeded, unranked ones first, then by rank."""
+    return products.where(~F.coalesce("history_seeded", F.lit(False))).orderBy(F.asc_nulls_first("sales_rank"), "id").limit(most)
+
+
 def enrich(products: DataFrame, feed: DataFrame, most: int = 500) -> DataFrame:
     """Products after the first `most` not yet seeded, best rank first, are matched."""
-    todo = products.where(~F.coalesce("history_seeded", F.lit(False))).orderBy(F.asc_nulls_first("sales_rank"), "id").limit(most)
-    new = feed.join(todo.select("asin"), "asin", "left_semi").select("asin", "price_avg_90", "sales_rank", F.lit(True).alias("history_seeded"))
+    new = feed.join(enrichment_candidates(products, most).select("asin"), "asin", "left_semi").select("asin", "price_avg_90", "sales_rank", F.lit(True).alias("history_seeded"))
     return upsert(products, new.select(*[c for c in new.columns if c in products.columns]), ["asin"])
 
 

@@ -500,3 +500,27 @@ def weekly_averages(spark: SparkSession, sf: str) -> DataFrame:
     """The batch form of the stream's sliding windows, seven days long."""
     t = streaming.as_ticks(testdata.table(spark, sf, "events"))
     return streaming.sliding_average(t, 7).select("product_id", F.col("until").cast("timestamp_ntz").alias("until"), F.round("average", 6).alias("average"))
+
+
+@_query("select 'products' as name, count(*) as n from products union all select 'prices', count(*) from prices union all select 'history', count(*) from history")
+def table_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.counts({"products": testdata.products(spark, sf), "prices": testdata.prices(spark, sf), "history": testdata.history(spark, sf)})
+
+
+@_query(f"select id, price from {_LISTED} order by price desc, id limit 30")
+def dearest_lite(spark: SparkSession, sf: str) -> DataFrame:
+    rows = listing.localized_listing(testdata.products(spark, sf), testdata.prices(spark, sf), dims.categories(spark), "de")
+    return listing.lite(listing.sort_listing(rows, "price", True).limit(30), ["id", "price"])
+
+
+@_query("select id from products where id % 2 = 0 order by sales_rank nulls first, id limit 500")
+def enrichment_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.enrichment_candidates(testdata.products(spark, sf).withColumn("history_seeded", F.when(F.col("id") % 2 == 1, True))).select("id")
+
+
+@_query("select id, case when id % 2 = 0 then list_price else null end as price_avg_90, coalesce(id % 2 = 0, false) as seeded from products")
+def enriched_products(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf).select("id", "asin", "sales_rank", "list_price").withColumn("price_avg_90", F.lit(None).cast("double")).withColumn("history_seeded", F.lit(None).cast("boolean"))
+    feed = p.where("id % 2 = 0").select("asin", F.col("list_price").alias("price_avg_90"), "sales_rank")
+    out = ingest.enrich(p, feed, 10_000_000)
+    return out.select("id", "price_avg_90", F.coalesce("history_seeded", F.lit(False)).alias("seeded"))
