@@ -113,7 +113,7 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("place.at", "h")).alias("wanted"))
     )
     near = cut(
-        named.dropDuplicates(_DOC).join(wanted.alias("t"), (F.col("t.doc_hash") == named["doc_hash"]) & F.col("t.doc_id").eqNullSafe(named["doc_id"]))
+        named.alias("d").join(wanted.alias("t"), (F.col("t.doc_hash") == F.col("d.doc_hash")) & F.col("t.doc_id").eqNullSafe(F.col("d.doc_id")))
         .select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
         .select(F.col("x.h").alias("line"), _words(F.get("all", F.col("x.at"))).alias("w"))
         .dropDuplicates(["line"])
