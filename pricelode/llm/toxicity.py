@@ -9,7 +9,7 @@ scored, and the highest score counts, as one toxic passage makes a text toxic.
 
 The network is trained here with numpy, on a bounded sample of labelled rows: at most
 `toxic` documents of label 1 and `clean` of label 0, of at most `max_chars` characters, in the order
-of a hash of their ids. A label holds for a text, not for its windows; so training
+of a hash of their ids (a chosen row without a text that fits is not replaced). A label holds for a text, not for its windows; so training
 takes, of each toxic text, the window that looks most toxic, first by log odds of its
 features and then by the network itself, and of each clean text random windows and the
 ones that the network finds worst. Scoring reads whole texts and everything.
@@ -18,9 +18,9 @@ ones that the network finds worst. Scoring reads whole texts and everything.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -252,6 +252,21 @@ def _step(net: Net, windows: list[list[str]], y: np.ndarray) -> dict[str, np.nda
     return grads
 
 
+def _telling(split: list[list[str]], labels: list[int], q: float) -> tuple[dict[str, int], dict[str, float]]:
+    """Numbers and log odds of the features that tell the labels apart. Counts are kept
+    by hash in arrays, as there are many more features than those that are named."""
+    hashes = [np.unique(np.fromiter((hash(f) for w in set(s) for f in features(w)), np.int64)) for s in split]
+    total, n = np.unique(np.concatenate(hashes), return_counts=True)
+    toxic = np.bincount(np.searchsorted(total, np.concatenate([h for h, label in zip(hashes, labels, strict=True) if label])), minlength=len(total))
+    del hashes
+    far = (n >= LEAST) & (np.abs(toxic - q * n) >= DEVIATIONS * np.sqrt(n * q * (1 - q)))
+    ones, zeros = sum(labels), len(labels) - sum(labels)
+    value = np.log((toxic[far] + 0.5) / (ones + 1)) - np.log((n[far] - toxic[far] + 0.5) / (zeros + 1))
+    by_hash = dict(zip(total[far].tolist(), value.tolist(), strict=True))
+    odds = {f: by_hash[hash(f)] for s in split for w in set(s) for f in features(w) if hash(f) in by_hash}
+    return {f: i for i, f in enumerate(sorted(odds))}, odds
+
+
 def train(texts: list[str], labels: list[int], seed: int = 8, rounds: int = 3, epochs: int = 2, batch: int = 128, rate: float = 0.02) -> Net:
     """A network fitted to the texts; one that gives the share of label 1 to every
     text if there is only one label."""
@@ -260,13 +275,8 @@ def train(texts: list[str], labels: list[int], seed: int = 8, rounds: int = 3, e
     if not len(y) or y.min() == y.max():
         return Net({}, {}, float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    seen: list[Counter] = [Counter(), Counter()]
-    for s, label in zip(split, labels, strict=True):
-        seen[label].update({f for w in set(s) for f in features(w)})
     q = float(y.mean())
-    far = lambda f, n: n >= LEAST and abs(seen[1][f] - q * n) >= DEVIATIONS * math.sqrt(n * q * (1 - q))
-    index = {f: i for i, f in enumerate(sorted(f for f, n in (seen[0] + seen[1]).items() if far(f, n)))}
-    odds = {f: math.log((seen[1][f] + 0.5) / (y.sum() + 1)) - math.log((seen[0][f] + 0.5) / (len(y) - y.sum() + 1)) for f in index}
+    index, odds = _telling(split, labels, q)
     net = Net.fresh(index, rng)
     value: dict[str, float] = {}
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
@@ -308,12 +318,16 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int = 2400
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(
         "toxic in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2"
     )
-    texts = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(rows, "doc_id")
-    sample = [
-        r
-        for label, most in ((1, toxic), (0, clean))
-        for r in texts.where(F.col("toxic") == label).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "text").limit(most).collect()
-    ]
+    # at most toxic + clean ids: they are sent to the tasks that read the texts, and no text is shuffled
+    ids = reduce(
+        DataFrame.unionByName,
+        (rows.where(F.col("toxic") == label).distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most) for label, most in ((1, toxic), (0, clean))),
+    )
+    sample = (
+        docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+        .orderBy(F.desc("toxic"), F.xxhash64(F.lit(seed), "doc_id"), "doc_id").collect()
+    )
     return train([r["text"] for r in sample], [r["toxic"] for r in sample], seed)
 
 
