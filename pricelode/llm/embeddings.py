@@ -22,7 +22,6 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,6 +33,8 @@ from .graph import connected_components
 MISS_TABLES, MISS_COUNT = 0.002, 0.0001
 #: Width of a cell, half width of a window, lines that are counted, vectors of a block.
 CELL, WINDOW, LINES, BLOCK = 2.0, 0.5, 48, 512
+#: Groups of up to so many are compared many groups at once.
+SMALL = 32
 
 
 def _within(d: float, w: float) -> float:
@@ -58,26 +59,49 @@ class Plan:
         while (miss := miss + math.comb(LINES, self.least) * p**self.least * (1 - p) ** (LINES - self.least)) <= MISS_COUNT:
             self.least += 1
 
+        self._drawn: dict[int, tuple] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_drawn": {}}
+
+    def drawn(self, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tables' lines and offsets, and the lines that are counted, for vectors of this length."""
+        if dim not in self._drawn:
+            rng = np.random.default_rng((self.seed, dim))
+            n = self.tables * self.lines
+            self._drawn[dim] = rng.standard_normal((dim, n)), rng.uniform(0, CELL, n), rng.standard_normal((dim, LINES))
+        return self._drawn[dim]
+
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """vectors x tables: a hash of each table's cell."""
         n, dim = unit.shape
-        rng = np.random.default_rng((self.seed, dim))
+        lines, offsets, _ = self.drawn(dim)
         out = np.full((n, self.tables), np.uint64(dim))
-        for t in range(self.tables):
-            at = unit @ rng.standard_normal((dim, self.lines)) + rng.uniform(0, CELL, self.lines)
-            for c in np.floor(at / CELL).astype(np.int64).T:
-                out[:, t] = (out[:, t] ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                out[:, t] ^= out[:, t] >> np.uint64(29)
+        for lo in range(0, n, 2048):
+            cells = np.floor((unit[lo : lo + 2048] @ lines + offsets) / CELL).astype(np.int64).view(np.uint64).reshape(-1, self.tables, self.lines)
+            part = out[lo : lo + 2048]
+            for j in range(self.lines):
+                part[:] = (part ^ cells[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+                part ^= part >> np.uint64(29)
         return out.view(np.int64)
 
-    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """len(a) x len(b): which pairs collide on enough lines."""
-        lines = np.random.default_rng((self.seed, a.shape[1], 1)).standard_normal((a.shape[1], LINES))
-        x, y = (a @ lines).astype(np.float32), (b @ lines).astype(np.float32)
-        count = np.zeros((len(a), len(b)), np.uint8)
+    def sorted_lines(self, unit: np.ndarray) -> np.ndarray:
+        return (unit @ self.drawn(unit.shape[1])[2]).astype(np.float32)
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """len(x) x len(y): which pairs collide on enough lines; x, y: places on the lines.
+        On each line y is sorted, and the window around each of x is a range of it."""
+        count = np.zeros((len(x), len(y) + 1), np.int16)
+        total = np.zeros((len(x), len(y)), np.int16)
+        rows = np.arange(len(x))
         for j in range(LINES):
-            count += np.abs(x[:, j, None] - y[None, :, j]) <= WINDOW
-        return count >= self.least
+            order = np.argsort(y[:, j])
+            lo, hi = np.searchsorted(y[order, j], x[:, j] - WINDOW, "left"), np.searchsorted(y[order, j], x[:, j] + WINDOW, "right")
+            count[:] = 0
+            count[rows, lo] += 1
+            count[rows, hi] -= 1
+            total[:, order] += np.cumsum(count[:, :-1], axis=1, dtype=np.int16)
+        return total >= self.least
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -85,28 +109,48 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _compare(plan: Plan, table: int, rows: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
-    """(node, another node of its component, linked vectors) for the nodes of two blocks
-    (or one with itself) that have links. A pair counts in the first table only in
-    which it shares a cell."""
-    unit = _unit(np.array(rows["v"].tolist(), np.float64))
-    node, copies, own = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["own"].to_numpy()
-    a = np.flatnonzero(own == own.min())
-    b = np.flatnonzero(own == own.max())
-    keys = plan.keys(unit)[:, :table] if table else None
-    i, j = np.nonzero(plan.near(unit[a], unit[b]))
-    i, j = a[i], b[j]
-    if own.min() == own.max():
-        i, j = i[i < j], j[i < j]
-    if table:
-        first = ~(keys[i] == keys[j]).any(1)
-        i, j = i[first], j[first]
-    good = np.einsum("ij,ij->i", unit[i], unit[j]) >= plan.threshold
+def _linked(plan: Plan, rows: dict[str, np.ndarray], bounds: np.ndarray) -> list[tuple[int, int, int]]:
+    """(node, another node of its component, linked vectors) for the rows that have
+    links within their groups. rows: t, node, copies, own, v; bounds: where groups
+    begin, and the end. A pair counts in the first table only in which it shares a cell."""
+    unit = _unit(rows["v"])
+    line = plan.sorted_lines(unit)
+    size, own = np.diff(bounds), rows["own"]
+    i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+        a, b = np.triu_indices(n, 1)
+        first = bounds[:-1][size == n][:, None]
+        i.append((first + a).ravel())
+        j.append((first + b).ravel())
+    i, j = np.concatenate(i), np.concatenate(j)
+    # of two different blocks only pairs across count
+    mixed = np.repeat(np.minimum.reduceat(own, bounds[:-1]) != np.maximum.reduceat(own, bounds[:-1]), size) if len(own) else np.empty(0, bool)
+    keep = ~mixed[i] | (own[i] != own[j])
+    i, j = i[keep], j[keep]
+    near = [((np.abs(line[i[lo : lo + 100_000]] - line[j[lo : lo + 100_000]]) <= WINDOW).sum(1) >= plan.least) for lo in range(0, len(i), 100_000)]
+    near = np.concatenate(near) if near else np.empty(0, bool)
+    i, j = [i[near]], [j[near]]
+    for g in np.flatnonzero(size > SMALL).tolist():
+        at = np.arange(bounds[g], bounds[g + 1])
+        a, b = (at[own[at] == own[at].min()], at[own[at] == own[at].max()]) if mixed[at[0]] else (at, at)
+        x, y = np.nonzero(plan.near(line[a], line[b]))
+        x, y = a[x], b[y]
+        once = slice(None) if mixed[at[0]] else x < y
+        i.append(x[once])
+        j.append(y[once])
+    i, j = np.concatenate(i), np.concatenate(j)
+    good = np.concatenate([np.einsum("ij,ij->i", unit[i[lo : lo + 50_000]], unit[j[lo : lo + 50_000]]) >= plan.threshold for lo in range(0, len(i), 50_000)] or [np.empty(0, bool)])
     i, j = i[good], j[good]
     if not len(i):
-        return
-    links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
-    root = list(range(len(node)))
+        return []
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    keys, ki, kj = plan.keys(unit[used]), at[: len(i)], at[len(i) :]
+    new = np.ones(len(i), bool)
+    for t in range(int(rows["t"][i].max())):
+        new &= ~((keys[ki, t] == keys[kj, t]) & (rows["t"][i] > t))
+    i, j = i[new], j[new]
+    links = np.bincount(i, rows["copies"][j], len(own)) + np.bincount(j, rows["copies"][i], len(own))
+    root = list(range(len(own)))
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -117,8 +161,8 @@ def _compare(plan: Plan, table: int, rows: pd.DataFrame) -> Iterator[tuple[int,
         x, y = top(x), top(y)
         if x != y:
             root[max(x, y)] = min(x, y)
-    for x in np.flatnonzero(links).tolist():
-        yield int(node[x]), int(node[top(x)]), int(links[x])
+    node = rows["node"]
+    return [(int(node[x]), int(node[top(x)]), int(links[x])) for x in np.flatnonzero(links).tolist()]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -164,14 +208,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_column: str = "
         keys.join(sizes, ["t", "key"])
         .withColumn("own", F.pmod(F.xxhash64("node", "t"), F.col("blocks")).cast("int")).withColumn("other", other)
         .select("t", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "own")
-        .join(classes.select("node", "copies", "v"), "node")
+        .join(classes.select("node", "copies", "v"), "node").select("t", "key", "p", "q", "node", "own", "copies", "v")
         .repartition("t", "key", "p", "q").sortWithinPartitions("t", "key", "p", "q", "node")
     )
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (t, _, p, q), group in _runs(batches, ["t", "key", "p", "q"]):
-            if len(group) > 1 and (p == q or group["own"].nunique() == 2):
-                found = list(_compare(plan, t, group))
+        for table, bounds in _whole_groups(batches, 4):
+            rows = {c: table.column(c).to_numpy() for c in ("t", "node", "copies", "own")}
+            v = table.column("v").combine_chunks()
+            dims = np.diff(v.offsets.to_numpy())
+            cut_at = np.concatenate([[0], np.flatnonzero(np.diff(dims)) + 1, [len(dims)]])
+            for lo, hi in zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True):
+                part = {c: x[lo:hi] for c, x in rows.items()} | {"v": v.slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1)}
+                inside = bounds[(bounds >= lo) & (bounds <= hi)] - lo
+                found = _linked(plan, part, inside)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v", "links"])
 
@@ -193,23 +243,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_column: str = "
     )
 
 
-def _runs(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """The groups of sorted batches; a group may go over batches."""
-    held: list[pd.DataFrame] = []
-    at: tuple | None = None
+def _whole_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches, cut so that each group of equal first columns is whole; and where groups begin, with the end."""
+    held: pa.Table | None = None
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        new = np.zeros(len(t), bool)
+        new[:1] = True
+        for c in range(n_keys):
+            x = t.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.append(np.flatnonzero(new), len(t))
+
     for batch in batches:
-        frame = batch.to_pandas()
-        if not len(frame):
-            continue
-        new = (frame[by].ne(frame[by].shift())).any(axis=1).to_numpy()
-        cuts = [*np.flatnonzero(new), len(frame)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            part = frame.iloc[lo:hi]
-            key = tuple(part[by].iloc[0])
-            if key != at and held:
-                yield at, pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            at = key
-            held.append(part)
-    if held:
-        yield at, pd.concat(held) if len(held) > 1 else held[0]
+        t = pa.Table.from_batches([batch])
+        held = (pa.concat_tables([held, t]) if held is not None else t).combine_chunks()
+        b = bounds(held)
+        if len(b) > 2:  # the last group may go on
+            yield held.slice(0, b[-2]).combine_chunks(), b[:-1]
+            held = held.slice(b[-2])
+    if held is not None and len(held):
+        yield held.combine_chunks(), bounds(held)
