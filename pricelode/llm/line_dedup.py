@@ -97,7 +97,9 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
     w = F.col("w")
     place = F.struct("doc_id", "doc_hash", "at").alias("place")
     lines = cut(
-        named.select(*_DOC, F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("w", _words(F.col("line"))).where(F.size(w) > 0)
+        named.select(*_DOC, F.posexplode(F.split("text", "\n")).alias("at", "line"))
+        # one-element explode: the words are split once for all that is made of them
+        .select(*_DOC, "at", F.explode(F.array(_words(F.col("line")))).alias("w")).where(F.size(w) > 0)
         .select(
             place, F.xxhash64(w).alias("h"), F.xxhash64(F.lit(3), w).alias("h2"),
             F.when(F.size(w) >= LEAST, _halves(w)).alias("halves"),
