@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,7 +234,8 @@ def _index(frequent: dict[bytes, tuple[bool, float, float]]) -> Callable:
         parts: list[tuple] = []
         docs: dict[bytes, list[int]] = {}
         counts: dict[bytes, list[int]] = {}
-        mark, size = xxhash.xxh3_64(), 0
+        # partitions with equal rows in equal order are different blocks
+        mark, size = xxhash.xxh3_64(b"%d " % TaskContext.get().partitionId()), 0
 
         def flush() -> pa.RecordBatch:
             block = mark.intdigest() - (1 << 63)

@@ -222,6 +222,17 @@ def test_lattice_scores(docs, none):
     assert lattice.lattice_scores(none, [("a", 0.0)]).count() == 0
 
 
+def test_lattice_equal_partitions(spark):
+    pieces = [("▁", -1.0), ("▁al", -2.0), ("pha", -3.0), ("a", -4.0), ("e", -5.0)]
+    one = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (None, "")], "doc_id long, text string").coalesce(1)
+    want = Counter(tuple(r)[:4] for r in lattice.lattice_scores(one, pieces).collect())
+    got = lattice.lattice_scores(one.union(one), pieces).collect()
+    assert Counter(tuple(r)[:3] for r in got) == Counter({k[:3]: 2 * n for k, n in want.items()})
+    rows = spark.sparkContext.parallelize([(7, "alpha beta")] * 3, 3).toDF("doc_id long, text string")
+    got = lattice.lattice_scores(rows, pieces, train="true").collect()
+    assert len(got) == 3 and len(set(got)) == 1 and got[0]["n_known"] == 3
+
+
 def test_pseudonyms(spark, docs):
     texts = ["4111 1111 1111 1111 and 4111111111111111 not 4111111111111112", "1999-12-31 31.02.2000", "70.1.2.3 999.1.2.3", "DE89370400440532013000", "x", None]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_replaced int")
