@@ -8,6 +8,8 @@ latent vector comes near an item's, by its cosine and by its
 length along the item's, is a candidate, and is confirmed by the longest
 common subsequence of words with the item and with the item's answer.
 
+Items made of common words, which latent vectors can't tell apart, are found by the places of their words instead.
+
 Counts and products cover all passages of all documents. What goes with the tasks is
 the terms, RANK numbers for each, and the items; items are handled in blocks of at most
 ITEM_BYTES, which bounds it.
@@ -15,6 +17,7 @@ ITEM_BYTES, which bounds it.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -30,10 +33,12 @@ from pyspark.sql import functions as F
 from .common import cut
 
 PASSAGE, RANK, EXTRA = 64, 64, 8
-#: A term in more than this share of the passages, and in more than so many, says nothing and has no weight.
+#: A term in more than this share of the passages, and in more than so many, has no weight.
 COMMON, COMMON_LEAST = 0.1, 30
 #: Windows are sums of steps of STEP words: for each width in steps, items of up to 2/3 of it.
 STEP, WIDTHS = 8, (3, 6, 12, 24, 48)
+#: Items with less than the share KEPT of their weight (a common term's is FLOOR at least), are found by the places of their words.
+KEPT, FLOOR = 0.5, 0.5
 #: Text of the items of one block.
 ITEM_BYTES = 4 << 20
 #: Tasks that send partial products, at most.
@@ -85,6 +90,8 @@ class Model:
     items: list[Item]
     weights: np.ndarray  # idf by term, 0 for common ones
     basis: np.ndarray  # terms x RANK
+    df: np.ndarray  # passages and items by term
+    weak: list[bool]  # by item: common words have most of its weight
 
 
 def numbers(text: str | None, index: dict[bytes, int]) -> np.ndarray:
@@ -210,9 +217,16 @@ def fit(docs: DataFrame, items: list[tuple[int, str, str | None]], seed: int = 5
     df = np.bincount([t for i in known for t in set(i.ids)], minlength=n)
     for t, c in counts.items():
         df[t] += c
-    weights = np.where(df <= max(COMMON * passages, COMMON_LEAST), np.log(passages / np.maximum(df, 1)), 0).astype(np.float32)
+    idf = np.log(passages / np.maximum(df, 1))
+    weights = np.where(df <= max(COMMON * passages, COMMON_LEAST), idf, 0).astype(np.float32)
     if not weights.any():  # a corpus so small that every term is common
         weights = np.ones(n, np.float32)
+
+    def is_weak(ids: list[int]) -> bool:
+        term, count = np.unique(ids, return_counts=True)
+        mass = (count * np.maximum(idf[term], FLOOR)) ** 2
+        return bool(mass[weights[term] > 0].sum() < KEPT * mass.sum())
+
     basis = np.random.default_rng(seed).standard_normal((n, min(n, RANK + EXTRA))).astype(np.float32)
     for last in (False, True):
         basis = np.linalg.qr(basis)[0].astype(np.float32)
@@ -222,7 +236,7 @@ def fit(docs: DataFrame, items: list[tuple[int, str, str | None]], seed: int = 5
             basis = (basis @ turn[:, np.argsort(-values)[:RANK]]).astype(np.float32)
         else:
             basis = product
-    return Model(index, known, weights, basis), coded
+    return Model(index, known, weights, basis, df, [is_weak(i.ids) for i in known]), coded
 
 
 # -- search ------------------------------------------------------------------
@@ -241,6 +255,10 @@ class Searcher:
         lengths = np.array([len(i.ids) for i in model.items])
         least = np.searchsorted([w * STEP * 2 / 3 for w in WIDTHS], lengths)
         self.by_width = {k: np.flatnonzero(np.minimum(least, len(WIDTHS) - 1) == k) for k in range(len(WIDTHS))}
+        self.exact = [k for k, i in enumerate(model.items) if model.weak[k]]
+        self.placed = np.zeros(len(model.df), bool)
+        for k in self.exact:
+            self.placed[model.items[k].ids] = True
 
     def find(self, ids: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, float]]:
         """Of texts given as term numbers: (number of the text, number of the item, cosine, share of the item's words in
@@ -266,6 +284,7 @@ class Searcher:
         owner = np.repeat(np.arange(len(ids)), steps)
         end = starts[1:][owner]
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        self._by_places(best, ids)
         for k, chosen in self.by_width.items():
             if not len(chosen):
                 continue
@@ -291,10 +310,44 @@ class Searcher:
         for (t, i), found in best.items():
             yield t, i, *found
 
-    def _confirm(self, best: dict, text: int, item: int, cosine: float, near: list[int], there: set[int]) -> None:
+    def _by_places(self, best: dict, ids: list[np.ndarray]) -> None:
+        """Items of `exact`: wherever as many of an item's words as are needed stand close enough together."""
+        if not self.exact:
+            return
+        begin = np.cumsum([0, *(len(x) + 1 for x in ids)])
+        flat = np.full(int(begin[-1]), -1, np.int32)
+        for b, x in zip(begin, ids, strict=False):
+            flat[b : b + len(x)] = x
+        at = np.flatnonzero(flat >= 0)
+        at = at[self.placed[flat[at]]]
+        at = at[np.argsort(flat[at], kind="stable")]
+        first = np.searchsorted(flat[at], np.arange(len(self.placed) + 1))
+        verbatim, paraphrase, _ = self.limits
+        for item in self.exact:
+            words = self.model.items[item].ids
+            n = len(words)
+            need = max(1, math.ceil(min(verbatim, paraphrase) * n - 1e-9))
+            # of so many words, the rarest ones, any match has at least one
+            anchors = set(sorted(words, key=self.model.df.__getitem__)[: n - need + 1])
+            if not any(first[w] < first[w + 1] for w in anchors):
+                continue
+            places = np.sort(np.concatenate([at[first[w] : first[w + 1]] for w in set(words)]))
+            # as wide as the windows of other items
+            reach, step = max(6 * STEP, 3 * n), n // 4
+            runs = places[: len(places) - need + 1]
+            runs = runs[places[need - 1 :] - runs < reach] if len(runs) else runs
+            last = -1 - step
+            for p in runs.tolist():
+                if p <= last + step:
+                    continue
+                last, t = p, int(np.searchsorted(begin, p, side="right")) - 1
+                near = flat[p : min(p + reach + step, int(begin[t + 1]) - 1)].tolist()
+                self._confirm(best, t, item, 0.0, near, set(near), need)
+
+    def _confirm(self, best: dict, text: int, item: int, cosine: float, near: list[int], there: set[int], least_words: int = 0) -> None:
         it, (masks, answer) = self.model.items[item], self.masks[item]
         verbatim, paraphrase, least = self.limits
-        need = min(verbatim, paraphrase) * len(it.ids)
+        need = max(min(verbatim, paraphrase) * len(it.ids), least_words)
         if sum(map(there.__contains__, it.ids)) < need:  # no more words than these can be common
             return
         whole = common_subsequence(masks, len(it.ids), near)
@@ -347,7 +400,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     last sentence counts). A window with a latent cosine >= `cosine` (and as large a share of the item's
     vector) is confirmed if
     the longest common subsequence has >= `verbatim` of the item's words, or
-    >= `paraphrase` of them and >= `answer` of the answer's. Null, empty and wordless
+    >= `paraphrase` of them and >= `answer` of the answer's. Items that are found by
+    the places of their words have cosine 0. Null, empty and wordless
     texts and items match nothing. Repeated rows give repeated results; other columns
     are not looked at; empty tables give no rows.
     """

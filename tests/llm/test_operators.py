@@ -310,6 +310,20 @@ def test_decontamination(spark, docs, none):
     assert decontamination.leaks(none, b).count() == 0
 
 
+def test_decontamination_of_frequent_items(spark):
+    """A third of all rows hold one item: its words are common ones."""
+    random.seed(11)
+    word = lambda: "".join(random.choices("bcdfgaeiou", k=6))
+    items = [(i, " ".join(word() for _ in range(28))) for i in range(4)]
+    noise = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, items[1][1] if i % 6 == 0 else f"{noise(40)} {items[1][1]} {noise(30)}" if i % 3 == 0 else noise(50)) for i in range(180)]
+    rows.append((500, f"{noise(30)} {items[2][1]} {noise(30)}"))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = [(i, 1) for i in range(0, 180, 3)] + [(500, 2)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.leaks(d, b).collect()) == want
+    assert sorted(r["doc_id"] for r in decontamination.decontaminate(d, b).collect()) == [i for i in range(180) if i % 3]
+
+
 def test_common_subsequence():
     random.seed(1)
     for _ in range(100):
