@@ -8,7 +8,9 @@ latent vector comes near an item's, by its cosine and by its
 length along the item's, is a candidate, and is confirmed by the longest
 common subsequence of words with the item and with the item's answer.
 
-Items made of common words, which latent vectors can't tell apart, are found by the places of their words instead.
+A long item is searched by overlapping parts, each of which leads to the whole item.
+Items that latent vectors can't tell apart, very short ones and those made of common
+words, are found by the places of their words instead.
 
 Counts and products cover all passages of all documents. What goes with the tasks is
 the terms, RANK numbers for each, and the items; items are handled in blocks of at most
@@ -37,8 +39,10 @@ PASSAGE, RANK, EXTRA = 64, 64, 8
 COMMON, COMMON_LEAST = 0.1, 30
 #: Windows are sums of steps of STEP words: for each width in steps, items of up to 2/3 of it.
 STEP, WIDTHS = 8, (3, 6, 12, 24, 48)
-#: Items with less than the share KEPT of their weight (a common term's is FLOOR at least), are found by the places of their words.
-KEPT, FLOOR = 0.5, 0.5
+#: Longer items are searched by parts of PART words, each so many words after the one before.
+PART, PART_STEP = 256, 128
+#: Items of fewer words, and items with less than the share KEPT of their weight (a common term's is FLOOR at least), are found by the places of their words.
+SHORT, KEPT, FLOOR = 8, 0.5, 0.5
 #: Text of the items of one block.
 ITEM_BYTES = 4 << 20
 #: Tasks that send partial products, at most.
@@ -249,13 +253,14 @@ class Searcher:
         self.model, self.cosine, self.limits = model, cosine, (verbatim, paraphrase, answer)
         self.project = model.basis * model.weights[:, None]
         self.masks = [(masks_of(i.ids), masks_of(i.answer)) for i in model.items]
-        vectors = np.array([self.project[i.ids].sum(0) for i in model.items], np.float32).reshape(len(model.items), -1)
+        self.probes = [(k, at, i.ids[at : at + PART] if len(i.ids) > PART else i.ids) for k, i in enumerate(model.items) for at in part_starts(len(i.ids))]
+        vectors = np.array([self.project[x].sum(0) for _, _, x in self.probes], np.float32).reshape(len(self.probes), -1)
         self.length = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
         self.unit = vectors / self.length[:, None]
-        lengths = np.array([len(i.ids) for i in model.items])
+        lengths = np.array([len(x) for _, _, x in self.probes])
         least = np.searchsorted([w * STEP * 2 / 3 for w in WIDTHS], lengths)
         self.by_width = {k: np.flatnonzero(np.minimum(least, len(WIDTHS) - 1) == k) for k in range(len(WIDTHS))}
-        self.exact = [k for k, i in enumerate(model.items) if model.weak[k]]
+        self.exact = [k for k, i in enumerate(model.items) if len(i.ids) < SHORT or model.weak[k]]
         self.placed = np.zeros(len(model.df), bool)
         for k in self.exact:
             self.placed[model.items[k].ids] = True
@@ -285,6 +290,7 @@ class Searcher:
         end = starts[1:][owner]
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         self._by_places(best, ids)
+        seen: set[tuple[int, int, int]] = set()
         for k, chosen in self.by_width.items():
             if not len(chosen):
                 continue
@@ -306,7 +312,18 @@ class Searcher:
                         at = int(b[r] - starts[t]) * STEP
                         near = ids[t][max(0, at - width * STEP // 2) : at + width * STEP * 3 // 2].tolist()
                         last, there = r, set(near)
-                    self._confirm(best, int(t), int(chosen[c]), float(cosines[r, c]), near, there)
+                    item, offset, part = self.probes[chosen[c]]
+                    n = len(self.model.items[item].ids)
+                    if n == len(part):
+                        self._confirm(best, int(t), item, float(cosines[r, c]), near, there)
+                        continue
+                    # where the whole item lies if this part of it is here, and half as much and a window's width more
+                    at, more = int(b[r] - starts[t]) * STEP, width * STEP
+                    place = (int(t), item, (at - offset) // PART_STEP)
+                    if place not in seen:
+                        seen.add(place)
+                        span = ids[t][max(0, at - offset * 3 // 2 - more) : at + (n - offset) * 3 // 2 + 2 * more].tolist()
+                        self._confirm(best, int(t), item, float(cosines[r, c]), span, set(span))
         for (t, i), found in best.items():
             yield t, i, *found
 
@@ -325,15 +342,15 @@ class Searcher:
         verbatim, paraphrase, _ = self.limits
         for item in self.exact:
             words = self.model.items[item].ids
-            n = len(words)
-            need = max(1, math.ceil(min(verbatim, paraphrase) * n - 1e-9))
+            n, short = len(words), len(words) < SHORT
+            need = max(1, math.ceil((verbatim if short else min(verbatim, paraphrase)) * n - 1e-9))
             # of so many words, the rarest ones, any match has at least one
             anchors = set(sorted(words, key=self.model.df.__getitem__)[: n - need + 1])
             if not any(first[w] < first[w + 1] for w in anchors):
                 continue
             places = np.sort(np.concatenate([at[first[w] : first[w + 1]] for w in set(words)]))
-            # as wide as the windows of other items
-            reach, step = max(6 * STEP, 3 * n), n // 4
+            # as wide as the windows of other items; a short item's words stand closer
+            reach, step = (n + max(2, n // 2), 0) if short else (max(6 * STEP, 3 * n), n // 4)
             runs = places[: len(places) - need + 1]
             runs = runs[places[need - 1 :] - runs < reach] if len(runs) else runs
             last = -1 - step
@@ -359,6 +376,11 @@ class Searcher:
             best[text, item] = max(best.get((text, item), (0.0, 0.0, 0.0)), (cosine, whole, part), key=lambda x: (x[1], x[2], x[0]))
 
 
+def part_starts(n: int) -> range:
+    """Where the parts of an item of n words begin; the last may be shorter, by less than PART_STEP."""
+    return range(0, max(1, n - PART + PART_STEP), PART_STEP)
+
+
 def steps_of(steps: list[int], owner: np.ndarray) -> np.ndarray:
     return np.array(steps)[owner]
 
@@ -401,7 +423,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     vector) is confirmed if
     the longest common subsequence has >= `verbatim` of the item's words, or
     >= `paraphrase` of them and >= `answer` of the answer's. Items that are found by
-    the places of their words have cosine 0. Null, empty and wordless
+    the places of their words have cosine 0 (items of fewer than SHORT words so only verbatim). Null, empty and wordless
     texts and items match nothing. Repeated rows give repeated results; other columns
     are not looked at; empty tables give no rows.
     """

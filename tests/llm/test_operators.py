@@ -324,6 +324,21 @@ def test_decontamination_of_frequent_items(spark):
     assert sorted(r["doc_id"] for r in decontamination.decontaminate(d, b).collect()) == [i for i in range(180) if i % 3]
 
 
+def test_decontamination_of_short_and_long_items(spark):
+    random.seed(12)
+    vocabulary = ["".join(random.choices("bcdfgaeiou", k=6)) for _ in range(3000)]
+    noise = lambda n: " ".join(random.choices(vocabulary, k=n))
+    items = [(n, noise(n)) for n in (1, 3, 5, 300, 1000, 3000)]
+    rows = [(n, f"{noise(700)} {x} {noise(500)}") for n, x in items]
+    loose = " ".join(x if k % 8 else "other" for k, x in enumerate(items[-1][1].split()))
+    rows += [(4000, f"{noise(400)} {loose} {noise(90)}"), (4001, items[-1][1]), (4002, noise(2000))]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(d, b).collect()}
+    assert {(i, k) for i, k in got if k > 1} == {(3, 3), (5, 5), (300, 300), (1000, 1000), (3000, 3000), (4000, 3000), (4001, 3000)}
+    single = items[0][1]
+    assert {i for i, k in got if k == 1} == {i for i, t in rows if single in t.split()}
+
+
 def test_common_subsequence():
     random.seed(1)
     for _ in range(100):
