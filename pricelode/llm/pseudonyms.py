@@ -30,7 +30,16 @@ FIRST_DAY, DAYS, DAY_SIDES = "1900-01-01", 73_049, (271, 270)
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,6}(?: ?[0-9]{1,3})?(?![A-Za-z0-9])"
+#: Characters of an IBAN, for countries that have letters in accounts; other countries' accounts are digits.
+IBAN_LENGTHS = {
+    18: "NL", 19: "MK", 20: "KZ LU", 21: "CH LI LV", 22: "BG BH GB GE IE", 23: "GI IQ OM", 24: "AD MD PK RO SA VG", 26: "TR", 27: "FR GR IT MC SM",
+    28: "AL AZ BY CY DO GT HN LB NI SV", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(
+    f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])"
+    for n, c in IBAN_LENGTHS.items()
+)
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,6}}(?: ?[0-9]{{1,3}})?(?![A-Za-z0-9]))"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ \-]?(?:\([0-9]{1,4}\)[ \-]?)?[0-9]{2,4}(?:[ \-]?[0-9]{2,4}){1,3}(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
@@ -103,10 +112,15 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _refilled(form: Column, digits: Column) -> Column:
-    """`form` with its digits replaced by `digits` in turn: separators have no say in a pseudonym."""
+def _signs(text: Column) -> Column:
+    return F.regexp_replace(text, "[^A-Z0-9]", "")
+
+
+def _refilled(form: Column, signs: Column) -> Column:
+    """`form` with its digits and capitals replaced by `signs` in turn: separators have no say in a pseudonym."""
+    sign = lambda c: c.between("0", "9") | c.between("A", "Z")
     return F.array_join(
-        F.transform(_chars(form), lambda c, i: F.when(c.between("0", "9"), digits.substr(F.length(_digits(form.substr(F.lit(1), i + 1))), F.lit(1))).otherwise(c)), ""
+        F.transform(_chars(form), lambda c, i: F.when(sign(c), signs.substr(F.length(_signs(form.substr(F.lit(1), i + 1))), F.lit(1))).otherwise(c)), ""
     )
 
 
@@ -127,14 +141,17 @@ def _card(m: Column, key: Column) -> Column:
 
 
 def _mod97(country: Column, check: Column, account: Column) -> Column:
-    letter = lambda i: (F.ascii(F.substring(country, i, 1)) - 55).cast("string")
-    return (F.concat(account, letter(1), letter(2), check).cast("decimal(38,0)") % 97).cast("int")
+    # letters count as 10 to 35; the remainder is taken sign by sign
+    return F.aggregate(
+        _chars(F.concat(account, country, check)), F.lit(0),
+        lambda a, c: F.when(c.between("0", "9"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97,
+    )
 
 
 def _iban(m: Column, key: Column) -> Column:
     country, rest = F.substring(m, 1, 2), m.substr(F.lit(5), F.length(m))
     checked = lambda d: F.concat(F.lpad((98 - _mod97(country, F.lit("00"), d)).cast("string"), 2, "0"), _refilled(rest, d))
-    return F.concat(country, F.get(F.transform(F.array(permuted(_digits(rest), key, "iban")), checked), F.lit(0)))
+    return F.concat(country, F.get(F.transform(F.array(permuted(_signs(rest), key, "iban")), checked), F.lit(0)))
 
 
 def _ip(m: Column, key: Column) -> Column:
@@ -192,7 +209,7 @@ def pseudonym(m: Column, key: Column) -> Column:
         F.when(m.contains("@"), F.concat(permuted(local, key, "mail"), m.substr(F.length(local) + 1, F.length(m))))
         .when(whole(DATE), F.when(_day(m).between(0, DAYS - 1), _new_date(m, key)))
         .when(whole(IP), F.when(~F.exists(F.split(m, "\\."), lambda x: x.cast("int") > 255), _ip(m, key)))
-        .when(whole(IBAN), F.when(_mod97(F.substring(m, 1, 2), F.substring(m, 3, 2), _digits(m.substr(F.lit(5), F.length(m)))) == 1, _iban(m, key)))
+        .when(whole(IBAN), F.when(_mod97(F.substring(m, 1, 2), F.substring(m, 3, 2), _signs(m.substr(F.lit(5), F.length(m)))) == 1, _iban(m, key)))
         .when(whole(SSN), F.when(_is_ssn(m), _walked(m, lambda x: permuted(x, key, "ssn"), _is_ssn)))
         .when(m.startswith("+"), _phone(m, key))
         .when(luhn(_digits(m)) == 0, _card(m, key))

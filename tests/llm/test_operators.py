@@ -249,6 +249,19 @@ def test_pseudonyms(spark, docs):
     assert pseudonyms.pseudonymise(docs, "k").where(~F.col("text").eqNullSafe(F.col("text"))).count() == 0
 
 
+def test_ibans_with_letters(spark):
+    ibans = ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S", "BE68 5390 0754 7034"]
+    rows = list(enumerate([*(f"to {x} AND 12" for x in ibans), "to GB82 WEST 1234 5698 7654 33 AND 12"]))
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    for i, x in enumerate(ibans):
+        new = out[i]["text"][3:-7]
+        assert out[i]["n_replaced"] == 1 and new != x and len(new) == len(x) and new[:2] == x[:2]
+        assert all((a.isdigit(), a.isalpha()) == (b.isdigit(), b.isalpha()) for a, b in zip(new, x, strict=True))
+        flat = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert out[5]["text"] == rows[5][1] and out[5]["n_replaced"] == 0
+
+
 def test_pseudonyms_are_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("t"))
     assert df.select(pseudonyms.permuted(F.col("t"), F.lit("k"), "x").alias("p")).distinct().count() == 1000
