@@ -1,10 +1,11 @@
 """Line deduplication by deletion neighbourhoods.
 
 Lines are sequences of lower-case words. Equal lines are found by their hashes. Lines
-of LEAST words or more are also near if one word inserted, deleted or replaced turns
-one into the other: each emits the hashes of itself and of all variants with one word
-deleted, equal hashes meet, and the words are compared. Of all lines that hang
-together the earliest, by doc_id and place, stays.
+are also near if one word inserted, deleted or replaced turns one into the other and is
+at most a SHARE-th of the shorter one's words (so lines of one to three words are only
+near if they are equal: another word makes them another line). Each line emits the hashes
+of itself and of all variants with one word deleted, equal hashes meet, and the words are
+compared. Of all lines that hang together the earliest, by doc_id and place, stays.
 
 One edit leaves either the first or the last half of a line as it was; so only lines
 that share the hash of such a half with another line emit variants at all. A variant's
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .graph import connected_components
 
-#: Shorter lines are only compared for equality.
-LEAST = 8
+#: The one edit may be so large a part of a line: one word of four.
+SHARE = 4
 
 _DOC = ["doc_id", "doc_hash"]
 
@@ -36,7 +37,8 @@ def _halves(w: Column) -> Column:
     differ by one at most, and with one edit between them, share."""
     n = F.size(w)
     parts = []
-    for length in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
+    # with a line as long or longer by one, and with one shorter by one if that may be near at all
+    for length in (F.floor(n / 2).cast("int"), F.floor((n - (n > SHARE).cast("int")) / 2).cast("int")):
         parts += [F.xxhash64(F.lit(1), length, F.slice(w, F.lit(1), length)), F.xxhash64(F.lit(2), length, F.slice(w, n - length + 1, length))]
     return F.array_distinct(F.array(*parts))
 
@@ -76,9 +78,10 @@ def _near_links(lines: DataFrame) -> DataFrame:
     )
     pairs = rows.join(heads, "key").where("line <> head and not whole").select("line", "head", "i").distinct()
     a, b = lines.select(F.col("line"), F.col("w").alias("x")), lines.select(F.col("line").alias("head"), F.col("w").alias("y"))
+    enough = F.least(F.size("x"), F.size("y")) >= SHARE
     less = lambda w: F.concat(F.slice(w, F.lit(1), F.col("i")), F.slice(w, F.col("i") + 2, F.greatest(F.size(w) - F.col("i") - 1, F.lit(0))))
     near = F.when(F.size("x") == F.size("y"), less("x") == less("y")).otherwise(less("x") == F.col("y"))
-    return pairs.join(a, "line").join(b, "head").where(near).select(F.col("line").alias("u"), F.col("head").alias("v"))
+    return pairs.join(a, "line").join(b, "head").where(enough & near).select(F.col("line").alias("u"), F.col("head").alias("v"))
 
 
 def dedupe_lines(docs: DataFrame) -> DataFrame:
@@ -86,7 +89,7 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
 
     Lines are what stands between line feeds. A line goes if an earlier one, in the
     order of doc_id (nulls first) and place, is equal to it or hangs together with it
-    by single edits. Blank lines stay. Null and empty texts stay and have n_removed 0.
+    by single edits (see the module's head). Blank lines stay. Null and empty texts stay and have n_removed 0.
     Rows equal in id and text are one document and all get its result. All other
     columns stay; n_lines and n_removed of the input are replaced. An empty table gives
     no rows.
@@ -102,7 +105,7 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
         .select(*_DOC, "at", F.explode(F.array(_words(F.col("line")))).alias("w")).where(F.size(w) > 0)
         .select(
             place, F.xxhash64(w).alias("h"), F.xxhash64(F.lit(3), w).alias("h2"),
-            F.when(F.size(w) >= LEAST, _halves(w)).alias("halves"),
+            F.when(F.size(w) >= SHARE, _halves(w)).alias("halves"),
         )
     )
     distinct = cut(lines.groupBy("h", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves")))
@@ -127,11 +130,14 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
     keepers = keepers.where((F.col("n") > 1) | (F.col("place") != F.col("first"))).select("h", "h2", "first")
     gone = (
         lines.select("h", "h2", "place").join(keepers, ["h", "h2"]).where(F.col("place") != F.col("first"))
-        .groupBy("place.doc_id", "place.doc_hash").agg(F.collect_set("place.at").alias("gone"))
+        .groupBy("place.doc_id", "place.doc_hash").agg(F.array_sort(F.collect_set("place.at")).alias("gone"))
     )
     g = gone.alias("g")
     rows = docs.withColumn("__hash", F.xxhash64("text")).alias("d")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
+    # the runs of lines between those that go; the one-element transform splits the text once
+    before, after = F.concat(F.array(F.lit(-1)), F.col("__gone")), lambda n: F.concat(F.col("__gone"), F.array(n))
+    runs = lambda all_lines: F.zip_with(before, after(F.size(all_lines)), lambda a, b: F.slice(all_lines, a + 2, b - a - 1))
+    left = F.flatten(F.get(F.transform(F.array(F.split("text", "\n")), runs), F.lit(0)))
     return (
         rows.join(g, (F.col("d.__hash") == F.col("g.doc_hash")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
         .select("d.*", F.col("g.gone").alias("__gone"))

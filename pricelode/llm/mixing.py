@@ -9,6 +9,7 @@ the documents of a smaller budget are always among those of a larger one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,7 +61,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
     rows: source, size, h (those bits). budgets: source, rest. The last bucket counts
     if it fits, or with `nearest` if that comes nearer.
     """
-    state = cut(budgets.select("source", "rest", F.lit(0).cast("long").alias("prefix")))
+    state = cut(budgets.select("source", "rest", F.lit(0).cast("long").alias("prefix"), (F.col("rest") <= 0).alias("none")))
     for level in range(LEVELS):
         down = BITS * (LEVELS - 1 - level)
         s = small(state, 1024).alias("s")
@@ -81,17 +82,18 @@ def thresholds(rows: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
             prefix, left = prefix + whole.cast("long"), left - F.when(whole, F.col("b.m.n")).otherwise(F.lit(0))
         state = cut(
             state.alias("s").join(best, _same(F.col("b.source"), F.col("s.source")), "left").select(
-                F.col("s.source").alias("source"), left.alias("rest"), F.coalesce(prefix, F.shiftleft(F.col("s.prefix"), BITS)).alias("prefix")
+                F.col("s.source").alias("source"), left.alias("rest"), F.coalesce(prefix, F.shiftleft(F.col("s.prefix"), BITS)).alias("prefix"), "s.none"
             )
         )
-    return state.select("source", "rest", F.col("prefix").alias("limit"))
+    # with nothing to take, texts without words aren't taken either
+    return state.select("source", "rest", F.when(F.col("none"), F.lit(0)).otherwise(F.col("prefix")).alias("limit"))
 
 
 def _hash(seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 64 - BITS * LEVELS)
 
 
-def _planned(rows: DataFrame, share: float, weights: Sequence[float], most: float, fills: int) -> DataFrame:
+def _planned(rows: DataFrame, share: float, weights: Sequence[float], most: float, fills: int, within: float) -> DataFrame:
     """source, source_size, target, full, steps: what is taken of each source. One row
     for each source; broadcast if they are shown to be few. rows: source, size, h."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -103,8 +105,8 @@ def _planned(rows: DataFrame, share: float, weights: Sequence[float], most: floa
         .withColumn("steps", F.array().cast("array<struct<upto:double,limit:bigint>>"))
     )
     for k in range(fills + 1):
-        # at first all, then those not taken yet that fit into the gap
-        gap = F.col("p.rest") if k else F.lit(float("inf"))
+        # at first all, then, if the gap is large enough, those not taken yet that fit into it
+        gap = F.when(F.col("p.rest") > F.lit(float(within)) * F.col("p.target"), F.col("p.rest")).otherwise(F.lit(-1.0)) if k else F.lit(float("inf"))
         open_rows = (
             rows.alias("r").join(small(plan, 1024).alias("p"), _same(F.col("r.source"), F.col("p.source")))
             .where(~_taken(F.col("r.size"), F.col("r.h"), F.col("p.steps")) & (F.col("r.size") <= gap))
@@ -119,8 +121,8 @@ def _planned(rows: DataFrame, share: float, weights: Sequence[float], most: floa
     return small(plan, 1024)
 
 
-def _copies(size: Column, h: Column) -> Column:
-    return F.col("p.full") + _taken(size, h, F.col("p.steps")).cast("long")
+def _copies(size: Column, h: Column, most: float) -> Column:
+    return F.least(F.col("p.full") + _taken(size, h, F.col("p.steps")).cast("long"), F.lit(math.ceil(most)).cast("long"))
 
 
 def _rows(docs: DataFrame, seed: int) -> DataFrame:
@@ -128,21 +130,22 @@ def _rows(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, fills: int = 2, seed: int = 7
+    docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, fills: int = 2, within: float = 0.002, seed: int = 7
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for each row of `docs`.
 
     size: words of the text (null or empty: 0). copies: how often the mix takes the
     document, 0 to ceil(most); taken: size times copies. A document at the threshold
-    may be long; so the gap that it leaves is filled `fills` times over from those
-    behind the threshold that are no longer than the gap, by a threshold of their own.
-    With fills=0 the mixes of rising budgets are nested. Rows equal in id and text
+    may be long; where the gap that it leaves is more than `within` of the target, it is
+    filled, `fills` times over, from those behind the threshold that are no longer than
+    the gap, by a threshold of their own. Without such a fill (large sources, or fills=0)
+    the mixes of rising budgets are nested. Rows equal in id and text
     share one hash and one decision. Null sources form one source. An empty table
     gives no rows; other columns are not looked at. Reruns agree.
     """
     rows = _rows(docs, seed)
-    plan = _planned(rows, share, weights, most, fills)
-    copies = _copies(F.col("r.size"), F.col("r.h"))
+    plan = _planned(rows, share, weights, most, fills, within)
+    copies = _copies(F.col("r.size"), F.col("r.h"), most)
     return (
         rows.alias("r").join(plan.alias("p"), _same(F.col("r.source"), F.col("p.source")))
         .select("r.doc_id", "r.size", "p.source_size", "p.target", (F.col("r.size") * copies).alias("taken"), copies.alias("copies"))
@@ -150,11 +153,11 @@ def mix(
 
 
 def mix_documents(
-    docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, fills: int = 2, seed: int = 7
+    docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, fills: int = 2, within: float = 0.002, seed: int = 7
 ) -> DataFrame:
     """The rows of `docs`, all columns, each as often as mix() takes it."""
-    plan = _planned(_rows(docs, seed), share, weights, most, fills)
-    copies = _copies(word_count(F.col("r.text")), F.col("r.__mix_hash"))
+    plan = _planned(_rows(docs, seed), share, weights, most, fills, within)
+    copies = _copies(word_count(F.col("r.text")), F.col("r.__mix_hash"), most)
     return (
         docs.withColumn("__mix_hash", _hash(seed)).alias("r").join(plan.alias("p"), _same(F.col("r.source"), F.col("p.source")))
         .withColumn("__mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))))

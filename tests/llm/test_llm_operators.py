@@ -104,6 +104,12 @@ def test_budgets_are_nested(docs):
     assert all(by[i] >= c for i, c in small)
 
 
+def test_full_sources_take_no_third_copy(spark):
+    rows = [(i, "a" if i < 40 else "b", "w " * 5 if i < 20 else "" if i < 40 else "w " * 60) for i in range(60)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert all(0 <= r["copies"] <= 2 for r in out) and {r["copies"] for r in out if r["doc_id"] < 40} == {2}
+
+
 def shingles(text, k):
     w = tokens(text)
     return frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[i : i + k]) for i in range(len(w) - k + 1)])
@@ -272,7 +278,7 @@ def test_pseudonyms_are_a_permutation(spark):
 def test_line_dedup(spark, none):
     random.seed(4)
     w = ["a", "b", "c", "d", "e", "f"]
-    base = [" ".join(random.choices(w, k=random.randint(8, 12))) for _ in range(15)]
+    base = [" ".join(random.choices(w, k=random.choice([1, 2, 3, 4, 4, 5, 6, 7, 8, 12]))) for _ in range(20)]
 
     def edited(x):
         x = x.split()
@@ -288,7 +294,7 @@ def test_line_dedup(spark, none):
                 first.setdefault(tuple(line.split()), (i, k))
 
     def near(a, b):
-        if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < line_dedup.LEAST:
+        if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < line_dedup.SHARE:
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) <= 1  # noqa: B905
@@ -308,6 +314,14 @@ def test_line_dedup(spark, none):
     assert line_dedup.dedupe_lines(none).count() == 0
 
 
+def test_line_dedup_of_odd_rows(spark):
+    """Null ids, repeated rows, columns with the names of results and of what lies between."""
+    rows = [(None, "one two three four\none two three five\nx", 7, "a", 1), (1, "x\n\none two three four", 7, "b", 1), (1, "x\n\none two three four", 7, "b", 1), (2, "y " * 5000 + "\nx", 0, None, None)]
+    out = line_dedup.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed int, place string, gone int")).collect()
+    want = [(None, "one two three four\nx", "a", 1, 3, 1), (1, "", "b", 1, 3, 2), (1, "", "b", 1, 3, 2), (2, "y " * 5000, None, None, 2, 1)]
+    assert sorted(((r["doc_id"], r["text"], r["place"], r["gone"], r["n_lines"], r["n_removed"]) for r in out), key=lambda r: (r[0] or 0)) == want
+
+
 def test_decontamination(spark, docs, none):
     random.seed(9)
     word = lambda: "".join(random.choices("bcdfgaeiou", k=6))
