@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_BYTES, cut, small
 from .graph import connected_components
 
 #: The one edit may be so large a part of a line: one word of four.
@@ -51,7 +51,8 @@ def _near_links(lines: DataFrame) -> DataFrame:
     before = every.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     upto = every.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     places = (
-        lines.select("line", F.posexplode("w").alias("i", "word")).withColumn("at", code(0)).withColumn("moved", code(1))
+        # whole lines are dealt out, their words stay where they are
+        lines.repartition("line").select("line", F.posexplode("w").alias("i", "word")).withColumn("at", code(0)).withColumn("moved", code(1))
         .select(
             "line", "i", F.count("*").over(every).alias("n"), F.sum("at").over(every).alias("own"),
             (F.coalesce(F.sum("at").over(before), F.lit(0)) + F.sum("moved").over(every) - F.sum("moved").over(upto)).alias("less"),
@@ -71,12 +72,12 @@ def _near_links(lines: DataFrame) -> DataFrame:
             ).alias("x"),
         ).where("x is not null").select("line", "x.*")
     )
-    heads = (
+    heads = cut(
         rows.groupBy("key")
         .agg(F.min("line").alias("a"), F.max("line").alias("b"), F.min(F.when(F.col("whole"), F.col("line"))).alias("whole_line"))
         .where("a <> b").select("key", F.coalesce("whole_line", "a").alias("head"))
     )
-    pairs = rows.join(heads, "key").where("line <> head and not whole").select("line", "head", "i").distinct()
+    pairs = rows.join(small(heads, 32), "key").where("line <> head and not whole").select("line", "head", "i").distinct()
     a, b = lines.select(F.col("line"), F.col("w").alias("x")), lines.select(F.col("line").alias("head"), F.col("w").alias("y"))
     enough = F.least(F.size("x"), F.size("y")) >= SHARE
     less = lambda w: F.concat(F.slice(w, F.lit(1), F.col("i")), F.slice(w, F.col("i") + 2, F.greatest(F.size(w) - F.col("i") - 1, F.lit(0))))
@@ -84,6 +85,14 @@ def _near_links(lines: DataFrame) -> DataFrame:
     return pairs.join(a, "line").join(b, "head").where(enough & near).select(F.col("line").alias("u"), F.col("head").alias("v"))
 
 
+def _small_lists(rows: DataFrame, column: str, bytes_each: int) -> DataFrame:
+    """One row a document with a list of places: broadcast if the sizes, summed, show
+    that it is small, so that no text is shuffled; else Spark shuffles."""
+    rows = cut(rows)
+    n, each = rows.agg(F.count("*"), F.sum(F.size(column))).first()
+    return F.broadcast(rows) if n * 64 + (each or 0) * bytes_each <= BROADCAST_BYTES else rows
+
+
 def dedupe_lines(docs: DataFrame) -> DataFrame:
     """`docs` with `text` without its repeated lines, and n_lines, n_removed.
 
@@ -108,17 +117,17 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
             F.when(F.size(w) >= SHARE, _halves(w)).alias("halves"),
         )
     )
-    distinct = cut(lines.groupBy("h", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves")))
+    distinct = cut(lines.groupBy("h", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n")))
 
-    halves = distinct.select("h", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    alike = halves.join(shared, "half", "left_semi").select("h").distinct()
+    halves = lines.select("h", F.explode("halves").alias("half"))
+    shared = cut(halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half"))
+    alike = cut(halves.join(small(shared, 16), "half", "left_semi").select("h").distinct())
     wanted = (
-        distinct.join(alike, "h", "left_semi").groupBy("place.doc_id", "place.doc_hash")
+        distinct.join(small(alike, 16), "h", "left_semi").groupBy("place.doc_id", "place.doc_hash")
         .agg(F.collect_list(F.struct("place.at", "h")).alias("wanted"))
     )
     near = cut(
-        named.alias("d").join(wanted.alias("t"), (F.col("t.doc_hash") == F.col("d.doc_hash")) & F.col("t.doc_id").eqNullSafe(F.col("d.doc_id")))
+        named.alias("d").join(_small_lists(wanted, "wanted", 24).alias("t"), (F.col("t.doc_hash") == F.col("d.doc_hash")) & F.col("t.doc_id").eqNullSafe(F.col("d.doc_id")))
         .select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
         .select(F.col("x.h").alias("line"), _words(F.get("all", F.col("x.at"))).alias("w"))
         .dropDuplicates(["line"])
@@ -132,7 +141,7 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
         lines.select("h", "h2", "place").join(keepers, ["h", "h2"]).where(F.col("place") != F.col("first"))
         .groupBy("place.doc_id", "place.doc_hash").agg(F.array_sort(F.collect_set("place.at")).alias("gone"))
     )
-    g = gone.alias("g")
+    g = _small_lists(gone, "gone", 4).alias("g")
     rows = docs.withColumn("__hash", F.xxhash64("text")).alias("d")
     # the runs of lines between those that go; the one-element transform splits the text once
     before, after = F.concat(F.array(F.lit(-1)), F.col("__gone")), lambda n: F.concat(F.col("__gone"), F.array(n))
