@@ -9,9 +9,9 @@ Bound of what is missed: with s the similarity, a pair at s meets in no table wi
 probability 1 - (1 - (1 - s^ROWS)^SIDE)^2, which is 0.3 % at 0.8 and 0.04 % at 0.85.
 
 Exact copies (equal shingle sets) become one class first, so they cost nothing more.
-In a bucket every class is compared with one representative. Where that leaves a
-bucket in several components, the classes that hang together by such buckets are dealt
-into blocks, and each pair of blocks is one group that compares its sets at once and
+In a bucket every class is compared with one representative; where that leaves it in
+several components, with TURNS more, drawn at random. Where it still is, the classes that
+hang together by such buckets are dealt into blocks, and each pair of blocks is one group that compares its sets at once and
 returns no more links than it takes to connect them. No pair of classes is a row, no
 group holds more than two blocks, and no link between components is lost.
 """
@@ -31,6 +31,8 @@ from .common import cut, small
 from .graph import connected_components
 
 SIDE, ROWS = 9, 3
+#: Further representatives of a bucket that classes of other components are compared with.
+TURNS = 2
 #: So many shingles are hashed at once, and so many words remembered by a task.
 BATCH, MEMO = 200_000, 400_000
 #: A block of a torn group holds about so many classes, or fewer if they have more than so many shingles.
@@ -141,13 +143,13 @@ def _signer(k: int, sets_too: bool):
 
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node, hashes: the full shingle set of each class of `nodes`."""
-    wanted = classes.select("node", "digest").join(nodes, "node", "left_semi")
+    wanted = classes.join(nodes.select("node"), "node", "left_semi").select("node", F.col("digest").alias("wanted"), "least")
+    ids = wanted.select("least").distinct()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .mapInArrow(_signer(k, True), _SETS)
-        .join(wanted, "digest")
-        .where("doc_id = node")
+        docs.join(ids, docs["doc_id"].eqNullSafe(ids["least"]), "left_semi")
+        .mapInArrow(_signer(k, True), _SETS).where("digest is not null")
+        .join(wanted, F.col("digest") == F.col("wanted")).where(F.col("doc_id").eqNullSafe(F.col("least")))
         .groupBy("node").agg(F.first("hashes").alias("hashes"))
     )
 
@@ -190,14 +192,35 @@ def _linked(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (u, v) whose sets are similar enough."""
+    rows = (
+        pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
+        .join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    )
+    both = F.size(F.array_intersect("a", "b"))
+    return rows.where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
+def _torn(members: DataFrame, sizes: DataFrame, part: DataFrame) -> DataFrame:
+    """key, node, n, component, head of the buckets that lie in several components."""
+    placed = (
+        members.join(part, "node", "left").join(sizes, "node")
+        .select("key", "node", "n", F.coalesce("component", "node").alias("component"), "head")
+    )
+    # buckets of two are settled by the comparison with the head
+    keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c")).where("a <> b and c > 2")
+    return cut(placed.join(small(cut(keys.select("key")), 16), "key", "left_semi"))
+
+
 def _mended(torn: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between the components of torn buckets. torn: key, node, n, component, head."""
     group = connected_components(torn.select(F.col("node").alias("u"), F.col("head").alias("v"))).withColumnRenamed("component", "torn")
     nodes = cut(torn.select("node", "n", "component").distinct().join(group, "node"))
-    sizes = nodes.groupBy("torn").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = cut(nodes.groupBy("torn").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
-        nodes.join(sizes, "torn").withColumn("own", own)
+        nodes.join(small(sizes, 24), "torn").withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("torn", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "component")
     )
@@ -211,16 +234,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of
     distinct k-word shingles; with fewer words the whole sequence is one shingle; no
-    words (null, empty or blank text) link with nothing. Rows with the same doc_id are
-    one vertex. A row without doc_id belongs to the component of its text, has no say
+    words (null, empty or blank text) link with nothing. Rows with the same doc_id and
+    some words are one vertex, which has the links of all their texts. A row without doc_id belongs to the component of its text, has no say
     in its name, and is kept if no row with a doc_id shares it. Repeated rows all get
     the same result. Other columns are not looked at. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     signed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signer(k, False), _SIGNED))
     classes = cut(
-        signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-        .where("node is not null")
+        signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     tables = F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("t")
     side = lambda i: F.get("bands", i)
@@ -229,28 +252,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
     members = cut(keys.join(heads.select("key", "head"), "key"))
-    sizes = cut(members.select("node").distinct().join(classes.select("node", "n").dropDuplicates(["node"]), "node"))
+    sizes = cut(members.select("node").distinct().join(classes.select("node", "n"), "node"))
     sets = cut(_sets(docs, classes, sizes, k))
 
-    star = (
-        members.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-        .join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
-        .join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-    )
-    both = F.size(F.array_intersect("a", "b"))
-    links = cut(star.where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v"))
+    star = members.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    links = cut(_near(star, sets, percent).union(_same_ids(signed, classes)))
     part = cut(connected_components(links))
-
-    placed = (
-        members.join(part, "node", "left").join(sizes, "node")
-        .select("key", "node", "n", F.coalesce("component", "node").alias("component"), "head")
-    )
-    # buckets of two are settled by the comparison with the head
-    torn = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c")).where("a <> b and c > 2")
-    torn = cut(placed.join(torn.select("key"), "key", "left_semi"))
-    part = connected_components(links.union(_mended(torn, sets, percent)))
-
-    named = classes.select("digest", "node").join(part, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    torn = _torn(members, sizes, part)
+    for turn in range(TURNS):
+        if torn.isEmpty():
+            break
+        head = F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(turn), "node")).alias("h")
+        other = small(cut(torn.groupBy("key").agg(head)), 40)
+        pairs = torn.join(other, "key").where("component <> h.component").select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct()
+        links = cut(links.union(_near(pairs, sets, percent)))
+        part = cut(connected_components(links))
+        torn = _torn(members.join(torn.select("key").distinct(), "key", "left_semi"), sizes, part)
+    if not torn.isEmpty():
+        part = cut(connected_components(links.union(_mended(torn, sets, percent))))
+
+    # components are called by their smallest id
+    names = cut(part.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("name")))
+    called = part.join(small(names, 24), "component").select("node", "name")
+    named = classes.select("digest", "node", "least").join(called, "node", "left").select("digest", F.coalesce("name", "least").alias("component"))
     return (
         signed.join(named, "digest", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -258,11 +282,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
 
 
+def _same_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of rows that share an id but not their words."""
+    rows = signed.where("n > 0 and doc_id is not null").select("doc_id", "digest")
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last")
+    pairs = rows.join(small(cut(several.select("doc_id", "first")), 80), "doc_id").where("digest <> first").distinct()
+    u, v = (classes.select(F.col("digest").alias(d), F.col("node").alias(n)) for d, n in (("digest", "u"), ("first", "v")))
+    return pairs.join(u, "digest").join(v, "first").select("u", "v")
+
+
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """`docs`, all columns, with one row of each component of near_duplicates().
 
-    It is the one with the smallest doc_id; of rows that share it one stays. A row
-    without a doc_id can't be named, and stays.
+    It is the one with the smallest doc_id; of rows that share it one stays for each
+    text. A row without a doc_id can't be named, and stays.
     """
     found = cut(near_duplicates(docs, k, percent).where("doc_id is not null").select("doc_id", "kept"))
     gone = cut(found.where("not kept").select("doc_id").distinct())
@@ -270,5 +303,5 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     left = docs.join(small(gone, 16), "doc_id", "left_anti")
     if twice.isEmpty():
         return left.select(docs.columns)
-    again = left.join(small(twice, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    again = left.join(small(twice, 16), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(small(twice, 16), "doc_id", "left_anti").select(docs.columns).union(again.select(docs.columns))

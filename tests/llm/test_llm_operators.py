@@ -159,6 +159,18 @@ def test_near_copies_without_one_head(spark):
     assert out == want
 
 
+def test_one_id_with_two_texts(spark):
+    random.seed(7)
+    text = lambda: [f"w{random.randint(0, 999)}" for _ in range(40)]
+    a, b = text(), text()
+    changed = lambda x: " ".join([*x[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, changed(a)), (3, changed(b)), (None, changed(b)), (None, "only here"), (None, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert out == Counter({(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1, (None, 1, False): 1, (None, None, True): 2, (4, 4, True): 1})
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in minhash.drop_near_duplicates(df).collect()) == sorted((i or 0, t or "") for i, t in rows if i not in (2, 3))
+
+
 def test_components(spark):
     random.seed(2)
     links = [(i, i + 1) for i in range(100, 160)] + [(random.randint(0, 90), random.randint(0, 90)) for _ in range(50)] + [(7, 7)]
