@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty texts, ties,
 repeated rows and extra columns."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -251,7 +252,7 @@ def test_lattice_equal_partitions(spark):
     assert len(got) == 3 and len(set(got)) == 1 and got[0]["n_known"] == 3
 
 
-def test_pseudonyms(spark, docs):
+def test_pseudonyms(spark, docs, none):
     texts = ["4111 1111 1111 1111 and 4111111111111111 not 4111111111111112", "1999-12-31 31.02.2000", "70.1.2.3 999.1.2.3", "DE89370400440532013000", "x", None]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_replaced int")
     out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(df, "key").collect()}
@@ -264,7 +265,60 @@ def test_pseudonyms(spark, docs):
     iban = out[3]["text"]
     assert iban.startswith("DE") and int(iban[4:] + "1314" + iban[2:4]) % 97 == 1
     assert (out[4]["text"], out[5]["text"], out[4]["n_replaced"]) == ("x", None, 0)
-    assert pseudonyms.pseudonymise(docs, "k").where(~F.col("text").eqNullSafe(F.col("text"))).count() == 0
+    # texts without numbers stay as they are
+    plain = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    out = pseudonyms.pseudonymise(docs, "k")
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == plain and out.columns == [*docs.columns, "n_replaced"]
+    assert pseudonyms.pseudonymise(none, "k").count() == 0
+    assert "secret" not in pseudonyms.pseudonymise(docs, "secret")._jdf.queryExecution().toString()
+
+
+def test_cards_beside_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 12/27", "4111111111111111 123", f"2 {card}", f"{card} 123", "3782 822463 10005", card.replace(" ", "-")]
+    out = [r["text"] for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    new = out[0][:-6]
+    assert new != card and out[0] == f"{new} 12/27" and out[1] == f"{new.replace(' ', '')} 123" and out[2] == f"2 {new}" and out[3] == f"{new} 123"
+    assert out[4] != texts[4] and [len(x) for x in out[4].split()] == [4, 6, 5] and out[5] == new.replace(" ", "-")
+
+
+def test_phones_however_written(spark):
+    texts = ["+49 30 12345678", "+493012345678", "+49-30-1234-5678", "+1 (212) 555-0123", "+12125550123", "+353 86 123 4567", "+353861234567"]
+    out = [r["text"] for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    flat = ["".join(c for c in x if c in "+0123456789") for x in out]
+    assert flat[0] == flat[1] == flat[2] != "+493012345678" and flat[3] == flat[4] != "+12125550123" and flat[5] == flat[6] != "+353861234567"
+    assert flat[0].startswith("+49") and flat[3].startswith("+1") and flat[5].startswith("+353") and [len(x) for x in out] == [len(x) for x in texts]
+
+
+def feistel(text, key, kind):
+    """The network in plain Python."""
+    start = [48 if "0" <= c <= "9" else 97 if "a" <= c <= "z" else 65 if "A" <= c <= "Z" else None for c in text]
+    radix = [1 if s is None else 10 if s == 48 else 26 for s in start]
+    v = [0 if s is None else ord(c) - s for c, s in zip(text, start, strict=True)]
+    half = len(text) // 2
+    a, b = v[:half], v[half:]
+    for r in range(pseudonyms.ROUNDS):
+        own, other, base = (a, b, 0) if r % 2 == 0 else (b, a, half)
+        seen = hashlib.sha256("|".join([key, kind, str(r), ",".join(map(str, other))]).encode()).hexdigest()
+        new = [(x + int(seen[i * 4 % 60 : i * 4 % 60 + 4], 16)) % radix[base + i] for i, x in enumerate(own)]
+        a, b = (new, b) if r % 2 == 0 else (a, new)
+    return "".join(c if s is None else chr(s + x) for c, s, x in zip(text, start, [*a, *b], strict=True))
+
+
+def test_network_against_plain_python(spark):
+    random.seed(8)
+    texts = ["".join(random.choices("0123456789abcXYZ-. ", k=random.randint(2, 30))) for _ in range(200)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pseudonyms.permuted(F.col("t"), F.lit("k1"), "kind").alias("p")).collect()
+    assert all(r["p"] == feistel(r["t"], "k1", "kind") for r in got)
+    # a card: the network on all digits but the last, then the check digit
+    card = pseudonyms.pseudonymise(spark.createDataFrame([("4111111111111111",)], "text string"), "k1").first()["text"]
+    assert card[:-1] == feistel("411111111111111", "k1", "card")
+    ssn, want = pseudonyms.pseudonymise(spark.createDataFrame([("123-45-6789",)], "text string"), "k1").first()["text"], "123-45-6789"
+    while True:
+        want = feistel(want, "k1", "ssn")
+        if want[:3] not in ("000", "666") and want[0] != "9" and want[4:6] != "00" and want[7:] != "0000":
+            break
+    assert ssn == want
 
 
 def test_ibans_with_letters(spark):
