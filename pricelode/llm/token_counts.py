@@ -1,16 +1,22 @@
 """Token counts by a finite-state transducer compiled from a BPE tokenizer.
 
-The tokenizer works word by word, and blanks separate words; so it is a transducer
-whose state at any place is the word that has begun there. Its transitions over whole
-words lead back to the start state and carry the number of tokens they emit; each is
-compiled from the vocabulary's merges when it is first met, and kept.
-
-A text is cut into chunks of CHUNK characters anywhere. What a chunk does to whatever
-state it is entered in (its state map) has a short form: the text before its first
-blank completes the word that has begun, the words between the blanks emit a fixed
-number of tokens, and the text behind the last blank is the new state. These maps
-compose associatively, so chunks are counted on their own and put together by a
-prefix scan; long texts are spread over tasks, and only maps are shuffled.
+Byte-pair encoding of a word is a finite-state process: two tokens may follow each other
+if merging them by themselves leaves them as they are, and the encoding of a word is the
+one sequence of tokens each pair of which may (so are all its beginnings). The transducer
+reads a word byte by byte. Its state holds the places at which a token may still be open:
+for each the piece of it that was read, the token before it, and the tokens emitted up to
+there. Each transition leads to one state and carries the number of tokens that are now
+settled; the transition over the last byte of a word carries the rest. States and
+transitions are compiled from the merges when they are first met, into tables of numbers;
+a word's path through the tables is kept as one transition of its own.
+
+Blanks lead back to the start state. So a text is cut into chunks of CHUNK characters
+anywhere. What a chunk does to whatever state it is entered in (its state map) has a short
+form: the text before its first blank completes the word that has begun, the words between
+the blanks emit a fixed number of tokens, and the text behind the last blank is the begun
+word (its bytes, as lower case and accents may still change it). These maps compose
+associatively, so chunks are counted on their own and put together by a prefix scan; long
+texts are spread over tasks, and only maps are shuffled.
 
 Counts equal those of the library for a file of this kind: normalizer NFC, blanks,
 lower case; a splitting pattern without blanks; byte-level BPE with a word-end suffix.
@@ -18,7 +24,6 @@ lower case; a splitting pattern without blanks; byte-level BPE with a word-end s
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -31,8 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
-#: Words and pieces of words whose counts a task keeps.
-MEMO = 500_000
+#: Words and pieces of words whose counts a task keeps, and transitions.
+MEMO, TRANSITIONS = 500_000, 2_000_000
+#: Bits of a symbol: a byte, and whether it ends the word.
+SYMBOL = 9
+
+
+WORD_END = "</w>"
 
 
 @dataclass(frozen=True)
@@ -46,6 +56,84 @@ class StateMap:
     tail: bytes
 
 
+class Machine:
+    """The transducer for one word: its states, and transitions with emitted tokens."""
+
+    def __init__(self, merges: list[tuple[str, str]]):
+        self.rank = {m: i for i, m in enumerate(merges)}
+        code = {c: b for b, c in enumerate(byte_letters())}
+        self.spelling = {c + end: [b + (256 if end else 0)] for c, b in code.items() for end in ("", WORD_END)}
+        for a, b in merges:
+            self.spelling[a + b] = self.spelling[a] + self.spelling[b]
+        self.tokens = list(self.spelling)
+        # a tree of all tokens: (node, symbol) -> node; the token that ends at a node, or -1
+        self.tree: dict[int, int] = {}
+        self.ends, self.inner = [-1], [True]
+        for t, token in enumerate(self.tokens):
+            node = 0
+            for s in self.spelling[token]:
+                self.inner[node] = True
+                key, node = node << SYMBOL | s, self.tree.get(node << SYMBOL | s, -1)
+                if node < 0:
+                    node = self.tree[key] = len(self.ends)
+                    self.ends.append(-1)
+                    self.inner.append(False)
+            self.ends[node] = t
+        self.letter = {codes[0]: c for c, codes in self.spelling.items() if len(codes) == 1}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all states but the first one and all transitions."""
+        self.states: list[tuple] = [((0, -1, 0),)]
+        self.number = {self.states[0]: 0}
+        self.table: dict[int, tuple[int, int]] = {}
+
+    def follows(self, before: int, token: int) -> bool:
+        """Whether a token may stand behind another, or (-1) at the beginning."""
+        ok = self.pairs.get((before, token))
+        if ok is None:
+            own = [token] if before < 0 else [before, token]
+            symbols = [self.letter[s] for t in own for s in self.spelling[self.tokens[t]]]
+            ok = self.pairs[before, token] = merged(symbols, self.rank) == [self.tokens[t] for t in own]
+        return ok
+
+    def compiled(self, state: int, symbol: int) -> tuple[int, int]:
+        """The transition from a state over a symbol: next state, tokens emitted."""
+        opened, settled = [], None
+        for node, before, n in self.states[state]:
+            to = self.tree.get(node << SYMBOL | symbol)
+            if to is None:
+                continue
+            t = self.ends[to]
+            if settled is None and t >= 0 and self.follows(before, t):
+                settled = (0, t, n + 1)
+            if self.inner[to]:
+                opened.append((to, before, n))
+        if symbol >= 256:
+            return 0, settled[2]
+        opened.append(settled)
+        least = min(n for _, _, n in opened)
+        new = tuple((node, before, n - least) for node, before, n in opened)
+        if (k := self.number.setdefault(new, len(self.states))) == len(self.states):
+            self.states.append(new)
+        return k, least
+
+    def count(self, word: bytes) -> int:
+        """Tokens of a word (not empty)."""
+        if len(self.table) > TRANSITIONS:
+            self.clear()
+        state, total, last = 0, 0, len(word) - 1
+        for i, b in enumerate(word):
+            symbol = b if i < last else b | 256
+            step = self.table.get(state << SYMBOL | symbol)
+            if step is None:
+                step = self.table[state << SYMBOL | symbol] = self.compiled(state, symbol)
+            state, n = step
+            total += n
+        return total
+
+
 class Transducer(dict):
     """Word (bytes without ASCII blanks) -> number of tokens that it emits."""
 
@@ -54,13 +142,12 @@ class Transducer(dict):
         spec = json.loads(tokenizer_json)
         model, norm, pre = spec["model"], spec["normalizer"], spec["pre_tokenizer"]
         kinds = [n["type"] for n in norm["normalizers"]]
-        if model["type"] != "BPE" or model["end_of_word_suffix"] != "</w>" or kinds != ["NFC", "Replace", "Lowercase"]:
+        if model["type"] != "BPE" or model["end_of_word_suffix"] != WORD_END or kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("this transducer is for byte-level BPE with word ends, NFC and lower case")
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        self.machine = Machine([tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]])
         self.pieces = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"])
         self.special = regex.compile("(" + "|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) + ")")
         self.counted: dict[str, int] = {}
-        self.letters = byte_letters()
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMO:
@@ -81,9 +168,7 @@ class Transducer(dict):
         if n is None:
             if len(self.counted) > MEMO:
                 self.counted.clear()
-            symbols = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
-            symbols[-1] += "</w>"
-            n = self.counted[piece] = (merged_short if len(symbols) <= 40 else merged_long)(symbols, self.rank)
+            n = self.counted[piece] = self.machine.count(piece.encode("utf-8", "surrogatepass"))
         return n
 
     def words(self, text: bytes) -> int:
@@ -123,8 +208,8 @@ def scan(maps: list[StateMap], compose) -> list[StateMap]:
     return out
 
 
-def merged_short(symbols: list[str], rank: dict[tuple[str, str], int]) -> int:
-    """Number of symbols left when the pair of lowest rank, leftmost first, is merged until none has a rank."""
+def merged(symbols: list[str], rank: dict[tuple[str, str], int]) -> list[str]:
+    """What is left when the pair of lowest rank, leftmost first, is merged until none has a rank."""
     none = len(rank)
     while len(symbols) > 1:
         ranks = [rank.get(p, none) for p in zip(symbols, symbols[1:])]  # noqa: B905
@@ -133,34 +218,7 @@ def merged_short(symbols: list[str], rank: dict[tuple[str, str], int]) -> int:
             break
         i = ranks.index(best)
         symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-    return len(symbols)
-
-
-def merged_long(symbols: list[str], rank: dict[tuple[str, str], int]) -> int:
-    """The same in n log n steps."""
-    n = len(symbols)
-    left, right, heap = list(range(-1, n - 1)), [*range(1, n), -1], []
-
-    def offer(i: int) -> None:
-        if i >= 0 and (j := right[i]) >= 0 and (r := rank.get((symbols[i], symbols[j]))) is not None:
-            heapq.heappush(heap, (r, i, symbols[i], symbols[j]))
-
-    for i in range(n - 1):
-        offer(i)
-    alive = n
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = right[i] if symbols[i] == a else -1
-        if j < 0 or symbols[j] != b:
-            continue
-        symbols[i], symbols[j] = a + b, ""
-        right[i] = right[j]
-        if right[j] >= 0:
-            left[right[j]] = i
-        alive -= 1
-        offer(left[i])
-        offer(i)
-    return alive
+    return symbols
 
 
 def byte_letters() -> list[str]:
@@ -188,13 +246,10 @@ def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 2048) -> Dat
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
-    chunks = (
-        docs.select("doc_id", text.alias("text"))
-        .withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / CHUNK) - 1, F.lit(0)).cast("int"))))
-        .select(
-            "doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("n_bytes"), "at",
-            F.when(F.length("text") <= CHUNK, F.col("text")).otherwise(F.col("text").substr(F.col("at") * CHUNK + 1, F.lit(CHUNK))).alias("chunk"),
-        )
+    # one pass over a text cuts all its chunks, and each row takes only its own
+    parts = F.when(F.length("text") <= CHUNK, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    chunks = docs.select("doc_id", text.alias("text")).select(
+        "doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("n_bytes"), F.posexplode(parts).alias("at", "chunk")
     )
 
     def map_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

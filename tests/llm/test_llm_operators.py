@@ -464,6 +464,27 @@ def test_token_counts(spark, docs, none):
     assert token_counts.token_counts(none, spec).count() == 0
 
 
+def test_machine_equals_merging():
+    """Words of common pairs, and tables that are forgotten on the way."""
+    random.seed(6)
+    letters = token_counts.byte_letters()
+    text = lambda n: "".join(random.choices("abc", k=n))
+    merges, parts = [], [x + e for x in "abc" for e in ("", token_counts.WORD_END)]
+    while len(merges) < 60:
+        a, b = random.choice(parts), random.choice(parts)
+        if not a.endswith(token_counts.WORD_END) and (a, b) not in merges and a + b not in parts:
+            merges.append((a, b))
+            parts.append(a + b)
+    machine, rank = token_counts.Machine(merges), {m: i for i, m in enumerate(merges)}
+    for k in range(3000):
+        if k % 1000 == 0:
+            machine.clear()
+        w = text(random.randint(1, 30))
+        symbols = [letters[b] for b in w.encode()]
+        symbols[-1] += token_counts.WORD_END
+        assert machine.count(w.encode()) == len(token_counts.merged(symbols, rank))
+
+
 def test_long_text_in_chunks(spark, monkeypatch):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
