@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: A word with at least 1/FREQUENT of all training tokens is frequent; there are no more than FREQUENT.
-FREQUENT = 20_000
+FREQUENT = 200_000
 #: Distinct words that a counting task holds, texts and characters of an index block, words of a lattice batch.
 HELD, BLOCK_TEXTS, BLOCK_CHARS, WORDS = 400_000, 20_000, 12_000_000, 20_000
 SHIFT, PRIOR = 10.0, 2000.0

@@ -252,52 +252,86 @@ def _step(net: Net, windows: list[list[str]], y: np.ndarray) -> dict[str, np.nda
     return grads
 
 
-def _telling(split: list[list[str]], labels: list[int], q: float) -> tuple[dict[str, int], dict[str, float]]:
-    """Numbers and log odds of the features that tell the labels apart. Counts are kept
-    by hash in arrays, as there are many more features than those that are named."""
-    hashes = [np.unique(np.fromiter((hash(f) for w in set(s) for f in features(w)), np.int64)) for s in split]
-    total, n = np.unique(np.concatenate(hashes), return_counts=True)
-    toxic = np.bincount(np.searchsorted(total, np.concatenate([h for h, label in zip(hashes, labels, strict=True) if label])), minlength=len(total))
-    del hashes
+@dataclass
+class Sample:
+    """Texts as word numbers; of each word the numbers of its features, one word after another."""
+
+    texts: list[np.ndarray]
+    words: list[str]
+    flat: np.ndarray
+    starts: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str]) -> Sample:
+        number: dict[str, int] = {}
+        coded = [np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int32) for t in texts]
+        sizes = np.zeros(len(number) + 1, np.int64)
+
+        def hashes() -> Iterator[int]:
+            for i, w in enumerate(number):
+                own = features(w)
+                sizes[i + 1] = len(own)
+                yield from map(hash, own)
+
+        flat = np.fromiter(hashes(), np.int64)
+        return Sample(coded, list(number), np.unique(flat, return_inverse=True)[1].astype(np.int32), np.cumsum(sizes))
+
+    def features(self, text: int) -> np.ndarray:
+        """Numbers of a text's distinct features."""
+        w = np.unique(self.texts[text])
+        size = self.starts[w + 1] - self.starts[w]
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.unique(self.flat[np.repeat(self.starts[w], size) + within])
+
+
+def _telling(sample: Sample, labels: list[int], q: float) -> tuple[dict[str, int], np.ndarray]:
+    """Numbers of the features that tell the labels apart; for each word of the sample
+    the highest log odds of its features. Counts are kept in arrays, as there are many
+    more features than those that are named."""
+    total = int(sample.flat.max(initial=-1)) + 1
+    n, toxic = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    for i, label in enumerate(labels):
+        own = sample.features(i)
+        n[own] += 1
+        if label:
+            toxic[own] += 1
     far = (n >= LEAST) & (np.abs(toxic - q * n) >= DEVIATIONS * np.sqrt(n * q * (1 - q)))
     ones, zeros = sum(labels), len(labels) - sum(labels)
-    value = np.log((toxic[far] + 0.5) / (ones + 1)) - np.log((n[far] - toxic[far] + 0.5) / (zeros + 1))
-    by_hash = dict(zip(total[far].tolist(), value.tolist(), strict=True))
-    odds = {f: by_hash[hash(f)] for s in split for w in set(s) for f in features(w) if hash(f) in by_hash}
-    return {f: i for i, f in enumerate(sorted(odds))}, odds
+    odds = np.where(far, np.log((toxic + 0.5) / (ones + 1)) - np.log((n - toxic + 0.5) / (zeros + 1)), 0.0)
+    telling = np.logical_or.reduceat(far[sample.flat], sample.starts[:-1])
+    names = {f for i in np.flatnonzero(telling) for f, k in zip(features(sample.words[i]), sample.flat[sample.starts[i] : sample.starts[i + 1]], strict=True) if far[k]}
+    return {f: i for i, f in enumerate(sorted(names))}, np.maximum.reduceat(odds[sample.flat], sample.starts[:-1])
 
 
 def train(texts: list[str], labels: list[int], seed: int = 8, rounds: int = 3, epochs: int = 2, batch: int = 128, rate: float = 0.02) -> Net:
     """A network fitted to the texts; one that gives the share of label 1 to every
     text if there is only one label."""
     y = np.array(labels, np.float32)
-    split = [tokens(t) for t in texts]
     if not len(y) or y.min() == y.max():
         return Net({}, {}, float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    q = float(y.mean())
-    index, odds = _telling(split, labels, q)
+    sample = Sample.of(texts)
+    if not sample.words:
+        return Net({}, {}, float(y.mean()))
+    index, value = _telling(sample, labels, float(y.mean()))
     net = Net.fresh(index, rng)
-    value: dict[str, float] = {}
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for r in range(rounds):
         if r:
-            found = Scorer(net).window_logits(texts)
+            scorer = Scorer(net)
+            found = [z for lo in range(0, len(texts), 64) for z in scorer.window_logits(texts[lo : lo + 64])]
         chosen: list[tuple[list[str], float]] = []
-        for i, s in enumerate(split):
-            at = list(starts(len(s))) if s else []
-            if not at:
+        for i, s in enumerate(sample.texts):
+            if not len(s):
                 continue
+            at = list(starts(len(s)))
             if r:
                 z = found[i]
             else:
-                for w in s:
-                    if w not in value:
-                        value[w] = max((odds.get(f, 0.0) for f in features(w)), default=0.0)
-                z = np.array([max(value[w] for w in s[a : a + WIDTH]) for a in at])
+                z = np.array([value[s[a : a + WIDTH]].max() for a in at])
             picks = {int(z.argmax())} if y[i] else {int(z.argmax()), int(rng.integers(0, len(at)))}
-            chosen += [(s[at[j] : at[j] + WIDTH], y[i]) for j in picks]
+            chosen += [([sample.words[w] for w in s[at[j] : at[j] + WIDTH]], y[i]) for j in picks]
         for _ in range(epochs):
             order = rng.permutation(len(chosen))
             for lo in range(0, len(order), batch):

@@ -241,6 +241,37 @@ def test_lattice_scores(docs, none):
     assert lattice.lattice_scores(none, [("a", 0.0)]).count() == 0
 
 
+def test_lattice_document_scores(spark):
+    """The whole model by listing all segmentations: two rounds of expected counts, then scores."""
+    pieces = [("▁", -1.0), ("▁al", -2.0), ("pha", -3.0), ("a", -4.0), ("e", -5.0), ("▁b", -6.0), ("et", -7.0), ("ta", -8.0), ("l", -9.0), ("ph", -10.0), ("t", -11.0)]
+    rows = [(1, "alpha beta"), (2, "Beta betal alpha alpha"), (3, None), (4, "xé tal"), (5, "")]
+    lat = lattice.Lattice(pieces)
+    p = prior = lat.prior()
+
+    def paths(s):
+        if not s:
+            return [[]]
+        out = [[k, *rest] for piece, k in lat.number.items() if s.startswith(piece) for rest in paths(s[len(piece) :])]
+        if s[0] not in lat.number:
+            out += [[*(lat.byte0 + b for b in s[0].encode()), *rest] for rest in paths(s[1:])]
+        return out
+
+    words = Counter(w.lower() for _, t in rows for w in (t or "").split())
+    all_paths = {w: paths("▁" + w) for w in words}
+    for _ in range(2):
+        soft = prior * lattice.PRIOR
+        soft[lat.end] += len(rows)
+        for w, n in words.items():
+            weight = np.array([np.prod(p[x]) for x in all_paths[w]])
+            for x, share in zip(all_paths[w], weight / weight.sum(), strict=True):
+                np.add.at(soft, x, n * share)
+        p = soft / soft.sum()
+    word = {w: math.log10(sum(np.prod(p[x]) for x in all_paths[w])) for w in words}
+    want = {i: sum(word[w.lower()] for w in (t or "").split()) + math.log10(p[lat.end]) for i, t in rows}
+    got = {r["doc_id"]: r["score"] for r in lattice.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string"), pieces, train="true").collect()}
+    assert got == pytest.approx(want)
+
+
 def test_lattice_equal_partitions(spark):
     pieces = [("▁", -1.0), ("▁al", -2.0), ("pha", -3.0), ("a", -4.0), ("e", -5.0)]
     one = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (None, "")], "doc_id long, text string").coalesce(1)
