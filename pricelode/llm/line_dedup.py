@@ -132,16 +132,16 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
         .select(F.col("x.h").alias("line"), _words(F.get("all", F.col("x.at"))).alias("w"))
         .dropDuplicates(["line"])
     )
-    part = connected_components(_near_links(near))
-    grouped = distinct.select("h", "h2", "place", "n").join(part.withColumnRenamed("node", "h"), "h", "left")
+    part = cut(connected_components(_near_links(near)).withColumnRenamed("node", "h"))
+    grouped = distinct.join(small(part, 16), "h", "left")
     first = cut(grouped.where("component is not null").groupBy("component").agg(F.min("place").alias("first")))
-    keepers = grouped.join(first, "component", "left").select("h", "h2", "n", "place", F.coalesce("first", "place").alias("first"))
-    keepers = keepers.where((F.col("n") > 1) | (F.col("place") != F.col("first"))).select("h", "h2", "first")
+    keepers = grouped.join(small(first, 48), "component", "left").select("h", "h2", "n", "place", F.coalesce("first", "place").alias("first"))
+    keepers = cut(keepers.where((F.col("n") > 1) | (F.col("place") != F.col("first"))).select("h", "h2", "first"))
     gone = (
-        lines.select("h", "h2", "place").join(keepers, ["h", "h2"]).where(F.col("place") != F.col("first"))
+        lines.select("h", "h2", "place").join(small(keepers, 64), ["h", "h2"]).where(F.col("place") != F.col("first"))
         .groupBy("place.doc_id", "place.doc_hash").agg(F.array_sort(F.collect_set("place.at")).alias("gone"))
     )
-    g = _small_lists(gone, "gone", 4).alias("g")
+    g = gone.alias("g")
     rows = docs.withColumn("__hash", F.xxhash64("text")).alias("d")
     # the runs of lines between those that go; the one-element transform splits the text once
     before, after = F.concat(F.array(F.lit(-1)), F.col("__gone")), lambda n: F.concat(F.col("__gone"), F.array(n))
