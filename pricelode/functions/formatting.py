@@ -54,7 +54,7 @@ def affiliate_url(asin: Column, country: Column, tag: Column) -> Column:
 
 def tracked_url(url: Column, campaign: str) -> Column:
     """A listing's address wrapped in the market's tracking redirect."""
-    return F.concat(F.lit(f"https://rover.ebay.com/rover/1/707-53477-19255-0/1?campid={campaign}&toolid=10001&mpre="), F.url_encode(url))
+    return F.concat(F.lit(f"https://rover.ebay.com/rover/1/{campaign}/1?mpre="), F.url_encode(url))
 
 
 def redirect_path(slug: Column) -> Column:

@@ -67,69 +67,68 @@ def parse_price(c: Column) -> Column:
     return parse_float_prefix(F.when(comma_last, german).otherwise(F.replace(kept, F.lit(","), F.lit(""))))
 
 
-# Category rules over the lower-case sub-category, the first hit wins.
-# (category, any of these, none of these, all of these)
+# Category rules, the first hit wins: (category, test, words, none of these).
+# sub: any of the words is in the lower-case sub-category; both: all of them are; begins: it
+# begins with one; root: one is in the root category; root_is: one is the root category.
 CATEGORY_RULES = [
-    ("notebooks", ["normale laptops", "notebooks", "macbooks"], []),
-    ("gpu", ["grafikkarten"], []),
-    ("cpu", ["prozessoren", "cpus"], []),
-    ("monitors", ["monitore"], []),
-    ("keyboards", ["tastaturen"], []),
-    ("mice", ["mäuse", "mice"], []),
-    ("tablets", ["tablets"], []),
-    ("routers", ["router"], []),
-    ("3d-drucker", ["3d-drucker", "3d-druck"], []),
-    ("laserdrucker", ["laser"], []),
-    ("multifunktionsdrucker", ["drucker", "inkjet", "tintenstrahl", "multifunktions", "all-in-one"], []),
-    ("systemkameras", ["systemkamera"], []),
-    ("kompaktkameras", ["kompaktkamera"], []),
-    ("cameras", ["spiegelreflex", "kamera", "camera", "photo"], []),
-    ("smartphones", ["handy", "smartphone"], []),
-    ("smartwatches", ["watch", "uhr"], []),
-    ("ssds", ["solid state drives", "ssd"], ["extern"]),
-    ("hard-drives", ["festplatten"], ["extern"]),
-    ("hard-drives", ["interner speicher+festplatten"], []),
-    ("external-storage", ["externe datenspeicher", "externe festplatten", "externe solid state drives", "externer speicher"], []),
-    ("headphones", ["headphones", "kopfhörer", "ohrhörer", "headset"], []),
-    ("tvs", ["fernseher", "tvs", "tv-geräte"], []),
-    ("ram", ["arbeitsspeicher", "ram"], []),
-    ("speakers", ["lautsprecher", "speakers"], []),
-    ("consoles", ["konsolen", "consoles"], []),
-    ("consoles", ["root:=Games", "^games"], []),
-    ("power-supplies", ["netzteile", "psu"], []),
-    ("pc-cases", ["gehäuse", "cases"], []),
-    ("motherboards", ["mainboards", "motherboards"], []),
-    ("cpu-coolers", ["lüfter", "kühler", "coolers"], []),
-    ("staubsauger", ["staubsauger"], []),
-    ("kuechenmaschinen", ["küchenmaschinen"], []),
+    ("notebooks", "sub", ["normale laptops", "notebooks", "macbooks"], []),
+    ("gpu", "sub", ["grafikkarten"], []),
+    ("cpu", "sub", ["prozessoren", "cpus"], []),
+    ("monitors", "sub", ["monitore"], []),
+    ("keyboards", "sub", ["tastaturen"], []),
+    ("mice", "sub", ["mäuse", "mice"], []),
+    ("tablets", "sub", ["tablets"], []),
+    ("routers", "sub", ["router"], []),
+    ("3d-drucker", "sub", ["3d-drucker", "3d-druck"], []),
+    ("laserdrucker", "sub", ["laser"], []),
+    ("multifunktionsdrucker", "sub", ["drucker", "inkjet", "tintenstrahl", "multifunktions", "all-in-one"], []),
+    ("systemkameras", "sub", ["systemkamera"], []),
+    ("kompaktkameras", "sub", ["kompaktkamera"], []),
+    ("cameras", "sub", ["spiegelreflex", "kamera", "camera", "photo"], []),
+    ("smartphones", "sub", ["handy", "smartphone"], []),
+    ("smartwatches", "sub", ["watch", "uhr"], []),
+    ("ssds", "sub", ["solid state drives", "ssd"], ["extern"]),
+    ("hard-drives", "sub", ["festplatten"], ["extern"]),
+    ("hard-drives", "both", ["interner speicher", "festplatten"], []),
+    ("external-storage", "sub", ["externe datenspeicher", "externe festplatten", "externe solid state drives", "externer speicher"], []),
+    ("headphones", "sub", ["headphones", "kopfhörer", "ohrhörer", "headset"], []),
+    ("tvs", "sub", ["fernseher", "tvs", "tv-geräte"], []),
+    ("ram", "sub", ["arbeitsspeicher", "ram"], []),
+    ("speakers", "sub", ["lautsprecher", "speakers"], []),
+    ("consoles", "sub", ["konsolen", "consoles"], []),
+    ("consoles", "root_is", ["Games"], []),
+    ("consoles", "begins", ["games"], []),
+    ("power-supplies", "sub", ["netzteile", "psu"], []),
+    ("pc-cases", "sub", ["gehäuse", "cases"], []),
+    ("motherboards", "sub", ["mainboards", "motherboards"], []),
+    ("cpu-coolers", "sub", ["lüfter", "kühler", "coolers"], []),
+    ("staubsauger", "sub", ["staubsauger"], []),
+    ("kuechenmaschinen", "sub", ["küchenmaschinen"], []),
     (
         "speicherkarten",
+        "sub",
         ["speicherkarten", "micro sd", "sdhc", "sdxc", "memory card", "cfexpress", "compactflash", "compact flash", "securedigital", "sd card", "sd-karte"],
         [],
     ),
-    ("computer", ["root:Computer", "computer"], []),
+    ("computer", "root", ["Computer"], []),
+    ("computer", "sub", ["computer"], []),
 ]
 
 
 def map_category(root: Column, sub: Column, rules: list = CATEGORY_RULES) -> Column:
-    """Category of a feed row; null if no rule holds. A rule's entries are pieces of the
-    lower-case sub-category; a+b needs both, ^x a beginning, root:x a piece of the root
-    and root:=x the root itself."""
-    low = F.lower(F.coalesce(sub, F.lit("")))
-    root = F.coalesce(root, F.lit(""))
-
-    def hit(x: str) -> Column:
-        if x.startswith("root:="):
-            return root == x[6:]
-        if x.startswith("root:"):
-            return root.contains(x[5:])
-        if x.startswith("^"):
-            return low.startswith(x[1:])
-        return reduce(lambda a, b: a & b, [low.contains(p) for p in x.split("+")])
-
+    """Category of a feed row; null if no rule holds."""
+    low, root = F.lower(F.coalesce(sub, F.lit(""))), F.coalesce(root, F.lit(""))
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+    tests = {
+        "sub": lambda words: contains_any(low, words),
+        "both": lambda words: reduce(lambda a, b: a & b, [low.contains(w) for w in words]),
+        "begins": lambda words: any_of([low.startswith(w) for w in words]),
+        "root": lambda words: contains_any(root, words),
+        "root_is": lambda words: any_of([root == w for w in words]),
+    }
     out = F.lit(None).cast("string")
-    for name, any_of, none_of in reversed(rules):
-        ok = reduce(lambda a, b: a | b, map(hit, any_of))
+    for name, test, words, none_of in reversed(rules):
+        ok = tests[test](words)
         if none_of:
             ok = ok & ~contains_any(low, none_of)
         out = F.when(ok, name).otherwise(out)
@@ -151,7 +150,7 @@ def first_filled(*columns: Column) -> Column:
 
 
 def condition_of(title: Column, condition: Column) -> Column:
-    marked = contains_any(title, ["Generalüberholt", "Renewed", "Refurbished", "generalüberholt", "renewed", "refurbished"])
+    marked = contains_any(title, ["Generalüberholt", "Renewed", "Refurbished", "generalüberholt", "renewed", "refurbished", "erneuert"])
     return F.when(F.coalesce(marked, F.lit(False)), "Used").otherwise(F.coalesce(filled(condition), F.lit("New")))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from .listing import best_deals, diverse_popular, new_arrivals
+from ..functions.semantics import filled
+from .listing import best_deals, diverse_popular, new_arrivals, only_new
 
 
 @dataclass(frozen=True)
@@ -18,34 +19,38 @@ class Options:
     per_category: int = 1
     min_price: float = 0.0
     needs_discount: bool = False
-    sort: str = "score"  # score, discount or quality
+    sort: str = "quality"  # quality (the score), revenue or discount
 
 
 def gated(rows: DataFrame, o: Options) -> DataFrame:
-    """Candidates that pass the gates, with discount and score (landing context)."""
+    """Candidates that pass the gates, with discount, revenue and score (landing context).
+    An image is asked for where the rows have a column for it. Cheap products of low score
+    only pass as deals."""
     price, ref = F.col("price"), M.reference_price(F.col("price_avg_90"), F.col("price_avg_30"))
     score = M.desirability(price, F.col("title"), F.col("brand"), F.col("category"), F.col("monthly_sold"), F.col("sales_rank"), F.col("rating"), F.col("review_count"), "landing")
     rows = rows.where((F.col("condition") == "New") & (price >= o.min_price) & (price > 0)).withColumn("discount", F.coalesce(M.discount_rate(price, ref), F.lit(0.0)))
-    rows = rows.withColumn("score", score["score"] + F.when(F.col("discount") >= 20, 2 * F.col("discount")).otherwise(0)).withColumn("quality", score["quality"])
-    if o.needs_discount:
-        rows = rows.where("discount > 0")
-    return rows.where(~((price < 50) & (F.col("score") < 100)))
+    rows = rows.withColumn("score", score["score"] + F.when(F.col("discount") >= 20, 2 * F.col("discount")).otherwise(0)).withColumn("revenue", score["revenue"])
+    if "image_url" in rows.columns:
+        rows = rows.where(filled(F.col("image_url")).isNotNull())
+    return rows.where("discount > 0" if o.needs_discount else ~((price < 50) & (F.col("score") < 100)))
 
 
 def greedy(rows: DataFrame, o: Options, group: str = "country") -> DataFrame:
     """In falling order of the sort key: at most one of a parent group, `per_category`
     of a category, `items` in all; an item passed over for its category doesn't use up
     its parent. One group's candidates are the bounded pools of the caller."""
-    keys = {"score": ["score"], "discount": ["discount", "score"], "quality": ["quality", "score"]}[o.sort]
+    keys = {"quality": ["score"], "discount": ["discount", "score"], "revenue": ["revenue", "score"]}[o.sort]
     schema = f"{group} string, id long, asin string, place int"
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
-        seen, used, out = set(), {}, []
+        seen, parents, used, out = set(), set(), {}, []
         for r in g.sort_values([*keys, "id"], ascending=[False] * len(keys) + [True]).itertuples():
-            parent = r.parent_asin if isinstance(r.parent_asin, str) and r.parent_asin else r.asin
-            if r.asin in seen or parent in seen or used.get(r.category, 0) >= o.per_category:
+            parent = r.parent_asin if isinstance(r.parent_asin, str) and r.parent_asin else None
+            if r.asin in seen or parent in parents or used.get(r.category, 0) >= o.per_category:
                 continue
-            seen |= {r.asin, parent}
+            seen.add(r.asin)
+            if parent:
+                parents.add(parent)
             used[r.category] = used.get(r.category, 0) + 1
             out.append((getattr(r, group), r.id, r.asin, len(out) + 1))
             if len(out) == o.items:
@@ -64,30 +69,26 @@ def by_parent(rows: DataFrame, o: Options) -> DataFrame:
 
 
 SECTIONS = [
-    ("hero", Options(5, 1, 200.0)), ("bestsellers", Options(10)), ("deals", Options(10, 2, 0.0, True, "discount")), ("arrivals", Options(12, 2)),
+    ("hero", Options(5, 1, 200.0, sort="revenue")), ("bestsellers", Options(10)), ("deals", Options(10, 2, needs_discount=True)), ("arrivals", Options(12, 2)),
 ]
 
 
 def home_sections(products: DataFrame, prices: DataFrame, country: str, created: str = "created_at", sections: list = SECTIONS) -> DataFrame:
     """section, id, asin, place. Each section draws on its pool (deals 80, 15 a category,
-    newest 60) without what earlier sections show, parents included."""
+    newest 60 new ones) without what earlier sections show: not the same product, and no
+    other one of the same parent. Products and parents are told apart."""
     p = prices.where(F.col("country") == country).withColumn("price", M.effective_price(F.col("amazon_price"), F.col("new_price"), F.col("used_price")))
     # pools hold at most 80, 15 a category, and 60 rows
     priced = lambda pool: p.join(F.broadcast(pool.select("id")), F.col("product_id") == F.col("id")).drop("id").join(products, F.col("product_id") == products["id"])
-    deals, popular, fresh = best_deals(products, prices, country, 80).select("id"), diverse_popular(products, 15).select("id"), new_arrivals(products, 60, created).select("id")
+    deals, popular, fresh = best_deals(products, prices, country, 80).select("id"), diverse_popular(products, 15).select("id"), new_arrivals(only_new(products), 60, created).select("id")
     pools = {"hero": popular, "bestsellers": popular, "deals": deals, "arrivals": fresh}
     shown, out = None, []
     for name, o in sections:
         rows = gated(priced(pools[name]), o)
         if shown is not None:
-            gone = F.broadcast(shown)
-            rows = rows.join(gone, rows["asin"] == gone["key"], "left_anti").join(gone, rows["parent_asin"] == gone["key"], "left_anti")
-        # a few rows a section; later sections read them again and again
-        picked = greedy(rows, o).withColumn("section", F.lit(name)).persist()
-        out.append(picked)
-        keys = picked.join(products.select("id", "parent_asin"), "id").select(F.explode(F.array("asin", "parent_asin")).alias("key")).where("key is not null")
-        shown = keys if shown is None else shown.union(keys)
-    first, *rest = out
-    for r in rest:
-        first = first.union(r)
-    return first.select("section", "id", "asin", "place")
+            rows = rows.where(~F.col("asin").isin(shown[0]) & ~F.coalesce(filled(F.col("parent_asin")).isin(shown[1]), F.lit(False)))
+        # at most `items` rows a country: they come to the driver, and later sections leave them out by name
+        picked = greedy(rows, o).alias("g").join(products.select("id", "parent_asin"), "id").collect()
+        out += [(name, r["id"], r["asin"], r["place"]) for r in picked]
+        shown = ([*(shown or ([], []))[0], *(r["asin"] for r in picked)], [*(shown or ([], []))[1], *(r["parent_asin"] for r in picked if r["parent_asin"])])
+    return products.sparkSession.createDataFrame(out, "section string, id long, asin string, place int")

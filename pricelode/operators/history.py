@@ -62,7 +62,7 @@ def latest_history(history: DataFrame, tie: list[str] = ("price",)) -> DataFrame
 
 def snapshot_history(prices: DataFrame, history: DataFrame, as_of: Column, hours: int = 23) -> DataFrame:
     """New points at as_of: the main price (amazon, else new) unless its type was
-    recorded within `hours`, and with it the used price."""
+    recorded within `hours`, and with it the used and the warehouse price."""
     main = F.when(F.col("amazon_price").isNotNull(), F.struct(F.lit("amazon").alias("price_type"), F.col("amazon_price").alias("price"))).otherwise(
         F.struct(F.lit("new").alias("price_type"), F.col("new_price").alias("price"))
     )
@@ -71,7 +71,8 @@ def snapshot_history(prices: DataFrame, history: DataFrame, as_of: Column, hours
         prices.withColumn("main", main).where("main.price > 0").withColumn("price_type", F.col("main.price_type")).join(last, [*KEY, "price_type"], "left")
         .where(F.col("last").isNull() | (F.col("last").cast("timestamp") < as_of - F.make_dt_interval(hours=F.lit(hours))))
     )
-    rows = F.array(F.col("main"), F.when(F.col("used_price") > 0, F.struct(F.lit("used").alias("price_type"), F.col("used_price").alias("price"))))
+    extra = [(t, c) for t, c in (("used", "used_price"), ("warehouse", "warehouse_price")) if c in prices.columns]
+    rows = F.array(F.col("main"), *[F.when(F.col(c) > 0, F.struct(F.lit(t).alias("price_type"), F.col(c).alias("price"))) for t, c in extra])
     return due.select(*KEY, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select(*KEY, "x.*", as_of.alias("recorded_at"))
 
 

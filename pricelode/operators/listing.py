@@ -61,7 +61,7 @@ def by_brand(df: DataFrame, brand: str, exclude: str | None = None) -> DataFrame
 
 def only_new(df: DataFrame) -> DataFrame:
     low = F.lower("title")
-    return df.where((F.col("condition") == "New") & ~(low.contains("renewed") | low.contains("refurbished") | low.contains("generalüberholt")))
+    return df.where((F.col("condition") == "New") & ~(low.contains("renewed") | low.contains("refurbished") | low.contains("generalüberholt") | low.contains("erneuert")))
 
 
 def deal_candidates(rows: DataFrame) -> DataFrame:
@@ -91,6 +91,15 @@ def most_popular(products: DataFrame, k: int) -> DataFrame:
     return products.orderBy(*popularity(), F.desc_nulls_last("rating"), "id").limit(k)
 
 
+def fallback_search(products: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+    """query_id, id, place: for each query (query_id, query) the first k products by id whose
+    title holds any of its words. The table of words is small by nature."""
+    words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower(F.trim("query")), r"\s+"))).alias("word")).where("word <> ''")
+    hits = products.select("id", F.lower("title").alias("low")).join(F.broadcast(words), F.col("low").contains(F.col("word")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
+    return hits.select("query_id", "id").distinct().withColumn("place", place).where(F.col("place") <= k)
+
+
 def new_arrivals(products: DataFrame, k: int, created: str = "created_at") -> DataFrame:
     return products.orderBy(F.desc_nulls_last(created), "id").limit(k)
 
@@ -160,11 +169,12 @@ def hub_counts(rows: DataFrame, categories: DataFrame, rollup: bool = False) ->
 
 
 def unit_badges(df: DataFrame, by: str) -> DataFrame:
-    """badge: Best Price at the lowest unit price, Good Deal below 0.85 of the average."""
-    w = Window.partitionBy(by)
+    """badge: Best Price at the lowest unit price, Good Deal below 0.85 of the average. A
+    category's two figures are partial aggregates joined back, no window over all of it."""
     u = F.col("unit_price")
-    badge = F.when(u == F.min(u).over(w), "Best Price").when(u < 0.85 * F.avg(u).over(w), "Good Deal")
-    return df.withColumn("badge", badge)
+    figures = df.groupBy(by).agg(F.min(u).alias("_low"), F.avg(u).alias("_mean"))
+    badge = F.when(u == F.col("_low"), "Best Price").when(u < 0.85 * F.col("_mean"), "Good Deal")
+    return df.join(figures, by, "left").withColumn("badge", badge).drop("_low", "_mean")
 
 
 def price_range(df: DataFrame) -> DataFrame:
@@ -173,7 +183,7 @@ def price_range(df: DataFrame) -> DataFrame:
 
 
 def rank_offers(offers: DataFrame) -> DataFrame:
-    """place by total price (price and shipping), the best first."""
+    """place by price, the best first (merchant on ties); and the total with shipping."""
     total = F.col("price") + F.coalesce("shipping_cost", F.lit(0.0))
     order = Window.partitionBy("product_id").orderBy("price", "merchant_name")
     return offers.withColumn("total_price", total).withColumn("place", F.row_number().over(order))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import cents_to_price, map_availability, map_ebay_condition, map_paapi_condition
+from ..functions.normalize import map_availability, map_ebay_condition, map_paapi_condition
 from ..functions.semantics import filled
 
 
@@ -56,6 +56,11 @@ def feed_offers(feed: DataFrame) -> DataFrame:
     return feed.select("asin", F.explode(offers).alias("o")).select("asin", "o.*")
 
 
+def best_offer(offers: DataFrame) -> DataFrame:
+    """asin, price, merchant of the offer that counts: the new one."""
+    return offers.where("condition = 'new'").select("asin", "price", "merchant")
+
+
 def ebay_products(items: DataFrame) -> DataFrame:
     return items.select(
         F.concat(F.lit("ebay-"), "item_id").alias("id"), "title", "image_url", "url", "price", "shipping_cost",
@@ -75,6 +80,3 @@ def static_products(items: DataFrame, country: str) -> DataFrame:
         F.col("asin").alias("id"), "title", "brand", F.col("image").alias("image_url"), F.col("prices").getField(country).cast("double").alias("price"), F.lit("static").alias("source")
     )
 
-
-def price_of(cents: Column) -> Column:
-    return cents_to_price(cents)

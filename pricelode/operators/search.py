@@ -26,17 +26,22 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     each term, of two letters or more, it has a token that begins with it.
 
     Each token stands in the index under its beginnings; a term is an equi-join on its
-    first LONGEST letters. The query side is small by nature and Spark may broadcast it.
+    first LONGEST letters, made once for each distinct term. Only the documents of a
+    query's rarest term are looked up for its other terms, so a word that most documents
+    share costs a query no more than a rare one.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).where(F.length("term") >= SHORTEST)
     n_terms = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     n_docs, mean = index.select("doc", "length").distinct().agg(F.count("*"), F.avg("length")).first()
     grams = F.sequence(F.lit(SHORTEST), F.least(F.length("token"), F.lit(LONGEST)))
     edges = index.where(F.length("token") >= SHORTEST).select("*", F.explode(grams).alias("n")).withColumn("gram", F.col("token").substr(F.lit(1), F.col("n")))
-    hits = edges.join(terms.withColumn("gram", F.col("term").substr(1, LONGEST)), "gram").where(F.col("token").startswith(F.col("term")))
-    found = hits.groupBy("query_id", "term", "doc", "length").agg(F.sum("tf").alias("tf"))
-    df = found.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    rows = found.join(df, ["query_id", "term"])
+    asked = terms.select("term").distinct().withColumn("gram", F.col("term").substr(1, LONGEST))
+    hits = edges.join(asked, "gram").where(F.col("token").startswith(F.col("term")))
+    found = hits.groupBy("term", "doc", "length").agg(F.sum("tf").alias("tf"))
+    known = terms.join(found.groupBy("term").agg(F.count("*").alias("df")), "term")
+    rarest = known.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    candidates = rarest.join(found.select("term", "doc"), "term").select("query_id", "doc")
+    rows = candidates.join(known, "query_id").join(found, ["term", "doc"])
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean or 1.0)))
     scored = rows.groupBy("query_id", "doc").agg(F.sum(part).alias("score"), F.count("*").alias("terms")).join(n_terms, "query_id").where("terms = n_terms")

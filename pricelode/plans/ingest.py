@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, normalize
-from ..functions.semantics import filled
+from ..functions.semantics import filled, first_nonzero
 from ..operators import catalog, history
 from ..sources.writers import upsert
 
@@ -43,8 +43,9 @@ def feed_csv_products(feed: DataFrame) -> DataFrame:
         (F.to_json(normalize.collect_specs(some(SPECS))) if some(SPECS) else F.lit("{}")).alias("specifications"),
         *[normalize.parse_price(col(c)).alias(n) for n, c in (
             ("amazon_price", "Amazon: Current"), ("new_price", "New: Current"), ("used_price", "Used: Current"), ("warehouse_price", "Warehouse Deals: Current"),
-            ("list_price", "List Price: Current"), ("price_avg_90", "Amazon: 90 days avg."),
+            ("list_price", "List Price: Current"),
         )],
+        *[first_nonzero(normalize.parse_price(col(f"Amazon: {d} days avg.")), normalize.parse_price(col(f"New: {d} days avg."))).alias(f"price_avg_{d}") for d in (30, 90)],
         F.col("_place") if "_place" in feed.columns else F.monotonically_increasing_id().alias("_place"),
     )
     rows = last_by_place(rows.where("category is not null"), "asin", "_place").drop("_place")
@@ -52,32 +53,86 @@ def feed_csv_products(feed: DataFrame) -> DataFrame:
     return rows.withColumn("slug", slug)
 
 
+IMAGES = "https://images-na.ssl-images-amazon.com/images/I/"
+
+
 def feed_json_products(feed: DataFrame) -> DataFrame:
     """Catalogue rows of feed products with prices, rank, averages and category."""
     d = normalize.decode_stats(feed)
+    image = filled(F.split_part("imagesCSV", F.lit(","), F.lit(1)))
+    at = lambda c, i: normalize.cents_to_price(F.get(c, F.lit(i)))
     return d.select(
         "asin", normalize.first_filled(F.col("title"), F.col("asin")).alias("title"), normalize.first_filled(F.col("brand"), F.col("manufacturer")).alias("brand"),
-        F.get("eanList", F.lit(0)).alias("gtin"), F.lit("hard-drives").alias("category"), filled(F.split_part("imagesCSV", F.lit(","), F.lit(1))).alias("image_url"),
+        F.coalesce(F.get("eanList", F.lit(0)), F.get("upcList", F.lit(0))).alias("gtin"), filled(F.col("mpn")).alias("mpn"), F.lit("hard-drives").alias("category"),
+        F.concat(F.lit(IMAGES), image).alias("image_url"), F.to_json("features").alias("features"), "description",
         F.coalesce("sales_rank", normalize.latest_rank(F.col("salesRanks"))).alias("sales_rank"), "rating", "review_count", F.col("monthlySold").alias("monthly_sold"),
         filled(F.col("parentAsin")).alias("parent_asin"), "amazon_price", "new_price", "used_price", "warehouse_price", "list_price",
-        normalize.cents_to_price(F.get("stats.avg90", F.lit(0))).alias("price_avg_90"),
-        metrics.sync_price(F.col("amazon_price"), F.col("new_price"), normalize.cents_to_price(F.get("stats.avg90", F.lit(1)))).alias("price"),
+        at("stats.avg30", 0).alias("price_avg_30"), at("stats.avg90", 0).alias("price_avg_90"),
+        normalize.minmax_price(F.get("stats.min", F.lit(0))).alias("price_min"), normalize.minmax_price(F.get("stats.max", F.lit(0))).alias("price_max"),
+        metrics.sync_price(F.col("amazon_price"), F.col("new_price"), at("stats.avg90", 1)).alias("price"),
     )
 
 
+def with_ids(new: DataFrame, products: DataFrame, parts: int = 64) -> DataFrame:
+    """`new` (asin, ...) with id: the product's own, or one above all that there are. Fresh
+    ids are numbered within parts of the ASINs, so no task sees all of them, and reruns agree."""
+    top = products.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    known = new.join(products.select("asin", "id"), "asin", "left")
+    part = F.pmod(F.xxhash64("asin"), F.lit(parts))
+    n = F.row_number().over(Window.partitionBy(part).orderBy("asin"))
+    fresh = known.where("id is null").withColumn("id", (F.lit(top) + 1 + (n - 1) * parts + part).cast("long"))
+    return known.where("id is not null").unionByName(fresh)
+
+
+def _upserted(products: DataFrame, new: DataFrame, kept: tuple[str, ...]) -> DataFrame:
+    """products after `new`, which brings ids; columns of `kept` stay on known products."""
+    cols = [c for c in new.columns if c in products.columns]
+    return upsert(products, new.select(*cols), ["asin"], [c for c in cols if c not in ("asin", "id", *kept)])
+
+
 def sync_feed(feed: DataFrame, products: DataFrame, prices: DataFrame, country: str, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """products and prices after the feed, and the history rows that it adds. On a known
-    product slug and category stay."""
-    new = feed_json_products(feed).dropDuplicates(["asin"])
-    cols = [c for c in new.columns if c in products.columns and c not in ("asin", "slug", "category")]
-    after = upsert(products, new.select("asin", *[c for c in new.columns if c in products.columns and c != "asin"]), ["asin"], cols)
-    matched = catalog.match_feed(new.drop("product_id"), products).withColumns({"country": F.lit(country), "last_updated": as_of})
-    price_cols = [c for c in matched.columns if c in prices.columns]
-    prices_after = upsert(prices, matched.select(*price_cols), ["product_id", "country"], [c for c in price_cols if c not in ("product_id", "country")])
-    added = matched.where("price > 0").select("product_id", "country", "price", metrics.buyable_type(F.col("amazon_price")).alias("price_type"), as_of.alias("recorded_at"))
+    """products and prices after the feed, and the history rows that it adds.
+
+    Of several rows of one ASIN the last updated counts. A new product gets an id and a
+    slug; on a known one slug, category and parent stay. A product without any price (its
+    own, new, or the average of new ones) gets neither a price nor a history row.
+    """
+    last = F.max_by(F.struct(*[F.col(c) for c in feed.columns]), F.coalesce(F.col("lastUpdate"), F.lit(0).cast("long")))
+    new = feed_json_products(feed.groupBy("asin").agg(last.alias("r")).select("r.*"))
+    none = F.lit(None).cast("string")
+    slug = normalize.product_slug(F.col("title"), F.col("brand"), F.col("asin"), none.cast("double"), none)
+    new = with_ids(new, products).withColumn("slug", slug).withColumn("updated_at", as_of)
+    after = _upserted(products, new, ("slug", "category", "parent_asin"))
+    priced = new.where("price is not null").withColumns({"product_id": F.col("id"), "country": F.lit(country), "last_updated": as_of})
+    cols = ["product_id", "country", "amazon_price", "new_price", "used_price", "list_price", "price_min", "price_max", "price_avg_30", "last_updated"]
+    cols = [c for c in cols if c in prices.columns]
+    prices_after = upsert(prices, priced.select(*cols), ["product_id", "country"])
+    added = priced.select("product_id", "country", "price", metrics.buyable_type(F.col("amazon_price")).alias("price_type"), as_of.alias("recorded_at"))
     return after, prices_after, added
 
 
+def import_csv(feed: DataFrame, products: DataFrame, prices: DataFrame, country: str, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """products and prices after a wide feed: known products take all its values, new ones
+    get an id; prices only where there is one of the shop or a new one."""
+    new = with_ids(feed_csv_products(feed), products).withColumn("updated_at", as_of)
+    after = _upserted(products, new, ())
+    priced = new.where((F.coalesce("amazon_price", F.lit(0.0)) > 0) | (F.coalesce("new_price", F.lit(0.0)) > 0))
+    priced = priced.withColumns({"product_id": F.col("id"), "country": F.lit(country), "last_updated": as_of})
+    cols = ["product_id", "country", "amazon_price", "new_price", "used_price", "warehouse_price", "list_price", "price_avg_30", "price_avg_90", "last_updated"]
+    return after, upsert(prices, priced.select(*[c for c in cols if c in prices.columns]), ["product_id", "country"])
+
+
+def update_metadata(products: DataFrame, feed: DataFrame) -> DataFrame:
+    """products with the rank, rating and review count of a feed (asin, salesRanks, rating in
+    tenths, reviews); what the feed lacks keeps its value."""
+    new = feed.select(
+        "asin", normalize.latest_rank(F.col("salesRanks")).alias("_rank"), F.when(F.col("rating") > 0, F.col("rating") / 10.0).alias("_rating"), F.col("reviews").alias("_reviews")
+    )
+    rows = products.join(new, "asin", "left")
+    fresh = {"sales_rank": "_rank", "rating": "_rating", "review_count": "_reviews"}
+    return rows.select(*[F.coalesce(F.col(fresh[c]), F.col(c)).cast(products.schema[c].dataType).alias(c) if c in fresh else F.col(c) for c in products.columns])
+
+
 def update_prices(products: DataFrame, prices: DataFrame, feed: DataFrame, country: str, as_of: Column, hours: int = 11) -> tuple[DataFrame, DataFrame]:
     """prices after an update of the stale products, and history rows of real changes."""
     before = as_of - F.make_dt_interval(hours=F.lit(hours))

@@ -220,7 +220,7 @@ def facet_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(
     f"""select parent, category, count(*) as n from (select category, {_PRICE} as price from products join prices on id = product_id where country = 'de') x
-join (values ('hard-drives', 'storage'), ('ssds', 'storage'), ('ram', 'hardware-components'), ('cpu', 'hardware-components'), ('tvs', 'tv-audio'), ('monitors', 'computer')) c(slug, parent) on slug = category
+join (values ('hard-drives', 'elektroartikel'), ('ssds', 'elektroartikel'), ('ram', 'pc-komponenten'), ('cpu', 'pc-komponenten'), ('tvs', 'elektroartikel'), ('monitors', 'elektroartikel')) c(slug, parent) on slug = category
 where price > 0 group by rollup(parent, category)"""
 )
 def hub_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -292,19 +292,25 @@ def ranked_offers(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.select("product_id", F.col("merchant_name").alias("merchant"), "price", "place")
 
 
-@_query(
-    """select doc_id, cast(ceil(len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) / 200.0) as bigint) as minutes from documents where text is not null""",
-    derived=False,
-)
+@_query("""select doc_id, cast(ceil(len(regexp_split_to_array(trim(text, ' '), '[ \\t\\n\\x0B\\f\\r]+')) / 200) as bigint) || ' min read' as reading from documents where text is not null""", derived=False)
 def reading_minutes(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
-    return testdata.table(spark, sf, "documents").where("text is not null").select("doc_id", F.ceil(words / 200.0).cast("long").alias("minutes"))
+    return testdata.table(spark, sf, "documents").where("text is not null").select("doc_id", normalize.reading_time(F.col("text")).alias("reading"))
 
 
-_SEARCH = ["a b", "pro", "ant al", "ste"]
+_TOKENS = "list_filter(string_split_regex(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda t: t <> '')"
 
 
-@_query()
+@_query(
+    f""", tok as (select id as doc, {_TOKENS.format("title || ' ' || brand")} as t from products),
+idx as (select token, doc, length, count(*) as tf from (select doc, len(t) as length, unnest(t) as token from tok) x group by all),
+n as (select count(*) as docs, avg(length) as mean from (select distinct doc, length from idx) x),
+terms as (select distinct query_id, term from (select id as query_id, unnest({_TOKENS.format("brand || ' ' || substring(string_split(title, ' ')[2], 1, 3)")}) as term from products where id % 50 = 0) x where length(term) >= 2),
+found as (select query_id, term, doc, length, sum(tf) as tf from terms join idx on starts_with(token, term) group by all),
+df as (select query_id, term, count(*) as df from found group by all),
+wanted as (select query_id, count(*) as n_terms from terms group by all),
+scored as (select query_id, doc, count(*) as c, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) as s from found join df using (query_id, term) cross join n group by query_id, doc)
+select query_id, doc, round(s, 6) as score, place from (select query_id, doc, s, row_number() over (partition by query_id order by round(s, 9) desc, doc) as place from scored join wanted using (query_id) where c = n_terms) x where place <= 10"""
+)
 def product_search(spark: SparkSession, sf: str) -> DataFrame:
     index = search.build_index(testdata.products(spark, sf), ["title", "brand"])
     words = testdata.products(spark, sf).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", F.lower("brand"), F.substring(F.get(F.split("title", " "), F.lit(1)), 1, 3)).alias("query"))
@@ -338,7 +344,10 @@ def discounts(spark: SparkSession, sf: str) -> DataFrame:
     return _priced(spark, sf).select("id", F.coalesce(metrics.discount_rate(F.col("price"), F.col("price_avg_90")), F.lit(0.0)).alias("discount"))
 
 
-@_query()
+@_query(
+    f"""select id, country, coalesce(case when country in ('de', 'es', 'it', 'fr') then translate(format('{{:,.2f}}', price), ',.', '.,') || ' €' else case country when 'uk' then '£' else '$' end || format('{{:,.2f}}', price) end, '–') as text
+from (select id, country, {_PRICE} as price from products join prices on id = product_id) x"""
+)
 def formatted_prices(spark: SparkSession, sf: str) -> DataFrame:
     """Prices in the manner of their country."""
     return _priced(spark, sf, None).select("id", "country", formatting.format_price(F.col("price"), F.col("country")).alias("text"))
@@ -385,7 +394,7 @@ def buyable_prices(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("product_id", "country", "price", metrics.buyable_type(F.col("amazon_price")).alias("price_type"))
 
 
-@_query("select p.id, coalesce(least(n, 100), 0) as points from products p left join (select product_id, count(*) as n from history where recorded_at >= cast('2000-01-01' as timestamp) group by product_id) h on p.id = product_id")
+@_query("select p.id, least(coalesce(n, 0), 100) as points from products p left join (select product_id, count(*) as n from history where recorded_at >= cast('2000-01-01' as timestamp) group by product_id) h on p.id = product_id")
 def product_details(spark: SparkSession, sf: str) -> DataFrame:
     out = catalog.product_detail(testdata.products(spark, sf), testdata.history(spark, sf), F.lit("2000-01-01").cast("timestamp"))
     return out.select("id", F.coalesce(F.greatest(F.size("price_history"), F.lit(0)), F.lit(0)).cast("long").alias("points"))
@@ -397,11 +406,11 @@ def new_and_known(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.split_new_existing(p.select("asin"), p.where("id % 4 = 0")).select("asin", "is_new")
 
 
-@_query(f"select id, brand from products where lower(brand) = 'brand#2' or brand in (select max(brand) from products) or ({_NEW} and id % 10 = 0)")
+@_query(f"select id, brand from products where lower(brand) = 'brand#2' or brand in (select max(brand) from products) or ({_NEW})")
 def brand_and_new(spark: SparkSession, sf: str) -> DataFrame:
     p = testdata.products(spark, sf)
     top = p.agg(F.max("brand")).first()[0]
-    found = listing.by_brand(p, top).select("id", "brand").union(listing.by_brand(p, "BRAND#2").select("id", "brand")).union(listing.only_new(p).where("id % 10 = 0").select("id", "brand"))
+    found = listing.by_brand(p, top).select("id", "brand").union(listing.by_brand(p, "BRAND#2").select("id", "brand")).union(listing.only_new(p).select("id", "brand"))
     return found.distinct()
 
 
@@ -429,18 +438,21 @@ def hub_bestsellers(spark: SparkSession, sf: str) -> DataFrame:
     return listing.hub_bestsellers(built, 10, "category").select("id", "category", "place")
 
 
-@_query("select id, case when id % 2 = 0 then 'static' else 'paapi' end as source from products where id % 6 <> 1")
+@_query("select id, case when id % 2 = 0 then 'static' else 'paapi' end as source from products")
 def first_available(spark: SparkSession, sf: str) -> DataFrame:
-    p = testdata.products(spark, sf).where("id % 6 <> 1").select("id", "title")
+    p = testdata.products(spark, sf).select("id", "title")
     src = lambda df, name: df.withColumn("source", F.lit(name))
     return merge.first_available([src(p.where("id % 2 = 0"), "static"), src(p, "paapi")]).select("id", "source")
 
 
-@_query("select asin from (select asin, min(case when sales_rank is not null and sales_rank <= 5000 then 0 else 1 end) as l, min(case when sales_rank <= 5000 then sales_rank else id end) as place from products where sales_rank <= 5000 or id % 3 = 0 group by asin) x order by l, place, asin limit 200")
+@_query(
+    f"""select asin from (select asin, case when sales_rank <= 5000 then 0 else 1 end as l, case when sales_rank <= 5000 then sales_rank else id end as place
+from products left join (select product_id from prices where country = 'de' and price_avg_90 > {_PRICE}) d on id = d.product_id where sales_rank <= 5000 or d.product_id is not null) x order by l, place, asin limit 200"""
+)
 def discovery_candidates(spark: SparkSession, sf: str) -> DataFrame:
     p = testdata.products(spark, sf)
     best = p.where("sales_rank <= 5000").select("asin", F.col("sales_rank").cast("long").alias("place"))
-    return ingest.discovery_candidates(best, p.where("id % 3 = 0").select("asin", F.col("id").alias("place")), 200)
+    return ingest.discovery_candidates(best, _priced(spark, sf).where("price_avg_90 > price").select("asin", F.col("id").alias("place")), 200)
 
 
 @_query("select id, trim(string_split_regex(title, ' - | \\(| \\||, ')[1]) as title, case when title like '%Renewed%' then 'Used' else 'New' end as condition, cast(regexp_extract(title, '([0-9]+)\\s?(GB|TB)', 1) as double) as capacity from products")
@@ -524,3 +536,257 @@ def enriched_products(spark: SparkSession, sf: str) -> DataFrame:
     feed = p.where("id % 2 = 0").select("asin", F.col("list_price").alias("price_avg_90"), "sales_rank")
     out = ingest.enrich(p, feed, 10_000_000)
     return out.select("id", "price_avg_90", F.coalesce("history_seeded", F.lit(False)).alias("seeded"))
+
+
+@_query("select product_id, country, coalesce(nullif(amazon_price, 0), nullif(new_price, 0), nullif(price_avg_90, 0)) as price from prices")
+def sync_prices(spark: SparkSession, sf: str) -> DataFrame:
+    price = metrics.sync_price(F.col("amazon_price"), F.col("new_price"), F.col("price_avg_90"))
+    return testdata.prices(spark, sf).select("product_id", "country", price.alias("price"))
+
+
+@_query(
+    """select id, case id % 5 when 0 then 'new' when 1 then 'new' when 2 then 'refurbished' when 3 then 'used' else 'used' end as ebay,
+case id % 5 when 0 then 'new' when 1 then 'used' when 2 then 'renewed' when 3 then 'renewed' else 'new' end as paapi,
+case id % 5 when 0 then 'in_stock' when 1 then 'out_of_stock' when 2 then 'preorder' else 'unknown' end as availability, capacity, upper(capacity_unit) as capacity_unit from products"""
+)
+def mapped_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of other markets, and sizes like 2TB."""
+    nth = lambda *codes: F.element_at(F.array(*map(F.lit, codes)), (F.col("id") % 5 + 1).cast("int"))
+    size = normalize.split_capacity(F.concat(F.col("capacity").cast("int").cast("string"), F.lit(" "), F.lower("capacity_unit")))
+    return testdata.products(spark, sf).select(
+        "id", normalize.map_ebay_condition(nth("1000", "1500", "2010", "3000", None)).alias("ebay"), normalize.map_paapi_condition(nth("New", "used", "Refurbished", "renewed", "?")).alias("paapi"),
+        normalize.map_availability(nth("Now", "OutOfStock", "PreOrder", "x", None)).alias("availability"), size["capacity"].alias("capacity"), size["capacity_unit"].alias("capacity_unit"),
+    )
+
+
+@_query(
+    """select id, 'https://www.amazon.' || case when id % 2 = 0 then 'de' else 'co.uk' end || '/dp/' || asin || '?tag=t-' || id % 3 as link,
+'https://rover.ebay.com/rover/1/c1/1?mpre=https%3A%2F%2Fx%2F' || asin as tracked, '/out/' || asin as redirect, 'https://media-amazon.com/' || asin || '._AC_SX250_.jpg' as tagged,
+'https://media-amazon.com/' || asin || '._SX80_.jpg' as injected from products"""
+)
+def product_links(spark: SparkSession, sf: str) -> DataFrame:
+    asin, image = F.col("asin"), F.concat(F.lit("https://media-amazon.com/"), F.col("asin"), F.lit("._AC_SY400_.jpg"))
+    country = F.when(F.col("id") % 2 == 0, "de").otherwise("uk")
+    return testdata.products(spark, sf).select(
+        "id", formatting.affiliate_url(asin, country, F.concat(F.lit("t-"), (F.col("id") % 3).cast("string"))).alias("link"),
+        formatting.tracked_url(F.concat(F.lit("https://x/"), asin), "c1").alias("tracked"), formatting.redirect_path(asin).alias("redirect"),
+        normalize.image_url(image).alias("tagged"), normalize.image_url(image, 80, "inject").alias("injected"),
+    )
+
+
+@_query(
+    """select id, place, label, value from (select id, 0 as place, 'Brand' as label, brand as value from products union all select id, 1, 'Size', cast(capacity as varchar) from products
+union all select id, 2, 'Kategorie', category from products union all select id, 3, 'unit', capacity_unit from products where id % 2 = 0) x where value <> ''"""
+)
+def spec_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Core columns, then the spec map: one translated label, one empty value, one label twice."""
+    unit = F.when(F.col("id") % 2 == 0, F.col("capacity_unit")).otherwise(F.lit(" "))
+    specs = F.create_map(F.lit("category"), F.col("category"), F.lit("unit"), unit, F.lit("brand"), F.lit("again"))
+    labels = testdata.products(spark, sf).select(F.lit("category").alias("key"), F.lit("Kategorie").alias("label")).distinct()
+    rows = export.spec_table(testdata.products(spark, sf).withColumn("specs", specs), {"brand": "Brand", "capacity": "Size"}, labels)
+    return rows.select("id", F.col("place").cast("int").alias("place"), "label", "value")
+
+
+@_query(
+    """select id from products where cast('2001-08-01' as timestamp) - age_days * interval 1 hour < cast('2001-08-01' as timestamp)
+ - interval 1 hour * (select case when count(*) < 1000 then 1 when count(*) < 5000 then 6 when count(*) < 15000 then 12 else 24 end from products) order by age_days desc, id limit 100"""
+)
+def stale_products(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf).withColumn("updated_at", as_of() - F.make_dt_interval(hours=F.col("age_days").cast("int")))
+    return ingest.stale_products(p, as_of(), 100).select("id")
+
+
+@_query("select id, 2 as n_filters from products where category = 'ssds' and rating >= 4")
+def keyed_filters(spark: SparkSession, sf: str) -> DataFrame:
+    filters = {"category": "ssds", "rating": 4.0, "brand": "", "unit": None}
+    test = lambda name, v: F.col(name) >= v if name == "rating" else F.col(name) == v
+    return listing.apply_filters(testdata.products(spark, sf), filters, test).select("id", F.lit(listing.active_filters(filters)).alias("n_filters"))
+
+
+@_query(
+    """select asin, coalesce(case when id % 3 = 0 then id when id % 3 = 1 then id + 1000000 end, case when id % 4 = 0 then g end) as product_id from (select *, min(id) over (partition by brand) as g from products) x"""
+)
+def resolved_identifiers(spark: SparkSession, sf: str) -> DataFrame:
+    """By the country's identifier (a third), one without country (a third), else by gtin (a quarter)."""
+    p = testdata.products(spark, sf)
+    own = p.where("id % 3 = 0").select(F.lit("s").alias("source"), F.col("asin").alias("external_id"), F.lit("de").alias("country"), F.col("id").alias("product_id"))
+    any_ = p.where("id % 3 <> 2").select(F.lit("s").alias("source"), F.col("asin").alias("external_id"), F.lit(None).cast("string").alias("country"), (F.col("id") + 1_000_000).alias("product_id"))
+    feed = p.select(F.lit("s").alias("source"), F.col("asin").alias("external_id"), F.lit("de").alias("country"), F.when(F.col("id") % 4 == 0, F.col("brand")).alias("gtin"))
+    out = catalog.resolve_identifiers(feed, own.union(any_), p.withColumn("gtin", F.col("brand")))
+    return out.select(F.col("external_id").alias("asin"), "product_id")
+
+
+@_query(
+    """select id, case when category in ('ram', 'cpu') then 'elektroartikel/computer/pc-komponenten/' || category else 'elektroartikel/' || category end as path, category in ('ssds', 'hard-drives', 'tvs', 'monitors') as top from products"""
+)
+def product_paths(spark: SparkSession, sf: str) -> DataFrame:
+    tree = dims.categories(spark)
+    top = catalog.category_children(tree, "elektroartikel").select("slug", F.lit(True).alias("top"))
+    paths = catalog.category_paths(tree).select(F.col("slug").alias("category"), F.array_join("path", "/").alias("path")).join(top, F.col("slug") == F.col("category"), "left")
+    return testdata.products(spark, sf).join(F.broadcast(paths), "category").select("id", "path", F.coalesce("top", F.lit(False)).alias("top"))
+
+
+@_query(
+    f"""select product_id, country, case when d <= -15 then 'great_deal' when d <= -5 then 'good_price' when d <= 5 then 'fair' else 'wait' end as recommendation
+from (select product_id, country, coalesce((p - coalesce(a, p)) / nullif(coalesce(a, p), 0) * 100, 0) as d from (select product_id, country, {_PRICE} as p, price_avg_90 as a from prices) x) y"""
+)
+def feed_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    price = metrics.effective_price(F.col("amazon_price"), F.col("new_price"), F.col("used_price"))
+    out = history.analyze_feed(testdata.prices(spark, sf).withColumn("current", price).withColumn("avg90", F.col("price_avg_90")))
+    return out.select("product_id", "country", "recommendation")
+
+
+@_query(
+    f"""select count(*) as total, min(last_updated) as oldest, count(*) filter (where category = 'ram') as filtered, cast(ceil(count(*) filter (where category = 'ram') / 24) as bigint) as pages
+from (select *, {_PRICE} as price from products join prices on id = product_id where country = 'de') x where price > 0"""
+)
+def category_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The composed category page: its summary."""
+    rows = listing.localized_listing(testdata.products(spark, sf), testdata.prices(spark, sf), dims.categories(spark), "de")
+    _, summary = listing.category_page(rows, listing.FilterParams(values={"category": ["ram"]}), "price", 1)
+    return summary.withColumn("oldest", F.col("oldest").cast("timestamp_ntz"))
+
+
+@_query("select case when id % 3 = 0 then 'skipped' when id % 4 = 0 then 'updated' else 'added' end as status, count(*) as n from products group by 1")
+def import_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf)
+    return ingest.import_outcome(p.select(F.col("asin").alias("ASIN")), p.where("id % 3 <> 0"), p.where("id % 4 = 0"))
+
+
+@_query(f"select id from products join prices on id = product_id where country = 'de' and {_PRICE} > 0 order by age_days desc, id limit 20")
+def hub_new(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.hub_new(_priced(spark, sf), 20, "age_days").select("id")
+
+
+@_query("select id from products order by age_days desc, id limit 100")
+def recent_slugs(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.recent_slugs(testdata.products(spark, sf), 100, "age_days").select("id")
+
+
+@_query("select id, 'p' as by from (select id from products order by case when id % 4 = 0 then 1e300 else list_price end, id limit 50) x union all select id, 'r' from (select id from products order by rating desc, id limit 50) y")
+def unified_order(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf).withColumn("best_price", F.when(F.col("id") % 4 != 0, F.col("list_price")))
+    first = lambda by, name: merge.sort_unified(p, by).limit(50).select("id", F.lit(name).alias("by"))
+    return first("price", "p").union(first("rating", "r"))
+
+
+@_query(
+    """select coalesce(a.asin, b.asin) as asin, case when a.asin is not null then a.brand else b.brand || '*' end as brand, b.asin is null as fresh
+from (select * from products where id % 10 < 7) a full join (select * from products where id % 10 > 3) b on a.asin = b.asin"""
+)
+def deployed_products(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf).select("id", "asin", "brand")
+    remote = p.where("id % 10 > 3").withColumn("brand", F.concat("brand", F.lit("*")))
+    after, children = ingest.deploy(p.where("id % 10 < 7"), remote, {"prices": testdata.prices(spark, sf)})
+    known = remote.select("asin", F.lit(False).alias("fresh"))
+    return after.join(known, "asin", "left").select("asin", "brand", F.coalesce("fresh", F.lit(True)).alias("fresh"))
+
+
+@_query(
+    """select 'B' || lpad(cast(product_id as varchar), 9, '0') as asin, price_type, cast(recorded_at as timestamp) as recorded_at, price from history where price_type <> 'used'"""
+)
+def feed_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat (minute, cents) lists, made from the history, as rows again."""
+    minutes = ((F.unix_seconds(F.col("recorded_at").cast("timestamp")) - normalize.FEED_EPOCH) / 60).cast("long")
+    pair = F.array(minutes, F.round(F.col("price") * 100).cast("long"))
+    point = lambda t: F.flatten(F.collect_list(F.when(F.col("price_type") == t, pair)))
+    asin = F.concat(F.lit("B"), F.lpad(F.col("product_id").cast("string"), 9, "0")).alias("asin")
+    feed = testdata.history(spark, sf).groupBy(asin).agg(F.array(point("amazon"), point("new")).alias("csv"))
+    return history.explode_history(feed, {0: "amazon", 1: "new"}).withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
+
+
+@_query(
+    """select asin, condition, merchant, price, condition = 'new' as best from (select asin, 'new' as condition, 'Amazon' as merchant, amazon_price as price from products join prices on id = product_id where country = 'de'
+union all select asin, 'used', 'Amazon Marketplace', used_price from products join prices on id = product_id where country = 'de') x where price > 0"""
+)
+def feed_offers(spark: SparkSession, sf: str) -> DataFrame:
+    feed = catalog.join_prices(testdata.products(spark, sf), testdata.prices(spark, sf), "de").withColumn("warehouse_price", F.lit(0.0))
+    offers = merge.feed_offers(feed)
+    best = merge.best_offer(offers).select("asin", "merchant", F.lit(True).alias("best"))
+    return offers.join(best, ["asin", "merchant"], "left").select("asin", "condition", "merchant", "price", F.coalesce("best", F.lit(False)).alias("best"))
+
+
+@_query(
+    """select 'ebay-' || id as id, 'ebay' as source, 'refurbished' as condition, list_price as price from products union all select asin, 'amazon-paapi', 'renewed', list_price from products
+union all select asin, 'static', null, list_price from products"""
+)
+def unified_products(spark: SparkSession, sf: str) -> DataFrame:
+    """One product as three sources show it."""
+    p, none = testdata.products(spark, sf), F.lit(None).cast("string")
+    base = p.withColumns({"item_id": F.col("id").cast("string"), "url": none, "image_url": none, "image": none, "shipping_cost": F.lit(0.0), "price": F.col("list_price")})
+    ebay = merge.ebay_products(base.withColumn("condition_id", F.lit("2000"))).select("id", "source", "condition", "price")
+    paapi = merge.paapi_products(base.withColumn("condition", F.lit("Refurbished")).withColumn("availability", F.lit("Now"))).select("id", "source", "condition", "price")
+    static = merge.static_products(base.withColumn("prices", F.struct(F.col("list_price").alias("de"))), "de").select("id", "source", none.alias("condition"), "price")
+    return ebay.union(paapi).union(static)
+
+
+@_query(
+    """select id, sales_rank > 0 and sales_rank < 10000 as bestseller, case when id % 10 > 0 and id % 10 / 10.0 > 0.05 then '-' || cast(id % 10 * 10 as varchar) || '%' end as saved,
+cast(rating as decimal(3, 1)) as rating from products where sales_rank is not null"""
+)
+def card_badges(spark: SparkSession, sf: str) -> DataFrame:
+    saved = formatting.savings_label((F.col("id") % 10).cast("double") / 10)
+    p = testdata.products(spark, sf).where("sales_rank is not null")
+    shown = F.replace(formatting.format_rating(F.col("rating")), F.lit(","), F.lit("."))
+    return p.select("id", formatting.is_bestseller(F.col("sales_rank")).alias("bestseller"), saved.alias("saved"), shown.cast("decimal(3,1)").alias("rating"))
+
+
+@_query(
+    """select id, amazon, used, rank, stars, reviews, low from (select id, floor(list_price * 100) / 100e0 as amazon, null::double as used, sales_rank as rank, floor(rating * 10) / 10e0 as stars,
+case when review_count > 0 then review_count end as reviews, floor(list_price * 90) / 100e0 as low from products) x"""
+)
+def decoded_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures of the feed's list of numbers; lowest prices as [time, cents] text."""
+    cents = F.floor(F.col("list_price") * 100)
+    at = {0: cents, 2: F.lit(-1), 3: F.coalesce("sales_rank", F.lit(0)), 16: F.floor(F.col("rating") * 10), 17: F.col("review_count")}
+    current = F.array(*[at.get(i, F.lit(-1)).cast("long") for i in range(18)])
+    feed = testdata.products(spark, sf).select("id", F.struct(current.alias("current")).alias("stats"), F.concat(F.lit("[7,"), F.floor(F.col("list_price") * 90).cast("string"), F.lit("]")).alias("low"))
+    out = normalize.decode_stats(feed)
+    return out.select("id", F.col("amazon_price").alias("amazon"), F.col("used_price").alias("used"), F.col("sales_rank").alias("rank"), F.col("rating").alias("stars"), F.col("review_count").alias("reviews"), normalize.minmax_price(F.col("low")).alias("low"))
+
+
+@_query("select query_id, id, place from (select query_id, id, row_number() over (partition by query_id order by id) as place from products join (values (1, 'red'), (1, 'brass'), (2, 'steel')) q(query_id, word) on contains(lower(title), word) group by query_id, id) x where place <= 50")
+def fallback_search(spark: SparkSession, sf: str) -> DataFrame:
+    queries = testdata.products(spark, sf).where("id in (1, 2)").select(F.col("id").alias("query_id"), F.when(F.col("id") == 1, "red Brass").otherwise("steel").alias("query"))
+    return listing.fallback_search(testdata.products(spark, sf), queries, 50)
+
+
+@_query(
+    """select p.id, case when id % 2 = 0 then id else sales_rank end as sales_rank, case when id % 2 = 0 and id % 3 > 0 then id % 3 / 10e0 else cast(rating as double) end as rating, case when id % 2 = 0 then 5 else review_count end as review_count from products p"""
+)
+def updated_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    p = testdata.products(spark, sf)
+    ranks = F.create_map(F.lit("1"), F.array(F.array(F.lit(1), F.lit(9)), F.array(F.lit(2), F.col("id"))).cast("array<array<bigint>>"))
+    feed = p.where("id % 2 = 0").select("asin", ranks.alias("salesRanks"), (F.col("id") % 3).alias("rating"), F.lit(5).alias("reviews"))
+    return ingest.update_metadata(p, feed).select("id", "sales_rank", F.col("rating").cast("double").alias("rating"), "review_count")
+
+
+_SYNCED = "select id, asin, list_price, id % 4 = 0 as fresh, case when id % 5 = 0 then null when id % 5 = 1 then list_price end as own from products where id % 2 = 0"
+
+
+def _synced(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A feed of the products with even ids against a catalogue without those divisible by four."""
+    from ..sources.readers import FEED_SCHEMA
+
+    p, prices = testdata.products(spark, sf), testdata.prices(spark, sf)
+    kind = FEED_SCHEMA.split("products array<", 1)[1].rsplit(">", 1)[0]
+    cents = F.floor(F.col("list_price") * 100).cast("long")
+    own = F.when(F.col("id") % 5 == 1, cents).otherwise(F.lit(-1).cast("long"))
+    avg90 = F.when(F.col("id") % 5 == 0, F.lit(-1).cast("long")).otherwise(cents)
+    body = F.to_json(F.struct(
+        "asin", F.concat(F.lit("feed "), F.col("asin")).alias("title"), F.col("id").alias("lastUpdate"),
+        F.struct(F.array(own, F.lit(-1).cast("long"), F.lit(-1).cast("long"), F.lit(7).cast("long")).alias("current"), F.array(F.lit(-1).cast("long"), avg90).alias("avg90")).alias("stats"),
+    ))
+    feed = p.where("id % 2 = 0").select(F.from_json(body, kind).alias("p")).select("p.*")
+    known = p.where("id % 4 <> 0").withColumn("slug", F.lower("asin"))
+    return ingest.sync_feed(feed, known, prices.join(known.select(F.col("id").alias("product_id")), "product_id", "left_semi"), "de", as_of())
+
+
+@_query(f"select asin, case when s is not null then 'feed ' || asin else title end as title, case when s is not null then 7 else sales_rank end as sales_rank from products left join (select asin as s from ({_SYNCED}) y) z on asin = s where id % 4 <> 0 or s is not null")
+def synced_products(spark: SparkSession, sf: str) -> DataFrame:
+    return _synced(spark, sf)[0].select("asin", "title", "sales_rank")
+
+
+@_query(f"select count(*) as n, count(*) filter (where price_type = 'amazon') as own, round(sum(price), 2) as total from (select floor(list_price * 100) / 100e0 as price, case when own is null then 'new' else 'amazon' end as price_type from ({_SYNCED}) y where id % 5 <> 0) z")
+def synced_history(spark: SparkSession, sf: str) -> DataFrame:
+    return _synced(spark, sf)[2].agg(F.count("*").alias("n"), F.count(F.when(F.col("price_type") == "amazon", 1)).alias("own"), F.round(F.sum("price"), 2).alias("total"))

@@ -87,8 +87,18 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     head = F.regexp_extract("value", r"(?s)^---\r?\n(.*?)\r?\n---", 1)
     key = lambda k: filled(F.regexp_extract(head, rf"""(?m)^{k}:\s*["']?(.*?)["']?\s*$""", 1))
+    # lists stand in one line in brackets, or below the key with a dash each
+    block = lambda k: F.regexp_extract(head, rf"(?m)^{k}:[ \t]*(\[[^\]]*\]|(?:\r?\n[ \t]+[^\n]*)+)", 1)
+    bare = lambda x: F.regexp_replace(F.trim(x), r"""^["']|["']$""", "")
+    flat = lambda k: F.split(F.regexp_replace(block(k), r"[\[\]]", ""), r",")
+    dashed = lambda k: F.regexp_extract_all(block(k), F.lit(r"(?m)^[ \t]+-[ \t]+(.*?)[ \t\r]*$"), F.lit(1))
+    items = lambda k: F.filter(F.transform(F.when(block(k).startswith("["), flat(k)).otherwise(dashed(k)), bare), lambda x: x != "")
+    part = lambda k: F.transform(F.regexp_extract_all(block("faqs"), F.lit(rf"(?m)^[ \t-]+{k}:[ \t]*(.*?)[ \t\r]*$"), F.lit(1)), bare)
+    faqs = F.arrays_zip(part("question").alias("question"), part("answer").alias("answer"))
     return text.select(
         F.coalesce(key("slug"), F.regexp_extract("path", r"([^/]+)\.mdx?$", 1)).alias("slug"), key("title").alias("title"), key("description").alias("description"),
-        key("category").alias("category"), key("publishDate").try_cast("date").alias("publish_date"),
+        key("category").alias("category"), key("publishDate").try_cast("date").alias("publish_date"), key("lastUpdated").try_cast("date").alias("last_updated"),
+        key("readingTime").alias("reading_time"), key("authorName").alias("author_name"), key("authorRole").alias("author_role"),
+        items("tags").alias("tags"), items("references").alias("references"), faqs.alias("faqs"),
         F.regexp_replace("value", r"(?s)^---\r?\n.*?\r?\n---\s*", "").alias("body"),
     ).orderBy(F.desc_nulls_last("publish_date"), "slug")

@@ -39,13 +39,18 @@ def append_history(df: DataFrame, path: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str, staging: str | None = None) -> None:
-    """Replaces a table that `df` may be read from: writes beside it, then moves."""
+    """Replaces a table that `df` may be read from: writes beside it, moves the old one
+    aside, then the new one in. At no time is there neither."""
     spark = df.sparkSession
     aside = staging or f"{path.rstrip('/')}__new"
     df.write.mode("overwrite").parquet(aside)
     jvm = spark.sparkContext._jvm
     a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (aside, path))
     fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(b, True)
+    old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__old")
+    fs.delete(old, True)
+    if fs.exists(b) and not fs.rename(b, old):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(a, b):
-        raise OSError(f"could not move {aside} to {path}")
+        raise OSError(f"could not move {aside} to {path}; the old table is {old}")
+    fs.delete(old, True)

@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.writers import upsert
-
 
 def as_ticks(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("product_id"), F.col("value").alias("price"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick_id"))
@@ -43,20 +41,30 @@ def sliding_average(ticks: DataFrame, days: int = 30, delay: str = "24 hours") -
     return t.groupBy("product_id", w).agg(F.avg("price").alias("average"), F.count("*").alias("ticks")).select("product_id", F.col("w.end").alias("until"), "average", "ticks")
 
 
-def upsert_sink(path: str) -> Callable[[DataFrame, int], None]:
+def upsert_sink(path: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
     """foreachBatch: the last tick of each product goes into a table of versions, one
-    folder a batch, so a batch that is run again writes the same version again."""
+    folder a batch, so a batch that is run again writes the same version again. A late
+    tick never replaces a newer one. Only the last `keep` versions stay."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = latest(batch)
         if batch_id:
-            new = upsert(spark.read.parquet(f"{path}/version={batch_id - 1}"), new, ["product_id"])
+            new = newest(spark.read.parquet(f"{path}/version={batch_id - 1}"), new)
         new.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch_id - keep}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return sink
 
 
+def newest(table: DataFrame, new: DataFrame) -> DataFrame:
+    """product_id, price, last_updated: of both, the row with the later time; a tie takes `new`."""
+    both = table.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    m = F.max(F.struct("last_updated", "_new", "price")).alias("m")
+    return both.groupBy("product_id").agg(m).select("product_id", "m.price", "m.last_updated")
+
+
 _CHANGE = "product_id long, old_price double, price double, ts timestamp"
 
 
