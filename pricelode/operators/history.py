@@ -26,7 +26,9 @@ def analyze_prices(history: DataFrame, prices: DataFrame, current: Column, since
     """For each product and country with two points of type amazon or more and a current
     price: average, low, high, distance from average and low, recommendation."""
     seen = history.where((F.col("price_type") == "amazon") & (F.col("recorded_at") > since) & (F.col("recorded_at") <= until))
-    stats = seen.groupBy(*KEY).agg(F.avg("price").alias("avg"), F.min("price").alias("low"), F.max("price").alias("high"), F.count("*").alias("points")).where("points >= 2")
+    # prices are whole cents: their sum is exact, so the average doesn't depend on the order
+    mean = F.sum(F.round(F.col("price") * 100).cast("long")) / (F.lit(100.0) * F.count("price"))
+    stats = seen.groupBy(*KEY).agg(mean.alias("avg"), F.min("price").alias("low"), F.max("price").alias("high"), F.count("*").alias("points")).where("points >= 2")
     rows = stats.join(prices.select(*KEY, current.alias("current")), KEY).where("current is not null")
     pct = lambda a, b: F.try_divide(a - b, b) * 100
     avg, low = pct(F.col("current"), F.col("avg")), pct(F.col("current"), F.col("low"))

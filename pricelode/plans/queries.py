@@ -116,7 +116,7 @@ def new_arrivals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ANALYSIS = f"""select *, round((current - a) / a * 100, 1) as pa from (
-select h.product_id, h.country, count(*) as points, avg(price) as a, min(price) as low, max(price) as high, max(cur) as current from history h
+select h.product_id, h.country, count(*) as points, cast(sum(cast(round(price * 100) as bigint)) as double) / (100e0 * count(price)) as a, min(price) as low, max(price) as high, max(cur) as current from history h
 join (select product_id as pid, country as c, {_PRICE.replace("coalesce(nullif(amazon_price, 0), nullif(new_price, 0), nullif(used_price, 0))", "nullif(coalesce(amazon_price, new_price), 0)")} as cur from prices) p on pid = h.product_id and c = h.country
 where price_type = 'amazon' and recorded_at > cast('2000-08-01' as timestamp) and recorded_at <= cast('2001-08-01' as timestamp) and cur is not null group by h.product_id, h.country having count(*) >= 2) x"""
 
