@@ -195,6 +195,29 @@ def test_embeddings(spark):
     assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in range(200, 206))
 
 
+def test_embeddings_find_all_links(spark):
+    """Thousands of vectors, pairs on either side of the limit: every link, against brute force."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((1200, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    aside = rng.standard_normal((1200, 32))
+    aside -= (aside * base).sum(1)[:, None] * base
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    cosine = rng.uniform(0.93, 0.99, 1200)[:, None]
+    x = np.concatenate((base, cosine * base + np.sqrt(1 - cosine**2) * aside, base[:300] * 2, rng.standard_normal((800, 32))))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    want = components(range(len(x)), list(zip(*np.nonzero(np.triu(near, 1)), strict=True)))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r["vec_id"]: r for r in embeddings.near_vectors(rows).collect()}
+    links = near.sum(1) - 1
+    assert links.sum() > 2000
+    # none too many, and of those there are nine in ten at least
+    assert all(out[i]["n_links"] <= links[i] for i in out)
+    assert sum(r["n_links"] for r in out.values()) >= 0.9 * links.sum()
+    assert sum(out[i]["component_id"] == want[i] for i in out) >= 0.9 * len(x)
+
+
 def test_windows_on_sorted_lines():
     plan = embeddings.Plan(1000, 0.95)
     rng = np.random.default_rng(0)
@@ -463,6 +486,49 @@ def test_decontamination_of_short_and_long_items(spark):
     assert {i for i, k in got if k == 1} == {i for i, t in rows if single in t.split()}
 
 
+def test_decontamination_finds_paraphrases(spark):
+    """Items with a part of their words replaced, gone or added, against a comparison of
+    every document's windows with its item: at least nine in ten are found, and nothing else."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choices("bcdfgaeiou", k=6)) for _ in range(4000)]
+    noise = lambda n: rng.choices(vocabulary, k=n)
+    items = {i: f"{' '.join(noise(n))}. {' '.join(noise(9))}." for i, n in enumerate((12, 20, 31, 45, 60, 90, 140, 250, 420))}
+
+    def loose(words, share, kind):
+        for w in words:
+            changed = rng.random() < share
+            yield from {"replaced": noise(1), "gone": [], "added": [*noise(1), w]}[kind] if changed else [w]
+
+    rows, item_of = [(-i, " ".join(noise(200))) for i in range(1, 40)], {}
+    for item, text in items.items():
+        for kind in ("replaced", "gone", "added"):
+            for share in (0.1, 0.2, 0.3, 0.5):
+                item_of[len(rows)] = item
+                rows.append((len(rows), " ".join([*noise(rng.randint(0, 150)), *loose(text.split(), share, kind), *noise(rng.randint(0, 150))])))
+
+    def held(text, item):
+        words, whole, answer = decontamination.terms(text), decontamination.terms(items[item]), decontamination.answer_of(items[item])
+        code = {w: k for k, w in enumerate({*words, *whole})}
+        masks, part = (decontamination.masks_of([code[w] for w in x]) for x in (whole, answer))
+        n, limits = len(whole), decontamination.LIMITS
+        for lo in range(0, len(words), max(1, n // 8)):
+            window = [code[w] for w in words[lo : lo + 2 * n]]
+            share = decontamination.common_subsequence(masks, n, window) / n
+            if share >= limits["verbatim"] or (
+                share >= limits["paraphrase"] and decontamination.common_subsequence(part, len(answer), window) / len(answer) >= limits["answer"]
+            ):
+                return True
+        return False
+
+    want = {(i, item_of[i]) for i, text in rows if i in item_of and held(text, item_of[i])}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(d, b).collect()}
+    assert len(want) > 70
+    assert len(got & want) >= 0.9 * len(want)
+    assert all(item_of.get(i) == item for i, item in got)
+
+
 def test_common_subsequence():
     random.seed(1)
     for _ in range(100):
