@@ -8,15 +8,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def as_ticks(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("product_id"), F.col("value").alias("price"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick_id"))
 
 
+def tick_stream(spark: SparkSession, path: str, schema: StructType | str, files: int = 64) -> DataFrame:
+    """The Parquet files of a folder as a stream of at most `files` files a batch. That bounds
+    what price_changes() and snapshots() hold of one product at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def dedupe_ticks(ticks: DataFrame, delay: str = "24 hours") -> DataFrame:
     """Late ticks and ticks seen before are dropped."""
     if not ticks.isStreaming:
@@ -70,7 +77,8 @@ _CHANGE = "product_id long, old_price double, price double, ts timestamp"
 
 def price_changes(ticks: DataFrame) -> DataFrame:
     """A row when a product's price differs from the tick before; state: the last price.
-    Ticks of a product are taken in the order of ts within a batch of the stream."""
+    Ticks of a product are taken in the order of ts within a batch of the stream. A task
+    holds one product's ticks of a batch: bound batches at the source, see tick_stream()."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -86,7 +94,8 @@ def price_changes(ticks: DataFrame) -> DataFrame:
 
 
 def snapshots(ticks: DataFrame, hours: int = 23) -> DataFrame:
-    """One tick of a product in `hours`: the first, then the first that is so much later."""
+    """One tick of a product in `hours`: the first, then the first that is so much later.
+    A task holds one product's ticks of a batch: bound batches at the source, see tick_stream()."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None

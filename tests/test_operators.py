@@ -69,9 +69,11 @@ def test_csv_import(spark, tmp_path):
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, i % 3, float(i * 7 % 5), f"2024-01-01 00:00:{i:02d}") for i in range(30)]
     df = spark.createDataFrame(rows, "tick_id long, product_id long, price double, t string").select("product_id", "price", F.to_timestamp("t").alias("ts"), "tick_id")
-    df.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = ticks.price_changes(stream).writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    for lo in (0, 10, 20):
+        df.where(f"tick_id >= {lo} and tick_id < {lo + 10}").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ticks.tick_stream(spark, str(tmp_path / "in"), df.schema)
+    one_by_one = ticks.tick_stream(spark, str(tmp_path / "in"), df.schema, files=1)
+    q = ticks.price_changes(one_by_one).writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination()
     want = sum(a[2] != b[2] for p in range(3) for a, b in zip([r for r in rows if r[1] == p], [r for r in rows if r[1] == p][1:]))  # noqa: B905
     assert spark.table("changes").count() == want
