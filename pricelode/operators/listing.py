@@ -140,9 +140,29 @@ def paginate(df: DataFrame, page: int, size: int = 24) -> DataFrame:
     return df.offset((page - 1) * size).limit(size)
 
 
-def all_pages(df: DataFrame, by: str, order: list[Column], size: int = 24) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return df.withColumn("page", (F.floor((n - 1) / size) + 1).cast("int"))
+def all_pages(df: DataFrame, by: str, order: list[Column], size: int = 24, coarse: Column | None = None) -> DataFrame:
+    """`df` with page, the page of each row within its group.
+
+    `coarse` is a whole number that never falls along `order` (bands of prices, months). With
+    it rows are numbered within (by, coarse), and what comes before a band is added from the
+    table of counts, so a group that holds a third of all rows is dealt over many tasks.
+    """
+    if coarse is None:
+        n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+        return df.withColumn("page", (F.floor((n - 1) / size) + 1).cast("int"))
+    rows = df.withColumn("_band", coarse)
+    before = F.sum("_n").over(Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    counted = rows.groupBy(F.col(by).alias("_by"), F.col("_band").alias("_at")).agg(F.count("*").alias("_n"))
+    starts = counted.select("_by", "_at", F.coalesce(before, F.lit(0)).alias("_start"))
+    numbered = rows.withColumn("_place", F.row_number().over(Window.partitionBy(by, "_band").orderBy(*order)))
+    placed = numbered.join(starts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_band").eqNullSafe(F.col("_at")))
+    page = (F.floor((F.col("_start") + F.col("_place") - 1) / size) + 1).cast("int")
+    return placed.withColumn("page", page).drop("_band", "_by", "_at", "_start", "_place")
+
+
+def price_band(price: Column) -> Column:
+    """A band that rises with the price: 16 to each doubling, 0 for 1 cent and less."""
+    return F.floor(F.greatest(F.log2(F.greatest(price, F.lit(0.01)) * 100), F.lit(0.0)) * 16).cast("int")
 
 
 def listing_summary(df: DataFrame, filtered: DataFrame, size: int = 24) -> DataFrame:

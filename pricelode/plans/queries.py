@@ -242,7 +242,7 @@ from (select id, category, {_PRICE} as price from products join prices on id = p
 )
 def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
     rows = _priced(spark, sf).where("price > 0")
-    return listing.all_pages(rows, "category", [F.col("price").asc(), F.col("id").asc()]).select("id", "category", "page")
+    return listing.all_pages(rows, "category", [F.col("price").asc(), F.col("id").asc()], coarse=listing.price_band(F.col("price"))).select("id", "category", "page")
 
 
 @_query(
