@@ -39,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder from whatever store its path names."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, most_bytes_a_row: int) -> DataFrame:
     """A table that was cut(), marked for broadcast if its rows, counted, show that it
     stays below BROADCAST_BYTES; else as it is, and Spark shuffles it."""
