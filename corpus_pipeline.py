@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelode.llm.common import ready_checkpoints
+from pricelode.llm.common import ready_checkpoints, remove
 from pricelode.llm.decontamination import decontaminate
 from pricelode.llm.minhash import drop_near_duplicates
 from pricelode.llm.mixing import mix_documents
@@ -57,13 +57,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what one returns is written to the checkpoint folder for the next."""
+    """All stages; what one returns is written to the checkpoint folder for the next, and
+    removed once that one's rows are written. The last table stays, for the result is read from it."""
     ready_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(path := f"{folder}/{k}-{name}")
+            before, path = path, f"{folder}/{k}-{name}"
+            docs.write.parquet(path)
+            if before:
+                remove(spark, before)
             docs = spark.read.parquet(path)
     return docs
