@@ -5,10 +5,15 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .alignment import align
 from .common import documents
 from .decontamination import leaks
 from .embeddings import near_vectors
+from .hard_negatives import hard_negatives
+from .language_id import fit as fit_languages
+from .language_id import identify
 from .lattice import lattice_scores, sentencepieces
 from .line_dedup import dedupe_lines
 from .minhash import near_duplicates
@@ -67,7 +72,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice, op2_pseudonyms, op3_line_dedup, op4_embeddings, op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_minhash, op10_sharding)}
+def op11_alignment(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None = None) -> DataFrame:
+    a_json = Path(a or public_tokenizer("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    return align(documents(spark, sf_dir), a_json, Path(b or public_tokenizer("piece_bpe_32k.model")).read_bytes())
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+    return identify(docs, fit_languages(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_lattice, op2_pseudonyms, op3_line_dedup, op4_embeddings, op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_minhash, op10_sharding, op11_alignment, op12_language_id, op13_hard_negatives)}
 #: Everything reachable by links from a vertex, the vertex included.
 _REACHED = """reached(a, b) as (select id, id from vertices union select r.a, l.v from reached r join links l on r.b = l.u),
 components as (select a as id, min(b) as component_id from reached group by a)"""
@@ -92,4 +113,17 @@ links as (select u, v from pairs where 100 * k >= 80 * (n + m - k)),
 {_REACHED}
 select s.id as doc_id, len(s) as n_shingles, component_id, s.id = component_id as kept from sets s join components c on s.id = c.id"""
 
-ORACLE_SQL: dict[str, str] = {"op4_embeddings": _EMBEDDINGS, "op9_minhash": _MINHASH}
+_HARD_NEGATIVES = """with numbers as (
+  select vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_inner_product(a.e, b.e) as bigint) as score
+  from numbers a join numbers b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
+positives as (select anchor_id, id, score from scored where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+ranked as (
+  select p.anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id) as rank
+  from positives p join scored n on p.anchor_id = n.anchor_id and not n.same and 100 * n.score between 30 * p.score and 90 * p.score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from ranked where rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op4_embeddings": _EMBEDDINGS, "op9_minhash": _MINHASH, "op13_hard_negatives": _HARD_NEGATIVES}
