@@ -33,11 +33,6 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], update_column
     return joined.select(*[value(c).alias(c) for c in target.columns])
 
 
-def append_history(df: DataFrame, path: str) -> None:
-    """Appends price points, one folder a month."""
-    df.withColumn("month", F.date_format("recorded_at", "yyyy-MM")).write.mode("append").partitionBy("month").parquet(path)
-
-
 def replace_table(df: DataFrame, path: str, staging: str | None = None) -> None:
     """Replaces a table that `df` may be read from: writes beside it, moves the old one
     aside, then the new one in. At no time is there neither."""

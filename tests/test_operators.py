@@ -66,37 +66,18 @@ def test_csv_import(spark, tmp_path):
     assert [(r["asin"], r["category"], r["amazon_price"], r["features"]) for r in rows] == [("B000000001", "hard-drives", 9.0, [])]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def test_stream_into_a_table_equals_batch(spark, tmp_path):
     rows = [(i, i % 3, float(i * 7 % 5), f"2024-01-01 00:00:{i:02d}") for i in range(30)]
     df = spark.createDataFrame(rows, "tick_id long, product_id long, price double, t string").select("product_id", "price", F.to_timestamp("t").alias("ts"), "tick_id")
     for lo in (0, 10, 20):
         df.where(f"tick_id >= {lo} and tick_id < {lo + 10}").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = ticks.tick_stream(spark, str(tmp_path / "in"), df.schema)
-    one_by_one = ticks.tick_stream(spark, str(tmp_path / "in"), df.schema, files=1)
-    q = ticks.price_changes(one_by_one).writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    stream = ticks.tick_stream(spark, str(tmp_path / "in"), df.schema, files=1)
+    q = stream.writeStream.foreachBatch(ticks.upsert_sink(str(tmp_path / "now"), 4)).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
-    want = sum(a[2] != b[2] for p in range(3) for a, b in zip([r for r in rows if r[1] == p], [r for r in rows if r[1] == p][1:]))  # noqa: B905
-    assert spark.table("changes").count() == want
-    sink = ticks.upsert_sink(str(tmp_path / "now"))
-    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "now" / "version=0")).select("product_id", "price").collect()
+    got = ticks.tick_table(str(tmp_path / "now"), 4).read(spark).select("product_id", "price").collect()
     assert sorted(got) == sorted(ticks.latest(df).select("product_id", "price").collect())
 
 
-def test_late_ticks_replace_nothing(spark, tmp_path):
-    tick = lambda rows: spark.createDataFrame(rows, "product_id long, price double, t string, tick_id long").select("product_id", "price", F.to_timestamp("t").alias("ts"), "tick_id")
-    sink = ticks.upsert_sink(str(tmp_path))
-    sink(tick([(1, 5.0, "2024-01-02 00:00:00", 1), (2, 6.0, "2024-01-01 00:00:00", 2)]), 0)
-    late = tick([(1, 9.0, "2024-01-01 00:00:00", 3), (2, 7.0, "2024-01-03 00:00:00", 4), (3, 1.0, "2024-01-01 00:00:00", 5)])
-    for _ in range(2):  # a batch that is run again
-        sink(late, 1)
-    got = {r["product_id"]: r["price"] for r in spark.read.parquet(str(tmp_path / "version=1")).collect()}
-    assert got == {1: 5.0, 2: 7.0, 3: 1.0}
-    sink(late.limit(0), 2)
-    assert sorted(p.name for p in tmp_path.glob("version=*")) == ["version=1", "version=2"]
-
-
 def test_curation_gates_and_sections(spark):
     rows = [
         (1, "A1", "P", "x", "x.jpg", 300.0, 0.0, 50), (2, "A2", "P", "y", "x.jpg", 250.0, 0.0, 40), (3, "P", None, "z", "x.jpg", 260.0, 0.0, 30),

@@ -51,9 +51,6 @@ def test_articles(spark, tmp_path):
 
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024-01-05"), (2, "2024-02-05")], "product_id long, d string").select("product_id", F.to_timestamp("d").alias("recorded_at"))
-    for _ in range(2):
-        writers.append_history(df, str(tmp_path / "h"))
-    assert spark.read.parquet(str(tmp_path / "h")).where("month = '2024-02'").count() == 2
     path = str(tmp_path / "t")
     for _ in range(2):
         writers.replace_table(df, path)
