@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes.
 
-Both tokenizers say which part of the text each token covers: one in characters, the other
-in bytes of its spans. Those are coarse cuts, for a character may be split over several
+Both tokenizers say which characters of the text each token covers. Those are coarse cuts,
+for a character may be split over several
 tokens, which then name the same character or none. There the decoded bytes of the tokens
 tell where each one ends. Byte offsets where tokens of both end cut the text into groups;
 tokens of both that share a byte are linked.
@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,8 @@ from .token_counts import byte_letters
 
 #: Chunks whose alignment a task keeps; letters of a block; chunks, and their letters, aligned at a time.
 MEMO, BLOCK, AT_A_TIME, LETTERS = 400_000, 32 << 20, 20_000, 1 << 20
-#: Where texts are cut, and texts in which that is wherever a blank or line end stands.
+#: Where texts are cut.
 _CUT = re.compile(r"(?<=[^\s▁])(?=[ \n][^\s▁])")
-_ODD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|▁")
 _SPACE = "▁"
 
 
@@ -75,32 +76,49 @@ class Aligner:
 
     def clear(self) -> None:
         """Forgets all chunks."""
+        #: Numbers of chunks by name; of texts that were cut everywhere (-1: not so here), and of those cut with care.
         self.number: dict[str, int] = {}
+        self.careful: dict[str, int] = {}
+        #: Of each chunk: the text of its groups; tokens of either, groups, links, and whether both decode to it.
         self.texts: list[str] = []
-        #: Of each chunk: tokens of either, groups, links, and whether both decode to it.
         self.figures = np.zeros((1024, 5), np.int64)
-        self.links: list[np.ndarray] = []
+        #: The links of all chunks, one behind the other, and where those of a chunk begin.
+        self.codes, self.first = np.zeros(4096, np.int64), np.zeros(1025, np.int64)
 
-    def chunks(self, text: str) -> list[str]:
+    def cut(self, text: str) -> list[str]:
         """A blank and the text, cut. A chunk that begins with a single blank is named without it."""
         if not self.cuts:
             return [" " + text if text[0] in " \n" else text]
-        if _ODD.search(text) is None:
-            return text.replace("\n", " \n").split(" ")
         return [c[1:] if c[0] == " " and c[1:2] not in (" ", "\n", "") else c for c in _CUT.split(" " + text)]
 
-    def learn(self, names: Iterable[str]) -> None:
-        """Aligns the chunks that are new."""
-        new = [c for c in dict.fromkeys(names) if c not in self.number]
-        lo = 0
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The chunks of each text (not empty), by number; none if the text does not come back from both
+        tokenizers. Chunks that are new are aligned first."""
+        # mostly, texts are cut at all blanks and line ends; that is wrong where a part shows other blanks beside them
+        number, careful = self.number, self.careful
+        parts = [t.replace("\n", " \n").split(" ") for t in texts] if self.cuts else [[""] for _ in texts]
+        new = set().union(*parts).difference(number)
+        odd = {c for c in new if _odd(c)}
+        number.update(dict.fromkeys(odd, -1))
+        self._learn(new - odd, number)
+        out = [_found(number, p) for p in parts]
+        again = {i: self.cut(texts[i]) for i, x in enumerate(out) if x.min() < 0}
+        self._learn(set().union(*again.values()).difference(careful), careful)
+        for i, p in again.items():
+            out[i] = _found(careful, p)
+        return [x if self.figures[x, 4].all() else x[:0] for x in out]
+
+    def _learn(self, names: Iterable[str], into: dict[str, int]) -> None:
+        new, lo = sorted(names), 0
         while lo < len(new):
             hi, size = lo, 0
             while hi < len(new) and hi - lo < AT_A_TIME and (size := size + len(new[hi])) <= LETTERS:
                 hi += 1
-            self._align(new[lo : max(hi, lo + 1)])
-            lo = max(hi, lo + 1)
+            hi = max(hi, lo + 1)
+            self._align(new[lo:hi], into)
+            lo = hi
 
-    def _align(self, names: list[str]) -> None:
+    def _align(self, names: list[str], into: dict[str, int]) -> None:
         chunks = [c if c[0] in " \n" else " " + c for c in names]
         letters = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.concatenate([[0], np.cumsum(1 + (letters > 0x7F) + (letters > 0x7FF) + (letters > 0xFFFF))])  # bytes before each character
@@ -109,23 +127,21 @@ class Aligner:
         # tokens of A: their offsets count characters
         found = self.a.encode_batch(chunks, add_special_tokens=False)
         a, a_n = _flat([e.ids for e in found])
-        spans = np.array([o for e in found for o in e.offsets], np.int64).reshape(-1, 2) + np.repeat(first[:-1], a_n)[:, None]
-        coarse = at[np.minimum(spans[:, 1], first[-1])]
+        spans = _pairs([e.offsets for e in found]) + np.repeat(first[:-1], a_n)[:, None]
         decoded = _ends(self.a_length[a], a_n, start)
         shared = np.append(spans[1:, 0] < spans[:-1, 1], False)  # the next token begins in the same character
-        a_end = np.where(shared, decoded, coarse)
-        # spans of B count bytes behind the blank that B puts first
-        b_ids, b_ends, b_first = [], [], []
-        for c, p in zip(chunks, self.b.encode([c[1:] if c[0] == " " else c for c in chunks], return_type="proto", num_threads=1), strict=True):
-            pieces, lead = p.pieces, c[0] == " "
-            if not lead and len(pieces) and pieces[0].id == self.b_space:
-                pieces = pieces[1:]
-            b_ids.append([x.id for x in pieces])
-            b_ends += [x.end + lead for x in pieces]
-        b, b_n = _flat(b_ids)
-        coarse = np.array(b_ends, np.int64) + np.repeat(start[:-1], b_n)
-        decoded = _ends(self.b_length[b], b_n, start)
-        b_end = np.where(self.b_is_byte[b], decoded, coarse)
+        a_end = np.where(shared, decoded, at[np.minimum(spans[:, 1], first[-1])])
+        # tokens of B: they count the characters behind the blank that B puts first
+        lead = np.array([c[0] == " " for c in chunks])
+        found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], return_type="offset_mapping", num_threads=1)
+        b, b_n = _flat([f["ids"] for f in found])
+        spans = _pairs([f["offsets"] for f in found]) + np.repeat(first[:-1] + lead, b_n)[:, None]
+        # before a line end the blank is a token of its own, which is none of the chunk's
+        begins = np.cumsum(b_n) - b_n
+        blank = begins[~lead & (b_n > 0)]
+        blank = blank[b[blank] == self.b_space]
+        b, spans, b_n = np.delete(b, blank), np.delete(spans, blank, 0), b_n - np.isin(begins, blank)
+        b_end = np.where(self.b_is_byte[b], _ends(self.b_length[b], b_n, start), at[np.minimum(spans[:, 1], first[-1])])
         # both must decode to the text, and the cuts must agree with it
         whole = "".join(chunks).encode("utf-8", "surrogatepass")
         good = np.ones(len(chunks), bool)
@@ -139,10 +155,10 @@ class Aligner:
                 k = e
         if not good.all():
             for i in np.flatnonzero(~good).tolist():
-                self._keep([names[i]], np.zeros((1, 5), np.int64), [""], [np.empty(0, np.int64)])
+                self._keep([names[i]], into, np.zeros((1, 5), np.int64), [""], np.empty(0, np.int64))
             rest = [c for c, ok in zip(names, good.tolist(), strict=True) if ok]
             if rest:
-                self._align(rest)
+                self._align(rest, into)
             return
         # groups end where tokens of both do
         ends = np.intersect1d(a_end, b_end, assume_unique=True)
@@ -151,8 +167,7 @@ class Aligner:
         a_start, b_start = np.concatenate([[0], a_end[:-1]]), np.concatenate([[0], b_end[:-1]])
         lo, hi = np.searchsorted(b_end, a_start, "right"), np.searchsorted(b_start, a_end, "left")
         n = hi - lo
-        other = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        codes = np.repeat(a, n) << 32 | b[other]
+        codes = np.repeat(a, n) << 32 | b[_runs(lo, n)]
         owner = np.repeat(np.arange(len(chunks)), a_n)
         links = np.bincount(owner, n, len(chunks)).astype(np.int64)
         # the text of the groups: A's ids, a bar, B's ids, a semicolon, in the order of groups
@@ -166,26 +181,49 @@ class Aligner:
         out[last] = self.written[";"][ids[last]]
         joined, where = "".join(out.tolist()), np.concatenate([[0], np.cumsum(self.written_length[ids])])[np.concatenate([[0], np.cumsum(a_n + b_n)])].tolist()
         texts = [joined[where[i] : where[i + 1]] for i in range(len(chunks))]
-        self._keep(names, np.stack([a_n, b_n, groups, links, np.ones(len(chunks), np.int64)], 1), texts, np.split(codes, np.cumsum(links)[:-1]))
+        self._keep(names, into, np.stack([a_n, b_n, groups, links, np.ones(len(chunks), np.int64)], 1), texts, codes)
 
-    def _keep(self, names: list[str], figures: np.ndarray, texts: list[str], links: list[np.ndarray]) -> None:
-        k = len(self.texts)
-        while len(self.figures) < k + len(names):
+    def _keep(self, names: list[str], into: dict[str, int], figures: np.ndarray, texts: list[str], codes: np.ndarray) -> None:
+        k, n = len(self.texts), len(names)
+        while len(self.figures) < k + n:
             self.figures = np.concatenate([self.figures, np.zeros_like(self.figures)])
-        self.figures[k : k + len(names)] = figures
-        self.number.update(zip(names, range(k, k + len(names)), strict=True))
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        begin = self.first[k]
+        while len(self.codes) < begin + len(codes):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+        self.figures[k : k + n] = figures
+        self.first[k + 1 : k + n + 1] = begin + np.cumsum(figures[:, 3])
+        self.codes[begin : begin + len(codes)] = codes
+        into.update(zip(names, range(k, k + n), strict=True))
         self.texts += texts
-        self.links += links
 
-    def numbers(self, text: str) -> np.ndarray:
-        """The chunks of a text, by number; none if the text does not come back from both tokenizers. All its chunks must have been learned."""
-        number = self.number
-        out = np.array([number[c] for c in self.chunks(text)], np.int64)
-        return out if self.figures[out, 4].all() else out[:0]
+    def links(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of some chunks, one behind the other, and where those of each begin, with the end."""
+        ends = np.concatenate([[0], np.cumsum(self.figures[chunks, 3])])
+        return self.codes[_runs(self.first[chunks], self.figures[chunks, 3])], ends
+
+
+def _found(number: dict[str, int], names: list[str]) -> np.ndarray:
+    return np.fromiter(map(number.__getitem__, names), np.int64, len(names))
+
+
+def _odd(name: str) -> bool:
+    """Whether a part that was cut at a blank or line end has another blank at its border."""
+    body = name[1:] if name[:1] == "\n" else name
+    return not body or body[0].isspace() or body[-1].isspace() or body[0] == _SPACE or body[-1] == _SPACE
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., n[0] of them, then those of first[1] and so on."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _pairs(lists: list[list[tuple[int, int]]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(chain.from_iterable(lists)), np.int64).reshape(-1, 2)
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([x for y in lists for x in y], np.int64), np.array([len(y) for y in lists], np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
 
 
 def _ends(lengths: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -213,6 +251,7 @@ def _restored(b: bytes) -> np.ndarray:
 
 @cache
 def _aligner(a_json: str, b_model: bytes) -> Aligner:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
     return Aligner(a_json, b_model)
 
 
@@ -230,9 +269,8 @@ class _Block:
             used[c] = True
         known = np.flatnonzero(used)
         local = np.cumsum(used) - 1
-        links = [al.links[i] for i in known.tolist()]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in links])]).astype(np.int64)
-        pairs, of = np.unique(np.concatenate(links) if links else np.empty(0, np.int64), return_inverse=True)
+        links, ends = al.links(known)
+        pairs, of = np.unique(links, return_inverse=True)
         held = np.zeros(len(pairs), np.int64)
         figures, digests, lists, times = np.zeros((n, 4), np.int64), [], [], []
         for i, c in enumerate(self.chunks):
@@ -242,11 +280,9 @@ class _Block:
                 times.append(None)
                 continue
             figures[i] = al.figures[c, :4].sum(0)
-            digests.append(hashlib.sha256("".join([al.texts[k] for k in c.tolist()])[:-1].encode()).hexdigest())
+            digests.append(hashlib.sha256("".join(map(al.texts.__getitem__, c.tolist()))[:-1].encode()).hexdigest())
             own, count = np.unique(local[c], return_counts=True)
-            size = ends[own + 1] - ends[own]
-            at = np.repeat(ends[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            held[np.unique(of[at])] += 1
+            held[np.unique(of[_runs(ends[own], ends[own + 1] - ends[own])])] += 1
             lists.append(_squeezed(own))
             times.append(_squeezed(count))
         table = [_squeezed(x) for x in (ends, of, pairs, held)]
@@ -296,9 +332,9 @@ def align(docs: DataFrame, a_json: str, b_model: bytes, block_size: int = BLOCK,
                     number, block = number + 1, _Block(al)
                 if len(al.texts) > memo:
                     al.clear()
-                al.learn(c for t in part if t for c in al.chunks(t))
+                found = iter(al.numbers([t for t in part if t]))
                 block.ids += ids[lo : lo + len(part)]
-                block.chunks += [al.numbers(t) if t else np.empty(0, np.int64) for t in part]
+                block.chunks += [next(found) if t else np.empty(0, np.int64) for t in part]
                 block.size += size
                 lo += len(part)
         if block.ids:
