@@ -12,25 +12,13 @@ from ..sources import dims, testdata
 from ..sources.writers import upsert
 from ..streaming import ticks as streaming
 from . import ingest
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+from .registry import query as _query
 
 def as_of() -> Column:
     return F.lit("2001-08-01").cast("timestamp")
 
 
-def _query(sql: str | None = None, derived: bool = True):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = (testdata.CTES if derived else "") + sql
-        return f
-
-    return add
-
-
 def _priced(spark: SparkSession, sf: str, country: str | None = "de") -> DataFrame:
     rows = catalog.join_prices(testdata.products(spark, sf), testdata.prices(spark, sf), country)
     return rows.withColumn("price", metrics.effective_price(F.col("amazon_price"), F.col("new_price"), F.col("used_price")))
@@ -473,14 +461,14 @@ def sitemap(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(
     """select p.product_id, p.country, x.list_price as price from prices p join products x on x.id = p.product_id
-where p.country = 'de' and p.last_updated < cast('2001-07-31 13:00:00' as timestamp) and nullif(coalesce(p.amazon_price, p.new_price), 0) <> x.list_price and x.list_price > 0"""
+where p.country = 'de' and p.last_updated < cast('2001-07-31 13:00:00' as timestamp) and coalesce(p.amazon_price, p.new_price) is distinct from x.list_price and x.list_price > 0"""
 )
 def price_update_changes(spark: SparkSession, sf: str) -> DataFrame:
     """History rows of an update run whose feed sells everything at list price."""
     p, prices = testdata.products(spark, sf), testdata.prices(spark, sf)
     none = F.lit(None).cast("double")
     feed = p.select("asin", F.col("list_price").alias("amazon_price"), none.alias("new_price"), none.alias("used_price"))
-    _, added = ingest.update_prices(p, prices, feed, "de", as_of())
+    _, _, added = ingest.update_prices(p, prices, feed, "de", as_of())
     return added.select("product_id", "country", "price")
 
 
