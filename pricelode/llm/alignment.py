@@ -39,8 +39,8 @@ from tokenizers import Tokenizer
 from .common import cut
 from .token_counts import byte_letters
 
-#: Chunks whose alignment a task keeps; letters of a block; chunks, and their letters, aligned at a time.
-MEMO, BLOCK, AT_A_TIME, LETTERS = 400_000, 32 << 20, 20_000, 1 << 20
+#: Chunks whose alignment a task keeps; letters of a block; chunks, and their letters, aligned at a time; chunks encoded as one text.
+MEMO, BLOCK, AT_A_TIME, LETTERS, RUN = 400_000, 32 << 20, 20_000, 1 << 20, 256
 #: Where texts are cut.
 _CUT = re.compile(r"(?<=[^\s▁])(?=[ \n][^\s▁])")
 _SPACE = "▁"
@@ -85,6 +85,17 @@ class Aligner:
         #: The links of all chunks, one behind the other, and where those of a chunk begin.
         self.codes, self.first = np.zeros(4096, np.int64), np.zeros(1025, np.int64)
 
+    def keep(self, numbers: np.ndarray) -> None:
+        """Forgets all chunks but these."""
+        new = np.full(len(self.texts), -1)
+        new[numbers] = np.arange(len(numbers))
+        place, (codes, ends) = new.tolist(), self.links(numbers)
+        self.number, self.careful = ({c: place[k] for c, k in d.items() if k >= 0 and place[k] >= 0} for d in (self.number, self.careful))
+        self.texts = [self.texts[k] for k in numbers.tolist()]
+        self.figures[: len(numbers)] = self.figures[numbers]
+        self.first[: len(numbers) + 1] = ends
+        self.codes[: len(codes)] = codes
+
     def cut(self, text: str) -> list[str]:
         """A blank and the text, cut. A chunk that begins with a single blank is named without it."""
         if not self.cuts:
@@ -100,66 +111,72 @@ class Aligner:
         new = set().union(*parts).difference(number)
         odd = {c for c in new if _odd(c)}
         number.update(dict.fromkeys(odd, -1))
-        self._learn(new - odd, number)
+        self._learn(new - odd, number, RUN)
         out = [_found(number, p) for p in parts]
         again = {i: self.cut(texts[i]) for i, x in enumerate(out) if x.min() < 0}
-        self._learn(set().union(*again.values()).difference(careful), careful)
+        self._learn(set().union(*again.values()).difference(careful), careful, 1)
         for i, p in again.items():
             out[i] = _found(careful, p)
         return [x if self.figures[x, 4].all() else x[:0] for x in out]
 
-    def _learn(self, names: Iterable[str], into: dict[str, int]) -> None:
+    def _learn(self, names: Iterable[str], into: dict[str, int], run: int) -> None:
         new, lo = sorted(names), 0
         while lo < len(new):
             hi, size = lo, 0
             while hi < len(new) and hi - lo < AT_A_TIME and (size := size + len(new[hi])) <= LETTERS:
                 hi += 1
             hi = max(hi, lo + 1)
-            self._align(new[lo:hi], into)
+            self._align(new[lo:hi], into, run)
             lo = hi
 
-    def _align(self, names: list[str], into: dict[str, int]) -> None:
+    def _align(self, names: list[str], into: dict[str, int], run: int) -> None:
+        """Encodes chunks, `run` of them as one text, and keeps what they give."""
         chunks = [c if c[0] in " \n" else " " + c for c in names]
-        letters = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        whole = "".join(chunks)
+        letters = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.concatenate([[0], np.cumsum(1 + (letters > 0x7F) + (letters > 0x7FF) + (letters > 0xFFFF))])  # bytes before each character
-        first = np.concatenate([[0], np.cumsum([len(c) for c in chunks])])  # characters before each chunk
+        first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))])  # characters before each chunk
         start = at[first]
+        runs = np.append(np.arange(0, len(chunks), run), len(chunks))
+        begins = first[runs].tolist()
+        texts = [whole[i:j] for i, j in zip(begins[:-1], begins[1:], strict=True)]
+        lead = np.array([t[0] == " " for t in texts])
         # tokens of A: their offsets count characters
-        found = self.a.encode_batch(chunks, add_special_tokens=False)
+        found = self.a.encode_batch(texts, add_special_tokens=False)
         a, a_n = _flat([e.ids for e in found])
-        spans = _pairs([e.offsets for e in found]) + np.repeat(first[:-1], a_n)[:, None]
-        decoded = _ends(self.a_length[a], a_n, start)
+        spans = _pairs([e.offsets for e in found]) + np.repeat(first[runs[:-1]], a_n)[:, None]
         shared = np.append(spans[1:, 0] < spans[:-1, 1], False)  # the next token begins in the same character
-        a_end = np.where(shared, decoded, at[np.minimum(spans[:, 1], first[-1])])
+        a_end = np.where(shared, _ends(self.a_length[a], a_n, start[runs]), at[np.minimum(spans[:, 1], first[-1])])
         # tokens of B: they count the characters behind the blank that B puts first
-        lead = np.array([c[0] == " " for c in chunks])
-        found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], return_type="offset_mapping", num_threads=1)
+        found = self.b.encode([t[1:] if t[0] == " " else t for t in texts], return_type="offset_mapping", num_threads=1)
         b, b_n = _flat([f["ids"] for f in found])
-        spans = _pairs([f["offsets"] for f in found]) + np.repeat(first[:-1] + lead, b_n)[:, None]
+        spans = _pairs([f["offsets"] for f in found]) + np.repeat(first[runs[:-1]] + lead, b_n)[:, None]
         # before a line end the blank is a token of its own, which is none of the chunk's
-        begins = np.cumsum(b_n) - b_n
-        blank = begins[~lead & (b_n > 0)]
+        firsts = np.cumsum(b_n) - b_n
+        blank = firsts[~lead & (b_n > 0)]
         blank = blank[b[blank] == self.b_space]
-        b, spans, b_n = np.delete(b, blank), np.delete(spans, blank, 0), b_n - np.isin(begins, blank)
-        b_end = np.where(self.b_is_byte[b], _ends(self.b_length[b], b_n, start), at[np.minimum(spans[:, 1], first[-1])])
-        # both must decode to the text, and the cuts must agree with it
-        whole = "".join(chunks).encode("utf-8", "surrogatepass")
-        good = np.ones(len(chunks), bool)
+        b, spans, b_n = np.delete(b, blank), np.delete(spans, blank, 0), b_n - np.isin(firsts, blank)
+        b_end = np.where(self.b_is_byte[b], _ends(self.b_length[b], b_n, start[runs]), at[np.minimum(spans[:, 1], first[-1])])
+        # both must decode to the text, and the offsets must agree with it
+        encoded = whole.encode("utf-8", "surrogatepass")
+        good = np.ones(len(texts), bool)
         for ids, n, end, table, length in ((a, a_n, a_end, self.a_bytes, self.a_length), (b, b_n, b_end, self.b_bytes, self.b_length)):
-            if b"".join([table[i] for i in ids.tolist()]) == whole and np.array_equal(np.cumsum(length[ids]), end):
+            if b"".join(map(table.__getitem__, ids.tolist())) == encoded and np.array_equal(np.cumsum(length[ids]), end) and np.isin(start[1:], end).all():
                 continue
+            if run > 1:
+                return self._align(names, into, 1)
             ends, k = np.cumsum(n), 0
             for i, e in enumerate(ends.tolist()):
                 own = ids[k:e]
-                good[i] &= b"".join([table[x] for x in own.tolist()]) == whole[start[i] : start[i + 1]] and np.array_equal(np.cumsum(length[own]) + start[i], end[k:e])
+                good[i] &= b"".join(map(table.__getitem__, own.tolist())) == encoded[start[i] : start[i + 1]] and np.array_equal(np.cumsum(length[own]) + start[i], end[k:e])
                 k = e
         if not good.all():
             for i in np.flatnonzero(~good).tolist():
                 self._keep([names[i]], into, np.zeros((1, 5), np.int64), [""], np.empty(0, np.int64))
-            rest = [c for c, ok in zip(names, good.tolist(), strict=True) if ok]
-            if rest:
-                self._align(rest, into)
-            return
+            if good.any():
+                self._align([c for c, ok in zip(names, good.tolist(), strict=True) if ok], into, 1)
+            return None
+        a_n, b_n = (np.diff(np.searchsorted(end, start, "right")) for end in (a_end, b_end))
         # groups end where tokens of both do
         ends = np.intersect1d(a_end, b_end, assume_unique=True)
         groups = np.searchsorted(ends, start[1:], "right") - np.searchsorted(ends, start[:-1], "right")
@@ -176,12 +193,14 @@ class Aligner:
         order = np.lexsort((side, group))
         ids, group, side = np.concatenate([a, b])[order], group[order], side[order]
         out = self.written[","][ids]
-        out[:-1][(side[:-1] == 0) & (side[1:] == 1)] = self.written["|"][ids[:-1][(side[:-1] == 0) & (side[1:] == 1)]]
+        turn = np.flatnonzero(side[:-1] < side[1:])
+        out[turn] = self.written["|"][ids[turn]]
         last = np.append(group[1:] != group[:-1], True)
         out[last] = self.written[";"][ids[last]]
         joined, where = "".join(out.tolist()), np.concatenate([[0], np.cumsum(self.written_length[ids])])[np.concatenate([[0], np.cumsum(a_n + b_n)])].tolist()
         texts = [joined[where[i] : where[i + 1]] for i in range(len(chunks))]
         self._keep(names, into, np.stack([a_n, b_n, groups, links, np.ones(len(chunks), np.int64)], 1), texts, codes)
+        return None
 
     def _keep(self, names: list[str], into: dict[str, int], figures: np.ndarray, texts: list[str], codes: np.ndarray) -> None:
         k, n = len(self.texts), len(names)
@@ -329,9 +348,10 @@ def align(docs: DataFrame, a_json: str, b_model: bytes, block_size: int = BLOCK,
                     size += len(part[-1]) + 1
                 if block.size and (block.size + size > block_size or len(al.texts) > memo):
                     yield block.rows(number, batch.schema.field(0).type)
+                    if len(al.texts) > memo:
+                        often = np.flatnonzero(np.bincount(np.concatenate(block.chunks), minlength=len(al.texts)) > 1)
+                        al.keep(often[: memo // 2])
                     number, block = number + 1, _Block(al)
-                if len(al.texts) > memo:
-                    al.clear()
                 found = iter(al.numbers([t for t in part if t]))
                 block.ids += ids[lo : lo + len(part)]
                 block.chunks += [next(found) if t else np.empty(0, np.int64) for t in part]
