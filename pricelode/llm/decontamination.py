@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut
 
@@ -199,7 +200,7 @@ def _product(coded: DataFrame, weights: np.ndarray, basis: np.ndarray, items: li
     return out + own * (share * (np.linalg.norm(out) or size) / size if size else 0)
 
 
-def fit(docs: DataFrame, items: list[tuple[int, str, str | None]], seed: int = 5) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, items: list[tuple[object, str, str | None]], seed: int = 5) -> tuple[Model, DataFrame]:
     """Term weights and latent directions; and for each row of `docs` with a text its
     doc_id and term numbers. items: (item_id, text, answer or None)."""
     index: dict[bytes, int] = {}
@@ -386,11 +387,13 @@ def steps_of(steps: list[int], owner: np.ndarray) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str, str | None]]]:
-    """The items in blocks of at most ITEM_BYTES of text (one longer item is a block)."""
+    """The items that have words, in blocks of at most ITEM_BYTES of text (one longer item is a block)."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.where("text is not null").select("item_id", "text", answer.alias("answer")).distinct().orderBy("item_id", "text")
     block, held = [], 0
     for r in rows.toLocalIterator():
+        if not terms(r["text"]):
+            continue
         if block and held + len(r["text"]) > ITEM_BYTES:
             yield block
             block, held = [], 0
@@ -411,7 +414,7 @@ def _parts(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
 
 
 LIMITS = {"cosine": 0.45, "verbatim": 0.8, "paraphrase": 0.55, "answer": 0.6}
-_FOUND = "doc_id {}, item_id long, cosine double, item_share double, answer_share double"
+_FOUND = "doc_id {}, item_id {}, cosine double, item_share double, answer_share double"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
@@ -424,11 +427,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     the longest common subsequence has >= `verbatim` of the item's words, or
     >= `paraphrase` of them and >= `answer` of the answer's. Items that are found by
     the places of their words have cosine 0 (items of fewer than SHORT words so only verbatim). Null, empty and wordless
-    texts and items match nothing. Repeated rows give repeated results; other columns
+    texts and items match nothing. Ids are of any type. Repeated rows give repeated results; other columns
     are not looked at; empty tables give no rows.
     """
     limits = LIMITS | limits
-    schema = _FOUND.format(docs.schema["doc_id"].dataType.simpleString())
+    schema = _FOUND.format(*[df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id"))])
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
 
     def found(model: Model, coded: DataFrame) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +443,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
                     if rows:
                         t, i, c, w, a = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays(
-                            [part.column(0).take(pa.array(t)), pa.array([model.items[x].item_id for x in i], pa.int64()), *(pa.array(x, pa.float64()) for x in (c, w, a))],
+                            [part.column(0).take(pa.array(t)), pa.array([model.items[x].item_id for x in i], kind), *(pa.array(x, pa.float64()) for x in (c, w, a))],
                             ["doc_id", "item_id", "cosine", "item_share", "answer_share"],
                         )
 
@@ -451,9 +455,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     """The rows of `docs`, all columns, in which leaks() finds no item."""
-    limits = LIMITS | limits
+    limits, corpus = LIMITS | limits, docs
     for block in _blocks(benchmark):
-        model, _ = fit(docs, block)
+        # each block's weights are those of the whole corpus, not of what earlier blocks leave
+        model, _ = fit(corpus, block)
 
         def run(batches: Iterable[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(model, **limits)

@@ -142,16 +142,18 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
         .groupBy("place.doc_id", "place.doc_hash").agg(F.array_sort(F.collect_set("place.at")).alias("gone"))
     )
     g = gone.alias("g")
-    rows = docs.withColumn("__hash", F.xxhash64("text")).alias("d")
+    # other columns travel in a struct, so that none of them, whatever its name is, meets one of this function's
+    others = [F.col(f"`{c}`") for c in kept if c.lower() not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), (F.struct(*others) if others else F.lit(0)).alias("others")).alias("d")
     # the runs of lines between those that go; the one-element transform splits the text once
-    before, after = F.concat(F.array(F.lit(-1)), F.col("__gone")), lambda n: F.concat(F.col("__gone"), F.array(n))
+    before, after = F.concat(F.array(F.lit(-1)), F.col("gone")), lambda n: F.concat(F.col("gone"), F.array(n))
     runs = lambda all_lines: F.zip_with(before, after(F.size(all_lines)), lambda a, b: F.slice(all_lines, a + 2, b - a - 1))
     left = F.flatten(F.get(F.transform(F.array(F.split("text", "\n")), runs), F.lit(0)))
-    return (
-        rows.join(g, (F.col("d.__hash") == F.col("g.doc_hash")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-        .select("d.*", F.col("g.gone").alias("__gone"))
+    out = (
+        rows.join(g, (F.col("d.hash") == F.col("g.doc_hash")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
+        .select("d.doc_id", "d.text", "d.others", "g.gone")
         .withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-        .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .select(*kept, "n_lines", "n_removed")
+        .withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+        .withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
     )
+    return out.select(*[F.col(c.lower()).alias(c) if c.lower() in ("doc_id", "text") else F.col("others")[c].alias(c) for c in kept], "n_lines", "n_removed")

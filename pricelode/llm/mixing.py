@@ -157,11 +157,13 @@ def mix_documents(
 ) -> DataFrame:
     """The rows of `docs`, all columns, each as often as mix() takes it."""
     plan = _planned(_rows(docs, seed), share, weights, most, fills, within)
-    copies = _copies(word_count(F.col("r.text")), F.col("r.__mix_hash"), most)
+    copies = _copies(word_count(F.col("r.row")["text"]), F.col("r.h"), most)
+    # a row travels as one struct, so that no column of it, whatever its name is, meets one of this function's
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _hash(seed).alias("h"))
     return (
-        docs.withColumn("__mix_hash", _hash(seed)).alias("r").join(plan.alias("p"), _same(F.col("r.source"), F.col("p.source")))
-        .withColumn("__mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))))
-        .select("r.*").drop("__mix_hash")
+        rows.alias("r").join(plan.alias("p"), _same(F.col("r.row")["source"], F.col("p.source")))
+        .select("r.row", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))).alias("copy"))
+        .select("row.*")
     )
 
 

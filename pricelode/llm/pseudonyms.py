@@ -231,13 +231,13 @@ def pseudonym(m: Column, key: Column) -> Column:
     )
 
 
-def _keyed(docs: DataFrame, key: str) -> DataFrame:
-    """`docs` with the key in a column __key. It comes from a table of one row, so that it
+def _keyed(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` (text, ...) with the key in a column `key`. It comes from a table of one row, so that it
     stands in no plan, no web page and no event log, as a literal would. The join is by
     a length that is never -1, which Spark doesn't see through, and is a broadcast."""
-    one = docs.sparkSession.createDataFrame([(0, key)], "__zero int, __key string")
+    one = rows.sparkSession.createDataFrame([(0, key)], "zero int, key string")
     zero = F.when(F.length("text") < 0, 1).otherwise(0)
-    return docs.withColumn("__zero", zero).join(F.broadcast(one), "__zero").drop("__zero")
+    return rows.withColumn("zero", zero).join(F.broadcast(one), "zero").drop("zero")
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
@@ -251,17 +251,19 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         raise ValueError("a key is needed")
     found = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     between = F.split("text", ANY, -1)
-    new = F.transform("__found", lambda m: F.struct(m.alias("old"), pseudonym(m, F.col("__key")).alias("new")))
+    new = F.transform("found", lambda m: F.struct(m.alias("old"), pseudonym(m, F.col("key")).alias("new")))
     text = F.concat(
-        F.get("__between", F.lit(0)),
-        F.array_join(F.zip_with("__new", F.slice("__between", F.lit(2), F.size("__new")), lambda x, s: F.concat(F.coalesce(x["new"], x["old"]), s)), ""),
+        F.get("between", F.lit(0)),
+        F.array_join(F.zip_with("new", F.slice("between", F.lit(2), F.size("new")), lambda x, s: F.concat(F.coalesce(x["new"], x["old"]), s)), ""),
     )
     kept = [c for c in docs.columns if c.lower() != "n_replaced"]
-    return (
-        _keyed(docs.select(*kept), key).withColumn("__found", found)
-        .withColumn("__new", F.when(F.size("__found") > 0, new))
-        .withColumn("__between", F.when(F.size("__found") > 0, between))
-        .withColumn("text", F.when(F.col("__new").isNotNull(), text).otherwise(F.col("text")))
-        .withColumn("n_replaced", F.coalesce(F.size(F.filter("__new", lambda x: x["new"].isNotNull())), F.lit(0)).cast("long"))
-        .select(*kept, "n_replaced")
+    # other columns travel in a struct, so that none of them, whatever its name is, meets one of this function's
+    others = [F.col(f"`{c}`") for c in kept if c.lower() != "text"]
+    out = (
+        _keyed(docs.select("text", (F.struct(*others) if others else F.lit(0)).alias("others")), key).withColumn("found", found)
+        .withColumn("new", F.when(F.size("found") > 0, new))
+        .withColumn("between", F.when(F.size("found") > 0, between))
+        .withColumn("text", F.when(F.col("new").isNotNull(), text).otherwise(F.col("text")))
+        .withColumn("n_replaced", F.coalesce(F.size(F.filter("new", lambda x: x["new"].isNotNull())), F.lit(0)).cast("long"))
     )
+    return out.select(*[F.col("text").alias(c) if c.lower() == "text" else F.col("others")[c].alias(c) for c in kept], "n_replaced")

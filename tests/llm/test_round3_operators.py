@@ -277,3 +277,50 @@ def test_components_beyond_the_limit_are_refused(spark):
     docs = spark.createDataFrame([(100, 1, [1e9]), (1, 1, [1.0])], "vec_id long, label int, embedding array<double>")
     with pytest.raises(Exception, match="is beyond"):
         hard_negatives.hard_negatives(docs, F.col("vec_id") % 100 == 0).collect()
+
+
+# ---- names and items that earlier operators stumbled over
+
+CLASHING = ["key", "zero", "found", "new", "between", "others", "hash", "gone", "row", "h", "copy", "__key", "__found", "__hash", "__gone", "__mix_hash", "__mix_copy", "place", "d", "r", "p", "g"]
+
+
+def clashing(spark, rows):
+    """Documents (doc_id, text) with a column of each name, whose values tell of the row."""
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    return spark.createDataFrame([(i, t, "s", *[f"{c}{i}" for c in CLASHING]) for i, t in rows], schema)
+
+
+def test_columns_of_any_name_stay(spark):
+    from pricelode.llm import line_dedup, mixing, pseudonyms
+
+    docs = clashing(spark, [(1, "mail a.b@example.com\nsame line of words"), (2, "same line of words\nother"), (3, None), (4, "")])
+    for out, n in ((pseudonyms.pseudonymise(docs, "k"), 4), (line_dedup.dedupe_lines(docs), 4), (mixing.mix_documents(docs, 2.0, (1,)), None)):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        rows = out.collect()
+        assert n is None or len(rows) == n
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHING)
+    new = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(docs, "k").collect()}
+    assert new[1] != "mail a.b@example.com\nsame line of words" and new[1].startswith("mail ") and new[3] is None and new[4] == ""
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedupe_lines(docs).collect()}
+    assert left[2] == "other"
+    only = docs.select("text")
+    assert pseudonyms.pseudonymise(only, "k").columns == ["text", "n_replaced"]
+
+
+def test_items_without_words_and_ids_of_any_type(spark, monkeypatch):
+    from pricelode.llm import decontamination
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passages = [" ".join(word() for _ in range(40)) for _ in range(6)]
+    texts = [(i, " ".join(word() for _ in range(60)) + (" " + passages[i] if i < 6 else "")) for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    silent = spark.createDataFrame([("x", "... !!!", None), ("y", " ", "a"), ("z", None, None), (None, "\n", None)], "item_id string, text string, answer string")
+    assert decontamination.leaks(docs, silent).count() == 0 and decontamination.decontaminate(docs, silent).count() == 20
+    items = spark.createDataFrame([(f"i{k}", p, None) for k, p in enumerate(passages)], "item_id string, text string, answer string").union(silent)
+    for size in (decontamination.ITEM_BYTES, 600):  # in one block, and in three
+        monkeypatch.setattr(decontamination, "ITEM_BYTES", size)
+        assert len(list(decontamination._blocks(items))) == (1 if size > 600 else 3)
+        found = decontamination.leaks(docs, items)
+        assert dict(found.dtypes)["item_id"] == "string" and sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(k, f"i{k}") for k in range(6)]
+        assert sorted(r["doc_id"] for r in decontamination.decontaminate(docs, items).collect()) == list(range(6, 20))
