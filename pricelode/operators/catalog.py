@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,14 +81,25 @@ def category_children(categories: DataFrame, root: str) -> DataFrame:
     return categories.where((F.col("parent") == root) & ~F.coalesce("hidden", F.lit(False)))
 
 
-def category_paths(categories: DataFrame, depth: int = 6) -> DataFrame:
-    """slug, path (root first); the tree is small and at most `depth` deep."""
-    level = categories.where("parent is null").select("slug", F.array("slug").alias("path"))
-    levels = [level]
-    for _ in range(depth - 1):
-        level = categories.join(level.select(F.col("slug").alias("parent"), "path"), "parent").select("slug", F.concat("path", F.array("slug")).alias("path"))
-        levels.append(level)
-    return reduce(DataFrame.union, levels)
+_PATHS = """
+with recursive p(slug, path) as (
+  select slug, array(slug) from {roots}
+  union all
+  select c.slug, array_append(p.path, c.slug) from p join {children} c on c.parent = p.slug
+)
+select slug, path from p"""
+
+
+def category_paths(categories: DataFrame) -> DataFrame:
+    """slug, path (root first) of each category, at any depth up to Spark's limit of 100 levels. A category whose
+    parent is not in the table is a root; categories that are their own ancestors are an error."""
+    tree = categories.select("slug", "parent")
+    known = tree.select(F.col("slug").alias("parent"), F.lit(True).alias("_known")).distinct()
+    rooted = tree.join(F.broadcast(known), "parent", "left")
+    roots, children = rooted.where("_known is null").select("slug"), rooted.where("_known").select("slug", "parent")
+    paths = tree.sparkSession.sql(_PATHS, roots=roots, children=children)
+    lost = F.raise_error(F.concat(F.lit("category "), tree["slug"], F.lit(" is its own ancestor")))
+    return tree.join(paths.withColumnRenamed("slug", "_slug"), F.col("slug") == F.col("_slug"), "left").select("slug", F.coalesce("path", lost.cast("array<string>")).alias("path"))
 
 
 def offers_or_default(products: DataFrame, offers: DataFrame) -> DataFrame:

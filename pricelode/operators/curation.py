@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.semantics import filled
-from .listing import best_deals, diverse_popular, new_arrivals, only_new
+from .listing import best_deals_by_country, diverse_popular, new_arrivals, only_new
 
 
 @dataclass(frozen=True)
@@ -35,29 +36,36 @@ def gated(rows: DataFrame, o: Options) -> DataFrame:
     return rows.where("discount > 0" if o.needs_discount else ~((price < 50) & (F.col("score") < 100)))
 
 
+_KEYS = {"quality": ["score"], "discount": ["discount", "score"], "revenue": ["revenue", "score"]}
+
+
+def _pick(g: pd.DataFrame, o: Options, shown: set, parents: set) -> list[tuple]:
+    """(id, asin) of the rows taken, in their order; what is shown and its parents are passed over, and added to."""
+    keys, used, out = _KEYS[o.sort], {}, []
+    for r in g.sort_values([*keys, "id"], ascending=[False] * len(keys) + [True]).itertuples():
+        parent = r.parent_asin if isinstance(r.parent_asin, str) and r.parent_asin else None
+        if r.asin in shown or parent in parents or used.get(r.category, 0) >= o.per_category:
+            continue
+        shown.add(r.asin)
+        if parent:
+            parents.add(parent)
+        used[r.category] = used.get(r.category, 0) + 1
+        out.append((r.id, r.asin))
+        if len(out) == o.items:
+            break
+    return out
+
+
 def greedy(rows: DataFrame, o: Options, group: str = "country") -> DataFrame:
     """In falling order of the sort key: at most one of a parent group, `per_category`
     of a category, `items` in all; an item passed over for its category doesn't use up
     its parent. One group's candidates are the bounded pools of the caller."""
-    keys = {"quality": ["score"], "discount": ["discount", "score"], "revenue": ["revenue", "score"]}[o.sort]
-    schema = f"{group} string, id long, asin string, place int"
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
-        seen, parents, used, out = set(), set(), {}, []
-        for r in g.sort_values([*keys, "id"], ascending=[False] * len(keys) + [True]).itertuples():
-            parent = r.parent_asin if isinstance(r.parent_asin, str) and r.parent_asin else None
-            if r.asin in seen or parent in parents or used.get(r.category, 0) >= o.per_category:
-                continue
-            seen.add(r.asin)
-            if parent:
-                parents.add(parent)
-            used[r.category] = used.get(r.category, 0) + 1
-            out.append((getattr(r, group), r.id, r.asin, len(out) + 1))
-            if len(out) == o.items:
-                break
-        return pd.DataFrame(out, columns=[group, "id", "asin", "place"])
-
-    return rows.select(group, "id", "asin", "parent_asin", "category", *keys).groupBy(group).applyInPandas(pick, schema)
+        name = g[group].iloc[0]
+        return pd.DataFrame([(name, *x, place + 1) for place, x in enumerate(_pick(g, o, set(), set()))], columns=[group, "id", "asin", "place"])
+
+    return rows.select(group, "id", "asin", "parent_asin", "category", *_KEYS[o.sort]).groupBy(group).applyInPandas(pick, f"{group} string, id long, asin string, place int")
 
 
 def by_parent(rows: DataFrame, o: Options) -> DataFrame:
@@ -73,22 +81,33 @@ SECTIONS = [
 ]
 
 
+def home_pages(products: DataFrame, prices: DataFrame, created: str = "created_at", sections: list = SECTIONS) -> DataFrame:
+    """country, section, id, asin, place: the front pages of all countries. Each section draws on its pool (deals 80 a country,
+    15 a category, newest 60 new ones) without what earlier sections show: not the same product, and no
+    other one of the same parent. Products and parents are told apart.
+
+    A country's candidates, which the pools bound, meet in one group; the sections are filled there one after
+    another, and carry what is shown from each to the next.
+    """
+    p = prices.withColumn("price", M.effective_price(F.col("amazon_price"), F.col("new_price"), F.col("used_price")))
+    rows = p.join(products, F.col("product_id") == products["id"])
+    place = F.row_number().over(Window.partitionBy("country").orderBy(F.desc_nulls_last("drop"), "id"))
+    deals = best_deals_by_country(products, prices).withColumn("_n", place).where("_n <= 80").select("country", "id")
+    popular, fresh = diverse_popular(products, 15).select("id"), new_arrivals(only_new(products), 60, created).select("id")
+    pools = {"hero": (popular, ["id"]), "bestsellers": (popular, ["id"]), "deals": (deals, ["country", "id"]), "arrivals": (fresh, ["id"])}
+    cols = ["country", "id", "asin", "parent_asin", "category", "score", "revenue", "discount"]
+    candidates = [gated(rows.join(pools[name][0], pools[name][1], "left_semi"), o).select(F.lit(n).alias("section"), *cols) for n, (name, o) in enumerate(sections)]
+
+    def fill(g: pd.DataFrame) -> pd.DataFrame:
+        shown, parents, out = set(), set(), []
+        for n, (name, o) in enumerate(sections):
+            taken = _pick(g[g["section"] == n], o, shown, parents)
+            out += [(g["country"].iloc[0], name, *x, k + 1) for k, x in enumerate(taken)]
+        return pd.DataFrame(out, columns=["country", "section", "id", "asin", "place"])
+
+    return reduce(DataFrame.unionByName, candidates).groupBy("country").applyInPandas(fill, "country string, section string, id long, asin string, place int")
+
+
 def home_sections(products: DataFrame, prices: DataFrame, country: str, created: str = "created_at", sections: list = SECTIONS) -> DataFrame:
-    """section, id, asin, place. Each section draws on its pool (deals 80, 15 a category,
-    newest 60 new ones) without what earlier sections show: not the same product, and no
-    other one of the same parent. Products and parents are told apart."""
-    p = prices.where(F.col("country") == country).withColumn("price", M.effective_price(F.col("amazon_price"), F.col("new_price"), F.col("used_price")))
-    # pools hold at most 80, 15 a category, and 60 rows
-    priced = lambda pool: p.join(F.broadcast(pool.select("id")), F.col("product_id") == F.col("id")).drop("id").join(products, F.col("product_id") == products["id"])
-    deals, popular, fresh = best_deals(products, prices, country, 80).select("id"), diverse_popular(products, 15).select("id"), new_arrivals(only_new(products), 60, created).select("id")
-    pools = {"hero": popular, "bestsellers": popular, "deals": deals, "arrivals": fresh}
-    shown, out = None, []
-    for name, o in sections:
-        rows = gated(priced(pools[name]), o)
-        if shown is not None:
-            rows = rows.where(~F.col("asin").isin(shown[0]) & ~F.coalesce(filled(F.col("parent_asin")).isin(shown[1]), F.lit(False)))
-        # at most `items` rows a country: they come to the driver, and later sections leave them out by name
-        picked = greedy(rows, o).alias("g").join(products.select("id", "parent_asin"), "id").collect()
-        out += [(name, r["id"], r["asin"], r["place"]) for r in picked]
-        shown = ([*(shown or ([], []))[0], *(r["asin"] for r in picked)], [*(shown or ([], []))[1], *(r["parent_asin"] for r in picked if r["parent_asin"])])
-    return products.sparkSession.createDataFrame(out, "section string, id long, asin string, place int")
+    """section, id, asin, place of one country's front page."""
+    return home_pages(products, prices.where(F.col("country") == country), created, sections).drop("country")

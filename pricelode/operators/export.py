@@ -25,11 +25,13 @@ def sitemap(site: str, products: DataFrame, categories: DataFrame, articles: Dat
     return reduce(DataFrame.unionByName, parts)
 
 
-def product_jsonld(rows: DataFrame) -> DataFrame:
-    """id, jsonld; null where there is neither an offer nor a rating."""
+def product_jsonld(rows: DataFrame, currency: str = "EUR") -> DataFrame:
+    """id, jsonld; null where there is neither an offer nor a rating. Prices are in the rows' own currency, if
+    they have such a column, else in the given one."""
+    unit = F.coalesce("currency", F.lit(currency)) if "currency" in rows.columns else F.lit(currency)
     offer = F.when(
         F.col("n_prices") > 0,
-        F.struct(F.lit("AggregateOffer").alias("@type"), F.col("low").alias("lowPrice"), F.col("high").alias("highPrice"), F.col("n_prices").alias("offerCount"), F.lit("EUR").alias("priceCurrency")),
+        F.struct(F.lit("AggregateOffer").alias("@type"), F.col("low").alias("lowPrice"), F.col("high").alias("highPrice"), F.col("n_prices").alias("offerCount"), unit.alias("priceCurrency")),
     )
     rating = F.when((F.col("rating") > 0) & (F.col("review_count") > 0), F.struct(F.lit("AggregateRating").alias("@type"), F.col("rating").alias("ratingValue"), F.col("review_count").alias("reviewCount")))
     body = F.struct(

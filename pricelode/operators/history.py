@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import cents_to_price, feed_time
 from ..functions.semantics import half_up
+from . import blocks
 
 KEY = ["product_id", "country"]
 
@@ -29,6 +30,11 @@ def analyze_prices(history: DataFrame, prices: DataFrame, current: Column, since
     # prices are whole cents: their sum is exact, so the average doesn't depend on the order
     mean = F.sum(F.round(F.col("price") * 100).cast("long")) / (F.lit(100.0) * F.count("price"))
     stats = seen.groupBy(*KEY).agg(mean.alias("avg"), F.min("price").alias("low"), F.max("price").alias("high"), F.count("*").alias("points")).where("points >= 2")
+    return compared(stats, prices, current)
+
+
+def compared(stats: DataFrame, prices: DataFrame, current: Column) -> DataFrame:
+    """Average, low, high and number of points by product and country beside the current price."""
     rows = stats.join(prices.select(*KEY, current.alias("current")), KEY).where("current is not null")
     pct = lambda a, b: F.try_divide(a - b, b) * 100
     avg, low = pct(F.col("current"), F.col("avg")), pct(F.col("current"), F.col("low"))
@@ -88,15 +94,30 @@ def price_changes_log(ticks: DataFrame, order: list[str]) -> DataFrame:
     return ticks.withColumn("old_price", before).where("price <> old_price")
 
 
-def rolling_price_stats(history: DataFrame, keys: list[str] = ("product_id", "country", "price_type")) -> DataFrame:
-    """Each point with its 30 and 90 day averages and the lowest and highest so far."""
+def rolling_price_stats(history: DataFrame, keys: list[str] = ("product_id", "country", "price_type"), days: tuple[int, int] = (30, 90)) -> DataFrame:
+    """Each point with its 30 and 90 day averages and the lowest and highest so far.
+
+    A series is cut into stretches of twice the longer average. A window holds one stretch and, of the
+    one before it, the days that its first points look back on; the lowest and highest of earlier
+    stretches come from a table of one row a stretch. So a product with half of all points is spread over tasks.
+    """
+    day = 86400
     t = F.unix_seconds(F.col("recorded_at").cast("timestamp"))
-    by = Window.partitionBy(*keys).orderBy(t)
-    days = lambda n: by.rangeBetween(-n * 86400, Window.currentRow)
+    length = 2 * max(days) * day
+    rows = history.select(F.struct("*").alias("_row"), *keys, "price", t.alias("_t")).withColumn("_block", blocks.time_block(F.col("_t"), length))
+    late = rows.where(F.col("_t") >= (F.col("_block") + 1) * length - max(days) * day).withColumns({"_block": F.col("_block") + 1, "_row": F.lit(None).cast(rows.schema["_row"].dataType)})
+    by = Window.partitionBy(*keys, "_block").orderBy("_t")
+    over = lambda n: by.rangeBetween(-n * day, Window.currentRow)
     so_far = by.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return history.select(
-        "*", F.avg("price").over(days(30)).alias("avg30"), F.avg("price").over(days(90)).alias("avg90"), F.min("price").over(so_far).alias("low"), F.max("price").over(so_far).alias("high")
-    )
+    own = F.when(F.col("_row").isNotNull(), F.col("price"))
+    seen = rows.unionByName(late).select(
+        "*", F.avg("price").over(over(days[0])).alias("avg30"), F.avg("price").over(over(days[1])).alias("avg90"), F.min(own).over(so_far).alias("_low"), F.max(own).over(so_far).alias("_high")
+    ).where("_row is not null")
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "_block").agg(F.min("price").alias("_a"), F.max("price").alias("_b"))
+    ends = ends.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_block").alias("_at"), F.min("_a").over(before).alias("_before_low"), F.max("_b").over(before).alias("_before_high"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col("_block").eqNullSafe(F.col("_at"))]
+    return seen.join(ends, same).select("_row.*", "avg30", "avg90", F.least("_low", "_before_low").alias("low"), F.greatest("_high", "_before_high").alias("high"))
 
 
 def chart_series(history: DataFrame, keys: list[str] = ("product_id",)) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.normalize import cpu_attributes
 from ..functions.semantics import filled
+from . import blocks
+from .search import contains_any_word
 
 
 @dataclass
@@ -69,12 +71,17 @@ def deal_candidates(rows: DataFrame) -> DataFrame:
     return rows.where(positive("price_avg_90", "price_avg_30") & positive("amazon_price", "new_price"))
 
 
-def best_deals(products: DataFrame, prices: DataFrame, country: str, k: int | None, new_only: bool = True) -> DataFrame:
-    """Largest relative drop below the 90 (else 30) day average."""
-    rows = products.join(deal_candidates(prices.where(F.col("country") == country)), products["id"] == prices["product_id"])
+def best_deals_by_country(products: DataFrame, prices: DataFrame, new_only: bool = True) -> DataFrame:
+    """Products and prices of deals with drop, the relative drop below the 90 (else 30) day average."""
+    rows = products.join(deal_candidates(prices), products["id"] == prices["product_id"])
     rows = only_new(rows) if new_only else rows
     ref, now = F.coalesce("price_avg_90", "price_avg_30"), F.coalesce("amazon_price", "new_price")
-    ranked = rows.withColumn("drop", F.try_divide(ref - now, ref)).orderBy(F.desc_nulls_last("drop"), "id")
+    return rows.withColumn("drop", F.try_divide(ref - now, ref))
+
+
+def best_deals(products: DataFrame, prices: DataFrame, country: str, k: int | None, new_only: bool = True) -> DataFrame:
+    """Largest relative drop below the 90 (else 30) day average."""
+    ranked = best_deals_by_country(products, prices.where(F.col("country") == country), new_only).orderBy(F.desc_nulls_last("drop"), "id")
     return ranked.limit(k) if k else ranked
 
 
@@ -93,9 +100,9 @@ def most_popular(products: DataFrame, k: int) -> DataFrame:
 
 def fallback_search(products: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     """query_id, id, place: for each query (query_id, query) the first k products by id whose
-    title holds any of its words. The table of words is small by nature."""
+    title holds any of its words. Any number of queries; see search.contains_any_word()."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower(F.trim("query")), r"\s+"))).alias("word")).where("word <> ''")
-    hits = products.select("id", F.lower("title").alias("low")).join(F.broadcast(words), F.col("low").contains(F.col("word")))
+    hits = contains_any_word(products, words).join(words, "word")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
     return hits.select("query_id", "id").distinct().withColumn("place", place).where(F.col("place") <= k)
 
@@ -167,10 +174,9 @@ def price_band(price: Column) -> Column:
 
 def listing_summary(df: DataFrame, filtered: DataFrame, size: int = 24) -> DataFrame:
     """One row: total, oldest, filtered, pages."""
-    total, oldest = df.agg(F.count("*"), F.min("last_updated")).first()
-    left = filtered.count()
-    row = [(total, oldest, left, -(-left // size))]
-    return df.sparkSession.createDataFrame(row, f"total long, oldest {df.schema['last_updated'].dataType.simpleString()}, filtered long, pages long")
+    left = filtered.select(F.count("*")).scalar()
+    rows = df.agg(F.count("*").alias("total"), F.min("last_updated").alias("oldest")).withColumn("filtered", left)
+    return rows.withColumn("pages", F.ceil(F.col("filtered") / size))
 
 
 def facet_values(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -235,19 +241,20 @@ def category_page(listing: DataFrame, params: FilterParams, sort: str, page: int
     return paginate(sort_listing(kept, sort), page, size), listing_summary(listing, kept, size)
 
 
-def similar_products(rows: DataFrame, k: int = 4) -> DataFrame:
+def similar_products(rows: DataFrame, k: int = 4, block_rows: int = blocks.ROWS) -> DataFrame:
     """id, other_id, place: the k products of the category nearest in price (ties by id).
 
     The k nearest lie among the k distinct prices on either side, and of one price only
     the k+1 lowest ids can count; so each product meets (2k+1)(k+1) others at most,
-    however large its category. Distinct prices are windowed by their rounded-down
-    neighbourhood only through their order within the category.
+    however large its category. Distinct prices are cut into ranges of about `block_rows`, to which the k prices beyond
+    either end are added, so no window holds a whole category.
     """
     at_price = Window.partitionBy("category", "price").orderBy("id")
     ids = rows.select("category", "price", "id").withColumn("_n", F.row_number().over(at_price)).where(F.col("_n") <= k + 1)
     steps = ids.groupBy("category", "price").agg(F.collect_list("id").alias("ids"))
-    around = Window.partitionBy("category").orderBy("price").rowsBetween(-k, k)
-    near = steps.withColumn("near", F.collect_list(F.struct("price", "ids")).over(around)).select("category", "price", "near")
+    ranges = blocks.with_borders(blocks.with_blocks(steps, ["category"], "price", block_rows), ["category"], ["price"], k)
+    around = Window.partitionBy("category", "_block").orderBy("price").rowsBetween(-k, k)
+    near = ranges.withColumn("near", F.collect_list(F.struct("price", "ids")).over(around)).where("not _border").select("category", "price", "near")
     pairs = rows.select("id", "category", "price").join(near, ["category", "price"]).select("id", "price", F.explode("near").alias("p"))
     pairs = pairs.select("id", F.abs(F.col("p.price") - F.col("price")).alias("distance"), F.explode("p.ids").alias("other_id")).where("id <> other_id")
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other_id"))

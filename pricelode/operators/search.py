@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import BucketTable
+
 K1, B, SHORTEST, LONGEST = 1.2, 0.75, 2, 12
 
 
@@ -21,32 +24,139 @@ def build_index(docs: DataFrame, text: list[str], key: str = "id") -> DataFrame:
     return words.select("doc", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("token", "doc", "length").agg(F.count("*").alias("tf"))
 
 
+def _asked(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """term, token: the tokens that begin with each term. Terms are looked up among the beginnings of the
+    distinct tokens, of which there are far fewer than postings."""
+    grams = F.sequence(F.lit(SHORTEST), F.least(F.length("token"), F.lit(LONGEST)))
+    edges = vocabulary.where(F.length("token") >= SHORTEST).select("token", F.explode(grams).alias("n")).withColumn("gram", F.col("token").substr(F.lit(1), F.col("n")))
+    asked = terms.select("term").distinct().withColumn("gram", F.col("term").substr(1, LONGEST))
+    return edges.join(asked, "gram").where(F.col("token").startswith(F.col("term"))).select("term", "token")
+
+
+def _terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).where(F.length("term") >= SHORTEST)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, doc, score, place. queries: query_id, query. A document matches if for
     each term, of two letters or more, it has a token that begins with it.
 
-    Each token stands in the index under its beginnings; a term is an equi-join on its
-    first LONGEST letters, made once for each distinct term. Only the documents of a
+    A term is looked up once for all queries that have it. Only the documents of a
     query's rarest term are looked up for its other terms, so a word that most documents
     share costs a query no more than a rare one.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).where(F.length("term") >= SHORTEST)
-    n_terms = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    n_docs, mean = index.select("doc", "length").distinct().agg(F.count("*"), F.avg("length")).first()
-    grams = F.sequence(F.lit(SHORTEST), F.least(F.length("token"), F.lit(LONGEST)))
-    edges = index.where(F.length("token") >= SHORTEST).select("*", F.explode(grams).alias("n")).withColumn("gram", F.col("token").substr(F.lit(1), F.col("n")))
-    asked = terms.select("term").distinct().withColumn("gram", F.col("term").substr(1, LONGEST))
-    hits = edges.join(asked, "gram").where(F.col("token").startswith(F.col("term")))
-    found = hits.groupBy("term", "doc", "length").agg(F.sum("tf").alias("tf"))
-    known = terms.join(found.groupBy("term").agg(F.count("*").alias("df")), "term")
-    rarest = known.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    candidates = rarest.join(found.select("term", "doc"), "term").select("query_id", "doc")
-    rows = candidates.join(known, "query_id").join(found, ["term", "doc"])
+    terms = _terms(queries)
+    sizes = index.select("doc", "length").distinct().agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    return _ranked(index, _asked(terms, index.select("token").distinct()), terms, sizes, k)
+
+
+def _ranked(postings: DataFrame, asked: DataFrame, terms: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """The first k documents of each query. sizes: one row, the number of documents and their mean length.
+
+    A term adds no more to a score than its best posting does. Documents are scored in two
+    steps: first those of the rarest term that could score highest, then, of the others, those whose
+    bound is not below the k-th score so far.
+    """
+    found = postings.join(asked, "token").groupBy("term", "doc", "length").agg(F.sum("tf").alias("tf"))
+    n_docs, mean = F.col("docs"), F.coalesce(F.nullif(F.col("mean"), F.lit(0.0)), F.lit(1.0))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    found = found.join(F.broadcast(sizes), F.lit(True)).select("term", "doc", "docs", weight.alias("weight"))
+    known = found.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("most"), F.first("docs").alias("docs"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean or 1.0)))
-    scored = rows.groupBy("query_id", "doc").agg(F.sum(part).alias("score"), F.count("*").alias("terms")).join(n_terms, "query_id").where("terms = n_terms")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc"))
-    return scored.withColumn("place", place).where(F.col("place") <= k).select("query_id", "doc", "score", "place")
+    wanted = terms.join(known.select("term", "df", idf.alias("idf"), (idf * F.col("most")).alias("bound")), "term")
+    whole = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    # queries all of whose terms are known, with the rarest term and what the others may add
+    rarest = (
+        wanted.groupBy("query_id").agg(F.count("*").alias("n"), F.min_by(F.struct("term", "idf", "bound"), F.struct("df", "term")).alias("r"), F.sum("bound").alias("sum"))
+        .join(whole, "query_id").where("n = n_terms").select("query_id", "n_terms", "r.term", "r.idf", (F.col("sum") - F.col("r.bound")).alias("others"))
+    )
+    candidates = rarest.join(found.select("term", "doc", "weight"), "term").select("query_id", "n_terms", "doc", (F.col("idf") * F.col("weight") + F.col("others")).alias("bound"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "doc"))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        parts = rows.join(wanted.select("query_id", "term", "idf"), "query_id").join(found, ["term", "doc"])
+        return (
+            parts.groupBy("query_id", "doc").agg(F.sum(F.col("idf") * F.col("weight")).alias("score"), F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
+            .where("n = n_terms").select("query_id", "doc", "score")
+        )
+
+    first = candidates.withColumn("place", place).where(F.col("place") <= 4 * k)
+    best = scored(first)
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc")
+    least = best.withColumn("place", F.row_number().over(order)).where(F.col("place") == k).select("query_id", F.col("score").alias("least"))
+    rest = candidates.join(first.select("query_id", "doc"), ["query_id", "doc"], "left_anti").join(least, "query_id", "left").where("least is null or bound >= least - 1e-6")
+    both = best.unionByName(scored(rest.drop("least")))
+    return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """An index in files: postings in buckets by the first letters of their token, sorted by token,
+    and the documents with their tokens. Documents that change write only their own postings."""
+
+    path: str
+    buckets: int = 64
+    split: int = 4
+
+    @property
+    def postings(self) -> BucketTable:
+        return BucketTable(f"{self.path}/postings", ("token", "doc"), (), self.buckets, by=f"substring(token, 1, {SHORTEST})", split=self.split, sort=("token",))
+
+    @property
+    def docs(self) -> BucketTable:
+        return BucketTable(f"{self.path}/docs", ("doc",), (), self.buckets)
+
+    def update(self, docs: DataFrame, text: list[str], key: str = "id", removed: DataFrame | None = None) -> None:
+        """Puts documents in, in place of those of the same key, and takes out those that `removed` names.
+        Postings that a document no longer has stay in the files with a frequency of 0 until
+        their bucket is rewritten and are not read."""
+        new = docs.select(F.col(key).alias("doc"), tokens(F.concat_ws(" ", *text)).alias("t")).dropDuplicates(["doc"])
+        gone = removed.select(F.col(key).alias("doc")).distinct() if removed is not None else new.select("doc").limit(0)
+        postings = new.select("doc", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("token", "doc", "length").agg(F.count("*").cast("int").alias("tf"))
+        if self.docs.exists(docs.sparkSession):
+            touched = new.select("doc").union(gone).distinct()
+            old = self.docs.read(docs.sparkSession, touched).join(touched, "doc", "left_semi").select("doc", F.explode("tokens").alias("token"))
+            # a frequency of 0 for what a document had and has no longer
+            stale = old.join(postings.select("token", "doc"), ["token", "doc"], "left_anti").select("token", "doc", F.lit(0).alias("length"), F.lit(0).alias("tf"))
+            postings = postings.unionByName(stale)
+        rows = new.select("doc", F.size("t").alias("length"), F.array_distinct("t").alias("tokens"))
+        empty = gone.join(new, "doc", "left_anti").select("doc", F.lit(None).cast("int").alias("length"), F.array().cast("array<string>").alias("tokens"))
+        # postings first: a writer that dies between the two leaves documents that an update puts right
+        self.postings.append(postings)
+        self.docs.append(rows.unionByName(empty))
+
+    def read(self, spark: SparkSession, terms: DataFrame | None = None) -> DataFrame:
+        """token, doc, length, tf; with `terms` (term) only from the buckets of their first letters."""
+        of = None if terms is None else terms.select(F.col("term").alias("token"), F.lit(0).alias("doc"))
+        return self.postings.read(spark, of).where("tf > 0")
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """What search() gives, from the files of the asked letters alone."""
+        spark, terms = queries.sparkSession, _terms(queries)
+        postings = self.read(spark, terms)
+        sizes = self.docs.read(spark).where("length > 0").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+        return _ranked(postings, _asked(terms, postings.select("token").distinct()), terms, sizes, k)
+
+
+def contains_any_word(texts: DataFrame, words: DataFrame, key: str = "id", text: str = "title") -> DataFrame:
+    """key, word: the texts that hold each word (words: word, in lower case) anywhere.
+
+    Every word of three letters or more has its trigrams in any text that holds it: texts are looked up by the word's rarest
+    one, and what is found is compared. A word of one or two letters is looked up by itself. The join is by equal
+    grams only. Empty words are found nowhere.
+    """
+    low = F.lower(text)
+    asked = words.select("word").where("word <> ''").distinct().withColumn("size", F.least(F.length("word"), F.lit(3)))
+    parts = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n))
+    grams = asked.select("word", F.explode(F.array_distinct(parts(F.col("word"), F.col("size")))).alias("gram"))
+    sizes = [F.when(F.length(low) >= n, parts(low, F.lit(n))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
+    held = texts.select(F.col(key), F.explode(F.array_distinct(F.concat(*sizes))).alias("gram"))
+    hits = held.join(grams.select("gram").distinct(), "gram")
+    # of each word the rarest gram, if all of them are somewhere
+    counted = grams.join(hits.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rarest = counted.groupBy("word").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("everywhere")).where("everywhere")
+    candidates = rarest.select("word", "gram").join(hits, "gram").select(key, "word")
+    return candidates.join(texts.select(F.col(key), low.alias("_low")), key).where(F.col("_low").contains(F.col("word"))).select(key, "word")
 
 
 def search_like(docs: DataFrame, words: list[str], k: int, key: str = "id") -> DataFrame:

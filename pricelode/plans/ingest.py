@@ -223,6 +223,11 @@ def import_outcome(feed: DataFrame, mapped: DataFrame, products: DataFrame) -> D
     return now.select("status").union(skipped.select("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def import_summary(mapped: DataFrame, products: DataFrame) -> DataFrame:
+    """category, n: new products of an import by category."""
+    return catalog.split_new_existing(mapped.select("asin", "category"), products).where("is_new").groupBy("category").agg(F.count("*").alias("n"))
+
+
 def discovery_candidates(bestsellers: DataFrame, deals: DataFrame, cap: int) -> DataFrame:
     """asin: bestsellers before deals, each once by its first place, `cap` at most."""
     both = bestsellers.select("asin", F.lit(0).alias("list"), "place").union(deals.select("asin", F.lit(1).alias("list"), "place"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting, metrics, normalize
 from ..functions.semantics import half_up
-from ..operators import catalog, curation, export, history, listing, merge, search
+from ..operators import catalog, curation, daily, export, history, listing, merge, search
 from ..sources import dims, testdata
+from ..sources.tables import scratch
 from ..sources.writers import upsert
 from ..streaming import ticks as streaming
 from . import ingest
@@ -109,24 +110,51 @@ join (select product_id as pid, country as c, {_PRICE.replace("coalesce(nullif(a
 where price_type = 'amazon' and recorded_at > cast('2000-08-01' as timestamp) and recorded_at <= cast('2001-08-01' as timestamp) and cur is not null group by h.product_id, h.country having count(*) >= 2) x"""
 
 
-@_query(
+_ANALYZED = (
     f"""select product_id, country, points, low, high, round(floor(a * 100 + 0.5) / 100, 2) as average,
 case when (current - low) / low * 100 <= 5 or (current - a) / a * 100 <= -10 then 'great_deal' when (current - a) / a * 100 <= -5 then 'good_price'
  when (current - a) / a * 100 <= 5 then 'fair' else 'wait' end as recommendation from ({_ANALYSIS}) y"""
 )
+
+
+@_query(_ANALYZED)
 def price_analysis(spark: SparkSession, sf: str) -> DataFrame:
     buy = metrics.buyable_price(F.col("amazon_price"), F.col("new_price"))
     out = history.analyze_prices(testdata.history(spark, sf), testdata.prices(spark, sf), buy, F.lit("2000-08-01").cast("timestamp"), as_of())
     return out.select("product_id", "country", "points", "low", "high", F.round("average", 2).alias("average"), "recommendation")
 
 
-@_query(
+def _daily(spark: SparkSession, sf: str) -> daily.BucketTable:
+    """Daily figures of the history, loaded in three batches, the second one twice."""
+    table, points = daily.daily_table(scratch(spark, "daily"), 16), testdata.history(spark, sf)
+    for name, part in (("a", "l_orderkey % 3 = 0"), ("b", "l_orderkey % 3 = 1"), ("b", "l_orderkey % 3 = 1"), ("c", "l_orderkey % 3 = 2")):
+        daily.add_history(table, points.where(part), name)
+    return table
+
+
+@_query(_ANALYZED)
+def daily_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """The same analysis from figures that are kept by day."""
+    buy = metrics.buyable_price(F.col("amazon_price"), F.col("new_price"))
+    out = daily.analyze_daily(_daily(spark, sf).read(spark), testdata.prices(spark, sf), buy, F.lit("2000-08-01").cast("timestamp"), as_of())
+    return out.select("product_id", "country", "points", "low", "high", F.round("average", 2).alias("average"), "recommendation")
+
+
+_COVERAGE = (
     "select p.id, coalesce(days, 0) as days, coalesce(points, 0) as points from products p left join (select product_id, cast(greatest(1, ceil((epoch(max(recorded_at)) - epoch(min(recorded_at))) / 86400)) as bigint) as days, count(*) as points from history group by product_id) h on p.id = h.product_id"
 )
+
+
+@_query(_COVERAGE)
 def history_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return history.history_coverage(testdata.history(spark, sf), testdata.products(spark, sf))
 
 
+@_query(_COVERAGE)
+def daily_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return daily.daily_coverage(_daily(spark, sf).read(spark), testdata.products(spark, sf))
+
+
 @_query("select count(*) as n_rows, count(distinct product_id) as products, cast(min(recorded_at) as date) as oldest, cast(max(recorded_at) as date) as newest, cast(date_diff('day', cast(min(recorded_at) as date), cast(max(recorded_at) as date)) as bigint) as days from history")
 def history_stats(spark: SparkSession, sf: str) -> DataFrame:
     return history.history_stats(testdata.history(spark, sf))
@@ -288,7 +316,7 @@ def reading_minutes(spark: SparkSession, sf: str) -> DataFrame:
 _TOKENS = "list_filter(string_split_regex(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda t: t <> '')"
 
 
-@_query(
+_SEARCH = (
     f""", tok as (select id as doc, {_TOKENS.format("title || ' ' || brand")} as t from products),
 idx as (select token, doc, length, count(*) as tf from (select doc, len(t) as length, unnest(t) as token from tok) x group by all),
 n as (select count(*) as docs, avg(length) as mean from (select distinct doc, length from idx) x),
@@ -299,12 +327,28 @@ wanted as (select query_id, count(*) as n_terms from terms group by all),
 scored as (select query_id, doc, count(*) as c, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) as s from found join df using (query_id, term) cross join n group by query_id, doc)
 select query_id, doc, round(s, 6) as score, place from (select query_id, doc, s, row_number() over (partition by query_id order by round(s, 9) desc, doc) as place from scored join wanted using (query_id) where c = n_terms) x where place <= 10"""
 )
+
+
+@_query(_SEARCH)
 def product_search(spark: SparkSession, sf: str) -> DataFrame:
     index = search.build_index(testdata.products(spark, sf), ["title", "brand"])
     words = testdata.products(spark, sf).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", F.lower("brand"), F.substring(F.get(F.split("title", " "), F.lit(1)), 1, 3)).alias("query"))
     return search.search(index, words).select("query_id", "doc", F.round("score", 6).alias("score"), "place")
 
 
+@_query(_SEARCH)
+def stored_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from an index in files: written with other texts for some products and with some that there are not, then updated."""
+    p = testdata.products(spark, sf)
+    odd = F.col("id") % 10 == 0
+    before = p.select(F.when(odd, F.concat(F.lit("old words "), "brand")).otherwise(F.col("title")).alias("title"), "brand", F.when(F.col("id") % 40 == 1, -F.col("id")).otherwise(F.col("id")).alias("id"))
+    index = search.StoredIndex(scratch(spark, "index"), 32, 2)
+    index.update(before, ["title", "brand"])
+    index.update(p.where(odd | (F.col("id") % 40 == 1)), ["title", "brand"], removed=p.where("id % 40 = 1").select((-F.col("id")).alias("id")))
+    words = p.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", F.lower("brand"), F.substring(F.get(F.split("title", " "), F.lit(1)), 1, 3)).alias("query"))
+    return index.search(words).select("query_id", "doc", F.round("score", 6).alias("score"), "place")
+
+
 @_query("select id, title from products where lower(title) like '%red%' or lower(title) like '%brass%' order by id limit 50")
 def title_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_like(testdata.products(spark, sf), ["red", "brass"], 50).select("id", "title")
@@ -475,8 +519,7 @@ def price_update_changes(spark: SparkSession, sf: str) -> DataFrame:
 @_query("select category, count(*) as n from products where id % 4 <> 0 group by category")
 def import_summary(spark: SparkSession, sf: str) -> DataFrame:
     p = testdata.products(spark, sf)
-    new = catalog.split_new_existing(p, p.where("id % 4 = 0")).where("is_new")
-    return new.groupBy("category").agg(F.count("*").alias("n"))
+    return ingest.import_summary(p, p.where("id % 4 = 0"))
 
 
 @_query("select id, case when id % 3 = 0 then 'Shop' else 'Amazon' end as merchant from products")
@@ -733,10 +776,17 @@ def decoded_feed(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", F.col("amazon_price").alias("amazon"), F.col("used_price").alias("used"), F.col("sales_rank").alias("rank"), F.col("rating").alias("stars"), F.col("review_count").alias("reviews"), normalize.minmax_price(F.col("low")).alias("low"))
 
 
-@_query("select query_id, id, place from (select query_id, id, row_number() over (partition by query_id order by id) as place from products join (values (1, 'red'), (1, 'brass'), (2, 'steel')) q(query_id, word) on contains(lower(title), word) group by query_id, id) x where place <= 50")
+@_query(
+    """select query_id, id, place from (select query_id, id, row_number() over (partition by query_id order by id) as place from (
+  select distinct q.id as query_id, p.id from (select distinct id, unnest(list_filter(string_split_regex(lower(brand || ' ' || substring(string_split(title, ' ')[2], 2, 4) || case when id % 300 = 0 then ' x9' else '' end), '\\s+'), lambda w: w <> '')) as word from products where id % 100 = 0) q
+  join products p on contains(lower(p.title), word)) h) x where place <= 50"""
+)
 def fallback_search(spark: SparkSession, sf: str) -> DataFrame:
-    queries = testdata.products(spark, sf).where("id in (1, 2)").select(F.col("id").alias("query_id"), F.when(F.col("id") == 1, "red Brass").otherwise("steel").alias("query"))
-    return listing.fallback_search(testdata.products(spark, sf), queries, 50)
+    """One query for each product whose id is divisible by 100: its brand, a part of a word, sometimes two letters."""
+    p = testdata.products(spark, sf)
+    part = F.substring(F.get(F.split("title", " "), F.lit(1)), 2, 4)
+    asked = F.concat(F.col("brand"), F.lit(" "), part, F.when(F.col("id") % 300 == 0, " x9").otherwise(""))
+    return listing.fallback_search(p, p.where("id % 100 = 0").select(F.col("id").alias("query_id"), asked.alias("query")), 50)
 
 
 @_query(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.semantics import epoch, filled
 
@@ -16,12 +17,61 @@ FEED_SCHEMA = """products array<struct<asin:string, title:string, brand:string,
  stats:struct<current:array<bigint>, avg30:array<bigint>, avg90:array<bigint>, min:array<string>, max:array<string>>>>"""
 
 
-def read_catalog(spark: SparkSession, path: str, tables: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
-    """The catalogue's tables; whole-number times become timestamps."""
+# The catalogue's columns; `not null` where the catalogue says so. Times are whole seconds or milliseconds, or timestamps.
+SCHEMAS = {
+    "products": """id long not null, asin string not null, gtin string, mpn string, sku string, slug string not null, title string not null, brand string, category string not null, image_url string,
+ manufacturer string, capacity double, capacity_unit string, normalized_capacity double, form_factor string, technology string, condition string, rating double, review_count int, sales_rank int,
+ sales_rank_reference int, monthly_sold int, parent_asin string, variation_attributes string, specifications string, raw_data string, features string, description string, energy_label string,
+ history_seeded boolean, created_at timestamp not null, updated_at timestamp not null""",
+    "prices": """id long not null, product_id long not null, country string not null, amazon_price double, amazon_price_formatted string, new_price double, used_price double, warehouse_price double,
+ list_price double, price_min double, price_max double, price_avg_30 double, price_avg_90 double, price_per_unit double, currency string not null, availability string, delivery_time string,
+ delivery_cost double, delivery_free boolean, source string not null, last_updated timestamp not null""",
+    "price_history": "id long not null, product_id long not null, country string not null, price double not null, currency string not null, price_type string not null, recorded_at timestamp not null",
+    "affiliate_links": "id long not null, product_id long not null, country string not null, source string not null, url string not null, created_at timestamp not null",
+    "product_identifiers": "id long not null, product_id long not null, source string not null, external_id string not null, country string, created_at timestamp not null",
+    "product_offers": """id long not null, product_id long not null, source string not null, merchant_name string not null, merchant_logo string, price double not null, currency string not null,
+ shipping_cost double, total_price double, affiliate_url string not null, deep_link string, availability string, delivery_time string, merchant_rating double, merchant_review_count int, last_updated timestamp not null""",
+}
+
+
+def as_table(rows: DataFrame, table: str) -> DataFrame:
+    """Rows as the catalogue has them: its columns in their order and types. Columns that may be null
+    and are not there are null; one that may not and is not there is an error, and so are columns that the catalogue doesn't know."""
+    schema = StructType.fromDDL(SCHEMAS[table])
+    names = {c.lower(): c for c in rows.columns}
+    missing = [f.name for f in schema if not f.nullable and f.name not in names]
+    unknown = [c for c in names if c not in schema.names]
+    if missing or unknown:
+        raise ValueError(f"{table}: missing {missing}, unknown {unknown}")
+    kinds = dict(rows.dtypes)
+
+    def value(f: StructField) -> Column:
+        if f.name not in names:
+            return F.lit(None).cast(f.dataType)
+        c, kind = F.col(f"`{names[f.name]}`"), kinds[names[f.name]]
+        if f.name in _TIMES and (kind in ("int", "bigint") or kind.startswith("decimal")):
+            c = epoch(c.cast("long"))
+        return c.cast(f.dataType)
+
+    return rows.select(*[value(f).alias(f.name) for f in schema])
+
+
+def read_catalog(spark: SparkSession, path: str, tables: tuple[str, ...] = TABLES, whole: bool = False) -> dict[str, DataFrame]:
+    """The catalogue's tables; whole-number times become timestamps. whole: exactly as in SCHEMAS."""
     out = {}
     for t in tables:
         df = spark.read.parquet(f"{path}/{t}.parquet")
-        out[t] = df.withColumns({c: epoch(F.col(c)) for c, kind in df.dtypes if c in _TIMES and kind in ("int", "bigint")})
+        out[t] = as_table(df, t) if whole else df.withColumns({c: epoch(F.col(c)) for c, kind in df.dtypes if c in _TIMES and kind in ("int", "bigint")})
+    return out
+
+
+def read_catalog_jdbc(spark: SparkSession, url: str, tables: tuple[str, ...] = TABLES, parts: int = 16, step: int = 1_000_000, **options: str) -> dict[str, DataFrame]:
+    """The catalogue's tables from a database, as in SCHEMAS. Each is read in `parts` ranges of its id at once;
+    the first ones are `step` ids wide, the last one has the rest. options: user, password, driver, fetchsize."""
+    out = {}
+    for t in tables:
+        ranged = {"partitionColumn": "id", "lowerBound": "0", "upperBound": str(parts * step), "numPartitions": str(parts)}
+        out[t] = as_table(spark.read.format("jdbc").options(url=url, dbtable=t, **ranged, **options).load(), t)
     return out
 
 

@@ -10,6 +10,7 @@ the same number: the second one fails and may begin again.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -89,6 +90,10 @@ class BucketTable:
     equal or empty. A batch is written as small files beside those of its buckets; a bucket
     of more than `most` such folders is rewritten as one. So a batch costs its own size and a
     share of the buckets it touches, whatever the table's size. Rows with a null key are left out.
+
+    `by`, an SQL expression over the keys, deals rows into buckets by something else than the whole
+    key; `split` tasks then write a bucket, as one of them may be large. Files are sorted by `sort`, so that
+    ranges of it are read without the rest.
     """
 
     path: str
@@ -97,9 +102,14 @@ class BucketTable:
     buckets: int = 64
     most: int = 8
     keep: int = 2
+    by: str | None = None
+    split: int = 1
+    sort: tuple[str, ...] = ()
+    remember: int = 10_000
 
     def bucket(self) -> F.Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        of = [F.expr(self.by)] if self.by else [F.col(k) for k in self.keys]
+        return F.pmod(F.xxhash64(*of), F.lit(self.buckets)).cast("int")
 
     def _last(self, rows: DataFrame, by: list[str], written: str | None = None) -> DataFrame:
         """One row of each key."""
@@ -114,9 +124,11 @@ class BucketTable:
     def _write(self, spark: SparkSession, rows: DataFrame, log: Commits, number: int) -> tuple[str, list[str]]:
         """Rows in files by bucket: the folder, and the buckets that it has."""
         folder = f"{number:010}-{uuid.uuid4().hex[:8]}"
-        dealt = rows.dropna(subset=list(self.keys)).withColumn("_bucket", self.bucket()).repartition(self.buckets, "_bucket")
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.split))
+        dealt = rows.dropna(subset=list(self.keys)).withColumn("_bucket", self.bucket()).withColumn("_part", part).repartition(self.buckets * self.split, "_bucket", "_part")
         # rows of a key are in one partition already
-        self._last(dealt, ["_bucket", *self.keys]).write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
+        last = self._last(dealt, ["_bucket", "_part", *self.keys]).drop("_part")
+        (last.sortWithinPartitions("_bucket", *self.sort) if self.sort else last).write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
         return folder, [n.split("=")[1] for n in log.folders(f"data/{folder}") if n.startswith("_bucket=")]
 
     def _files(self, spark: SparkSession, state: dict, buckets: list[str]) -> DataFrame:
@@ -148,12 +160,19 @@ class BucketTable:
             buckets = [b for b in buckets if b in asked]
         return self._files(spark, state, buckets)
 
-    def append(self, rows: DataFrame) -> int:
+    def has(self, spark: SparkSession, batch: str) -> bool:
+        """Whether a named batch is in, of the last `remember` ones."""
+        return batch in Commits(spark, self.path).latest()[1].get("batches", [])
+
+    def append(self, rows: DataFrame, batch: str | None = None) -> int:
         """Puts rows in; of a key that is there already the larger row by `order` stays. The
-        number of the commit. Rows may lack columns of the table and bring new ones at its end."""
+        number of the commit. Rows may lack columns of the table and bring new ones at its end. A batch
+        that has a name is put in once."""
         spark = rows.sparkSession
         log = Commits(spark, self.path)
         number, state = log.latest()
+        if batch is not None and batch in state.get("batches", []):
+            return number
         if number and state["layout"] != self._layout():
             raise ValueError(f"{self.path} was written with {state['layout']}, not {self._layout()}")
         folder, touched = self._write(spark, rows, log, number + 1)
@@ -163,7 +182,8 @@ class BucketTable:
         schema = rows.schema if not number else StructType.fromJson(state["schema"])
         schema = StructType([*schema.fields, *[f for f in rows.schema.fields if f.name not in schema.names]])
         # what is missing in one file or another may be null
-        state = {"layout": self._layout(), "schema": StructType([type(f)(f.name, f.dataType, True) for f in schema.fields]).jsonValue(), "buckets": lists}
+        batches = [*state.get("batches", []), *([batch] if batch is not None else [])][-self.remember :]
+        state = {"layout": self._layout(), "batches": batches, "schema": StructType([type(f)(f.name, f.dataType, True) for f in schema.fields]).jsonValue(), "buckets": lists}
         log.commit(number + 1, state)
         return self.compact(spark)
 
@@ -187,7 +207,18 @@ class BucketTable:
         return number
 
     def _layout(self) -> dict:
-        return {"keys": list(self.keys), "order": list(self.order), "buckets": self.buckets}
+        return {"keys": list(self.keys), "order": list(self.order), "buckets": self.buckets, "by": self.by}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or for a local session without it a temporary one."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if shared is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-tables-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @dataclass(frozen=True)
