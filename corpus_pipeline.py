@@ -58,17 +58,22 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what one returns is written to the checkpoint folder for the next, and
-    removed once that one's rows are written. The last table stays, for the result is read from it."""
+    removed once that one's rows are written. The last table stays, for the result is read from it; if a
+    stage fails, none does."""
     ready_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = None
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            before, path = path, f"{folder}/{k}-{name}"
-            docs.write.parquet(path)
-            if before:
-                remove(spark, before)
-            docs = spark.read.parquet(path)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                before, path = path, f"{folder}/{k}-{name}"
+                docs.write.parquet(path)
+                if before:
+                    remove(spark, before)
+                docs = spark.read.parquet(path)
+    except BaseException:
+        remove(spark, folder)
+        raise
     return docs
