@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .semantics import BORDER_LEFT, BORDER_RIGHT, contains_any, filled, matched
+from .semantics import BORDER_LEFT, BORDER_RIGHT, contains_any, filled, let, matched
 
 FEED_EPOCH = 1293840000  # 2011-01-01T00:00:00Z
 
@@ -57,9 +57,11 @@ def parse_count(c: Column) -> Column:
 
 def parse_price(c: Column) -> Column:
     """Localised price: whichever of comma and dot comes last is the decimal point."""
-    kept = F.regexp_replace(c, r"[^0-9,.]", "")
-    comma = F.instr(F.reverse(kept), ",")
-    dot = F.instr(F.reverse(kept), ".")
+    return let(F.regexp_replace(c, r"[^0-9,.]", ""), _decimal)
+
+
+def _decimal(kept: Column) -> Column:
+    comma, dot = F.instr(F.reverse(kept), ","), F.instr(F.reverse(kept), ".")
     comma_last = (comma > 0) & ((dot == 0) | (comma < dot))
     point = F.replace(kept, F.lit("."), F.lit(""))
     at = F.instr(point, ",")
@@ -117,7 +119,10 @@ CATEGORY_RULES = [
 
 def map_category(root: Column, sub: Column, rules: list = CATEGORY_RULES) -> Column:
     """Category of a feed row; null if no rule holds."""
-    low, root = F.lower(F.coalesce(sub, F.lit(""))), F.coalesce(root, F.lit(""))
+    return let(F.struct(F.lower(F.coalesce(sub, F.lit(""))).alias("low"), F.coalesce(root, F.lit("")).alias("root")), lambda t: _first_rule(t["root"], t["low"], rules))
+
+
+def _first_rule(root: Column, low: Column, rules: list) -> Column:
     any_of = lambda tests: reduce(lambda a, b: a | b, tests)
     tests = {
         "sub": lambda words: contains_any(low, words),
@@ -126,13 +131,8 @@ def map_category(root: Column, sub: Column, rules: list = CATEGORY_RULES) -> Col
         "root": lambda words: contains_any(root, words),
         "root_is": lambda words: any_of([root == w for w in words]),
     }
-    out = F.lit(None).cast("string")
-    for name, test, words, none_of in reversed(rules):
-        ok = tests[test](words)
-        if none_of:
-            ok = ok & ~contains_any(low, none_of)
-        out = F.when(ok, name).otherwise(out)
-    return out
+    hits = [F.when(tests[test](words) & ~contains_any(low, none_of) if none_of else tests[test](words), name) for name, test, words, none_of in rules]
+    return F.coalesce(*hits)
 
 
 def collect_filled(columns: list[str]) -> Column:
@@ -214,30 +214,45 @@ def _dashed(c: Column) -> Column:
 
 def product_slug(title: Column, brand: Column, asin: Column, capacity: Column, unit: Column) -> Column:
     """brand, cleaned title cut at 45, capacity, last four of the ASIN, joined by dashes."""
-    low, b = F.lower(title), F.lower(filled(brand))
-    twice = F.concat(b, F.lit(" "), b, F.lit(" "))
-    low = F.when(F.coalesce(F.startswith(low, twice), F.lit(False)), low.substr(F.length(b) + 2, F.length(low))).otherwise(low)
-    number, size = r"([0-9]+(?:\.[0-9]+)?)", []
+    given = F.struct(capacity.cast("double").alias("c"), F.lower(unit).alias("u"))
+    parts = F.struct(F.lower(title).alias("low"), F.lower(filled(brand)).alias("b"), F.when(F.lower(unit).isin("tb", "gb", "w", "zoll"), given).otherwise(F.coalesce(*_sizes(title), given)).alias("size"), asin.alias("asin"))
+    return let(parts, lambda p: let(F.struct(_words(p["low"], p["b"]).alias("words"), F.regexp_replace(p["b"], r"[^a-z0-9]+", "-").alias("prefix")), lambda w: _slug(w["words"], w["prefix"], p["size"], p["asin"])))
+
+
+def _sizes(title: Column) -> list[Column]:
+    """Sizes that a title shows: storage, screen, power."""
+    number, out = r"([0-9]+(?:\.[0-9]+)?)", []
     for pattern, name in ((number + r"\s*(TB|GB)", None), (number + r"""\s*(?:Zoll|"|inches?)""", "zoll"), (r"([0-9]+)\s*W(?:att)?(?:\s|,|$)", "w")):
         found = matched(title, "(?i)" + pattern)
-        size.append(F.when(found.isNotNull(), F.struct(found.try_cast("double").alias("c"), (F.lit(name) if name else F.lower(matched(title, "(?i)" + pattern, 2))).alias("u"))))
-    given = F.struct(capacity.cast("double").alias("c"), F.lower(unit).alias("u"))
-    size = F.when(F.lower(unit).isin("tb", "gb", "w", "zoll"), given).otherwise(F.coalesce(*size, given))
+        out.append(F.when(found.isNotNull(), F.struct(found.try_cast("double").alias("c"), (F.lit(name) if name else F.lower(matched(title, "(?i)" + pattern, 2))).alias("u"))))
+    return out
+
+
+def _words(low: Column, brand: Column) -> Column:
+    """A title in lower case without a doubled brand and without noise, dashed."""
+    twice = F.concat(brand, F.lit(" "), brand, F.lit(" "))
+    once = F.when(F.coalesce(F.startswith(low, twice), F.lit(False)), low.substr(F.length(brand) + 2, F.length(low))).otherwise(low)
     for n in NOISE:
-        low = F.regexp_replace(low, f"{BORDER_LEFT}(?:{n}){BORDER_RIGHT}", " ")
-    base = _dashed(low)
-    prefix = F.regexp_replace(b, r"[^a-z0-9]+", "-")
-    base = F.when(prefix.isNull() | base.startswith(prefix), base).otherwise(F.concat(prefix, F.lit("-"), base))
-    head = F.substring(base, 1, 45)
-    # place of the last dash, from 0
-    last = F.length(head) - F.instr(F.reverse(head), "-")
-    short = F.when((F.instr(head, "-") > 0) & (last > 20), head.substr(F.lit(1), last)).otherwise(head)
-    base = F.when(F.length(base) > 45, short).otherwise(base)
+        once = F.regexp_replace(once, f"{BORDER_LEFT}(?:{n}){BORDER_RIGHT}", " ")
+    return _dashed(once)
+
+
+def _slug(words: Column, prefix: Column, size: Column, asin: Column) -> Column:
     text = F.when(size["c"] % 1 == 0, size["c"].cast("long").cast("string")).otherwise(F.format_string("%.1f", size["c"]))
     suffix = F.when((size["c"] != 0) & (size["u"] != ""), F.concat(text, size["u"]))
-    base = F.when(suffix.isNull() | base.contains(suffix), base).otherwise(F.concat(base, F.lit("-"), suffix))
-    base = F.when(F.length(asin) >= 4, F.concat(base, F.lit("-"), F.lower(F.substring(asin, -4, 4)))).otherwise(base)
-    return F.regexp_replace(F.regexp_replace(base, "-+", "-"), r"^-|-$", "")
+
+    def short(base: Column) -> Column:
+        head = F.substring(base, 1, 45)
+        last = F.length(head) - F.instr(F.reverse(head), "-")  # place of the last dash, from 0
+        cut = F.when((F.instr(head, "-") > 0) & (last > 20), head.substr(F.lit(1), last)).otherwise(head)
+        return F.when(F.length(base) > 45, cut).otherwise(base)
+
+    def ended(base: Column) -> Column:
+        sized = F.when(suffix.isNull() | base.contains(suffix), base).otherwise(F.concat(base, F.lit("-"), suffix))
+        return F.when(F.length(asin) >= 4, F.concat(sized, F.lit("-"), F.lower(F.substring(asin, -4, 4)))).otherwise(sized)
+
+    base = F.when(prefix.isNull() | words.startswith(prefix), words).otherwise(F.concat(prefix, F.lit("-"), words))
+    return F.regexp_replace(F.regexp_replace(let(let(base, short), ended), "-+", "-"), r"^-|-$", "")
 
 
 def asin_from_slug(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -44,3 +45,9 @@ def epoch(c: Column) -> Column:
 def matched(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match; null without a match."""
     return filled(F.regexp_extract(text, pattern, group))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once. Where a body names a long expression many times over, and is
+    itself the value of the next, the expression would otherwise be copied into itself again and again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

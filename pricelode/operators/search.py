@@ -47,21 +47,22 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     terms = _terms(queries)
     sizes = index.select("doc", "length").distinct().agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    return _ranked(index, _asked(terms, index.select("token").distinct()), terms, sizes, k)
+    return _ranked(index, _asked(terms, index.select("token").distinct()), terms, sizes, k, False)
 
 
-def _ranked(postings: DataFrame, asked: DataFrame, terms: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+def _ranked(postings: DataFrame, asked: DataFrame, terms: DataFrame, sizes: DataFrame, k: int, skip: bool) -> DataFrame:
     """The first k documents of each query. sizes: one row, the number of documents and their mean length.
 
-    A term adds no more to a score than its best posting does. Documents are scored in two
-    steps: first those of the rarest term that could score highest, then, of the others, those whose
-    bound is not below the k-th score so far.
+    With `skip` documents are scored in two steps. A term adds no more to a score than its best posting does: first
+    come the documents of the rarest term that could score highest, then, of the others, those whose
+    bound is not below the k-th score so far. That is worth its second join where common terms have many documents.
     """
     found = postings.join(asked, "token").groupBy("term", "doc", "length").agg(F.sum("tf").alias("tf"))
-    n_docs, mean = F.col("docs"), F.coalesce(F.nullif(F.col("mean"), F.lit(0.0)), F.lit(1.0))
+    size = sizes.select(F.struct("docs", "mean")).scalar()
+    n_docs, mean = size["docs"], F.coalesce(F.nullif(size["mean"], F.lit(0.0)), F.lit(1.0))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    found = found.join(F.broadcast(sizes), F.lit(True)).select("term", "doc", "docs", weight.alias("weight"))
-    known = found.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("most"), F.first("docs").alias("docs"))
+    found = found.select("term", "doc", weight.alias("weight"))
+    known = found.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("most"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     wanted = terms.join(known.select("term", "df", idf.alias("idf"), (idf * F.col("most")).alias("bound")), "term")
     whole = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
@@ -80,9 +81,11 @@ def _ranked(postings: DataFrame, asked: DataFrame, terms: DataFrame, sizes: Data
             .where("n = n_terms").select("query_id", "doc", "score")
         )
 
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc")
+    if not skip:
+        return scored(candidates).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     first = candidates.withColumn("place", place).where(F.col("place") <= 4 * k)
     best = scored(first)
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc")
     least = best.withColumn("place", F.row_number().over(order)).where(F.col("place") == k).select("query_id", F.col("score").alias("least"))
     rest = candidates.join(first.select("query_id", "doc"), ["query_id", "doc"], "left_anti").join(least, "query_id", "left").where("least is null or bound >= least - 1e-6")
     both = best.unionByName(scored(rest.drop("least")))
@@ -135,7 +138,7 @@ class StoredIndex:
         spark, terms = queries.sparkSession, _terms(queries)
         postings = self.read(spark, terms)
         sizes = self.docs.read(spark).where("length > 0").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-        return _ranked(postings, _asked(terms, postings.select("token").distinct()), terms, sizes, k)
+        return _ranked(postings, _asked(terms, postings.select("token").distinct()), terms, sizes, k, True)
 
 
 def contains_any_word(texts: DataFrame, words: DataFrame, key: str = "id", text: str = "title") -> DataFrame:
