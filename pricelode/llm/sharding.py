@@ -147,7 +147,7 @@ def shard_digest(docs: DataFrame, shards: int = 40, seed: int = 20) -> DataFrame
     """For each document its shard and slot with size and checksum, without the text.
 
     size: UTF-8 bytes of the text (null: none) plus 16; text_crc32 is null for a null
-    text. The law is `rows`: shard counts differ by one at most; grown_shard is null.
+    text. Documents with equal texts are dealt each by itself, like any other rows. The law is `rows`: shard counts differ by one at most; grown_shard is null.
     """
     digest = docs.select(
         "doc_id",

@@ -279,6 +279,41 @@ def test_components_beyond_the_limit_are_refused(spark):
         hard_negatives.hard_negatives(docs, F.col("vec_id") % 100 == 0).collect()
 
 
+# ---- sharding, with the same draws
+
+
+@pytest.mark.parametrize(("n", "shards"), [(200, 7), (5, 12), (0, 3)])
+def test_sharding_deals_as_the_matrix_says(spark, n, shards):
+    from pricelode.llm import sharding
+
+    seed = 20
+    docs = spark.range(0, n, 1, 3).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("t"), (F.col("id") % 5).cast("string"))).alias("text"), F.lit("x").alias("slot"))
+    kept = docs.select("doc_id", "text")
+    keyed = kept.select("*", F.spark_partition_id().alias("part"), F.xxhash64(F.lit(seed), F.to_json(F.struct("doc_id", "text"))).alias("key")).collect()
+    parts = defaultdict(list)
+    for r in keyed:
+        parts[r["part"]].append((r["key"], r["doc_id"], r["text"]))
+    order = sorted(parts)
+    room = [n // shards + (s < n % shards) for s in range(shards)]
+    ranked = [(p, rank, row) for p in order for rank, row in enumerate(sorted(parts[p]))]
+    draws = {}
+    if ranked:
+        table = spark.createDataFrame([(p, rank) for p, rank, _ in ranked], "block long, rank long").select("*", F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "block", "rank"), 32).alias("draw"))
+        draws = {(r["block"], r["rank"]): r["draw"] for r in table.collect()}
+    hands = defaultdict(list)
+    matrix = dict(zip(order, sharding.communication_matrix([len(parts[p]) for p in order], room, seed), strict=True))
+    for p, rank, row in ranked:  # each partition deals its permuted rows to the shards in turn
+        shard, upto = 0, matrix[p][0]
+        while rank >= upto:
+            shard += 1
+            upto += matrix[p][shard]
+        hands[shard].append((draws[p, rank], p, rank, row))
+    want = sorted((row[1], s, slot) for s, hand in hands.items() for slot, (_, _, _, row) in enumerate(sorted(hand)))
+    got = sharding.shard_rows(docs, shards, seed)
+    assert got.columns == ["doc_id", "text", "shard", "slot"]
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in got.collect()) == want
+
+
 # ---- names and items that earlier operators stumbled over
 
 CLASHING = ["key", "zero", "found", "new", "between", "others", "hash", "gone", "row", "h", "copy", "__key", "__found", "__hash", "__gone", "__mix_hash", "__mix_copy", "place", "d", "r", "p", "g"]
