@@ -279,6 +279,72 @@ def test_components_beyond_the_limit_are_refused(spark):
         hard_negatives.hard_negatives(docs, F.col("vec_id") % 100 == 0).collect()
 
 
+# ---- toxicity, word by word
+
+
+def plain_toxicity(net, text):
+    """The network's score of a text, one word and one number at a time."""
+    from pricelode.llm import toxicity as tox
+
+    words = tox.tokens(text)
+    if not words:
+        return net.empty
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    times = lambda v, m: [sum(a * row[j] for a, row in zip(v, m, strict=True)) for j in range(len(m[0]))]
+    hidden = tox.HIDDEN
+
+    def vector(word):
+        marked = tox.marked(word)
+        own = [k for f, k in net.index.items() for i in range(len(marked)) if marked.startswith(f, i)]
+        return [sum(p["E"][k][j] for k in own) / len(own) if own else 0.0 for j in range(tox.DIM)]
+
+    def layer(xs, d):
+        h, out = [0.0] * hidden, []
+        for x in xs:
+            g, u = [a + b for a, b in zip(times(x, p[f"W{d}"]), p[f"B{d}"], strict=True)], times(h, p[f"U{d}"])
+            new = []
+            for j in range(hidden):
+                z, r = sigmoid(g[j] + u[j]), sigmoid(g[hidden + j] + u[hidden + j])
+                n = math.tanh(g[2 * hidden + j] + r * u[2 * hidden + j])
+                new.append((1 - z) * n + z * h[j])
+            h = new
+            out.append(h)
+        return out
+
+    known, best = {w: vector(w) for w in set(words)}, -math.inf
+    for s in tox.starts(len(words)):
+        xs = [known[w] for w in words[s : s + tox.WIDTH]]
+        states = [f + b for f, b in zip(layer(xs, "f"), layer(xs[::-1], "b")[::-1], strict=True)]
+        weights = [math.exp(sum(math.tanh(q + a) * v for q, a, v in zip(times(t, p["A"]), p["a"], p["v"], strict=True))) for t in states]
+        pooled = [sum(e * t[j] for e, t in zip(weights, states, strict=True)) / sum(weights) for j in range(2 * hidden)]
+        best = max(best, sum(a * b for a, b in zip(pooled, p["w"], strict=True)) + p["c"][0])
+    return sigmoid(best)
+
+
+def test_toxicity_equals_a_plain_forward_pass():
+    from pricelode.llm import toxicity as tox
+
+    rng = random.Random(9)
+    clean, bad = [f"wort{i}" for i in range(60)], ["widerlich", "abschaum", "ekelhaft"]
+    texts, labels = [], []
+    for i in range(160):
+        words = rng.choices(clean, k=rng.randint(20, 120))
+        if i % 3 == 0:
+            words[rng.randrange(len(words))] = rng.choice(bad)
+        texts.append(" ".join(words))
+        labels.append(int(i % 3 == 0))
+    net = tox.train(texts, labels)
+    assert net.p and net.index
+    held = ["", None, "wort1", "WIDERLICH!", "abschaum " * 3, " ".join(rng.choices(clean, k=47) + ["ekelhaft"] + rng.choices(clean, k=90)), " ".join(rng.choices(clean, k=200)), "x" * 3000, "abschaumabschaum wort7"]
+    got = tox.Scorer(net).scores(held)
+    assert all(abs(a - plain_toxicity(net, t)) < 1e-4 for a, t in zip(got, held, strict=True))
+    assert got[3] > got[2] and got[5] > got[6]
+    # very long texts and repeated ones
+    long = " ".join(rng.choices(clean, k=30_000)) + " abschaum"
+    assert tox.Scorer(net).scores([long, "wort1", long]) == tox.Scorer(net).scores([long, "wort1", long]) and tox.Scorer(net).scores([long])[0] == pytest.approx(tox.Scorer(net).scores(["wort1", long])[1], abs=1e-5)
+
+
 # ---- sharding, with the same draws
 
 
