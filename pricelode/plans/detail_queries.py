@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formatting, metrics, normalize
 from ..operators import catalog, curation, export, history, listing, merge
-from ..sources import testdata
+from ..sources import dims, testdata
 from ..streaming import ticks
 from . import ingest
 from .queries import _ANALYSIS, _PRICE, as_of
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 
 def _price() -> Column:
@@ -225,3 +227,47 @@ def formatted_numbers(spark: SparkSession, sf: str) -> DataFrame:
 def home_pages(spark: SparkSession, sf: str) -> DataFrame:
     """The front pages of all countries at once."""
     return curation.home_pages(testdata.products(spark, sf), testdata.prices(spark, sf), "age_days")
+
+
+@query(
+    f"""select p.id, coalesce(prices, '') as prices, coalesce(avg30, '') as avg30, coalesce(avg90, '') as avg90, coalesce(updated, '') as updated from products p left join (select product_id,
+string_agg(case when price is not null then country || '=' || {_cents("price")} end, ',' order by country) as prices, string_agg(case when price_avg_30 is not null then country || '=' || {_cents("price_avg_30")} end, ',' order by country) as avg30,
+string_agg(case when price_avg_90 is not null then country || '=' || {_cents("price_avg_90")} end, ',' order by country) as avg90, string_agg(country || '=' || strftime(last_updated, '%Y%m%d'), ',' order by country) as updated
+from (select *, {_PRICE} as price from prices) x group by product_id) q on p.id = product_id"""
+)
+def product_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """All four maps of a product, by country."""
+    built = catalog.build_products(testdata.products(spark, sf).select("id"), testdata.prices(spark, sf), _price())
+
+    def text(c: str, value) -> Column:
+        entries = F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), value(e["value"])))
+        return F.coalesce(F.array_join(entries, ","), F.lit(""))
+
+    cents = lambda v: F.round(v * 100).cast("long").cast("string")
+    day = lambda v: F.date_format(v, "yyyyMMdd")
+    columns = {"prices": ("prices_by_country", cents), "avg30": ("price_avg_30_by_country", cents), "avg90": ("price_avg_90_by_country", cents), "updated": ("prices_last_updated_by_country", day)}
+    return built.select("id", *[text(c, v).alias(name) for name, (c, v) in columns.items()])
+
+
+_LISTING = ORACLE_SQL["category_listing"].removeprefix(testdata.CTES)
+_SORTS = {
+    "price": "price", "pricePerUnit": "unit_price", "price-per-unit": "unit_price", "savings": "savings desc", "newest": "age_days", "popular": "score desc", "capacity": "size",
+}
+
+
+@query(
+    f""", listed as ({_LISTING}), sized as (select l.*, age_days, capacity * case when capacity_unit = 'TB' then 1000e0 else 1e0 end / case when l.category in ('hard-drives', 'ssds') or (l.category not in ('ram', 'cpu') and capacity_unit = 'TB') then 1000e0 else 1e0 end as size from listed l join products p on p.id = l.id)
+select sort, id, place from ("""
+    + " union all ".join(f"select '{n}' as sort, id, row_number() over (order by {o} nulls last, id) as place from sized" for n, o in _SORTS.items())
+    + ") x where place <= 20"
+)
+def sorted_listings(spark: SparkSession, sf: str) -> DataFrame:
+    """The first page in each of the orders of a list."""
+    rows = listing.localized_listing(testdata.products(spark, sf), testdata.prices(spark, sf), dims.categories(spark), "de")
+    rows = rows.withColumns({"price": F.round("price", 2), "savings": F.round("savings", 6), "score": F.round("score", 3), "created_at": F.date_sub(F.lit("2001-08-01").cast("date"), F.col("age_days").cast("int"))})
+    pages = []
+    for name in listing.SORTS:
+        place = F.row_number().over(Window.orderBy("_at"))
+        first = listing.sort_listing(rows, name).limit(20).select("id", F.monotonically_increasing_id().alias("_at"))
+        pages.append(first.select(F.lit(name).alias("sort"), "id", place.alias("place")))
+    return reduce(DataFrame.unionByName, pages)
