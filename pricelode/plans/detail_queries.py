@@ -34,12 +34,14 @@ def whole_price_analysis(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """select product_id, country, price, recorded_at, l_orderkey, l_linenumber, round(case when t1 > t0 then (t - t0) / (t1 - t0) else 0 end, 6) as x, round(case when hi > lo then (price - lo) / (hi - lo) else 0 end, 6) as y from (
+    """select product_id, country, price, recorded_at, l_orderkey, l_linenumber, floor(case when t1 > t0 then (t - t0) / (t1 - t0) else 0 end * 1000000 + 0.5) / 1000000 as x, floor(case when hi > lo then (price - lo) / (hi - lo) else 0 end * 1000000 + 0.5) / 1000000 as y from (
 select *, epoch(recorded_at) as t, min(epoch(recorded_at)) over w t0, max(epoch(recorded_at)) over w t1, min(price) over w lo, max(price) over w hi, count(*) over w n from history window w as (partition by product_id, country)) z where n >= 2"""
 )
 def chart_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Places by time and price; millionths are rounded half up, which engines' own round() does not do alike at ties."""
     out = history.chart_series(testdata.history(spark, sf), ["product_id", "country"])
-    return out.select("product_id", "country", "price", "recorded_at", "l_orderkey", "l_linenumber", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    millionths = lambda c: (F.floor(F.col(c) * 1000000 + 0.5) / 1000000).alias(c)
+    return out.select("product_id", "country", "price", "recorded_at", "l_orderkey", "l_linenumber", millionths("x"), millionths("y"))
 
 
 @query(
