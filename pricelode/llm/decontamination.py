@@ -48,6 +48,8 @@ SHORT, KEPT, FLOOR = 8, 0.5, 0.5
 ITEM_BYTES = 4 << 20
 #: Tasks that send partial products, at most.
 PARTS = 1024
+#: Terms multiplied at once, and bytes of a batch searched at once: their tables of RANK numbers a word fit a core's cache.
+AT_ONCE, PART_BYTES = 50_000, 500_000
 
 _BLANKED = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 _SENTENCES = re.compile(r"[.!?\n]+")
@@ -114,7 +116,7 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield np.frombuffer(x.as_py(), np.int32)
 
 
-def _passages(texts: Iterable[np.ndarray], most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _passages(texts: Iterable[np.ndarray], most: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(term numbers, passage numbers) of the words that are terms, some texts at a time."""
     ids, at, n, p = [], [], 0, 0
 
@@ -403,7 +405,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str, str | None]]]
         yield block
 
 
-def _parts(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes in the column."""
     begin, held, values = 0, 0, batch.column(batch.schema.get_field_index(column))
     for i, size in enumerate(pc.fill_null(pc.binary_length(values), 0).to_pylist()):
