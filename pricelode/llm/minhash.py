@@ -10,8 +10,8 @@ probability 1 - (1 - (1 - s^ROWS)^SIDE)^2, which is 0.3 % at 0.8 and 0.04 % at 0
 
 Exact copies (equal shingle sets) become one class first, so they cost nothing more.
 In a bucket every class is compared with one representative; where that leaves it in
-several components, with TURNS more, drawn at random. Where it still is, the classes that
-hang together by such buckets are dealt into blocks, and each pair of blocks is one group that compares its sets at once and
+several components, one class of each, drawn at random, is compared with one of the largest, TURNS times. Where it still
+is, the classes that hang together by such buckets are dealt into blocks, and each pair of blocks is one group that compares its sets at once and
 returns no more links than it takes to connect them. No pair of classes is a row, no
 group holds more than two blocks, and no link between components is lost.
 """
@@ -31,7 +31,7 @@ from .common import cut, small
 from .graph import connected_components
 
 SIDE, ROWS = 9, 3
-#: Further representatives of a bucket that classes of other components are compared with.
+#: How often components of a bucket are compared by one class of each.
 TURNS = 2
 #: So many shingles are hashed at once, and so many words remembered by a task.
 BATCH, MEMO = 200_000, 400_000
@@ -202,19 +202,19 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
-def _torn(members: DataFrame, sizes: DataFrame, part: DataFrame) -> DataFrame:
-    """key, node, n, component, head of the buckets that lie in several components."""
-    placed = (
-        members.join(part, "node", "left").join(sizes, "node")
-        .select("key", "node", "n", F.coalesce("component", "node").alias("component"), "head")
-    )
+def _torn(rows: DataFrame) -> DataFrame:
+    """Of the buckets that lie in several components one row for each of these: key, component, n (classes),
+    heads (drawn at random, one a turn), main (component, heads of the largest one). rows: key, component, n, heads."""
+    drawn = lambda i: F.min_by(F.get("heads", F.lit(i)), F.xxhash64(F.lit(i), F.get("heads", F.lit(i))))
+    parts = rows.groupBy("key", "component").agg(F.sum("n").alias("n"), F.array(*[drawn(i) for i in range(TURNS)]).alias("heads"))
+    main = F.max_by(F.struct("component", "heads"), F.struct("n", "component")).alias("main")
     # buckets of two are settled by the comparison with the head
-    keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c")).where("a <> b and c > 2")
-    return cut(placed.join(small(cut(keys.select("key")), 16), "key", "left_semi"))
+    keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), main).where("parts > 1 and size > 2")
+    return cut(parts.join(small(cut(keys.select("key", "main")), 32 + 16 * TURNS), "key"))
 
 
 def _mended(torn: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between the components of torn buckets. torn: key, node, n, component, head."""
+    """Links (u, v) between the components of torn buckets. torn: node, n, component, head."""
     group = connected_components(torn.select(F.col("node").alias("u"), F.col("head").alias("v"))).withColumnRenamed("component", "torn")
     nodes = cut(torn.select("node", "n", "component").distinct().join(group, "node"))
     sizes = cut(nodes.groupBy("torn").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
@@ -258,18 +258,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     star = members.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
     links = cut(_near(star, sets, percent).union(_same_ids(signed, classes)))
     part = cut(connected_components(links))
-    torn = _torn(members, sizes, part)
+    component = F.coalesce("component", "node").alias("component")
+    torn = _torn(members.join(part, "node", "left").select("key", component, F.lit(1).alias("n"), F.array_repeat("node", TURNS).alias("heads")))
     for turn in range(TURNS):
         if torn.isEmpty():
             break
-        head = F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(turn), "node")).alias("h")
-        other = small(cut(torn.groupBy("key").agg(head)), 40)
-        pairs = torn.join(other, "key").where("component <> h.component").select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct()
+        u, v = F.get("heads", F.lit(turn)), F.get("main.heads", F.lit(turn))
+        pairs = torn.where("component <> main.component").select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
         links = cut(links.union(_near(pairs, sets, percent)))
         part = cut(connected_components(links))
-        torn = _torn(members.join(torn.select("key").distinct(), "key", "left_semi"), sizes, part)
+        # a component only grows as a whole: one of its classes tells where all are now
+        heads = torn.select("key", "n", "heads", F.get("heads", F.lit(0)).alias("node"))
+        torn = _torn(heads.join(part, "node", "left").select("key", component, "n", "heads"))
     if not torn.isEmpty():
-        part = cut(connected_components(links.union(_mended(torn, sets, percent))))
+        keys = small(cut(torn.select("key").distinct()), 16)
+        placed = cut(members.join(keys, "key", "left_semi").join(part, "node", "left").join(sizes, "node").select("node", "n", component, "head"))
+        part = cut(connected_components(links.union(_mended(placed, sets, percent))))
 
     # components are called by their smallest id
     names = cut(part.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("name")))

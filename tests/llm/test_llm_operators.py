@@ -160,6 +160,15 @@ def test_near_copies_without_one_head(spark):
     assert out == want
 
 
+def test_torn_buckets_have_a_row_a_component(spark):
+    # key 1: components 10 (five classes) and 20; key 2: one component; key 3: two classes, compared already
+    rows = [(1, 10, 10 + i) for i in range(5)] + [(1, 20, 20)] + [(2, 10, 10 + i) for i in range(5)] + [(3, 10, 10), (3, 20, 20)]
+    df = spark.createDataFrame(rows, "key long, component long, node long")
+    out = minhash._torn(df.select("key", "component", F.lit(1).alias("n"), F.array_repeat("node", minhash.TURNS).alias("heads"))).collect()
+    assert sorted((r["key"], r["component"], r["n"]) for r in out) == [(1, 10, 5), (1, 20, 1)]
+    assert all(r["main"]["component"] == 10 and 10 <= h < 15 for r in out for h in r["main"]["heads"])
+
+
 def test_one_id_with_two_texts(spark):
     random.seed(7)
     text = lambda: [f"w{random.randint(0, 999)}" for _ in range(40)]
