@@ -100,9 +100,11 @@ def most_popular(products: DataFrame, k: int) -> DataFrame:
 
 def fallback_search(products: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     """query_id, id, place: for each query (query_id, query) the first k products by id whose
-    title holds any of its words. Any number of queries; see search.contains_any_word()."""
+    title holds any of its words. Any number of queries; see search.contains_any_word(). A query's first k
+    products are among the first k of each of its words, so only these meet the queries."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower(F.trim("query")), r"\s+"))).alias("word")).where("word <> ''")
-    hits = contains_any_word(products, words).join(words, "word")
+    first = F.row_number().over(Window.partitionBy("word").orderBy("id"))
+    hits = contains_any_word(products, words).withColumn("_n", first).where(F.col("_n") <= k).join(words, "word")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
     return hits.select("query_id", "id").distinct().withColumn("place", place).where(F.col("place") <= k)
 

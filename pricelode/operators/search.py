@@ -146,20 +146,21 @@ def contains_any_word(texts: DataFrame, words: DataFrame, key: str = "id", text:
 
     Every word of three letters or more has its trigrams in any text that holds it: texts are looked up by the word's rarest
     one, and what is found is compared. A word of one or two letters is looked up by itself. The join is by equal
-    grams only. Empty words are found nowhere.
+    grams only, and equal texts are looked through once. Empty words are found nowhere.
     """
-    low = F.lower(text)
+    texts = texts.select(F.col(key), F.lower(text).alias("_low")).where("_low is not null")
+    low = F.col("_low")
     asked = words.select("word").where("word <> ''").distinct().withColumn("size", F.least(F.length("word"), F.lit(3)))
     parts = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n))
     grams = asked.select("word", F.explode(F.array_distinct(parts(F.col("word"), F.col("size")))).alias("gram"))
     sizes = [F.when(F.length(low) >= n, parts(low, F.lit(n))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
-    held = texts.select(F.col(key), F.explode(F.array_distinct(F.concat(*sizes))).alias("gram"))
+    held = texts.select(low).distinct().select(low, F.explode(F.array_distinct(F.concat(*sizes))).alias("gram"))
     hits = held.join(grams.select("gram").distinct(), "gram")
     # of each word the rarest gram, if all of them are somewhere
     counted = grams.join(hits.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
     rarest = counted.groupBy("word").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("everywhere")).where("everywhere")
-    candidates = rarest.select("word", "gram").join(hits, "gram").select(key, "word")
-    return candidates.join(texts.select(F.col(key), low.alias("_low")), key).where(F.col("_low").contains(F.col("word"))).select(key, "word")
+    found = rarest.select("word", "gram").join(hits, "gram").where(low.contains(F.col("word"))).select("_low", "word")
+    return texts.join(found, "_low").select(key, "word")
 
 
 def search_like(docs: DataFrame, words: list[str], k: int, key: str = "id") -> DataFrame:
