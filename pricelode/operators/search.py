@@ -41,55 +41,43 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, doc, score, place. queries: query_id, query. A document matches if for
     each term, of two letters or more, it has a token that begins with it.
 
-    A term is looked up once for all queries that have it. Only the documents of a
-    query's rarest term are looked up for its other terms, so a word that most documents
+    A term is looked up once for all queries that have it, and queries of the same terms are one.
+    Only the documents of a query's rarest term are scored, so a word that most documents
     share costs a query no more than a rare one.
     """
     terms = _terms(queries)
     sizes = index.select("doc", "length").distinct().agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    return _ranked(index, _asked(terms, index.select("token").distinct()), terms, sizes, k, False)
+    return _ranked(index, _asked(terms, index.select("token").distinct()), terms, sizes, k)
 
 
-def _ranked(postings: DataFrame, asked: DataFrame, terms: DataFrame, sizes: DataFrame, k: int, skip: bool) -> DataFrame:
+def _ranked(postings: DataFrame, asked: DataFrame, terms: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
     """The first k documents of each query. sizes: one row, the number of documents and their mean length.
 
-    With `skip` documents are scored in two steps. A term adds no more to a score than its best posting does: first
-    come the documents of the rarest term that could score highest, then, of the others, those whose
-    bound is not below the k-th score so far. That is worth its second join where common terms have many documents.
+    Queries of the same terms are answered once. A document's weights, one for each asked term that it has, are
+    gathered into one row, so a candidate is scored where it is found: no pair of a query and a document is shuffled
+    but the best k of each task.
     """
     found = postings.join(asked, "token").groupBy("term", "doc", "length").agg(F.sum("tf").alias("tf"))
     size = sizes.select(F.struct("docs", "mean")).scalar()
     n_docs, mean = size["docs"], F.coalesce(F.nullif(size["mean"], F.lit(0.0)), F.lit(1.0))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    found = found.select("term", "doc", weight.alias("weight"))
-    known = found.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("most"))
+    known = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    wanted = terms.join(known.select("term", "df", idf.alias("idf"), (idf * F.col("most")).alias("bound")), "term")
-    whole = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    # queries all of whose terms are known, with the rarest term and what the others may add
+    queries = terms.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    wanted = queries.select("terms").distinct().select("terms", F.explode("terms").alias("term")).join(known.select("term", "df", idf.alias("idf")), "term")
+    # lists of terms all of which are known, by their rarest term
     rarest = (
-        wanted.groupBy("query_id").agg(F.count("*").alias("n"), F.min_by(F.struct("term", "idf", "bound"), F.struct("df", "term")).alias("r"), F.sum("bound").alias("sum"))
-        .join(whole, "query_id").where("n = n_terms").select("query_id", "n_terms", "r.term", "r.idf", (F.col("sum") - F.col("r.bound")).alias("others"))
+        wanted.groupBy("terms").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.collect_list(F.struct("term", "idf")).alias("idfs"))
+        .where(F.size("idfs") == F.size("terms")).select("term", "terms", F.array_sort("idfs").alias("idfs"))
     )
-    candidates = rarest.join(found.select("term", "doc", "weight"), "term").select("query_id", "n_terms", "doc", (F.col("idf") * F.col("weight") + F.col("others")).alias("bound"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "doc"))
-
-    def scored(rows: DataFrame) -> DataFrame:
-        parts = rows.join(wanted.select("query_id", "term", "idf"), "query_id").join(found, ["term", "doc"])
-        return (
-            parts.groupBy("query_id", "doc").agg(F.sum(F.col("idf") * F.col("weight")).alias("score"), F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
-            .where("n = n_terms").select("query_id", "doc", "score")
-        )
-
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc")
-    if not skip:
-        return scored(candidates).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    first = candidates.withColumn("place", place).where(F.col("place") <= 4 * k)
-    best = scored(first)
-    least = best.withColumn("place", F.row_number().over(order)).where(F.col("place") == k).select("query_id", F.col("score").alias("least"))
-    rest = candidates.join(first.select("query_id", "doc"), ["query_id", "doc"], "left_anti").join(least, "query_id", "left").where("least is null or bound >= least - 1e-6")
-    both = best.unionByName(scored(rest.drop("least")))
-    return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    docs = found.select("doc", "term", weight.alias("weight")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
+    parts = F.transform("idfs", lambda x: x["idf"] * F.try_element_at("weights", x["term"]))
+    # a term that the document lacks makes the sum null
+    score = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    scored = docs.select("doc", "weights", F.explode(F.map_keys("weights")).alias("term")).join(rarest, "term").select("terms", "doc", score.alias("score")).where("score is not null")
+    order = Window.partitionBy("terms").orderBy(F.round("score", 9).desc(), "doc")
+    best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return queries.join(best, "terms").select("query_id", "doc", "score", "place")
 
 
 @dataclass(frozen=True)
@@ -138,7 +126,7 @@ class StoredIndex:
         spark, terms = queries.sparkSession, _terms(queries)
         postings = self.read(spark, terms)
         sizes = self.docs.read(spark).where("length > 0").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-        return _ranked(postings, _asked(terms, postings.select("token").distinct()), terms, sizes, k, True)
+        return _ranked(postings, _asked(terms, postings.select("token").distinct()), terms, sizes, k)
 
 
 def contains_any_word(texts: DataFrame, words: DataFrame, key: str = "id", text: str = "title") -> DataFrame:

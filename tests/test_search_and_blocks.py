@@ -213,3 +213,19 @@ def test_paths_of_any_depth(spark):
     with pytest.raises(Exception, match="is its own ancestor"):
         catalog.category_paths(tree([("a", "b", "x"), ("b", "a", "x"), ("c", None, "x")])).collect()
     assert catalog.category_paths(tree([])).count() == 0
+
+
+def test_many_queries_of_the_same_words(spark):
+    docs = titles(120)
+    frame = spark.createDataFrame(docs, "id long, title string")
+    asked = spark.createDataFrame([(i, "drive ss" if i % 2 else "ss drive") for i in range(40)], "query_id long, query string")
+    # queries of the same terms are one: no row of a query and a document but the best
+    found = search.search(search.build_index(frame, ["title"]), asked, 3)
+    assert answers(found) == plain_search(docs, [(r["query_id"], r["query"]) for r in asked.collect()], 3)
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert windows and not any("query_id" in line for line in windows)
+    # of each word only the first k products meet the queries
+    first = listing.fallback_search(frame, asked, 3)
+    want = sorted(i for i, t in docs if "drive" in t.lower() or "ss" in t.lower())[:3]
+    assert sorted((r["query_id"], r["id"], r["place"]) for r in first.collect()) == [(q, i, n + 1) for q in range(40) for n, i in enumerate(want)]
+    assert "WindowGroupLimit [word" in first._jdf.queryExecution().optimizedPlan().toString()
