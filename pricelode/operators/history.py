@@ -97,27 +97,32 @@ def price_changes_log(ticks: DataFrame, order: list[str]) -> DataFrame:
 def rolling_price_stats(history: DataFrame, keys: list[str] = ("product_id", "country", "price_type"), days: tuple[int, int] = (30, 90)) -> DataFrame:
     """Each point with its 30 and 90 day averages and the lowest and highest so far.
 
-    A series is cut into stretches of twice the longer average. A window holds one stretch and, of the
-    one before it, the days that its first points look back on; the lowest and highest of earlier
-    stretches come from a table of one row a stretch. So a product with half of all points is spread over tasks.
+    A series is cut into stretches of twice the longer average. A window holds one stretch, of the
+    one before it the days that its first points look back on, and a row of the lowest and highest of all
+    earlier stretches. So a product with half of all points is spread over tasks, and each point is dealt once.
     """
     day = 86400
     t = F.unix_seconds(F.col("recorded_at").cast("timestamp"))
     length = 2 * max(days) * day
-    rows = history.select(F.struct("*").alias("_row"), *keys, "price", t.alias("_t")).withColumn("_block", blocks.time_block(F.col("_t"), length))
-    late = rows.where(F.col("_t") >= (F.col("_block") + 1) * length - max(days) * day).withColumns({"_block": F.col("_block") + 1, "_row": F.lit(None).cast(rows.schema["_row"].dataType)})
-    by = Window.partitionBy(*keys, "_block").orderBy("_t")
-    over = lambda n: by.rangeBetween(-n * day, Window.currentRow)
-    so_far = by.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.when(F.col("_row").isNotNull(), F.col("price"))
-    seen = rows.unionByName(late).select(
-        "*", F.avg("price").over(over(days[0])).alias("avg30"), F.avg("price").over(over(days[1])).alias("avg90"), F.min(own).over(so_far).alias("_low"), F.max(own).over(so_far).alias("_high")
-    ).where("_row is not null")
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(*keys, "_block").agg(F.min("price").alias("_a"), F.max("price").alias("_b"))
-    ends = ends.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_block").alias("_at"), F.min("_a").over(before).alias("_before_low"), F.max("_b").over(before).alias("_before_high"))
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col("_block").eqNullSafe(F.col("_at"))]
-    return seen.join(ends, same).select("_row.*", "avg30", "avg90", F.least("_low", "_before_low").alias("low"), F.greatest("_high", "_before_high").alias("high"))
+    # names of its own for all columns, so that none meets one of this function's and those not asked for are not dealt
+    named, own = dict(zip(history.columns, range(len(history.columns)), strict=True)), lambda c: F.col(f"_c{named[c]}")
+    by = [own(k) for k in keys]
+    rows = history.withColumn("_t", t).toDF(*[f"_c{i}" for i in named.values()], "_t").withColumn("_block", blocks.time_block(F.col("_t"), length))
+    price = own("price")
+    ends = rows.groupBy(*by, "_block").agg(F.min(price).alias("_a"), F.max(price).alias("_b"))
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # before all points of its window; points without a time are a stretch before all others
+    first = ends.select(*by, "_block", (F.col("_block") * length - max(days) * day - 1).alias("_t"), F.min("_a").over(earlier).alias("_low"), F.max("_b").over(earlier).alias("_high")).where("_low is not null")
+    late = rows.where(F.col("_t") >= (F.col("_block") + 1) * length - max(days) * day).select(*by, price, F.col("_block") + 1, "_t")
+    late = late.toDF(*[f"_c{named[c]}" for c in (*keys, "price")], "_block", "_t")
+    dealt = (
+        rows.withColumns({"_own": F.lit(True), "_low": price, "_high": price})
+        .unionByName(late.withColumn("_own", F.lit(False)), allowMissingColumns=True).unionByName(first.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    )
+    over = lambda *ends: Window.partitionBy(*by, "_block").orderBy("_t").rangeBetween(*ends)
+    back, so_far = [over(-n * day, Window.currentRow) for n in days], over(Window.unboundedPreceding, Window.currentRow)
+    seen = dealt.select("*", *[F.avg(price).over(w).alias(f"_avg{i}") for i, w in enumerate(back)], F.min("_low").over(so_far).alias("_lowest"), F.max("_high").over(so_far).alias("_highest"))
+    return seen.where("_own").select(*[own(c).alias(c) for c in history.columns], F.col("_avg0").alias("avg30"), F.col("_avg1").alias("avg90"), F.col("_lowest").alias("low"), F.col("_highest").alias("high"))
 
 
 def chart_series(history: DataFrame, keys: list[str] = ("product_id",)) -> DataFrame:

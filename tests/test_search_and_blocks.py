@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricelode.operators import blocks, catalog, curation, daily, history, listing, search
+from pricelode.sources.tables import BucketTable
 
 WORDS = ["solid", "state", "drive", "drivers", "disk", "ssd", "2tb", "4tb", "übergrößen", "ram", "ra", "x"]
 
@@ -138,6 +139,18 @@ def test_rolling_figures_in_blocks(spark):
     assert got.columns == [*df.columns, "avg30", "avg90", "low", "high"]
     got = got.withColumn("avg30", F.round("avg30", 6)).withColumn("avg90", F.round("avg90", 6))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, plain.collect())))
+    # each point is dealt to its window once, and nothing is joined to it
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_buckets_without_sorts(spark, tmp_path):
+    table = BucketTable(str(tmp_path), ("k",), (), 2)
+    for v in (1, 2):
+        table.append(spark.createDataFrame([(i, v, 0.5 * v) for i in range(5 * v)], "k long, a long, b double"))
+    rows = table.read(spark)
+    # figures alone are kept in hash tables; of each key the row written last counts
+    assert "SortAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.collect())) == [(i, 2, 1.0) for i in range(10)]
 
 
 def test_daily_figures(spark, tmp_path):
