@@ -6,6 +6,7 @@ country and type. Such rows add up, so an analysis over weeks or months reads on
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from ..sources.tables import BucketTable
 from .history import KEY, compared
 
 SERIES = [*KEY, "price_type"]
-_SUMS = {"points": F.sum, "cents": F.sum, "low": F.min, "high": F.max, "first_at": F.min, "last_at": F.max}
+_SUM = lambda a, b: a + F.coalesce(b, F.lit(0))
+_SUMS = {"points": _SUM, "cents": _SUM, "low": F.least, "high": F.greatest, "first_at": F.least, "last_at": F.greatest}
 
 
 def day_number(time: Column) -> Column:
@@ -31,12 +33,11 @@ def daily_figures(history: DataFrame) -> DataFrame:
     )
 
 
-def added(*parts: DataFrame) -> DataFrame:
-    """Daily figures of several loads as those of one."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy(*SERIES, "day").agg(*[f(c).alias(c) for c, f in _SUMS.items()])
+def _with_old(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Daily figures of a batch with those that its days have so far."""
+    keys = [*SERIES, "day"]
+    rows = new.join(old.select(*keys, *[F.col(c).alias(f"_{c}") for c in _SUMS]), keys, "left")
+    return rows.select(*keys, *[f(F.col(c), F.col(f"_{c}")).alias(c) for c, f in _SUMS.items()])
 
 
 def daily_table(path: str, buckets: int = 64) -> BucketTable:
@@ -51,9 +52,13 @@ def add_history(table: BucketTable, history: DataFrame, batch: str) -> bool:
     if table.has(history.sparkSession, batch):
         return False
     if table.exists(history.sparkSession):
-        keys = [*SERIES, "day"]
-        old = table.read(history.sparkSession, new).join(new.select(*keys), keys, "left_semi")
-        new = added(old.select(*new.columns), new)
+        # worked out once for its buckets and its rows
+        new = new.persist(StorageLevel.DISK_ONLY)
+        try:
+            table.append(_with_old(new, table.read(history.sparkSession, new)), batch)
+        finally:
+            new.unpersist()
+        return True
     table.append(new, batch)
     return True
 

@@ -16,11 +16,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DateType, NumericType, StructType, TimestampNTZType, TimestampType
 
 from .writers import upsert
 
 
+_FIXED = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
+
+
 class Commits:
     """Numbered states of a table below `path`, in whatever store that names."""
 
@@ -117,6 +120,10 @@ class BucketTable:
         rest = [c for c in rows.columns if c not in (*by, written)]
         if not rest:
             return rows.select(*by).distinct()
+        if not self.order and all(isinstance(rows.schema[c].dataType, _FIXED) for c in rows.columns if c not in by):
+            # values of fixed size are kept in hash tables, without a sort; all columns come from the same row
+            own = lambda c: F.max_by(c, written) if written else F.first(c)
+            return rows.groupBy(*by).agg(*[own(c).alias(c) for c in rest])
         row = F.struct(*[F.col(c) for c in rest])
         kept = F.max_by(row, place) if self.order or written else F.first(row)
         return rows.groupBy(*by).agg(kept.alias("_row")).select(*by, *[F.col("_row")[c].alias(c) for c in rest])
@@ -139,7 +146,7 @@ class BucketTable:
         several = [place(f, b) for b in buckets if len(state["buckets"].get(b, [])) > 1 for f in state["buckets"][b]]
         out = spark.read.schema(schema).parquet(*single) if single else spark.createDataFrame([], schema)
         if several:
-            number = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(\d{10})-[^/]*/_bucket=[^/]*/[^/]*$", 1)
+            number = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(\d{10})-[^/]*/_bucket=[^/]*/[^/]*$", 1).cast("long")
             rows = spark.read.schema(schema).parquet(*several).withColumn("_written", number)
             out = out.unionByName(self._last(rows, list(self.keys), "_written").select(*schema.names))
         return out
