@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from ..functions import metrics as M
 from ..functions.normalize import cpu_attributes
@@ -137,14 +138,30 @@ def quick_picks(rows: DataFrame, k: int = 3) -> DataFrame:
 
 SORTS = {"price": "price", "pricePerUnit": "unit_price", "price-per-unit": "unit_price", "savings": "savings", "newest": "created_at", "popular": "score", "capacity": "normalized_capacity"}
 
+FALLING = ("newest", "savings", "popular")
+
 
 def sort_listing(df: DataFrame, sort: str, descending: bool | None = None) -> DataFrame:
     """Missing values come last; ties by id. newest, savings and popular fall by default."""
-    down = sort in ("newest", "savings", "popular") if descending is None else descending
+    down = sort in FALLING if descending is None else descending
     c = F.col(SORTS[sort])
     return df.orderBy(c.desc_nulls_last() if down else c.asc_nulls_last(), "id")
 
 
+def first_pages(df: DataFrame, k: int = 20) -> DataFrame:
+    """sort, id, place: the first k rows in each order of sort_listing(). The list is worked out once for all of
+    them; each task keeps its own first k."""
+
+    def value(name: str) -> Column:
+        c = F.col(SORTS[name])
+        number = (F.unix_date(c) if isinstance(df.schema[SORTS[name]].dataType, DateType) else c).cast("double")
+        return F.struct(F.lit(name).alias("sort"), (-number if name in FALLING else number).alias("value"))
+
+    rows = df.select("id", F.explode(F.array(*[value(name) for name in SORTS])).alias("at")).select("id", "at.sort", "at.value")
+    place = F.row_number().over(Window.partitionBy("sort").orderBy(F.asc_nulls_last("value"), "id"))
+    return rows.withColumn("place", place).where(F.col("place") <= k).select("sort", "id", "place")
+
+
 def paginate(df: DataFrame, page: int, size: int = 24) -> DataFrame:
     return df.offset((page - 1) * size).limit(size)
 

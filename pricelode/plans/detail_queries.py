@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formatting, metrics, normalize
@@ -267,9 +265,4 @@ def sorted_listings(spark: SparkSession, sf: str) -> DataFrame:
     """The first page in each of the orders of a list."""
     rows = listing.localized_listing(testdata.products(spark, sf), testdata.prices(spark, sf), dims.categories(spark), "de")
     rows = rows.withColumns({"price": F.round("price", 2), "savings": F.round("savings", 6), "score": F.round("score", 3), "created_at": F.date_sub(F.lit("2001-08-01").cast("date"), F.col("age_days").cast("int"))})
-    pages = []
-    for name in listing.SORTS:
-        place = F.row_number().over(Window.orderBy("_at"))
-        first = listing.sort_listing(rows, name).limit(20).select("id", F.monotonically_increasing_id().alias("_at"))
-        pages.append(first.select(F.lit(name).alias("sort"), "id", place.alias("place")))
-    return reduce(DataFrame.unionByName, pages)
+    return listing.first_pages(rows)

@@ -242,3 +242,15 @@ def test_many_queries_of_the_same_words(spark):
     want = sorted(i for i, t in docs if "drive" in t.lower() or "ss" in t.lower())[:3]
     assert sorted((r["query_id"], r["id"], r["place"]) for r in first.collect()) == [(q, i, n + 1) for q in range(40) for n, i in enumerate(want)]
     assert "WindowGroupLimit [word" in first._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_pages_in_one_pass(spark):
+    rng = random.Random(8)
+    draw = lambda: rng.choice([None, *[float(x) for x in range(6)]])
+    rows = [(i, draw(), draw(), draw(), datetime(2024, 1, 1 + i % 9).date() if i % 5 else None, draw(), draw()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, price double, unit_price double, savings double, created_at date, score double, normalized_capacity double")
+    pages = listing.first_pages(df, 50)
+    got = {(r["sort"], r["place"]): r["id"] for r in pages.collect()}
+    for name in ("price", "newest", "savings"):
+        assert [got[name, n + 1] for n in range(50)] == [r["id"] for r in listing.sort_listing(df, name).limit(50).collect()]
+    assert len(got) == 50 * len(listing.SORTS) and "Union" not in pages._jdf.queryExecution().optimizedPlan().toString()
