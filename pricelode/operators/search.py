@@ -57,11 +57,13 @@ def _ranked(postings: DataFrame, asked: DataFrame, terms: DataFrame, sizes: Data
     gathered into one row, so a candidate is scored where it is found: no pair of a query and a document is shuffled
     but the best k of each task.
     """
-    found = postings.join(asked, "token").groupBy("term", "doc", "length").agg(F.sum("tf").alias("tf"))
+    # dealt by document once, for the terms' sums and the documents' weights
+    found = postings.join(asked, "token").repartition("doc").groupBy("term", "doc", "length").agg(F.sum("tf").alias("tf"))
     size = sizes.select(F.struct("docs", "mean")).scalar()
     n_docs, mean = size["docs"], F.coalesce(F.nullif(size["mean"], F.lit(0.0)), F.lit(1.0))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    known = found.groupBy("term").agg(F.count("*").alias("df"))
+    docs = found.select("doc", "term", weight.alias("weight")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
+    known = docs.select(F.explode(F.map_keys("weights")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     queries = terms.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     wanted = queries.select("terms").distinct().select("terms", F.explode("terms").alias("term")).join(known.select("term", "df", idf.alias("idf")), "term")
@@ -70,7 +72,6 @@ def _ranked(postings: DataFrame, asked: DataFrame, terms: DataFrame, sizes: Data
         wanted.groupBy("terms").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.collect_list(F.struct("term", "idf")).alias("idfs"))
         .where(F.size("idfs") == F.size("terms")).select("term", "terms", F.array_sort("idfs").alias("idfs"))
     )
-    docs = found.select("doc", "term", weight.alias("weight")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
     parts = F.transform("idfs", lambda x: x["idf"] * F.try_element_at("weights", x["term"]))
     # a term that the document lacks makes the sum null
     score = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
@@ -101,7 +102,9 @@ class StoredIndex:
         """Puts documents in, in place of those of the same key, and takes out those that `removed` names.
         Postings that a document no longer has stay in the files with a frequency of 0 until
         their bucket is rewritten and are not read."""
-        new = docs.select(F.col(key).alias("doc"), tokens(F.concat_ws(" ", *text)).alias("t")).dropDuplicates(["doc"])
+        # texts are cut into tokens after they were dealt out: a small file of many texts is read by one task
+        texts = docs.select(F.col(key).alias("doc"), F.concat_ws(" ", *text).alias("text")).dropDuplicates(["doc"])
+        new = texts.select("doc", tokens(F.col("text")).alias("t"))
         gone = removed.select(F.col(key).alias("doc")).distinct() if removed is not None else new.select("doc").limit(0)
         postings = new.select("doc", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("token", "doc", "length").agg(F.count("*").cast("int").alias("tf"))
         if self.docs.exists(docs.sparkSession):
@@ -118,15 +121,20 @@ class StoredIndex:
 
     def read(self, spark: SparkSession, terms: DataFrame | None = None) -> DataFrame:
         """token, doc, length, tf; with `terms` (term) only from the buckets of their first letters."""
-        of = None if terms is None else terms.select(F.col("term").alias("token"), F.lit(0).alias("doc"))
-        return self.postings.read(spark, of).where("tf > 0")
+        return self.postings.read(spark, None if terms is None else self._named(terms)).where("tf > 0")
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """What search() gives, from the files of the asked letters alone."""
         spark, terms = queries.sparkSession, _terms(queries)
         postings = self.read(spark, terms)
+        # tokens that no document has any more are among them and find nothing; read after the postings, so none is missing
+        vocabulary = self.postings.values(spark, ["token"], self._named(terms))
         sizes = self.docs.read(spark).where("length > 0").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-        return _ranked(postings, _asked(terms, postings.select("token").distinct()), terms, sizes, k)
+        return _ranked(postings, _asked(terms, vocabulary), terms, sizes, k)
+
+    @staticmethod
+    def _named(terms: DataFrame) -> DataFrame:
+        return terms.select(F.col("term").alias("token"), F.lit(0).alias("doc"))
 
 
 def contains_any_word(texts: DataFrame, words: DataFrame, key: str = "id", text: str = "title") -> DataFrame:

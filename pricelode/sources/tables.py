@@ -157,6 +157,18 @@ class BucketTable:
     def read(self, spark: SparkSession, of: DataFrame | None = None) -> DataFrame:
         """The table as of its last commit; with `of`, which has the keys, only the buckets
         that may hold one of them. Buckets of one folder are read as they are, without a shuffle."""
+        return self._files(spark, *self._chosen(spark, of))
+
+    def values(self, spark: SparkSession, keys: list[str], of: DataFrame | None = None) -> DataFrame:
+        """Distinct values of some of the keys, from the files that read() opens: a key's rows needn't be brought together for it."""
+        state, buckets = self._chosen(spark, of)
+        schema = StructType.fromJson(state["schema"])
+        paths = [f"{self.path}/data/{f}/_bucket={b}" for b in buckets for f in state["buckets"][b]]
+        rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+        return rows.select(*keys).distinct()
+
+    def _chosen(self, spark: SparkSession, of: DataFrame | None) -> tuple[dict, list[str]]:
+        """The state of the last commit, and the buckets that may hold one of the keys."""
         number, state = Commits(spark, self.path).latest()
         if not number:
             raise FileNotFoundError(f"{self.path} has no commit")
@@ -165,7 +177,7 @@ class BucketTable:
             # as many rows as there are buckets
             asked = {str(r[0]) for r in of.select(self.bucket()).distinct().collect()}
             buckets = [b for b in buckets if b in asked]
-        return self._files(spark, state, buckets)
+        return state, buckets
 
     def has(self, spark: SparkSession, batch: str) -> bool:
         """Whether a named batch is in, of the last `remember` ones."""

@@ -244,6 +244,23 @@ def test_many_queries_of_the_same_words(spark):
     assert "WindowGroupLimit [word" in first._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_stored_search_brings_postings_together_once(spark, tmp_path):
+    docs = dict(titles(200))
+    frame = lambda d: spark.createDataFrame(list(d), "id long, title string")
+    index = search.StoredIndex(str(tmp_path), 4, 2)
+    index.update(frame(docs.items()), ["title"])
+    index.update(frame([(3, "drive only"), (4, "onlyhere ss")]), ["title"])
+    index.update(frame([(4, "drive ss")]), ["title"])  # a token that no document has any more
+    docs |= {3: "drive only", 4: "drive ss"}
+    asked = [(i, ("drive ss", "ss drive", "only", "onlyhere")[i % 4]) for i in range(40)]
+    found = index.search(spark.createDataFrame(asked, "query_id long, query string"), 3)
+    assert answers(found) == plain_search(docs.items(), asked, 3)
+    # the rows of a key are brought together for the postings alone, not for the tokens that terms are looked up among
+    merged = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "max_by(tf" in line]
+    assert merged and all("max_by(length" in line for line in merged)
+    assert {r["token"] for r in index.postings.values(spark, ["token"]).collect()} >= {r["token"] for r in index.read(spark).select("token").distinct().collect()}
+
+
 def test_first_pages_in_one_pass(spark):
     rng = random.Random(8)
     draw = lambda: rng.choice([None, *[float(x) for x in range(6)]])
