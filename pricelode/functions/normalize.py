@@ -206,6 +206,7 @@ NOISE = [
     r"platinum", r"gold", r"bronze", r"modular", r"fully", r"semi", r"atx", r"sfx", r"netzteil", r"power\s*supply", r"psu", r"für\s+gaming",
     r"und\s+videobearbeitung", r"für\s+[A-Za-z0-9_]+", r"[a-z]{2,3}-[a-z0-9]+",
 ]
+NOISE_RUN = 7  # patterns looked for at once
 
 
 def _dashed(c: Column) -> Column:
@@ -232,8 +233,11 @@ def _words(low: Column, brand: Column) -> Column:
     """A title in lower case without a doubled brand and without noise, dashed."""
     twice = F.concat(brand, F.lit(" "), brand, F.lit(" "))
     once = F.when(F.coalesce(F.startswith(low, twice), F.lit(False)), low.substr(F.length(brand) + 2, F.length(low))).otherwise(low)
-    for n in NOISE:
-        once = F.regexp_replace(once, f"{BORDER_LEFT}(?:{n}){BORDER_RIGHT}", " ")
+    whole = lambda n: f"{BORDER_LEFT}(?:{n}){BORDER_RIGHT}"
+    for i in range(0, len(NOISE), NOISE_RUN):
+        run = NOISE[i : i + NOISE_RUN]
+        # a text in which no pattern of a run is found stays as it is, since none of them changes it for the next
+        once = let(once, lambda t: F.when(t.rlike(whole("|".join(run))), reduce(lambda c, n: F.regexp_replace(c, whole(n), " "), run, t)).otherwise(t))  # noqa: B023
     return _dashed(once)
 
 

@@ -177,7 +177,7 @@ select id, asin, capacity, capacity_unit, lower(brand) as b, {title} as title fr
 def noisy_slugs(spark: SparkSession, sf: str) -> DataFrame:
     """Slugs of titles with the brand twice, noise of many kinds, and too many words."""
     p = testdata.products(spark, sf).withColumn("title", F.expr(_NOISY))
-    return p.select("id", "title", "asin", normalize.product_slug(F.col("title"), F.col("brand"), F.col("asin"), F.col("capacity"), F.col("capacity_unit")).alias("slug"))
+    return ingest.with_slugs(p).select("id", "title", "asin", "slug")
 
 
 @query(

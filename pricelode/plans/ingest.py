@@ -235,10 +235,15 @@ def discovery_candidates(bestsellers: DataFrame, deals: DataFrame, cap: int) ->
     return first.orderBy("at", "asin").limit(cap).select("asin")
 
 
+def with_slugs(products: DataFrame, name: str = "slug") -> DataFrame:
+    """Adds the slugs. Rows are dealt out first: a slug costs far more than reading its row, and few tasks read a small file of many rows."""
+    slug = normalize.product_slug(F.col("title"), F.col("brand"), F.col("asin"), F.col("capacity"), F.col("capacity_unit"))
+    return products.repartition("asin", "title").withColumn(name, slug)
+
+
 def regenerated_slugs(products: DataFrame) -> DataFrame:
     """asin, slug, new_slug, changed, collides."""
-    new = normalize.product_slug(F.col("title"), F.col("brand"), F.col("asin"), F.col("capacity"), F.col("capacity_unit"))
-    rows = products.withColumn("new_slug", new)
+    rows = with_slugs(products, "new_slug")
     n = F.count("*").over(Window.partitionBy("new_slug"))
     return rows.select("asin", "slug", "new_slug", (~F.col("slug").eqNullSafe(F.col("new_slug"))).alias("changed"), (n > 1).alias("collides"))
 

@@ -356,8 +356,7 @@ def title_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query()
 def product_slugs(spark: SparkSession, sf: str) -> DataFrame:
-    slug = normalize.product_slug(F.col("title"), F.col("brand"), F.col("asin"), F.col("capacity"), F.col("capacity_unit"))
-    return testdata.products(spark, sf).select("id", slug.alias("slug"))
+    return ingest.with_slugs(testdata.products(spark, sf)).select("id", "slug")
 
 
 @_query("select id, asin as new_asin from products")

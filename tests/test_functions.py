@@ -1,5 +1,7 @@
 """Expressions on rows made by hand; expected values worked out by hand."""
 
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -7,6 +9,9 @@ from pyspark.sql import functions as F
 
 from pricelode.functions import formatting, metrics, normalize
 from pricelode.functions.semantics import first_nonzero, first_present, half_up
+from pricelode.plans import detail_queries, ingest, queries  # noqa: F401  the queries register themselves
+
+SF = "/root/testdata/sf0.001"
 
 
 def one(spark, column, **values):
@@ -41,6 +46,38 @@ def test_slug(spark):
     assert one(spark, normalize.asin_from_slug(F.lit("x-b0cbyz6dd1"))) == "B0CBYZ6DD1"
 
 
+def test_noise_goes_in_order(spark):
+    rng = random.Random(4)
+    words = [*"nvme m.2 m2 lesen interne festplatte hard drive solid state ssd ddr5 ram graphics card gpu (renewed) renewed 16 gb 2 tb 850w 80 plus gold fully modular power supply für gaming und videobearbeitung".split(), "7.450 mb/s", "pcie 4.0", "wd-red", "x", "caf\u00e9", "-"]
+    texts = [rng.choice(["", "acme ", "acme acme "]) + rng.choice([" ", "  "]).join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(400)]
+    # what is taken out brings together what a later pattern finds
+    texts += ["hard nvme drive", "solid ssd state hdd drive", "16 ram gb", "80 gpu plus", "f\u00fcr nvme gaming", "", "   "]
+
+    def plain(low):
+        low = low[5:] if low.startswith("acme acme ") else low
+        for n in normalize.NOISE:
+            low = re.sub(f"(?<![A-Za-z0-9_])(?:{n})(?![A-Za-z0-9_])", " ", low)
+        return re.sub("^-|-$", "", re.sub("[^a-z0-9]+", "-", low))
+
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "low string").select("low", normalize._words(F.col("low"), F.lit("acme")).alias("words")).collect()
+    assert len(rows) == len(texts) + 1
+    assert [r["words"] for r in rows] == [None if r["low"] is None else plain(r["low"]) for r in rows]
+
+
+def test_slugs_are_made_by_all_tasks(spark, tmp_path):
+    rows = [(f"B{i:09}", f"Acme Acme Drive X{i} NVMe", "Acme", 4.0, "TB", None) for i in range(5000)]
+    spark.createDataFrame(rows, "asin string, title string, brand string, capacity double, capacity_unit string, slug string").coalesce(1).write.parquet(f"{tmp_path}/p")
+    stored = spark.read.parquet(f"{tmp_path}/p")
+    assert stored.rdd.getNumPartitions() == 1
+    dealt = ingest.with_slugs(stored)
+    got = {r["asin"]: r["slug"] for r in dealt.collect()}
+    assert len(got) == 5000 and got["B000000042"] == "acme-drive-x42-4tb-0042"
+    for made in (dealt, ingest.regenerated_slugs(stored), queries.QUERIES["product_slugs"](spark, SF), queries.QUERIES["noisy_slugs"](spark, SF), queries.QUERIES["slug_collisions"](spark, SF)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        # the rows are dealt out below the slug's patterns
+        assert plan.index("lesen") < plan.index("RepartitionByExpression [asin")
+
+
 @pytest.mark.parametrize("sub,category", [("Externe Festplatten", "external-storage"), ("Laserdrucker", "laserdrucker"), ("Systemkameras", "systemkameras"), ("Arbeitsspeicher", "ram"), ("Socken", None)])
 def test_category(spark, sub, category):
     assert one(spark, normalize.map_category(F.lit("x"), F.lit(sub))) == category
