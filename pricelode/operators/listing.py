@@ -105,7 +105,7 @@ def fallback_search(products: DataFrame, queries: DataFrame, k: int = 50) -> Dat
     products are among the first k of each of its words, so only these meet the queries."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower(F.trim("query")), r"\s+"))).alias("word")).where("word <> ''")
     first = F.row_number().over(Window.partitionBy("word").orderBy("id"))
-    hits = contains_any_word(products, words).withColumn("_n", first).where(F.col("_n") <= k).join(words, "word")
+    hits = contains_any_word(products, words).withColumn("_n", first).where(F.col("_n") <= k).join(words.hint("merge"), "word")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
     return hits.select("query_id", "id").distinct().withColumn("place", place).where(F.col("place") <= k)
 

@@ -141,8 +141,9 @@ def contains_any_word(texts: DataFrame, words: DataFrame, key: str = "id", text:
     """key, word: the texts that hold each word (words: word, in lower case) anywhere.
 
     Every word of three letters or more has its trigrams in any text that holds it: texts are looked up by the word's rarest
-    one, and what is found is compared. A word of one or two letters is looked up by itself. The join is by equal
-    grams only, and equal texts are looked through once. Empty words are found nowhere.
+    one, and what is found is compared. A word of one or two letters is looked up by itself. The joins are by equal
+    grams and titles only and are shuffled: titles, and above all their grams, are far larger than the file that
+    they come from, so its size must not have them broadcast. Equal texts are looked through once. Empty words are found nowhere.
     """
     texts = texts.select(F.col(key), F.lower(text).alias("_low")).where("_low is not null")
     low = F.col("_low")
@@ -151,12 +152,11 @@ def contains_any_word(texts: DataFrame, words: DataFrame, key: str = "id", text:
     grams = asked.select("word", F.explode(F.array_distinct(parts(F.col("word"), F.col("size")))).alias("gram"))
     sizes = [F.when(F.length(low) >= n, parts(low, F.lit(n))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
     held = texts.select(low).distinct().select(low, F.explode(F.array_distinct(F.concat(*sizes))).alias("gram"))
-    hits = held.join(grams.select("gram").distinct(), "gram")
     # of each word the rarest gram, if all of them are somewhere
-    counted = grams.join(hits.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    counted = grams.join(held.groupBy("gram").agg(F.count("*").alias("n")).hint("merge"), "gram", "left")
     rarest = counted.groupBy("word").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("everywhere")).where("everywhere")
-    found = rarest.select("word", "gram").join(hits, "gram").where(low.contains(F.col("word"))).select("_low", "word")
-    return texts.join(found, "_low").select(key, "word")
+    found = held.join(rarest.select("word", "gram").hint("merge"), "gram").where(low.contains(F.col("word"))).select("_low", "word")
+    return texts.join(found.hint("merge"), "_low").select(key, "word")
 
 
 def search_like(docs: DataFrame, words: list[str], k: int, key: str = "id") -> DataFrame:

@@ -244,6 +244,19 @@ def test_many_queries_of_the_same_words(spark):
     assert "WindowGroupLimit [word" in first._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_fallback_search_broadcasts_nothing(spark, tmp_path):
+    docs = titles(60)
+    spark.createDataFrame(docs, "id long, title string").write.parquet(f"{tmp_path}/docs")
+    queries = [(i, ("drive ss", "solid 2", "zzz")[i % 3]) for i in range(9)]
+    spark.createDataFrame(queries, "query_id long, query string").write.parquet(f"{tmp_path}/asked")
+    frame, asked = spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/asked")
+    found = listing.fallback_search(frame, asked, 4)
+    # files this small would be broadcast if the joins went by their size
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [(q, i, n + 1) for q, words in queries for n, i in enumerate(sorted(i for i, t in docs if any(w in t.lower() for w in words.split()))[:4])]
+    assert want and sorted(tuple(r) for r in found.select("query_id", "id", "place").collect()) == sorted(want)
+
+
 def test_stored_search_brings_postings_together_once(spark, tmp_path):
     docs = dict(titles(200))
     frame = lambda d: spark.createDataFrame(list(d), "id long, title string")
